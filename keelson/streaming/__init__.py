@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The audited workloads are batch jobs: message-queue timestamps appear only as
+ordering keys ("latest record"), never as watermarks, windows or state.  No
+streaming operator is built (see README, "Not built").
+"""
