@@ -128,3 +128,214 @@ SELECT completed_by,
        {rhu("avg(date_sub('minute', TIMESTAMP '2024-01-01 00:00:00', ts))", 3)} AS avg_minutes
 FROM tasks GROUP BY completed_by""")
 sql("q_sort_final", W("app") + "SELECT id, app_date, state, amount FROM app ORDER BY app_date DESC, state ASC, id ASC")
+
+
+# =============================================================================
+# home-equity audit (plans.heloc) — staged CTEs shared by several queries
+# =============================================================================
+from .sources import policies as P  # noqa: E402
+from .sources.bureau_codes import BUREAU_CODES  # noqa: E402
+
+
+def _d(x) -> str:
+    return f"DATE '{x.isoformat()}'"
+
+
+def _f(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def _in(vals) -> str:
+    return ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in vals)
+
+
+BUREAU_NORM = ("bureau", "SELECT * EXCLUDE (rn) FROM (SELECT person, credit_type, " + ", ".join(
+    f"CASE WHEN TRY_CAST({c} AS DOUBLE) IN (999999998.0, 999999996.0) THEN 0.0 ELSE TRY_CAST({c} AS DOUBLE) END AS {c}"
+    for c in BUREAU_CODES) + ", row_number() OVER (PARTITION BY person ORDER BY credit_type ASC) AS rn "
+    "FROM bureau_raw) WHERE rn = 1")
+
+LD = ("ld", """
+    SELECT id, uw_packet.home_amount AS stated_value,
+           uw_packet.installment_debt.amount AS rec_installment,
+           uw_packet.revolving_debt.amount AS rec_revolving,
+           supp % 40 AS alert_subcode,
+           'subcode ' || CAST(part % 30 AS VARCHAR) AS alert_message,
+           struct_extract(decline_reasons[1], 'code') AS decline_code
+    FROM latest_decision""")
+
+
+def _lien_ctes(as_of: str) -> list[tuple[str, str]]:
+    groups = ", ".join(f"('{s}', '{g}')" for s, g in P.state_group())
+    limits = ", ".join(f"('{c}', '{g}', {m})" for c, g, m in P.LIEN_AGE_LIMITS)
+    return [
+        ("person_state", """SELECT * EXCLUDE (r) FROM (SELECT person, state, app_date, id, hard_score, soft_score,
+             row_number() OVER (PARTITION BY person ORDER BY app_date DESC, id DESC) AS r FROM app) WHERE r = 1"""),
+        ("groups", f"SELECT * FROM (VALUES {groups}) t(state, state_group)"),
+        ("limits", f"SELECT * FROM (VALUES {limits}) t(category, state_group, max_months)"),
+        ("items", """SELECT l.*, ps.state, ps.hard_score, ps.soft_score, g.state_group, lim.max_months
+             FROM liens l LEFT JOIN person_state ps ON l.person = ps.person
+             LEFT JOIN groups g ON ps.state = g.state
+             LEFT JOIN limits lim ON l.category = lim.category
+                  AND (lim.state_group = 'any' OR g.state_group = lim.state_group)"""),
+        ("lien_summary", f"""SELECT person, max(involuntary_on_property OR hoa_on_property) AS lien_exists,
+               max(fails AND category IS NOT NULL) AS lien_item_fails,
+               max(category IS NULL) AS lien_no_record, count(*) AS lien_items
+             FROM (SELECT *, NOT (exc1 OR (exc2 AND exc3)) AS fails FROM (
+               SELECT *,
+                 ((coalesce(hard_score, soft_score) >= {P.LIEN_EXCEPTION_SCORE} AND category = 'NOTICE'
+                   AND description = 'NOTICE' AND is_pace = false) IS TRUE) AS exc1,
+                 ((date_diff('month', document_date, DATE '{as_of}') > max_months) IS TRUE) AS exc2,
+                 (category IN ({_in(P.LIEN_CATEGORIES)}) AND document_date IS NOT NULL) AS exc3
+               FROM items)) GROUP BY person"""),
+    ]
+
+
+def _score_floor() -> str:
+    arms = " ".join(f"WHEN state_group = '{g}' AND eff_date >= {_d(s)} AND eff_date < {_d(e)} THEN {_f(v)}"
+                    for g, s, e, v in P.SCORE_FLOOR)
+    return f"CASE {arms} END"
+
+
+def _max_loan() -> str:
+    arms = " ".join(f"WHEN fico >= {lo} AND fico < {hi} THEN {_f(m)}" for lo, hi, m in P.LOAN_MAX_BY_SCORE)
+    return f"CASE {arms} END"
+
+
+def _credit_case() -> str:
+    bk = f"CASE WHEN eff_date >= {_d(P.BANKRUPTCY_CUTOFF)} THEN {P.BANKRUPTCY_MONTHS[1]} ELSE {P.BANKRUPTCY_MONTHS[0]} END"
+    msg = r"TRY_CAST(regexp_extract(alert_message, 'subcode (\d+)', 1) AS INTEGER)"
+    rules = [
+        ("FICO_Knockout_Failure1", f"(fico < {_score_floor()} OR fico > {P.SCORE_MAX} OR fico IN ({', '.join(f'{x}.0' for x in P.SCORE_CODES)}))"),
+        ("Loan_Size_Knockout_Failure1", f"(amount < {_f(P.LOAN_MIN)} OR amount > {_max_loan()})"),
+        ("Delinquent_30mdy_6mo_Knockout_Failure1", f"MTA2126 > {P.DELINQUENCY_MAX}"),
+        ("Non_Medical_Collections_Knockout_Failure1", f"COL3211 > {P.COLLECTIONS_MAX}"),
+        ("Worst_Trade_Status_12mo_Knockout_Failure1", f"ALM6270 >= {P.WORST_TRADE_MIN}"),
+        ("Inquiries_Num_6mo_Knockout_Failure1", f"IQT9425 - (IQM9415 + IQA9415) >= {P.INQUIRIES_MIN}"),
+        ("Finance_Inquiries_Knockout_Failure1", f"IQF9415 > {P.FINANCE_INQUIRIES_MAX}"),
+        ("Bankruptcy_Knockout_Failure1", f"ALL9220 <= {bk}"),
+        ("Foreclosure_Knockout_Failure1", f"MTF8169 <= {P.FORECLOSURE_MONTHS}"),
+        ("Alert_Subcode_Knockout_Failure1", f"alert_subcode IN ({_in(P.ALERT_SUBCODES)})"),
+        ("Fraud_Shield_Knockout_Failure1", f"{msg} IN ({_in(P.FRAUD_SHIELD_SUBCODES)})"),
+    ]
+    arms = " ".join(f"WHEN ({cond}) AND is_approved THEN '{label}'" for label, cond in rules)
+    return f"CASE {arms} ELSE 'PASS' END"
+
+
+def _property_case() -> str:
+    elig = (f"CASE WHEN eff_date < {_d(P.LAND_USE_CUTOFF)} THEN land_use IN ({_in(P.LAND_USE_BEFORE)}) "
+            f"ELSE land_use IN ({_in(P.LAND_USE_FROM)}) END")
+    rules = [
+        ("AVM_Knockout_Failure", "(coalesce(prequal_avm, 0.0) = 0 AND coalesce(avm, 0.0) = 0)", "NOAVMRETURNED"),
+        ("Land_Use_Code_Knockout_Failure", f"(NOT ({elig}))", "LANDUSE"),
+        ("Acres_Knockout_Failure", f"(acres > {_f(P.MAX_ACRES)})", "PROPERTY_ACRES"),
+        ("Lien_Position_Knockout_Failure", f"(n_liens > {P.MAX_LIEN_POSITION})", "LIEN_POSITION"),
+        ("Last_Sale_Date_Knockout_Failure", f"(date_diff('day', last_sale, app_date) <= {P.RECENT_SALE_DAYS})",
+         "LAST_SALE_DATE"),
+    ]
+    labels = [f"CASE WHEN {f} AND is_approved THEN '{l}1' WHEN (NOT {f}) AND NOT is_approved "
+              f"AND decline_code = '{code}' THEN '{l}2' END" for l, f, code in rules]
+    return f"coalesce({', '.join(labels)}, 'PASS')"
+
+
+LIEN_CASE = """CASE
+  WHEN coalesce(lien_exists, false) AND (coalesce(lien_item_fails, false) OR coalesce(lien_no_record, false)) AND is_approved
+    THEN 'Involuntary_Lien_Knockout_Failure' || CASE WHEN lien_no_record IS TRUE THEN '(DT no returns)' ELSE '(DT returns)' END || '1'
+  WHEN (NOT coalesce(lien_exists, false) OR NOT (coalesce(lien_item_fails, false) OR coalesce(lien_no_record, false)))
+       AND is_declined AND decline_code = 'INV_TAXLIEN'
+    THEN 'Involuntary_Lien_Knockout_Failure' || CASE WHEN lien_no_record IS TRUE THEN '(DT no returns)' ELSE '(DT returns)' END || '2'
+  ELSE 'PASS' END"""
+
+
+def _z() -> str:
+    return "(((((BCC5830 - BCC5838) / 0.04) * 0.025) + BCC5838) - (BCC5830 - BCX5830))"
+
+
+def debt_parts_sql(score: str, lo: int, split: int) -> str:
+    t1 = f"(BCC5830 <= BCX5830 AND {score} BETWEEN {lo} AND {split - 1})"
+    t2 = f"(BCC5830 <= BCX5830 AND {score} >= {split})"
+    rev = (f"CASE WHEN {t1} THEN {rhu(_z() + ' + (BAX5030 - BCX5030) * 0.025 + RTR5030 * 0.025', 4)} "
+           f"WHEN {t2} THEN {rhu(_z() + ' + RTR5030 * 0.025', 4)} END")
+    inst = (f"CASE WHEN {t1} THEN {rhu('ILN5820 - ILN5824', 4)} "
+            f"WHEN {t2} THEN {rhu('AUA5820 + STU5020 * 0.0035 + (ILN5820 - (STU5820 + AUA5820)) - ILN5824', 4)} END")
+    mort = f"CASE WHEN {t1} OR {t2} THEN {rhu('MTF5820 + MTS5820 + HLC5820', 4)} END"
+    return f"{rev} AS t_revolving_debt, {inst} AS t_installment_debt, {mort} AS t_mortgage_debt"
+
+
+def heloc_ctes(as_of: str = "2024-02-01") -> str:
+    r = P.REGIME_DATES
+    limits = ", ".join(f"('{g}', {lo}, {hi}, {_f(v)})" for g, lo, hi, v in P.CLTV_LIMITS)
+    strict = _in(P.STRICT_STATES)
+    a12 = _f(P.ASSET_RATE / 12)
+    base = _f(1 + P.ASSET_RATE / 12)
+    extra = [LATEST_DECISION, BUREAU_NORM, LD] + _lien_ctes(as_of) + [
+        ("reason_ids", "SELECT id FROM (SELECT id, unnest(decline_reasons) AS r FROM decisions) WHERE r.code = 'CLTV'"),
+        ("inputs", f"""SELECT a.*, b.* EXCLUDE (person), p.* EXCLUDE (id), ld.* EXCLUDE (id), ls.* EXCLUDE (person),
+               a.id IN (SELECT id FROM reason_ids) AS cltv_reason_flag,
+               coalesce(a.hard_score, a.soft_score) AS fico,
+               CASE WHEN a.flag = 'Y' AND a.respond_by >= a.app_date THEN a.mail_date ELSE a.app_date END AS eff_date,
+               CASE WHEN a.state IN ({strict}) THEN 'strict' ELSE 'standard' END AS state_group,
+               (a.decision != 'DECLINE' AND a.status NOT IN ('DECLINED', 'CANCELLED')) AS is_approved,
+               (a.decision = 'DECLINE' AND a.status IN ('DECLINED', 'CANCELLED')) AS is_declined
+             FROM app a LEFT JOIN bureau b ON a.person = b.person LEFT JOIN prop p ON a.id = p.id
+             LEFT JOIN ld ON a.id = ld.id LEFT JOIN lien_summary ls ON a.person = ls.person"""),
+        ("chk1", f"""SELECT *, {_credit_case()} AS credit_check, {_property_case()} AS property_check,
+               {LIEN_CASE} AS lien_check, {debt_parts_sql('fico', 620, 740)} FROM inputs"""),
+        ("chk2", f"""SELECT *,
+               CASE WHEN BCC5830 > BCX5830 THEN ALX5830 - ILN5824
+                    ELSE coalesce(t_revolving_debt, 0.0) + coalesce(t_installment_debt, 0.0) + coalesce(t_mortgage_debt, 0.0) END AS t_monthly_debt,
+               CASE WHEN avm IS NULL OR avm >= stated_value THEN {rhu('stated_value', 4)} ELSE {rhu('avm', 4)} END AS t_collateral,
+               CASE WHEN age <= {P.RETIREMENT_AGE} THEN {rhu('amount * 0.2', 2)} * {P.RETIREMENT_FACTOR} + {rhu('amount * 0.1', 2)} + 5000.0
+                    ELSE {rhu('amount * 0.2', 2)} + {rhu('amount * 0.1', 2)} + 5000.0 END AS t_assets
+             FROM chk1"""),
+        ("chk3", f"""SELECT *,
+               CASE WHEN t_collateral < {_f(P.HAIRCUT_LOW_VALUE)} THEN t_collateral * {P.HAIRCUT_LOW_FACTOR}
+                    WHEN land_use = {P.HAIRCUT_LAND_USE} OR fsd > {_f(P.HAIRCUT_FSD_HALF)} THEN t_collateral * (1 - fsd / 100)
+                    WHEN fsd <= {_f(P.HAIRCUT_FSD_FULL)} THEN t_collateral
+                    WHEN fsd <= {_f(P.HAIRCUT_FSD_HALF)} THEN t_collateral * (1 - fsd / 200) END AS t_adj_collateral,
+               CASE WHEN coalesce(income, 0.0) != 0 AND coalesce(term_years, 0) != 0
+                      THEN {rhu(f't_monthly_debt / nullif(income + (t_assets * {a12}) / nullif(1 - pow({base}, -term_years * 12), 0), 0)', 4)}
+                    WHEN coalesce(income, 0.0) != 0 AND coalesce(term_years, 0) = 0
+                      THEN {rhu('t_monthly_debt / nullif(income, 0)', 4)} END AS t_dti
+             FROM chk2"""),
+        ("chk4", f"""SELECT *,
+               CASE WHEN coalesce(t_collateral, 0.0) != 0 THEN {rhu('owed / nullif(t_collateral, 0)', 4)} END AS t_cltv,
+               CASE WHEN coalesce(t_adj_collateral, 0.0) != 0 THEN {rhu('owed / nullif(t_adj_collateral, 0)', 4)} END AS t_adj_cltv,
+               CASE WHEN eff_date < {_d(r['r1'])} THEN 'r0' WHEN eff_date < {_d(r['r2'])} THEN 'r1'
+                    WHEN eff_date < {_d(r['r3'])} THEN 'r2' WHEN eff_date IS NOT NULL THEN 'r3' END AS regime
+             FROM chk3"""),
+        ("cltv_limits", f"SELECT * FROM (VALUES {limits}) t(l_regime, l_lo, l_hi, cltv_limit)"),
+        ("chk5", f"""SELECT c.*, l.cltv_limit,
+               CASE WHEN fico BETWEEN 620 AND 739 AND eff_date < {_d(r['r3'])} THEN 0.43
+                    WHEN fico BETWEEN 620 AND 739 THEN 0.45 WHEN fico >= 740 THEN 0.50 END AS dti_limit
+             FROM chk4 c LEFT JOIN cltv_limits l ON c.regime = l.l_regime AND c.fico >= l.l_lo AND c.fico < l.l_hi"""),
+        ("checks", f"""SELECT *,
+               coalesce(CASE WHEN (((owed = 0) AND (t_cltv > {P.CLTV_ZERO_OWED} OR t_adj_cltv > {P.CLTV_ZERO_OWED}))
+                                   OR ((owed > 0) AND (t_cltv > cltv_limit OR t_adj_cltv > cltv_limit))) AND is_approved
+                                 THEN 'CLTV_Decline_Failure1'
+                             WHEN (((owed = 0) AND t_cltv <= {P.CLTV_ZERO_OWED} AND t_adj_cltv <= {P.CLTV_ZERO_OWED})
+                                   OR ((owed > 0) AND t_cltv <= cltv_limit AND t_adj_cltv <= cltv_limit))
+                                  AND NOT is_approved AND decline_code = 'CLTV' THEN 'CLTV_Decline_Failure2' END, 'PASS') AS cltv_check,
+               coalesce(CASE WHEN t_dti > dti_limit AND is_approved THEN 'DTI_Decline_Failure1'
+                             WHEN t_dti <= dti_limit AND NOT is_approved AND decline_code = 'DTI' THEN 'DTI_Decline_Failure2' END,
+                        'PASS') AS dti_check,
+               {rhu('owed / nullif(stated_value, 0)', 4)} AS rec_cltv,
+               {rhu('(rec_installment + rec_revolving) / nullif(income, 0)', 4)} AS rec_dti
+             FROM chk5"""),
+        ("audit", f"""SELECT *,
+               CASE WHEN {rhu('rec_cltv', 3)} = {rhu('t_cltv', 3)} THEN 'Match'
+                    WHEN {rhu('rec_cltv', 3)} != {rhu('t_cltv', 3)} THEN 'Unmatch' ELSE 'Unavailable' END AS cltv_match,
+               CASE WHEN {rhu('rec_dti', 3)} = {rhu('t_dti', 3)} THEN 'Match'
+                    WHEN {rhu('rec_dti', 3)} != {rhu('t_dti', 3)} THEN 'Unmatch' ELSE 'Unavailable' END AS dti_match,
+               CASE WHEN ends_with(credit_check, '1') OR ends_with(property_check, '1') OR ends_with(lien_check, '1')
+                         OR ends_with(cltv_check, '1') OR ends_with(dti_check, '1') THEN 'should have been declined'
+                    WHEN ends_with(credit_check, '2') OR ends_with(property_check, '2') OR ends_with(lien_check, '2')
+                         OR ends_with(cltv_check, '2') OR ends_with(dti_check, '2') THEN 'should not have been declined'
+                    ELSE 'correct' END AS verdict
+             FROM checks"""),
+    ]
+    return W("app", "prop", "bureau_raw", "decisions", "liens", extra=extra)
+
+
+AUDIT_COLS = ("id, app_date, status, decision, fico, credit_check, property_check, lien_check, cltv_check, "
+              "dti_check, t_cltv, t_adj_cltv, t_dti, cltv_match, dti_match, verdict")
+sql("q_heloc_audit", heloc_ctes() + f"SELECT {AUDIT_COLS} FROM audit WHERE verdict != 'correct'")

@@ -290,3 +290,15 @@ def q_sort_final(spark: SparkSession, sf: str) -> DataFrame:
     """O1: final ORDER BY several keys (DESC / ASC)."""
     a = D.app(spark, sf).select("id", "app_date", "state", "amount")
     return a.orderBy(F.col("app_date").desc(), F.col("state").asc(), F.col("id").asc())
+
+
+# ---------------------------------------------------------------------------
+# home-equity decision audit (flagship) and its stages
+# ---------------------------------------------------------------------------
+from .plans import heloc as H  # noqa: E402
+
+
+@register
+def q_heloc_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagship: home-equity decision audit (credit, property, lien, CLTV, DTI; verdict)."""
+    return H.heloc_audit(spark, sf)
