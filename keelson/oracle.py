@@ -339,3 +339,29 @@ def heloc_ctes(as_of: str = "2024-02-01") -> str:
 AUDIT_COLS = ("id, app_date, status, decision, fico, credit_check, property_check, lien_check, cltv_check, "
               "dti_check, t_cltv, t_adj_cltv, t_dti, cltv_match, dti_match, verdict")
 sql("q_heloc_audit", heloc_ctes() + f"SELECT {AUDIT_COLS} FROM audit WHERE verdict != 'correct'")
+
+# --- heloc stages ------------------------------------------------------------
+_H = heloc_ctes()
+sql("q_bureau_normalise", _H + "SELECT * FROM bureau")
+sql("q_score_resolve", W("app") + "SELECT id, hard_score, soft_score, coalesce(hard_score, soft_score) AS fico FROM app")
+sql("q_effective_date", _H + "SELECT id, app_date, flag, eff_date, regime FROM chk4")
+sql("q_policy_lookup", _H + f"""SELECT id, fico, regime, cltv_limit, dti_limit, {_score_floor()} AS score_floor,
+    {_max_loan()} AS max_loan FROM chk5""")
+sql("q_cascade_credit", _H + "SELECT id, fico, credit_check FROM chk1")
+sql("q_property_rules", _H + "SELECT id, land_use, acres, property_check FROM chk1")
+sql("q_lien_exceptions", _H + "SELECT * FROM lien_summary")
+sql("q_lien_decline", _H + "SELECT id, lien_exists, lien_item_fails, lien_no_record, cltv_reason_flag, lien_check FROM chk1")
+sql("q_debt_parts", _H + f"SELECT id, {rhu(_z(), 4)} AS z, t_revolving_debt, t_installment_debt, t_mortgage_debt FROM chk1")
+sql("q_total_debt", _H + f"""SELECT id,
+    {rhu('CASE WHEN BCC5830 > BCX5830 THEN ALX5830 - ILN5824 ELSE coalesce(t_revolving_debt, 0.0) + coalesce(t_installment_debt, 0.0) + coalesce(t_mortgage_debt, 0.0) END', 4)} AS debt_zero_filled,
+    {rhu('CASE WHEN BCC5830 > BCX5830 THEN ALX5830 - ILN5824 ELSE t_revolving_debt + t_installment_debt + t_mortgage_debt END', 4)} AS debt_null_propagating
+  FROM chk1""")
+sql("q_collateral", _H + f"SELECT id, {rhu('t_collateral', 4)} AS t_collateral, {rhu('t_adj_collateral', 4)} AS t_adj_collateral FROM chk3")
+sql("q_cltv", _H + "SELECT id, owed, t_cltv, t_adj_cltv FROM chk4")
+sql("q_cltv_check", _H + "SELECT id, regime, cltv_limit, cltv_check FROM checks")
+sql("q_assets_dti", _H + f"SELECT id, {rhu('t_assets', 2)} AS t_assets, {rhu('t_monthly_debt', 4)} AS t_monthly_debt, t_dti FROM chk3")
+sql("q_dti_check", _H + "SELECT id, dti_limit, dti_check FROM checks")
+sql("q_reconcile", _H + "SELECT id, cltv_match, dti_match FROM audit")
+sql("q_mismatches", _H + "SELECT id, cltv_match, dti_match FROM audit WHERE cltv_match = 'Unmatch' OR dti_match = 'Unmatch'")
+sql("q_verdict", _H + "SELECT id, verdict FROM audit")
+sql("q_two_way", _H + "SELECT id, is_approved, decline_code, cltv_check, dti_check FROM checks")

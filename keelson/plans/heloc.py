@@ -103,7 +103,9 @@ def lien_summary(spark: SparkSession, sf: str, as_of: Column) -> DataFrame:
     )
 
 
-def heloc_inputs(spark: SparkSession, sf: str, as_of: str = D.AS_OF) -> DataFrame:
+def heloc_inputs(spark: SparkSession, sf: str, as_of: str = D.AS_OF,
+                 with_liens_and_reasons: bool = True) -> DataFrame:
+    """One row per application with every input of the checks (left joins, 1:1 / many:1)."""
     a = D.app(spark, sf)
     ld = latest_decision(spark, sf).select(
         "id",
@@ -118,9 +120,10 @@ def heloc_inputs(spark: SparkSession, sf: str, as_of: str = D.AS_OF) -> DataFram
                       outer=False, prefix="r_")
     df = (a.join(bureau(spark, sf), "person", "left")
             .join(D.prop(spark, sf), "id", "left")
-            .join(ld, "id", "left")
-            .join(lien_summary(spark, sf, F.lit(as_of).cast("date")), "person", "left"))
-    df = member_flag(df, "id", reasons.where(c("r_code") == "CLTV"), "id", "cltv_reason_flag")
+            .join(ld, "id", "left"))
+    if with_liens_and_reasons:
+        df = df.join(lien_summary(spark, sf, F.lit(as_of).cast("date")), "person", "left")
+        df = member_flag(df, "id", reasons.where(c("r_code") == "CLTV"), "id", "cltv_reason_flag")
     return df.withColumns({
         "fico": FN.resolve_score(c("hard_score"), c("soft_score")),
         "eff_date": effective_date(c("app_date"), c("mail_date"), c("respond_by"), c("flag")),
@@ -243,6 +246,11 @@ def regime_col(eff: Column) -> Column:
              .when(eff < F.lit(r["r3"]), "r2").when(eff.isNotNull(), "r3"))
 
 
+def ratio_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Debt, collateral, CLTV and DTI stages only (no lien summary / reason flags needed)."""
+    return with_ratios(spark, heloc_inputs(spark, sf, with_liens_and_reasons=False))
+
+
 def heloc_checks(spark: SparkSession, sf: str) -> DataFrame:
     df = heloc_inputs(spark, sf)
     df = with_ratios(spark, with_liens(with_property(with_credit(df))))

@@ -295,6 +295,9 @@ def q_sort_final(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # home-equity decision audit (flagship) and its stages
 # ---------------------------------------------------------------------------
+from .functions import finance as FN  # noqa: E402
+from .operators.policy import effective_date  # noqa: E402
+from .operators.reconcile import mismatches  # noqa: E402
 from .plans import heloc as H  # noqa: E402
 
 
@@ -302,3 +305,145 @@ from .plans import heloc as H  # noqa: E402
 def q_heloc_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: home-equity decision audit (credit, property, lien, CLTV, DTI; verdict)."""
     return H.heloc_audit(spark, sf)
+
+
+def _app_bureau(spark: SparkSession, sf: str) -> DataFrame:
+    a = D.app(spark, sf)
+    df = a.join(H.bureau(spark, sf), "person", "left")
+    return df.withColumn("fico", FN.resolve_score(F.col("hard_score"), F.col("soft_score")))
+
+
+@register
+def q_bureau_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    """Coded strings -> double, sentinels -> 0, preferred credit type per person."""
+    return H.bureau(spark, sf)
+
+
+@register
+def q_score_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard score, else soft score."""
+    a = D.app(spark, sf)
+    return a.select("id", "hard_score", "soft_score",
+                    FN.resolve_score(F.col("hard_score"), F.col("soft_score")).alias("fico"))
+
+
+@register
+def q_effective_date(spark: SparkSession, sf: str) -> DataFrame:
+    """Promotional mail date when the promo is valid, else application date; regime of that date."""
+    a = D.app(spark, sf)
+    eff = effective_date(F.col("app_date"), F.col("mail_date"), F.col("respond_by"), F.col("flag"))
+    return a.select("id", "app_date", "flag", eff.alias("eff_date"), H.regime_col(eff).alias("regime"))
+
+
+@register
+def q_policy_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Policy rows valid on the effective date and score band (broadcast band join)."""
+    df = H.ratio_checks(spark, sf)
+    return df.select("id", "fico", "regime", "cltv_limit", "dti_limit",
+                     H.score_floor(F.col("state_group"), F.col("eff_date")).alias("score_floor"),
+                     H.max_loan(F.col("fico")).alias("max_loan"))
+
+
+@register
+def q_cascade_credit(spark: SparkSession, sf: str) -> DataFrame:
+    """First-match credit knockout cascade over every application."""
+    df = H.with_credit(H.heloc_inputs(spark, sf, with_liens_and_reasons=False))
+    return df.select("id", "fico", "credit_check")
+
+
+@register
+def q_property_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-directional property eligibility rules."""
+    df = H.with_property(H.heloc_inputs(spark, sf, with_liens_and_reasons=False))
+    return df.select("id", "land_use", "acres", "property_check")
+
+
+@register
+def q_lien_exceptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Involuntary-lien exceptions summarised per person."""
+    return H.lien_summary(spark, sf, F.lit(D.AS_OF).cast("date"))
+
+
+@register
+def q_lien_decline(spark: SparkSession, sf: str) -> DataFrame:
+    """Lien decline check (DT returns / no returns, both directions)."""
+    df = H.with_liens(H.heloc_inputs(spark, sf))
+    return df.select("id", "lien_exists", "lien_item_fails", "lien_no_record", "cltv_reason_flag", "lien_check")
+
+
+@register
+def q_debt_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Revolving payment estimate and monthly debt parts by score tier."""
+    df = _app_bureau(spark, sf)
+    df = df.withColumns(FN.monthly_debt_parts(F.col("fico"), 620, 740))
+    return df.select("id", round_half_up(FN.revolving_payment(), 4).alias("z"),
+                     "t_revolving_debt", "t_installment_debt", "t_mortgage_debt")
+
+
+@register
+def q_total_debt(spark: SparkSession, sf: str) -> DataFrame:
+    """Total monthly debt, zero-filled and NULL-propagating variants."""
+    df = _app_bureau(spark, sf).withColumns(FN.monthly_debt_parts(F.col("fico"), 620, 740))
+    parts = [F.col("t_revolving_debt"), F.col("t_installment_debt"), F.col("t_mortgage_debt")]
+    return df.select("id",
+                     round_half_up(FN.total_monthly_debt(*parts, null_as_zero=True), 4).alias("debt_zero_filled"),
+                     round_half_up(FN.total_monthly_debt(*parts, null_as_zero=False), 4).alias("debt_null_propagating"))
+
+
+@register
+def q_collateral(spark: SparkSession, sf: str) -> DataFrame:
+    """Collateral value and haircut."""
+    df = H.ratio_checks(spark, sf)
+    return df.select("id", round_half_up(F.col("t_collateral"), 4).alias("t_collateral"),
+                     round_half_up(F.col("t_adj_collateral"), 4).alias("t_adj_collateral"))
+
+
+@register
+def q_cltv(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw and adjusted CLTV."""
+    return H.ratio_checks(spark, sf).select("id", "owed", "t_cltv", "t_adj_cltv")
+
+
+@register
+def q_cltv_check(spark: SparkSession, sf: str) -> DataFrame:
+    """CLTV limit check by score band and regime (both directions)."""
+    return H.ratio_checks(spark, sf).select("id", "regime", "cltv_limit", "cltv_check")
+
+
+@register
+def q_assets_dti(spark: SparkSession, sf: str) -> DataFrame:
+    """Assets with retirement cut, DTI with asset annuity."""
+    df = H.ratio_checks(spark, sf)
+    return df.select("id", round_half_up(F.col("t_assets"), 2).alias("t_assets"),
+                     round_half_up(F.col("t_monthly_debt"), 4).alias("t_monthly_debt"), "t_dti")
+
+
+@register
+def q_dti_check(spark: SparkSession, sf: str) -> DataFrame:
+    """DTI limit check by band and regime."""
+    return H.ratio_checks(spark, sf).select("id", "dti_limit", "dti_check")
+
+
+@register
+def q_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """Recomputed vs recorded CLTV / DTI at 3-digit tolerance."""
+    return H.heloc_checks(spark, sf).select("id", "cltv_match", "dti_match")
+
+
+@register
+def q_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    """Applications with any unmatched reconciliation."""
+    df = mismatches(H.heloc_checks(spark, sf), ["cltv_match", "dti_match"])
+    return df.select("id", "cltv_match", "dti_match")
+
+
+@register
+def q_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Decision verdict for every application."""
+    return H.heloc_checks(spark, sf).select("id", "verdict")
+
+
+@register
+def q_two_way(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-directional rules (missed decline '1' / wrong decline '2')."""
+    return H.ratio_checks(spark, sf).select("id", "is_approved", "decline_code", "cltv_check", "dti_check")
