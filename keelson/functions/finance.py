@@ -176,33 +176,50 @@ def dti(monthly_debt: Column, income: Column, assets: Column, term_years: Column
 # ---------------------------------------------------------------------------
 
 
-def amortised_payment(principal: Column, rate: Column | float, months: Column | int) -> Column:
-    """B31 — level payment P*r/12 / (1 - (1 + r/12)^-n); NULL when r or n is 0."""
+def amortisation_factor(rate: Column | float, months: Column | int) -> Column:
+    """Level-payment factor r/12 / (1 - (1 + r/12)^-n); NULL when r or n is 0 (or NULL)."""
     r, n = _c(rate), _c(months)
-    pay = safe_div(principal * r / 12, 1 - F.pow(1 + r / 12, -n))
-    return F.when((r != 0) & (n != 0), pay)
+    return F.when((r != 0) & (n != 0), safe_div(r / 12, 1 - F.pow(1 + r / 12, -n)))
+
+
+def _constant_factor(rate: float, months: int) -> float:
+    return (rate / 12) / (1 - (1 + rate / 12) ** -months)
+
+
+# Payment factor at the assumed pre-refinance student-loan terms (a constant).
+STUDENT_FACTOR = _constant_factor(P.STUDENT_RATE, P.STUDENT_MONTHS)
+
+
+def amortised_payment(principal: Column, rate: Column | float, months: Column | int) -> Column:
+    """B31 — level payment P * factor(r, n); NULL when r or n is 0."""
+    return principal * amortisation_factor(rate, months)
 
 
 def student_payment_assumed(principal: Column) -> Column:
     """Pre-refinance student-loan payment at the assumed 6.38 % over 120 months, 3 digits."""
-    return round_half_up(amortised_payment(principal, P.STUDENT_RATE, P.STUDENT_MONTHS), 3)
+    return round_half_up(principal * F.lit(STUDENT_FACTOR), 3)
+
+
+def blended_payment(refi: Column, balance: Column, factor: Column) -> Column:
+    """B32 — payment after a full or partial refinance of the student balance.
+
+    ``factor`` is the offer's amortisation factor (NULL when rate or term is 0).
+    """
+    full = round_half_up(refi * factor, 3)
+    part = round_half_up(balance * factor, 3) + student_payment_assumed(balance) * (1 - safe_div(refi, balance))
+    return F.when(factor.isNotNull() & (refi >= balance), full).when(factor.isNotNull() & (refi < balance), part)
 
 
-def blended_payment(refi: Column, balance: Column, rate: Column, term_years: Column) -> Column:
-    """B32 — payment after a full or partial refinance of the student balance."""
-    ok = (rate != 0) & (term_years != 0)
-    full = round_half_up(amortised_payment(refi, rate, term_years * 12), 3)
-    part = (round_half_up(amortised_payment(balance, rate, term_years * 12), 3)
-            + student_payment_assumed(balance) * (1 - safe_div(refi, balance)))
-    return F.when((refi >= balance) & ok, full).when((refi < balance) & ok, part)
+def cash_before_loan(income: Column, tax_factor: Column | float, housing: Column, other_debt: Column) -> Column:
+    """Income after tax minus housing and other bureau debt (shared part of B33)."""
+    return income * tax_factor - housing - other_debt
 
 
-def free_cash_flow(income: Column, tax_factor: Column, housing: Column, transport: Column,
-                   other_debt: Column, student_payment: Column, app_date: Column) -> Column:
-    """B33 — income after tax minus housing, (transport before the cut-off), other debt and the student payment."""
-    base = income * tax_factor - housing - other_debt - student_payment
-    return (F.when(app_date >= F.lit(P.REFI_BUREAU_CUTOFF), round_half_up(base, 3))
-             .when(app_date < F.lit(P.REFI_BUREAU_CUTOFF), round_half_up(base - transport, 3)))
+def free_cash_flow(base: Column, transport: Column, student_payment: Column, app_date: Column) -> Column:
+    """B33 — ``cash_before_loan`` minus the student payment (and transport before the cut-off)."""
+    after = base - student_payment
+    return (F.when(app_date >= F.lit(P.REFI_BUREAU_CUTOFF), round_half_up(after, 3))
+             .when(app_date < F.lit(P.REFI_BUREAU_CUTOFF), round_half_up(after - transport, 3)))
 
 
 def usury_cap(margin: Column, index_rate: Column, fee: Column) -> Column:

@@ -365,3 +365,136 @@ sql("q_reconcile", _H + "SELECT id, cltv_match, dti_match FROM audit")
 sql("q_mismatches", _H + "SELECT id, cltv_match, dti_match FROM audit WHERE cltv_match = 'Unmatch' OR dti_match = 'Unmatch'")
 sql("q_verdict", _H + "SELECT id, verdict FROM audit")
 sql("q_two_way", _H + "SELECT id, is_approved, decline_code, cltv_check, dti_check FROM checks")
+
+
+# =============================================================================
+# refinance audit (plans.refi)
+# =============================================================================
+def _factor(r: str, n: str) -> str:
+    return f"(CASE WHEN ({r}) != 0 AND ({n}) != 0 THEN (({r}) / 12) / nullif(1 - pow(1 + ({r}) / 12, -({n})), 0) END)"
+
+
+def _student_assumed(p: str) -> str:
+    from .functions.finance import STUDENT_FACTOR
+    return rhu(f"({p}) * {_f(STUDENT_FACTOR)}", 3)
+
+
+def _blended(refi: str, bal: str, factor: str) -> str:
+    full = rhu(f"({refi}) * {factor}", 3)
+    part = f"({rhu(f'({bal}) * {factor}', 3)} + {_student_assumed(bal)} * (1 - ({refi}) / nullif({bal}, 0)))"
+    return (f"CASE WHEN {factor} IS NOT NULL AND ({refi}) >= ({bal}) THEN {full} "
+            f"WHEN {factor} IS NOT NULL AND ({refi}) < ({bal}) THEN {part} END")
+
+
+def _fcf(pay: str) -> str:
+    after = f"cash_base - {pay}"
+    cut = _d(P.REFI_BUREAU_CUTOFF)
+    return (f"CASE WHEN app_date >= {cut} THEN {rhu(after, 3)} "
+            f"WHEN app_date < {cut} THEN {rhu(f'{after} - t_transport', 3)} END")
+
+
+REFI_RULES_SQL = [
+    ("CREDIT_SCORE_Rejection", f"(packet_score < {P.REFI_MIN_SCORE} OR packet_score IS NULL OR packet_score = 0 "
+                               f"OR packet_score IN ({', '.join(f'{x}.0' for x in P.SCORE_CODES)}))"),
+    ("MAXIMUM_DTI_Rejection", f"rec_dti > {P.REFI_MAX_DTI}"),
+    ("LOAN_SIZE_Rejection", f"(amount > {_f(P.REFI_LOAN_MAX)} OR amount < {_f(P.REFI_LOAN_MIN)})"),
+    ("CITIZENSHIP_Rejection", "citizenship NOT IN ('CITIZEN', 'PERMANENT_RESIDENT')"),
+    ("INQ3MONTHS_Rejection", "IQT9416 > 3"),
+    ("THIN_FILE_Rejection", "(ALS8220 < 12 OR ALX8220 < 12)"),
+    ("STUDENT_LOANS_Rejection", "(STU8151 < 13 OR (STU6200 > 30 AND STU6200 <= 400))"),
+    ("NEW_CREDIT_TRADES_RATIO_Rejection", "(ALL0400 > 15 AND ALL0337 / nullif(ALL0400, 0) > 0.3)"),
+    ("INSTALLMENT_AND_REVOLVING_PAYMENTS_Rejection", "(REV2326 + ILN2326 + MTA2326) > 0"),
+    ("BANKRUPTCY_Rejection", "(ALL9221 <= 84 OR ALL9120 > (ALL9121 + ALL9122))"),
+    ("COLLECTIONS_Rejection", "(COL5064 + COL5067 + COL5068 + COL5069) > 500"),
+    ("MAJOR_DEROGATORY_Rejection", "ALL5361 > 1500"),
+]
+REFI_ORDER = ["LOAN_SIZE_Rejection", "CITIZENSHIP_Rejection", "CREDIT_SCORE_Rejection", "MAXIMUM_DTI_Rejection",
+              "INQ3MONTHS_Rejection", "THIN_FILE_Rejection", "STUDENT_LOANS_Rejection",
+              "NEW_CREDIT_TRADES_RATIO_Rejection", "INSTALLMENT_AND_REVOLVING_PAYMENTS_Rejection",
+              "BANKRUPTCY_Rejection", "COLLECTIONS_Rejection", "MAJOR_DEROGATORY_Rejection"]
+
+
+def refi_ctes() -> str:
+    norm = ", ".join(
+        f"CASE WHEN TRY_CAST({c} AS DOUBLE) IN (999999998.0, 999999996.0) THEN 0.0 ELSE TRY_CAST({c} AS DOUBLE) END AS {c}"
+        for c in BUREAU_CODES)
+    hc, bc = _d(P.REFI_HOUSING_CUTOFF), _d(P.REFI_BUREAU_CUTOFF)
+    extra = [LATEST_DECISION,
+             ("rld", f"""SELECT id, TRY_CAST(uw_packet.credit_score AS DOUBLE) AS packet_score,
+                  uw_packet.revolving_debt.amount AS rec_revolving, uw_packet.installment_debt.amount AS rec_installment,
+                  uw_packet.monthly_income.amount AS verified_income, {rhu('uw_packet.home_amount / 400', 2)} AS rec_housing,
+                  offers FROM latest_decision"""),
+             ("roffers", "SELECT id, o.term AS term_years, o.rate AS offer_rate FROM (SELECT id, unnest(offers) AS o FROM rld)"),
+             ("hard", f"SELECT person, credit_type, {norm} FROM bureau_raw WHERE credit_type = 'Hard Credit'"),
+             ("rin", f"""SELECT a.*, h.* EXCLUDE (person), r.* EXCLUDE (id, offers), o.offer_rate,
+                  CASE WHEN a.segment = 'AUTOMOBILE' THEN 'NON_RESIDENT' WHEN a.segment = 'MACHINERY' THEN 'PERMANENT_RESIDENT'
+                       ELSE 'CITIZEN' END AS citizenship,
+                  {rhu('r.rec_installment / nullif(r.verified_income, 0)', 4)} AS rec_dti,
+                  (a.decision != 'DECLINE' AND a.status NOT IN ('DECLINED', 'CANCELLED')) AS is_approved
+                FROM app a JOIN hard h ON a.person = h.person LEFT JOIN rld r ON a.id = r.id
+                LEFT JOIN roffers o ON a.id = o.id AND a.term_years = o.term_years"""),
+             ("rb", "SELECT *, " + ", ".join(f"{cond} AS {n}" for n, cond in REFI_RULES_SQL) + " FROM rin"),
+             ("rc", f"""SELECT *,
+                  CASE WHEN {' OR '.join(f'{n} IS TRUE' for n, _ in REFI_RULES_SQL)} THEN 'True' ELSE 'False' END AS hard_knock,
+                  CASE {' '.join(f"WHEN coalesce({n}, false) AND is_approved THEN '{n}_Failure'" for n in REFI_ORDER)}
+                       ELSE 'Pass' END AS hard_knock_failure,
+                  {_z()} AS z,
+                  CASE WHEN MTX5839 > 0 AND NOT (app_date < {hc}) THEN MTX5839
+                       WHEN MTX5839 > 0 AND MTJ0416 > 0 AND app_date < {hc} THEN MTX5839 * 0.5
+                       WHEN MTX5839 > 0 AND MTJ0416 <= 0 AND app_date < {hc} THEN MTX5839
+                       ELSE rec_housing END AS t_housing,
+                  CASE WHEN AUT5820 > 0 THEN AUT5820 + 200 ELSE 350.0 END AS t_transport,
+                  CASE WHEN app_date >= {bc} THEN ALL5830 - MTA5830 - STU5820
+                       WHEN app_date >= {hc} THEN ALL5830 - MTA5830 - AUT5820 - STU5820
+                       ELSE ALL5830 - MTX5839 - AUT5820 END AS t_other_debt,
+                  CASE WHEN verified_income > income OR verified_income = 0 THEN income ELSE verified_income END AS calc_income,
+                  {debt_parts_sql('packet_score', 680, 740)}
+                FROM rb"""),
+             ("rc2", f"""SELECT *,
+                  {rhu('CASE WHEN BCC5830 > BCX5830 THEN ALX5830 - ILN5824 ELSE t_revolving_debt + t_installment_debt + t_mortgage_debt + t_housing END', 4)} AS t_monthly_debt,
+                  {_factor('offer_rate', 'term_years * 12')} AS offer_factor,
+                  calc_income * CAST(0.8 AS DOUBLE) - t_housing - t_other_debt AS cash_base
+                FROM rc"""),
+             ("rd", f"""SELECT *,
+                  {_student_assumed('greatest(amount, STU5020)')} AS pre_payment,
+                  {_blended('amount', 'STU5020', 'offer_factor')} AS post_payment
+                FROM rc2"""),
+             ("re", f"""SELECT *, {_fcf('pre_payment')} AS pre_fcf, {_fcf('post_payment')} AS post_fcf,
+                  {rhu('t_monthly_debt / nullif(calc_income, 0)', 4)} AS t_dti
+                FROM rd"""),
+             ("rf", f"""SELECT *,
+                  CASE WHEN hard_knock != 'True' AND t_monthly_debt / nullif(income, 0) > {P.REFI_MAX_DTI} AND is_approved
+                         THEN 'Pre_Loan_DTI_Decline_Failure'
+                       WHEN t_monthly_debt / nullif(income, 0) IS NULL THEN 'Unavailable' ELSE 'Pass' END AS dti_failure,
+                  CASE WHEN hard_knock_failure = 'Pass' AND (t_monthly_debt / nullif(calc_income, 0) <= {P.REFI_MAX_DTI}
+                            OR t_monthly_debt / nullif(calc_income, 0) IS NULL) AND post_fcf < {_f(P.FCF_FLOOR)} AND is_approved
+                         THEN 'Post_Loan_FCF_Decline_Failure'
+                       WHEN post_fcf IS NULL THEN 'Unavailable' ELSE 'Pass' END AS fcf_failure,
+                  CASE WHEN {rhu('rec_revolving', 0)} = {rhu('z', 0)} THEN 'Match' WHEN {rhu('rec_revolving', 0)} != {rhu('z', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS card_debt_match,
+                  CASE WHEN {rhu('rec_housing', 0)} = {rhu('t_housing', 0)} THEN 'Match' WHEN {rhu('rec_housing', 0)} != {rhu('t_housing', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS housing_match,
+                  CASE WHEN {rhu('rec_dti', 2)} = {rhu('t_dti', 2)} THEN 'Match' WHEN {rhu('rec_dti', 2)} != {rhu('t_dti', 2)} THEN 'Unmatch' ELSE 'Unavailable' END AS dti_match
+                FROM re"""),
+             ("refi", """SELECT *,
+                  CASE WHEN (coalesce(ends_with(hard_knock_failure, 'Failure'), false) OR coalesce(ends_with(dti_failure, 'Failure'), false)
+                             OR coalesce(ends_with(fcf_failure, 'Failure'), false)) AND status NOT IN ('DECLINED', 'CANCELLED')
+                         THEN 'should have been declined'
+                       WHEN coalesce(NOT ends_with(hard_knock_failure, 'Failure'), true) AND coalesce(NOT ends_with(dti_failure, 'Failure'), true)
+                            AND coalesce(NOT ends_with(fcf_failure, 'Failure'), true) AND hard_knock != 'True'
+                            AND decision = 'DECLINE' AND status = 'DECLINED' THEN 'should not have been declined'
+                       ELSE 'Pass' END AS verdict
+                FROM rf"""),
+             ]
+    return W("app", "bureau_raw", "decisions", extra=extra)
+
+
+_R = refi_ctes()
+REFI_COLS = ("id, app_date, status, decision, packet_score, hard_knock, hard_knock_failure, dti_failure, fcf_failure, "
+             "t_monthly_debt, pre_fcf, post_fcf, card_debt_match, housing_match, dti_match, verdict")
+sql("q_refi_audit", _R + f"SELECT {REFI_COLS} FROM refi WHERE verdict != 'Pass'")
+sql("q_battery", _R + "SELECT id, " + ", ".join(n for n, _ in REFI_RULES_SQL) + ", hard_knock, hard_knock_failure FROM rc")
+sql("q_expenses", _R + f"SELECT id, {rhu('t_housing', 2)} AS t_housing, t_transport, t_other_debt FROM rc")
+sql("q_income", _R + "SELECT id, income, verified_income, calc_income FROM rc")
+sql("q_payment", _R + f"SELECT id, term_years, offer_rate, pre_payment, {rhu('amount * offer_factor', 2)} AS offer_payment FROM rd")
+sql("q_blended", _R + "SELECT id, amount, STU5020, post_payment FROM rd")
+sql("q_cash_flow", _R + "SELECT id, pre_fcf, post_fcf, t_dti FROM re")
+sql("q_fcf_check", _R + "SELECT id, dti_failure, fcf_failure FROM rf")

@@ -447,3 +447,61 @@ def q_verdict(spark: SparkSession, sf: str) -> DataFrame:
 def q_two_way(spark: SparkSession, sf: str) -> DataFrame:
     """Two-directional rules (missed decline '1' / wrong decline '2')."""
     return H.ratio_checks(spark, sf).select("id", "is_approved", "decline_code", "cltv_check", "dti_check")
+
+
+# ---------------------------------------------------------------------------
+# refinance audit and its stages
+# ---------------------------------------------------------------------------
+from .plans import refi as R  # noqa: E402
+
+
+@register
+def q_refi_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Refinance decision audit: battery, cascade, debts, cash flow, checks, reconciliations, verdict."""
+    return R.refi_audit(spark, sf)
+
+
+@register
+def q_battery(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejection battery (one boolean per rule), any-true flag and first-failure label."""
+    df = R.refi_knockouts(spark, sf, keep_rules=True)
+    return df.select("id", *[n for n, _ in R.refi_rules()], "hard_knock", "hard_knock_failure")
+
+
+@register
+def q_expenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Housing, transportation and other bureau debt by regime."""
+    df = R.refi_checks(spark, sf)
+    return df.select("id", round_half_up(F.col("t_housing"), 2).alias("t_housing"), "t_transport", "t_other_debt")
+
+
+@register
+def q_income(spark: SparkSession, sf: str) -> DataFrame:
+    """Verified income unless zero or above stated."""
+    return R.refi_checks(spark, sf).select("id", "income", "verified_income", "calc_income")
+
+
+@register
+def q_payment(spark: SparkSession, sf: str) -> DataFrame:
+    """Amortised payments (assumed student terms; offer rate and term)."""
+    df = R.refi_checks(spark, sf)
+    pay = round_half_up(F.col("amount") * F.col("offer_factor"), 2)
+    return df.select("id", "term_years", "offer_rate", "pre_payment", pay.alias("offer_payment"))
+
+
+@register
+def q_blended(spark: SparkSession, sf: str) -> DataFrame:
+    """Blended payment after a full or partial refinance."""
+    return R.refi_checks(spark, sf).select("id", "amount", "STU5020", "post_payment")  # noqa: E501
+
+
+@register
+def q_cash_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Pre / post-loan free cash flow by regime."""
+    return R.refi_checks(spark, sf).select("id", "pre_fcf", "post_fcf", "t_dti")
+
+
+@register
+def q_fcf_check(spark: SparkSession, sf: str) -> DataFrame:
+    """DTI and free-cash-flow decline checks (three-state)."""
+    return R.refi_checks(spark, sf).select("id", "dti_failure", "fcf_failure")
