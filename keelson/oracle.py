@@ -498,3 +498,52 @@ sql("q_payment", _R + f"SELECT id, term_years, offer_rate, pre_payment, {rhu('am
 sql("q_blended", _R + "SELECT id, amount, STU5020, post_payment FROM rd")
 sql("q_cash_flow", _R + "SELECT id, pre_fcf, post_fcf, t_dti FROM re")
 sql("q_fcf_check", _R + "SELECT id, dti_failure, fcf_failure FROM rf")
+
+
+# =============================================================================
+# pricing (plans.pricing)
+# =============================================================================
+def _grid_values() -> str:
+    return ", ".join(f"({t}, {str(fl).upper()}, {_f(lo)}, {_f(hi)}, {str(lo == P.CLTV_BANDS[0][0]).upper()}, "
+                     f"{slo}, {shi}, {_f(r)})" for t, fl, lo, hi, slo, shi, r in P.rate_grid_rows())
+
+
+OFFERS = ("offers_flat", """SELECT id, seq, part, supp, event_ts, o.term AS o_term, o.rate AS o_rate, o.fee AS o_fee,
+    o.kind AS o_kind, o.margin AS o_margin, o.index_rate AS o_index_rate, o.apr AS o_apr
+  FROM (SELECT id, seq, part, supp, event_ts, unnest(offers) AS o FROM decisions)""")
+
+sql("q_grid_check", W("app", "prop", "decisions", extra=[LATEST_DECISION,
+    ("grid", f"SELECT * FROM (VALUES {_grid_values()}) t(g_term, g_first, g_lo, g_hi, g_lo_closed, g_slo, g_shi, expected_rate)"),
+    ("go", f"""SELECT l.id, o.term AS o_term, o.rate AS o_rate, a.score, p.n_liens <= 2 AS first_lien,
+                  {rhu('p.owed / nullif(p.avm, 0)', 4)} AS cltv
+               FROM (SELECT id, unnest(offers) AS o FROM latest_decision) l JOIN app a ON l.id = a.id
+               LEFT JOIN prop p ON l.id = p.id""")]) + f"""
+SELECT id, o_term AS term, first_lien, cltv, score, o_rate AS rate, expected_rate,
+       CASE WHEN expected_rate IS NULL THEN 'NO_GRID_CELL'
+            WHEN {rhu('o_rate', 4)} = {rhu('expected_rate', 4)} THEN 'OK' ELSE 'RATE_MISMATCH' END AS grid_check
+FROM go LEFT JOIN grid ON o_term = g_term AND first_lien = g_first
+     AND (cltv > g_lo OR (g_lo_closed AND cltv = g_lo)) AND cltv <= g_hi AND score >= g_slo AND score <= g_shi""")
+
+_EXP = f"CASE WHEN o_kind = 'FIXED' THEN o_rate ELSE o_margin + o_index_rate - CASE WHEN autopay THEN {_f(P.AUTOPAY_DISCOUNT)} ELSE 0.0 END END"
+_OFFER_CHECKS = W("decisions", extra=[OFFERS, ("oc", f"""SELECT *, seq % 2 = 0 AS autopay FROM offers_flat""")])
+sql("q_offer_rate", _OFFER_CHECKS + f"""
+SELECT id, seq, part, o_term AS term, o_kind AS kind, autopay, o_rate AS rate, {rhu(_EXP, 4)} AS expected_rate,
+       CASE WHEN {rhu('o_rate', 4)} = {rhu(_EXP, 4)} THEN 'Match' WHEN {rhu('o_rate', 4)} != {rhu(_EXP, 4)} THEN 'Unmatch'
+            ELSE 'Unavailable' END AS rate_match
+FROM oc""")
+sql("q_usury_cap", _OFFER_CHECKS + f"SELECT id, seq, part, o_term AS term, {rhu('o_margin + o_index_rate + o_fee', 4)} AS usury_pct FROM oc")
+
+_DIV = ", ".join(f"({t}, {_f(r)}, {_f(a)})" for t, r, a in P.BUYDOWN_DIVISORS)
+_ER = rhu("base_rate - o_fee / rate_div", 5)
+_EA = rhu("base_apr - o_fee / apr_div", 5)
+sql("q_fee_buydown", W("decisions", extra=[OFFERS,
+    ("base", """SELECT id, o_term, o_rate AS base_rate, o_apr AS base_apr FROM (
+        SELECT *, row_number() OVER (PARTITION BY id, o_term ORDER BY event_ts DESC, seq DESC, part DESC, supp DESC) AS r
+        FROM offers_flat WHERE o_fee = 0) WHERE r = 1"""),
+    ("div", f"SELECT * FROM (VALUES {_DIV}) t(d_term, rate_div, apr_div)")]) + f"""
+SELECT o.id, seq, part, o.o_term AS term, o_fee AS fee, o_rate AS rate, {_ER} AS expected_rate,
+       CASE WHEN {rhu('o_rate', 4)} = {rhu(_ER, 4)} THEN 'Match' WHEN {rhu('o_rate', 4)} != {rhu(_ER, 4)} THEN 'Unmatch' ELSE 'Unavailable' END AS rate_match,
+       o_apr AS apr, {_EA} AS expected_apr,
+       CASE WHEN {rhu('o_apr', 4)} = {rhu(_EA, 4)} THEN 'Match' WHEN {rhu('o_apr', 4)} != {rhu(_EA, 4)} THEN 'Unmatch' ELSE 'Unavailable' END AS apr_match
+FROM offers_flat o JOIN base b ON o.id = b.id AND o.o_term = b.o_term LEFT JOIN div ON o.o_term = d_term
+WHERE o_fee > 0""")

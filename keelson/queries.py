@@ -505,3 +505,33 @@ def q_cash_flow(spark: SparkSession, sf: str) -> DataFrame:
 def q_fcf_check(spark: SparkSession, sf: str) -> DataFrame:
     """DTI and free-cash-flow decline checks (three-state)."""
     return R.refi_checks(spark, sf).select("id", "dti_failure", "fcf_failure")
+
+
+# ---------------------------------------------------------------------------
+# pricing (B40-B43)
+# ---------------------------------------------------------------------------
+from .plans import pricing as PR  # noqa: E402
+
+
+@register
+def q_grid_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Offer rate vs rate-grid cell (broadcast equi + band join)."""
+    return PR.grid_check(spark, sf)
+
+
+@register
+def q_offer_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """fixed = quoted; floating = margin + index - autopay discount."""
+    return PR.offer_checks(spark, sf).drop("usury_pct")
+
+
+@register
+def q_usury_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """Margin + index + fee per offer."""
+    return PR.offer_checks(spark, sf).select("id", "seq", "part", "term", "usury_pct")
+
+
+@register
+def q_fee_buydown(spark: SparkSession, sf: str) -> DataFrame:
+    """Fee buy-down against the no-fee base offer of the same (application, term)."""
+    return PR.fee_buydown(spark, sf)
