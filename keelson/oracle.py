@@ -547,3 +547,56 @@ SELECT o.id, seq, part, o.o_term AS term, o_fee AS fee, o_rate AS rate, {_ER} AS
        CASE WHEN {rhu('o_apr', 4)} = {rhu(_EA, 4)} THEN 'Match' WHEN {rhu('o_apr', 4)} != {rhu(_EA, 4)} THEN 'Unmatch' ELSE 'Unavailable' END AS apr_match
 FROM offers_flat o JOIN base b ON o.id = b.id AND o.o_term = b.o_term LEFT JOIN div ON o.o_term = d_term
 WHERE o_fee > 0""")
+
+
+# =============================================================================
+# liens (plans.liens)
+# =============================================================================
+sql("q_lien_position", W("decisions", extra=[LATEST_DECISION,
+    ("items", """SELECT id, lien_position, o.kind = 'FIXED' AS matched,
+                   CASE WHEN o.fee > 0.04 THEN 'AMORT' ELSE 'REVOLVING' END AS match_type, o.rate * 100000 AS balance
+                 FROM (SELECT id, unnest(offers) AS o, unnest(range(1, len(offers) + 1)) AS lien_position
+                       FROM latest_decision)"""),
+    ("top", """SELECT id, lien_position + 1 AS next_position FROM (
+                 SELECT *, row_number() OVER (PARTITION BY id ORDER BY lien_position DESC) AS r FROM items) WHERE r = 1"""),
+    ("best", """SELECT id, matched AS best_matched, match_type AS best_match_type, balance AS best_balance FROM (
+                 SELECT *, row_number() OVER (PARTITION BY id ORDER BY matched DESC, balance DESC, lien_position ASC) AS r
+                 FROM items) WHERE r = 1""")]) +
+    "SELECT t.id, next_position, best_matched, best_match_type, best_balance FROM top t JOIN best b ON t.id = b.id")
+
+_MS = ("ms", """SELECT m.*, s.app_date, coalesce(TRY_CAST(nullif(avm_sale_date, '') AS DATE),
+                   TRY_CAST(nullif(transfer_sale_date, '') AS DATE), TRY_CAST(nullif(market_sale_date, '') AS DATE)) AS last_sale_date
+               FROM mortgage_history m LEFT JOIN property_sale_dates s ON m.id = s.id""")
+_ORIG, _REC = "TRY_CAST(nullif(origination_date, '') AS DATE)", "TRY_CAST(nullif(recording_date, '') AS DATE)"
+sql("q_lien_title", W("mortgage_history", "property_sale_dates", extra=[_MS,
+    ("title", f"""SELECT *, CASE WHEN date_diff('day', {_ORIG}, last_sale_date) > 7 OR date_diff('day', {_REC}, last_sale_date) > 7
+                      OR (last_sale_date IS NULL AND payoff_date IS NOT NULL AND status_indicator != 'O')
+                      OR origination_date IS NULL OR recording_date IS NULL OR amount IS NULL THEN 'Ignore' ELSE 'Show' END AS display
+                  FROM ms""")]) + """
+SELECT id, document_number, recording_date, origination_date, status_indicator, amount, last_sale_date, display FROM (
+  SELECT *, row_number() OVER (PARTITION BY id, document_number, recording_date
+      ORDER BY updated_seconds DESC, updated_nanos DESC, created_seconds DESC, created_nanos DESC, length(lender) DESC,
+               origination_date DESC NULLS LAST, amount DESC NULLS LAST, status_indicator DESC, payoff_date DESC) AS r
+  FROM title) WHERE r = 1""")
+sql("q_lien_open_gaps", W("mortgage_history", "property_sale_dates", extra=[_MS]) + f"""
+SELECT id, app_date, origination_date, recording_date, amount, document_number, last_sale_date FROM ms
+WHERE length(payoff_date) < 1 AND status_indicator = 'O'
+  AND (date_diff('day', {_ORIG}, last_sale_date) > 7 OR date_diff('day', {_REC}, last_sale_date) > 7)""")
+sql("q_lien_tx", W("mortgage_history") + """
+SELECT id, t.doc_id AS doc_id, t.lien_position AS lien_position, t.loan_amount AS loan_amount,
+       CAST(date_diff('day', t.tx_date, t.sale_date) AS INTEGER) AS sale_gap_days,
+       CASE WHEN date_diff('day', t.tx_date, t.sale_date) > 7 OR t.lien_position IS NULL
+                 OR (t.tx_date IS NULL AND t.recording_date IS NULL) OR t.loan_amount IS NULL THEN 'Ignore' ELSE 'Show' END AS display
+FROM mortgage_history m LEFT JOIN LATERAL (SELECT unnest(m.transactions) AS t) u ON TRUE
+WHERE t.type_description = 'FINANCE'""")
+sql("q_tradeline_class", W("app", "tradelines", extra=[
+    ("mort", "SELECT * FROM tradelines WHERE account_type IN ('26', '19')"),
+    ("near", """SELECT m.id, max(CASE WHEN open THEN open_date END) AS last_open_date,
+                  min(CASE WHEN NOT open THEN abs(date_diff('day', status_date, app_date)) END) AS closest_closed_days
+                FROM mort m JOIN (SELECT id, app_date FROM app) a ON m.id = a.id GROUP BY m.id""")]) + """
+SELECT m.id, a.app_date, account_type, status, open, open_date, status_date, balance,
+       CASE WHEN account_type IN ('89', '47', '6D') THEN 'Exception1'
+            WHEN status IN ('05', '10', '67', '69') THEN 'Exception2'
+            WHEN (NOT open) AND (date_diff('day', last_open_date, a.app_date) <= 30 OR closest_closed_days <= 30)
+              THEN 'Exception3' END AS display_class
+FROM mort m JOIN (SELECT id, app_date FROM app) a ON m.id = a.id LEFT JOIN near n ON m.id = n.id""")

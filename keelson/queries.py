@@ -535,3 +535,39 @@ def q_usury_cap(spark: SparkSession, sf: str) -> DataFrame:
 def q_fee_buydown(spark: SparkSession, sf: str) -> DataFrame:
     """Fee buy-down against the no-fee base offer of the same (application, term)."""
     return PR.fee_buydown(spark, sf)
+
+
+# ---------------------------------------------------------------------------
+# liens (B15, B16, B44-B46)
+# ---------------------------------------------------------------------------
+from .plans import liens as LZ  # noqa: E402
+
+
+@register
+def q_lien_position(spark: SparkSession, sf: str) -> DataFrame:
+    """Next lien position and best-matched lien of the latest decision."""
+    return LZ.lien_position(spark, sf)
+
+
+@register
+def q_lien_title(spark: SparkSession, sf: str) -> DataFrame:
+    """Title-record lien display with the latest record per document."""
+    return LZ.title_display(spark, sf)
+
+
+@register
+def q_lien_open_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Open liens without payoff whose dates are > 7 days from the sale date."""
+    return LZ.open_lien_gaps(spark, sf)
+
+
+@register
+def q_lien_tx(spark: SparkSession, sf: str) -> DataFrame:
+    """Transaction-report lien display (flattened nested array)."""
+    return LZ.tx_display(spark, sf)
+
+
+@register
+def q_tradeline_class(spark: SparkSession, sf: str) -> DataFrame:
+    """Tradeline exception classes (per-application aggregates instead of self-join fan-out)."""
+    return LZ.tradeline_class(spark, sf)

@@ -308,3 +308,68 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_name").alias("first_name"), F.lit("Staff").alias("last_name"),
         F.col("n_name").alias("state"))
     return cust.unionByName(staff)
+
+
+def mortgage_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Mortgage / title records (application x mortgage) with a nested transaction array.
+
+    Dates arrive as strings where '' means "none" (as in the title feeds); the
+    property's three sale-date sources come from the application.
+    """
+    li = table(spark, sf, "lineitem")
+    ship = F.to_date("l_shipdate")
+    pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    tx = lambda kind, off, pos: F.struct(
+        F.lit(kind).alias("type_description"),
+        F.date_sub(ship, (pk % off).cast("int")).alias("tx_date"),
+        F.date_sub(ship, (sk % 9).cast("int")).alias("sale_date"),
+        F.when(pk % 5 == 0, F.lit(None)).otherwise(F.date_sub(ship, (sk % 30).cast("int"))).alias("recording_date"),
+        F.when(sk % 6 == 0, F.lit(None)).otherwise(F.lit(pos)).cast("int").alias("lien_position"),
+        F.when(F.col("l_quantity") > 45, F.lit(None)).otherwise(F.col("l_extendedprice")).alias("loan_amount"),
+        F.concat(F.lit("T"), pk.cast("string")).alias("doc_id"))
+    return li.select(
+        F.col("l_orderkey").alias("id"),
+        F.col("l_linestatus").alias("status_indicator"),
+        F.when(F.col("l_linestatus") == "O", F.lit("")).otherwise(ship.cast("string")).alias("payoff_date"),
+        F.when(pk % 13 == 0, F.lit(None)).otherwise(F.date_sub(ship, (sk % 40).cast("int")).cast("string")).alias("origination_date"),
+        F.when(sk % 11 == 0, F.lit("")).otherwise(F.date_sub(ship, (pk % 20).cast("int")).cast("string")).alias("recording_date"),
+        F.when(F.col("l_quantity") > 48, F.lit(None)).otherwise(F.col("l_extendedprice")).alias("amount"),
+        F.concat(F.lit("D"), (ln % 3).cast("string")).alias("document_number"),
+        F.concat(F.lit("Lender "), F.repeat(F.lit("x"), (sk % 5).cast("int"))).alias("lender"),
+        F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("created_seconds"),
+        (pk % 1000).alias("created_nanos"),
+        (F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + sk).alias("updated_seconds"),
+        (ln * 1000).alias("updated_nanos"),
+        F.filter(F.array(tx("FINANCE", 15, 1), tx("DEED", 3, 2), tx("FINANCE", 7, 3)),
+                 lambda t: (t["type_description"] == "DEED") | (pk % 4 != 0)).alias("transactions"),
+    )
+
+
+def property_sale_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Three sale-date sources per application, as strings ('' or NULL when missing)."""
+    a = app(spark, sf).select("id", "app_date")
+    p = prop(spark, sf).select("id", "last_sale")
+    j = a.join(p, "id", "left")
+    return j.select(
+        "id", "app_date",
+        F.when(F.col("id") % 5 == 0, F.lit("")).otherwise(F.col("last_sale").cast("string")).alias("avm_sale_date"),
+        F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.date_sub("last_sale", 3).cast("string")).alias("transfer_sale_date"),
+        F.date_sub("app_date", 400).cast("string").alias("market_sale_date"),
+    )
+
+
+def tradelines(spark: SparkSession, sf: str) -> DataFrame:
+    """Credit tradelines (application x tradeline)."""
+    li = table(spark, sf, "lineitem")
+    ship = F.to_date("l_shipdate")
+    pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    acct = (F.when(ln % 4 == 0, "19").when(ln % 4 == 1, "26").when(ln % 4 == 2, "47").otherwise("89"))
+    return li.select(
+        F.col("l_orderkey").alias("id"),
+        acct.alias("account_type"),
+        F.lpad((pk % 70).cast("string"), 2, "0").alias("status"),
+        (F.col("l_linestatus") == "O").alias("open"),
+        F.date_sub(ship, (sk % 60).cast("int") + 20).alias("open_date"),
+        F.date_sub(ship, (pk % 45).cast("int") + 10).alias("status_date"),
+        F.col("l_extendedprice").alias("balance"),
+    )

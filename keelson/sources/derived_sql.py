@@ -137,6 +137,46 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                [{{'id': {_agent('0')}, 'id_map': {_agent('0')} || '@staff.example'}},
                 {{'id': {_agent('1')}, 'id_map': {_agent('1')} || '@staff.example'}}] AS id_mappings
         FROM conversations"""),
+    "mortgage_history": ((), """
+        SELECT l_orderkey AS id, l_linestatus AS status_indicator,
+               CASE WHEN l_linestatus = 'O' THEN '' ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS payoff_date,
+               CASE WHEN l_partkey % 13 = 0 THEN NULL
+                    ELSE CAST(CAST(l_shipdate AS DATE) - CAST(l_suppkey % 40 AS INTEGER) AS VARCHAR) END AS origination_date,
+               CASE WHEN l_suppkey % 11 = 0 THEN ''
+                    ELSE CAST(CAST(l_shipdate AS DATE) - CAST(l_partkey % 20 AS INTEGER) AS VARCHAR) END AS recording_date,
+               CASE WHEN l_quantity > 48 THEN NULL ELSE l_extendedprice END AS amount,
+               'D' || CAST(l_linenumber % 3 AS VARCHAR) AS document_number,
+               'Lender ' || repeat('x', CAST(l_suppkey % 5 AS INTEGER)) AS lender,
+               CAST(epoch(l_shipdate) AS BIGINT) AS created_seconds,
+               l_partkey % 1000 AS created_nanos,
+               CAST(epoch(l_shipdate) AS BIGINT) + l_suppkey AS updated_seconds,
+               l_linenumber * 1000 AS updated_nanos,
+               list_filter([""" + ", ".join(
+                   "{'type_description': '%s', 'tx_date': CAST(l_shipdate AS DATE) - CAST(l_partkey %% %d AS INTEGER), "
+                   "'sale_date': CAST(l_shipdate AS DATE) - CAST(l_suppkey %% 9 AS INTEGER), "
+                   "'recording_date': CASE WHEN l_partkey %% 5 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) - CAST(l_suppkey %% 30 AS INTEGER) END, "
+                   "'lien_position': CASE WHEN l_suppkey %% 6 = 0 THEN NULL ELSE CAST(%d AS INTEGER) END, "
+                   "'loan_amount': CASE WHEN l_quantity > 45 THEN NULL ELSE l_extendedprice END, "
+                   "'doc_id': 'T' || CAST(l_partkey AS VARCHAR)}" % (k, off, pos)
+                   for k, off, pos in (("FINANCE", 15, 1), ("DEED", 3, 2), ("FINANCE", 7, 3))) + """],
+                           lambda t: t.type_description = 'DEED' OR l_partkey % 4 != 0) AS transactions
+        FROM lineitem"""),
+    "property_sale_dates": (("app", "prop"), """
+        SELECT a.id, a.app_date,
+               CASE WHEN a.id % 5 = 0 THEN '' ELSE CAST(p.last_sale AS VARCHAR) END AS avm_sale_date,
+               CASE WHEN a.id % 7 = 0 THEN NULL ELSE CAST(p.last_sale - 3 AS VARCHAR) END AS transfer_sale_date,
+               CAST(a.app_date - 400 AS VARCHAR) AS market_sale_date
+        FROM app a LEFT JOIN prop p ON a.id = p.id"""),
+    "tradelines": ((), """
+        SELECT l_orderkey AS id,
+               CASE WHEN l_linenumber % 4 = 0 THEN '19' WHEN l_linenumber % 4 = 1 THEN '26'
+                    WHEN l_linenumber % 4 = 2 THEN '47' ELSE '89' END AS account_type,
+               lpad(CAST(l_partkey % 70 AS VARCHAR), 2, '0') AS status,
+               l_linestatus = 'O' AS open,
+               CAST(l_shipdate AS DATE) - CAST(l_suppkey % 60 + 20 AS INTEGER) AS open_date,
+               CAST(l_shipdate AS DATE) - CAST(l_partkey % 45 + 10 AS INTEGER) AS status_date,
+               l_extendedprice AS balance
+        FROM lineitem"""),
     "profile": ((), """
         SELECT 'C' || CAST(c_custkey AS VARCHAR) AS identity,
                'user' || CAST(c_custkey AS VARCHAR) || '@mail.example' AS email,
