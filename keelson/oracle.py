@@ -84,7 +84,7 @@ sql("q_flatten_outer", W("decisions") + """
 SELECT id, seq, part, o.term AS o_term, o.rate AS o_rate, o.kind AS o_kind
 FROM decisions d LEFT JOIN LATERAL (SELECT unnest(d.offers) AS o) u ON TRUE""")
 sql("q_flatten_inner", W("chat") + """
-SELECT chat_id, e.type AS e_type, e.responder_id AS e_responder_id, length(e.text) AS chars
+SELECT chat_id, e.type AS e_type, e.responder_id AS e_responder_id, CAST(length(e.text) AS INTEGER) AS chars
 FROM (SELECT chat_id, unnest(events) AS e FROM chat)""")
 sql("q_flatten_chained", W("chat") + """
 SELECT chat_id, rl_responder_id, unnest(rl_latency) AS latency
@@ -119,7 +119,7 @@ sql("q_cond_count", W("tasks") + """
 SELECT completed_by,
        CAST(sum(CASE WHEN task_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks,
        CAST(sum(CASE WHEN task_type != 'click' THEN 1 ELSE 0 END) AS BIGINT) AS non_clicks,
-       count_if(value > 100) AS big_values
+       CAST(count_if(value > 100) AS BIGINT) AS big_values
 FROM tasks GROUP BY completed_by""")
 sql("q_ratio_of_sums", W("tasks") + f"""
 SELECT completed_by,
@@ -305,8 +305,8 @@ def heloc_ctes(as_of: str = "2024-02-01") -> str:
              FROM chk3"""),
         ("cltv_limits", f"SELECT * FROM (VALUES {limits}) t(l_regime, l_lo, l_hi, cltv_limit)"),
         ("chk5", f"""SELECT c.*, l.cltv_limit,
-               CASE WHEN fico BETWEEN 620 AND 739 AND eff_date < {_d(r['r3'])} THEN 0.43
-                    WHEN fico BETWEEN 620 AND 739 THEN 0.45 WHEN fico >= 740 THEN 0.50 END AS dti_limit
+               CASE WHEN fico BETWEEN 620 AND 739 AND eff_date < {_d(r['r3'])} THEN {_f(0.43)}
+                    WHEN fico BETWEEN 620 AND 739 THEN {_f(0.45)} WHEN fico >= 740 THEN {_f(0.50)} END AS dti_limit
              FROM chk4 c LEFT JOIN cltv_limits l ON c.regime = l.l_regime AND c.fico >= l.l_lo AND c.fico < l.l_hi"""),
         ("checks", f"""SELECT *,
                coalesce(CASE WHEN (((owed = 0) AND (t_cltv > {P.CLTV_ZERO_OWED} OR t_adj_cltv > {P.CLTV_ZERO_OWED}))
@@ -555,7 +555,7 @@ WHERE o_fee > 0""")
 sql("q_lien_position", W("decisions", extra=[LATEST_DECISION,
     ("items", """SELECT id, lien_position, o.kind = 'FIXED' AS matched,
                    CASE WHEN o.fee > 0.04 THEN 'AMORT' ELSE 'REVOLVING' END AS match_type, o.rate * 100000 AS balance
-                 FROM (SELECT id, unnest(offers) AS o, unnest(range(1, len(offers) + 1)) AS lien_position
+                 FROM (SELECT id, unnest(offers) AS o, CAST(unnest(range(1, len(offers) + 1)) AS INTEGER) AS lien_position
                        FROM latest_decision)"""),
     ("top", """SELECT id, lien_position + 1 AS next_position FROM (
                  SELECT *, row_number() OVER (PARTITION BY id ORDER BY lien_position DESC) AS r FROM items) WHERE r = 1"""),
