@@ -600,3 +600,138 @@ SELECT m.id, a.app_date, account_type, status, open, open_date, status_date, bal
             WHEN (NOT open) AND (date_diff('day', last_open_date, a.app_date) <= 30 OR closest_closed_days <= 30)
               THEN 'Exception3' END AS display_class
 FROM mort m JOIN (SELECT id, app_date FROM app) a ON m.id = a.id LEFT JOIN near n ON m.id = n.id""")
+
+
+# =============================================================================
+# operations scorecard (plans.scorecard)
+# =============================================================================
+from .plans import scorecard as _SC  # noqa: E402
+
+_TS = lambda x: f"TIMESTAMP '{x}'"
+_WIN = f"BETWEEN {_TS(_SC.WINDOW_START)} AND {_TS(_SC.WINDOW_END)}"
+_DWIN = f"BETWEEN {_TS(_SC.DNC_WINDOW[0])} AND {_TS(_SC.DNC_WINDOW[1])}"
+
+
+def _subtype_case() -> str:
+    arms = " ".join(f"WHEN subtask_desc IN ({_in(raws)}) THEN '{canon}'" for canon, raws in P.SUBTASK_ALIASES)
+    return f"CASE {arms} WHEN subtask_desc LIKE '%Email' THEN 'System' ELSE subtask_desc END"
+
+
+def _outcome_case() -> str:
+    g = dict(P.OUTCOME_GROUPS)
+    return f"""CASE WHEN last_outcome = 'CANCEL_TASK' OR (last_outcome IS NULL AND last_status IN ('CANCELLED', '1', '2', NULL)) THEN 'SYSTEM_CANCEL_TASK'
+      WHEN last_outcome IN ({_in(g['CLEARED'])}) THEN 'CLEARED'
+      WHEN last_outcome IN ({_in(g['MANUAL_CANCEL'])}) THEN 'MANUAL_CANCEL'
+      WHEN last_outcome = 'COMPLETE_TASK' OR (last_outcome IS NULL AND last_status = 'COMPLETE') THEN 'SYSTEM_COMPLETE_TASK'
+      WHEN last_outcome IN ({_in(g['POTENTIAL_FRAUD'])}) THEN 'POTENTIAL_FRAUD'
+      WHEN last_outcome IN ({_in(g['CONFIRM_FRAUD'])}) THEN 'CONFIRM_FRAUD'
+      ELSE last_outcome END"""
+
+
+_WEIGHTS = ", ".join(f"({_lit_s}, {w})" for _lit_s, w in ((f"'{l}'", w) for l, w in P.TASK_WEIGHTS))
+SC_CTES = [
+    ("a1", "SELECT 'C' || CAST(person AS VARCHAR) AS a_identity, 'O' || CAST(id AS VARCHAR) AS a_app, state AS a_state, app_date, id FROM app"),
+    ("a_last", "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY a_identity ORDER BY app_date DESC, id DESC) AS r FROM a1) WHERE r = 1"),
+    ("identity_u", """SELECT a_app AS application_id, email, coalesce(a_identity, identity) AS identity_id,
+                       coalesce(a_state, state) AS state, first_name || ' ' || last_name AS borrower_name
+                     FROM profile lp LEFT JOIN a1 ON lp.identity = a1.a_identity
+                     UNION ALL
+                     SELECT a_identity, email, coalesce(a_identity, identity), coalesce(a_state, state), first_name || ' ' || last_name
+                     FROM profile lp LEFT JOIN a_last ON lp.identity = a_last.a_identity"""),
+    ("cs", """SELECT application AS cs_application, max(message) AS cs_message FROM tasks
+              WHERE last_status IN ('FAILED', 'CANCELLED') AND proficiencies = '[SUPERVISOR]' GROUP BY application"""),
+    ("ntasks", f"""SELECT task_id, application, task_type,
+                     CASE WHEN task_type = 'PROPERTY_OWNERSHIP_FRAUD_REVIEW' OR (task_type = 'FRAUD_REVIEW' AND message LIKE '%IDENTITY_FRAUD%')
+                               OR (task_type = '4' AND message LIKE '%IDENTITY_FRAUD%') THEN 'PROPERTY_OWNERSHIP_FRAUD_REVIEW'
+                          WHEN task_type = 'CREDIT_FRAUD_REVIEW' OR (task_type = 'FRAUD_REVIEW' AND message LIKE '%CREDIT_FRAUD%')
+                               THEN 'EXPERIAN_FRAUD_SHIELD_REVIEW'
+                          ELSE task_type END AS covt_task_type,
+                     subtask_desc, {_subtype_case()} AS subtask_type,
+                     CASE WHEN subtask_desc = 'Compliance Fraud Review' THEN cs_message ELSE message END AS message,
+                     coalesce(comments, 'none') AS comments, last_status, {_outcome_case()} AS subtask_outcome,
+                     completed_by, ts AS completed_date, proficiencies
+                   FROM tasks t LEFT JOIN cs ON t.application = cs.cs_application"""),
+    ("weights", f"SELECT * FROM (VALUES {_WEIGHTS}) t(w_label, weight)"),
+    ("scores", f"""SELECT completed_by AS csa_name,
+                     CAST(sum(CASE WHEN subtask_outcome = 'MANUAL_CANCEL' THEN 1 ELSE 0 END) AS BIGINT) AS tasks_cancelled,
+                     CAST(sum(CASE WHEN subtask_outcome != 'MANUAL_CANCEL' THEN 1 ELSE 0 END) AS BIGINT) AS tasks_completed,
+                     {rhu('count(subtask_type) * avg(coalesce(weight, 0))', 6)} AS score_obtained
+                   FROM ntasks RIGHT JOIN (SELECT application_id FROM identity_u) f ON ntasks.application = f.application_id
+                   LEFT JOIN weights ON subtask_type = w_label
+                   WHERE task_id IS NOT NULL AND completed_by NOT IN ({_in(P.NON_AGENTS)})
+                     AND proficiencies NOT IN ('[SYSTEM]', '[]', '[COMPLIANCE]') AND completed_date {_WIN}
+                   GROUP BY completed_by"""),
+    ("csp", f"""SELECT DISTINCT email AS csa_email, tasks_cancelled, tasks_completed, {rhu('score_obtained', 0)} AS score_obtained
+                FROM (SELECT DISTINCT email, identity_id FROM identity_u) f JOIN scores s ON f.identity_id = s.csa_name"""),
+    ("chatw", f"SELECT * FROM chat WHERE created_at {_WIN}"),
+    ("replies", """SELECT chat_id, e.responder_id AS responder_id, count(e.text) AS replies
+                   FROM (SELECT chat_id, unnest(events) AS e FROM chatw) WHERE e.type = 'msg_out' GROUP BY chat_id, e.responder_id"""),
+    ("ratings", "SELECT chat_id, final_responder AS responder_id, rating FROM chatw WHERE rating IS NOT NULL"),
+    ("firsts", f"""SELECT chat_id, initial_responder, rl.latency[1] AS initial_response
+                   FROM (SELECT chat_id, initial_responder, unnest(response_latency) AS rl FROM chatw)
+                   WHERE rl.responder_id = initial_responder AND rl.latency[1] < {_f(P.LATENCY_CAP)}"""),
+    ("lat", f"""SELECT chat_id, responder_id, count(latency) AS cnt_latency,
+                  CAST(sum(CAST(latency AS DECIMAL(18,2))) AS DOUBLE) AS sum_latency
+                FROM (SELECT chat_id, rl.responder_id AS responder_id, unnest(rl.latency) AS latency
+                      FROM (SELECT chat_id, unnest(response_latency) AS rl FROM chatw))
+                WHERE latency < {_f(P.LATENCY_CAP)} GROUP BY chat_id, responder_id"""),
+    ("emails", "SELECT DISTINCT m.id AS responder_id, m.id_map AS email FROM (SELECT unnest(id_mappings) AS m FROM chatw)"),
+    ("mart", f"""SELECT em.email AS csas, CAST(sum(it.replies) AS BIGINT) AS total_replies, count(h.chat_id) AS total_conversations,
+                   {rhu('avg(rt.rating)', 3)} AS avg_rating, {rhu('avg(ir.initial_response)', 3)} AS initial_response_time,
+                   {rhu('sum(lt.sum_latency) / nullif(sum(lt.cnt_latency), 0)', 3)} AS average_response_time
+                 FROM chatw h LEFT JOIN (SELECT chat_id, rating FROM ratings) rt ON h.chat_id = rt.chat_id
+                 JOIN replies it ON it.chat_id = h.chat_id JOIN emails em ON it.responder_id = em.responder_id
+                 JOIN (SELECT chat_id, initial_response FROM firsts) ir ON ir.chat_id = h.chat_id
+                 LEFT JOIN lat lt ON lt.chat_id = h.chat_id AND lt.responder_id = em.responder_id
+                 GROUP BY em.email"""),
+    ("dnc_src", f"SELECT * REPLACE (coalesce(updated_by, 'Not Updated') AS updated_by) FROM contact_preferences WHERE created_ts {_DWIN}"),
+    ("dnc", """SELECT csas, email, CAST(sum(dnc_num) AS BIGINT) AS dnc_num FROM (
+                 SELECT created_by AS csas, email, count(*) AS dnc_num FROM dnc_src JOIN profile ON created_by = identity GROUP BY created_by, email
+                 UNION ALL
+                 SELECT updated_by, email, count(*) FROM dnc_src JOIN profile ON updated_by = identity GROUP BY updated_by, email)
+               GROUP BY csas, email"""),
+    ("cmp_src", f"SELECT * REPLACE (coalesce(approver, 'Not Approved') AS approver) FROM complaints WHERE created_ts {_DWIN}"),
+    ("complaint", """SELECT csas, email, CAST(sum(complaint_num) AS BIGINT) AS complaint_num FROM (
+                 SELECT creator AS csas, email, count(*) AS complaint_num FROM cmp_src JOIN profile ON creator = identity GROUP BY creator, email
+                 UNION ALL
+                 SELECT approver, email, count(*) FROM cmp_src JOIN profile ON approver = identity GROUP BY approver, email)
+               GROUP BY csas, email"""),
+    ("notary", f"""SELECT participant AS csas, email, count(room) AS notary_call_num,
+                     {rhu("avg(date_sub('minute', call_started, call_ended))", 3)} AS notary_call_duration,
+                     {rhu("avg(date_sub('minute', connected, disconnected))", 3)} AS notary_call_handle_time,
+                     {rhu("avg(date_sub('minute', call_started, connected))", 3)} AS notary_call_speed_to_answer
+                   FROM calls LEFT JOIN (SELECT identity, email FROM profile) lp ON participant = identity
+                   WHERE email LIKE '{_SC.STAFF_DOMAIN}' AND call_started {_WIN}
+                   GROUP BY participant, email"""),
+]
+_S = W("app", "profile", "tasks", "chat", "contact_preferences", "complaints", "calls", extra=SC_CTES)
+sql("q_union_identity", _S + "SELECT * FROM identity_u")
+sql("q_normalise", _S + "SELECT task_id, covt_task_type, subtask_type, subtask_outcome FROM ntasks")
+sql("q_backfill", _S + "SELECT task_id, application, message, comments FROM ntasks")
+sql("q_task_score", _S + "SELECT * FROM scores")
+sql("q_chat_replies", _S + "SELECT * FROM replies")
+sql("q_first_response", _S + "SELECT * FROM firsts")
+sql("q_latency", _S + "SELECT * FROM lat")
+sql("q_ratings", _S + "SELECT * FROM ratings")
+sql("q_responder_map", _S + "SELECT * FROM emails")
+sql("q_chat_mart", _S + "SELECT * FROM mart")
+sql("q_actor_counts", _S + "SELECT * FROM dnc")
+sql("q_two_level_agg", _S + "SELECT * FROM complaint")
+sql("q_call_stats", _S + "SELECT * FROM notary")
+sql("q_scorecard", _S + f"""
+SELECT ct.csa_email, tasks_cancelled_num, tasks_completed_num, total_score_obtained, total_replies, total_conversations,
+       avg_rating, initial_response_time, average_response_time, dnc_num, complaint_num, notary_call_num,
+       avg_notary_call_duration, notary_call_handle_time, avg_notary_call_speed_to_answer
+FROM (SELECT csa_email, CAST(sum(tasks_cancelled) AS BIGINT) AS tasks_cancelled_num,
+             CAST(sum(tasks_completed) AS BIGINT) AS tasks_completed_num, sum(score_obtained) AS total_score_obtained
+      FROM csp GROUP BY csa_email) ct
+LEFT JOIN (SELECT csas AS csa_email, total_replies, total_conversations, avg_rating, initial_response_time, average_response_time FROM mart) ic
+  ON ic.csa_email = ct.csa_email
+LEFT JOIN (SELECT email AS csa_email, CAST(sum(dnc_num) AS BIGINT) AS dnc_num FROM dnc GROUP BY email) dn ON dn.csa_email = ct.csa_email
+LEFT JOIN (SELECT email AS csa_email, CAST(sum(complaint_num) AS BIGINT) AS complaint_num FROM complaint GROUP BY email) co
+  ON co.csa_email = ct.csa_email
+LEFT JOIN (SELECT email AS csa_email, CAST(sum(notary_call_num) AS BIGINT) AS notary_call_num,
+                  {rhu('avg(notary_call_duration)', 3)} AS avg_notary_call_duration,
+                  {rhu('avg(notary_call_handle_time)', 3)} AS notary_call_handle_time,
+                  {rhu('avg(notary_call_speed_to_answer)', 3)} AS avg_notary_call_speed_to_answer
+           FROM notary GROUP BY email) nt ON nt.csa_email = ct.csa_email""")

@@ -571,3 +571,93 @@ def q_lien_tx(spark: SparkSession, sf: str) -> DataFrame:
 def q_tradeline_class(spark: SparkSession, sf: str) -> DataFrame:
     """Tradeline exception classes (per-application aggregates instead of self-join fan-out)."""
     return LZ.tradeline_class(spark, sf)
+
+
+# ---------------------------------------------------------------------------
+# operations scorecard
+# ---------------------------------------------------------------------------
+from .plans import scorecard as SC  # noqa: E402
+
+
+@register
+def q_union_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """Identity union of profiles x product applications."""
+    return SC.identity_union(spark, sf)
+
+
+@register
+def q_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    """Task type, sub-task and outcome normalisation."""
+    return SC.normalised_tasks(spark, sf).select("task_id", "covt_task_type", "subtask_type", "subtask_outcome")
+
+
+@register
+def q_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Compliance-message backfill from failed / cancelled supervisor tasks."""
+    return SC.normalised_tasks(spark, sf).select("task_id", "application", "message", "comments")
+
+
+@register
+def q_task_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted task score per agent."""
+    return SC.task_scores(spark, sf)
+
+
+@register
+def q_chat_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Outgoing replies per conversation and responder."""
+    return SC.chat_replies(spark, sf)
+
+
+@register
+def q_first_response(spark: SparkSession, sf: str) -> DataFrame:
+    """First latency of the initial responder below the cap."""
+    return SC.first_responses(spark, sf)
+
+
+@register
+def q_latency(spark: SparkSession, sf: str) -> DataFrame:
+    """Count / sum of capped latencies (array inside struct inside array)."""
+    return SC.latency_sums(spark, sf)
+
+
+@register
+def q_ratings(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation ratings."""
+    return SC.ratings(spark, sf)
+
+
+@register
+def q_responder_map(spark: SparkSession, sf: str) -> DataFrame:
+    """DISTINCT responder -> e-mail map."""
+    return SC.responder_emails(spark, sf)
+
+
+@register
+def q_chat_mart(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-agent chat mart."""
+    return SC.chat_mart(spark, sf)
+
+
+@register
+def q_actor_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Do-not-contact counts for creator and updater roles."""
+    return SC.dnc_counts(spark, sf)
+
+
+@register
+def q_two_level_agg(spark: SparkSession, sf: str) -> DataFrame:
+    """Complaint counts for creator and approver (aggregate, union, re-aggregate)."""
+    return SC.complaint_counts(spark, sf)
+
+
+@register
+def q_call_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Notary call statistics per agent."""
+    return SC.call_stats(spark, sf)
+
+
+@register
+def q_scorecard(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-agent scorecard (marts pre-aggregated to e-mail)."""
+    return SC.scorecard(spark, sf)

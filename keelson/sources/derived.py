@@ -252,20 +252,92 @@ def liens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_subtasks() -> list[str]:
+    """Raw sub-task labels the test tasks cycle through: every alias, every weighted
+    label, one unknown label and one e-mail task (built from the policy tables)."""
+    from .policies import SUBTASK_ALIASES, TASK_WEIGHTS
+    out: list[str] = []
+    for _, raws in SUBTASK_ALIASES:
+        out += [r for r in raws if r not in out]
+    out += [w for w, _ in TASK_WEIGHTS if w not in out]
+    return out + ["Unlisted Review", "Send Welcome Email"]
+
+
+# Raw outcomes (NULL included) and task statuses the test tasks cycle through.
+RAW_OUTCOMES = ["CANCEL_TASK", "FIXED", "NO_DISCREPANCY", "CANCEL", "COMPLETE_TASK", "FRAUD_SUSPECTED",
+                "CONFIRM_FRAUD", "FRAUD_FOUND", "REASSIGNED", None]
+TASK_STATUSES = ["COMPLETE", "CANCELLED", "FAILED", "OPEN", "1"]
+TASK_TYPE_BY_EVENT = [("click", "PROPERTY_OWNERSHIP_FRAUD_REVIEW"), ("view", "FRAUD_REVIEW"),
+                      ("purchase", "CREDIT_FRAUD_REVIEW"), ("signup", "DOCUMENT_REVIEW")]
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operations tasks: one per event, completed by one of the agents."""
+    """Operations tasks (task x sub-task): one per event, completed by one of the agents."""
     ev = table(spark, sf_dir, "events")
-    eid = F.col("event_id")
+    eid, et = F.col("event_id"), F.col("event_type")
+    subs = raw_subtasks()
+    ttype = F.lit("4")
+    for src, dst in reversed(TASK_TYPE_BY_EVENT):
+        ttype = F.when(et == src, dst).otherwise(ttype)
+    pick = lambda vals, k: F.element_at(F.array(*[F.lit(v) for v in vals]), (k % len(vals) + 1).cast("int"))
     return ev.select(
         eid.alias("task_id"),
         F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("application"),
-        F.col("event_type").alias("task_type"),
+        et.alias("event_type"),
+        ttype.alias("task_type"),
         F.col("value"),
         F.col("ts"),
         F.concat(F.lit("S"), (eid % N_AGENTS).cast("string")).alias("completed_by"),
+        pick(subs, eid).alias("subtask_desc"),
+        F.when(eid % 3 == 0, "IDENTITY_FRAUD detected").when(eid % 3 == 1, "CREDIT_FRAUD alert")
+         .otherwise("routine").alias("message"),
+        pick(RAW_OUTCOMES, F.floor(F.col("value")).cast("bigint")).alias("last_outcome"),
+        pick(TASK_STATUSES, F.col("user_id")).alias("last_status"),
+        F.when(eid % 5 == 0, "[SUPERVISOR]").when(eid % 5 == 1, "[SYSTEM]").otherwise("[AGENT]").alias("proficiencies"),
+        F.when(F.col("value") > 100, "long task").alias("comments"),
     )
 
 
+def contact_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Do-not-contact records: created by one agent, maybe updated by another."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderdate").alias("created_ts"),
+        F.col("o_orderkey").alias("application"),
+        F.concat(F.lit("S"), (F.col("o_orderkey") % N_AGENTS).cast("string")).alias("created_by"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.lit(None))
+         .otherwise(F.concat(F.lit("S"), (F.col("o_custkey") % N_AGENTS).cast("string"))).alias("updated_by"))
+
+
+def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complaint records: creator, optional approver, product, approval flag."""
+    o = table(spark, sf_dir, "orders")
+    pr = F.col("o_orderpriority")
+    return o.select(
+        F.col("o_orderdate").alias("created_ts"),
+        F.col("o_orderkey").alias("complaint_id"),
+        F.concat(F.lit("S"), (F.col("o_custkey") % N_AGENTS).cast("string")).alias("creator"),
+        F.when(F.col("o_orderstatus") == "O", F.lit(None))
+         .otherwise(F.concat(F.lit("S"), (F.col("o_orderkey") % 29).cast("string"))).alias("approver"),
+        F.when(pr == "1-URGENT", "Home Lease Back").when(pr == "2-HIGH", "--").when(pr == "3-MEDIUM", " ")
+         .otherwise("HELOC").alias("product"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(None)).otherwise(F.col("o_orderstatus") == "F").alias("is_approved"))
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notary call statistics (call x participant)."""
+    ev = table(spark, sf_dir, "events")
+    ts, eid = F.col("ts"), F.col("event_id")
+    ended = F.timestamp_add("SECOND", F.floor(F.col("value") * 60).cast("bigint"), ts)
+    return ev.select(
+        F.concat(F.lit("S"), (F.col("user_id") % N_AGENTS).cast("string")).alias("participant"),
+        eid.alias("room"),
+        ts.alias("call_started"),
+        ended.alias("call_ended"),
+        F.timestamp_add("MINUTE", eid % 5, ts).alias("connected"),
+        F.timestamp_add("MINUTE", -(eid % 3), ended).alias("disconnected"))
+
+
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat records (one per conversation turn) with nested events / latencies / id maps."""
     cv = table(spark, sf_dir, "conversations")

@@ -8,7 +8,24 @@ the requested frames and their dependencies in order.  The expressions mirror
 from __future__ import annotations
 
 from .bureau_codes import BUREAU_CODES
-from .derived import CATEGORY_BY_EVENT, N_AGENTS, bureau_attr_sql
+from .derived import (CATEGORY_BY_EVENT, N_AGENTS, RAW_OUTCOMES, TASK_STATUSES, TASK_TYPE_BY_EVENT,
+                      bureau_attr_sql, raw_subtasks)
+
+
+def _lit(v) -> str:
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+def _pick(vals, k: str) -> str:
+    arr = "[" + ", ".join(_lit(v) for v in vals) + "]"
+    if all(v is None for v in vals):
+        arr = "CAST(" + arr + " AS VARCHAR[])"
+    return f"({arr})[CAST(({k}) % {len(vals)} + 1 AS INTEGER)]"
+
+
+def _task_type() -> str:
+    arms = " ".join(f"WHEN event_type = '{s}' THEN '{d}'" for s, d in TASK_TYPE_BY_EVENT)
+    return f"CASE {arms} ELSE '4' END"
 
 
 def rhu(expr: str, digits: int) -> str:
@@ -119,8 +136,34 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM events"""),
     "tasks": ((), f"""
         SELECT event_id AS task_id, 'C' || CAST(user_id AS VARCHAR) AS application,
-               event_type AS task_type, value, ts,
-               'S' || CAST(event_id % {N_AGENTS} AS VARCHAR) AS completed_by
+               event_type, {_task_type()} AS task_type, value, ts,
+               'S' || CAST(event_id % {N_AGENTS} AS VARCHAR) AS completed_by,
+               {_pick(raw_subtasks(), 'event_id')} AS subtask_desc,
+               CASE WHEN event_id % 3 = 0 THEN 'IDENTITY_FRAUD detected' WHEN event_id % 3 = 1 THEN 'CREDIT_FRAUD alert'
+                    ELSE 'routine' END AS message,
+               {_pick(RAW_OUTCOMES, 'CAST(floor(value) AS BIGINT)')} AS last_outcome,
+               {_pick(TASK_STATUSES, 'user_id')} AS last_status,
+               CASE WHEN event_id % 5 = 0 THEN '[SUPERVISOR]' WHEN event_id % 5 = 1 THEN '[SYSTEM]' ELSE '[AGENT]' END AS proficiencies,
+               CASE WHEN value > 100 THEN 'long task' END AS comments
+        FROM events"""),
+    "contact_preferences": ((), f"""
+        SELECT o_orderdate AS created_ts, o_orderkey AS application,
+               'S' || CAST(o_orderkey % {N_AGENTS} AS VARCHAR) AS created_by,
+               CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'S' || CAST(o_custkey % {N_AGENTS} AS VARCHAR) END AS updated_by
+        FROM orders"""),
+    "complaints": ((), f"""
+        SELECT o_orderdate AS created_ts, o_orderkey AS complaint_id,
+               'S' || CAST(o_custkey % {N_AGENTS} AS VARCHAR) AS creator,
+               CASE WHEN o_orderstatus = 'O' THEN NULL ELSE 'S' || CAST(o_orderkey % 29 AS VARCHAR) END AS approver,
+               CASE WHEN o_orderpriority = '1-URGENT' THEN 'Home Lease Back' WHEN o_orderpriority = '2-HIGH' THEN '--'
+                    WHEN o_orderpriority = '3-MEDIUM' THEN ' ' ELSE 'HELOC' END AS product,
+               CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus = 'F' END AS is_approved
+        FROM orders"""),
+    "calls": ((), f"""
+        SELECT 'S' || CAST(user_id % {N_AGENTS} AS VARCHAR) AS participant, event_id AS room, ts AS call_started,
+               ts + to_seconds(CAST(floor(value * 60) AS BIGINT)) AS call_ended,
+               ts + to_minutes(CAST(event_id % 5 AS BIGINT)) AS connected,
+               ts + to_seconds(CAST(floor(value * 60) AS BIGINT)) - to_minutes(CAST(event_id % 3 AS BIGINT)) AS disconnected
         FROM events"""),
     "chat": ((), f"""
         SELECT conv_id * 100 + turn AS chat_id, conv_id,
