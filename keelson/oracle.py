@@ -735,3 +735,42 @@ LEFT JOIN (SELECT email AS csa_email, CAST(sum(notary_call_num) AS BIGINT) AS no
                   {rhu('avg(notary_call_handle_time)', 3)} AS notary_call_handle_time,
                   {rhu('avg(notary_call_speed_to_answer)', 3)} AS avg_notary_call_speed_to_answer
            FROM notary GROUP BY email) nt ON nt.csa_email = ct.csa_email""")
+
+
+# =============================================================================
+# scalar functions
+# =============================================================================
+sql("q_scalar_math", W("app") + f"""
+SELECT id, {rhu('amount / 7', 0)} AS round0, {rhu('amount / 7', 2)} AS round2,
+       {rhu('pow(CAST(1.01 AS DOUBLE), term_years)', 6)} AS growth, abs(amount - 100000) AS dist, -amount AS neg_amount,
+       {rhu('amount / nullif(score - 600, 0)', 4)} AS ratio,
+       CASE WHEN score > 700 OR score = 0 THEN 700 ELSE score END AS clamped,
+       greatest(amount, income * 12) AS larger
+FROM app""")
+sql("q_scalar_dates", """
+SELECT event_id, CAST(ts AS DATE) AS ts_date, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts_day_start,
+       CAST(date_diff('day', CAST(ts AS DATE), DATE '2002-01-01') AS INTEGER) AS days_to_as_of,
+       CAST(date_diff('month', DATE '2023-06-15', CAST(ts AS DATE)) AS INTEGER) AS months,
+       CAST(date_diff('year', DATE '2019-12-31', CAST(ts AS DATE)) AS INTEGER) AS years,
+       date_sub('minute', TIMESTAMP '2024-01-01 00:00:00', ts) AS minutes,
+       CAST(ts AS DATE) >= DATE '2024-01-15' AS late_month,
+       ts <= TIMESTAMP '2024-01-10 12:00:00' AS before_cutoff
+FROM events""")
+sql("q_scalar_strings", W("profile") + """
+SELECT identity, lower(first_name) AS lower_name,
+       first_name || ' ' || CASE WHEN state = 'NATION_3' THEN NULL ELSE state END AS name_state,
+       CAST(length(email) AS INTEGER) AS email_len, email LIKE '%staff%' AS is_staff
+FROM profile""")
+sql("q_safe_cast", W("bureau_raw") + """
+SELECT person, credit_type, CAST(person AS DOUBLE) AS person_num, TRY_CAST(MTA2126 AS DOUBLE) AS mta2126,
+       coalesce(TRY_CAST(MTA2126 AS DOUBLE), 0.0) AS mta2126_or_zero,
+       coalesce(TRY_CAST(MTA2126 AS DOUBLE), TRY_CAST(COL3211 AS DOUBLE), -1.0) AS first_known,
+       coalesce(nullif(TRY_CAST(MTA2126 AS DOUBLE), 0.0), TRY_CAST(COL3211 AS DOUBLE)) AS nonzero_first,
+       CASE WHEN TRY_CAST(MTA5830 AS DOUBLE) IN (999999998, 999999996) THEN 0.0 ELSE TRY_CAST(MTA5830 AS DOUBLE) END AS mta5830
+FROM bureau_raw""")
+sql("q_array_get", W("chat") + """
+SELECT chat_id, lat[1] AS first_latency, lat[6] AS sixth_latency
+FROM (SELECT chat_id, response_latency[1].latency AS lat FROM chat)""")
+sql("q_epoch_order", W("mortgage_history") + """
+SELECT id, document_number, created_seconds, created_nanos, created_seconds + created_nanos / 1e9 AS created_epoch
+FROM mortgage_history""")

@@ -661,3 +661,95 @@ def q_call_stats(spark: SparkSession, sf: str) -> DataFrame:
 def q_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     """Per-agent scorecard (marts pre-aggregated to e-mail)."""
     return SC.scorecard(spark, sf)
+
+
+# ---------------------------------------------------------------------------
+# scalar functions
+# ---------------------------------------------------------------------------
+from .functions.dates import day_diff, minute_diff, month_diff, year_diff  # noqa: E402
+from .functions.numeric import safe_div, sentinel_to_zero  # noqa: E402
+
+AS_OF_DATE = "2002-01-01"
+
+
+@register
+def q_scalar_math(spark: SparkSession, sf: str) -> DataFrame:
+    """Rounding, POW, ABS, arithmetic, zero-guarded ratio, clamp and larger-of."""
+    a = D.app(spark, sf)
+    sc = F.col("score")
+    return a.select(
+        "id",
+        round_half_up(F.col("amount") / 7, 0).alias("round0"),
+        round_half_up(F.col("amount") / 7, 2).alias("round2"),
+        round_half_up(F.pow(F.lit(1.01), F.col("term_years")), 6).alias("growth"),
+        F.abs(F.col("amount") - 100000).alias("dist"),
+        (-F.col("amount")).alias("neg_amount"),
+        round_half_up(safe_div(F.col("amount"), sc - 600), 4).alias("ratio"),
+        F.when((sc > 700) | (sc == 0), F.lit(700)).otherwise(sc).alias("clamped"),
+        F.greatest(F.col("amount"), F.col("income") * 12).alias("larger"),
+    )
+
+
+@register
+def q_scalar_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """DATE(ts), DATETIME, as-of date, day / month / year boundaries, minutes, date literals."""
+    e = table(spark, sf, "events").select("event_id", "ts")
+    d = F.to_date("ts")
+    ref = F.lit("2023-06-15").cast("date")
+    return e.select(
+        "event_id", d.alias("ts_date"),
+        d.cast("timestamp_ntz").alias("ts_day_start"),
+        day_diff(F.lit(AS_OF_DATE).cast("date"), d).alias("days_to_as_of"),
+        month_diff(d, ref).alias("months"),
+        year_diff(d, F.lit("2019-12-31").cast("date")).alias("years"),
+        minute_diff(F.col("ts"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("minutes"),
+        (d >= F.lit("2024-01-15").cast("date")).alias("late_month"),
+        (F.col("ts") <= F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")).alias("before_cutoff"),
+    )
+
+
+@register
+def q_scalar_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """LOWER, CONCAT (NULL-propagating), LENGTH, LIKE."""
+    p = D.profile(spark, sf)
+    nullable = F.when(F.col("state") == "NATION_3", F.lit(None)).otherwise(F.col("state"))
+    return p.select(
+        "identity", F.lower("first_name").alias("lower_name"),
+        F.concat(F.col("first_name"), F.lit(" "), nullable).alias("name_state"),
+        F.length("email").alias("email_len"),
+        F.col("email").like("%staff%").alias("is_staff"),
+    )
+
+
+@register
+def q_safe_cast(spark: SparkSession, sf: str) -> DataFrame:
+    """CAST, SAFE_CAST, IFNULL, n-ary COALESCE, NULLIF in COALESCE, sentinel replacement."""
+    b = D.bureau_raw(spark, sf)
+    mta = F.col("MTA2126").try_cast("double")
+    col = F.col("COL3211").try_cast("double")
+    return b.select(
+        "person", "credit_type",
+        F.col("person").cast("double").alias("person_num"),
+        mta.alias("mta2126"),
+        F.coalesce(mta, F.lit(0.0)).alias("mta2126_or_zero"),
+        F.coalesce(mta, col, F.lit(-1.0)).alias("first_known"),
+        F.coalesce(F.nullif(mta, F.lit(0.0)), col).alias("nonzero_first"),
+        sentinel_to_zero(F.col("MTA5830").try_cast("double")).alias("mta5830"),
+    )
+
+
+@register
+def q_array_get(spark: SparkSession, sf: str) -> DataFrame:
+    """safe array subscript (out of range -> NULL); epoch seconds + nanos / 1e9."""
+    c = D.chat(spark, sf).select("chat_id", F.get(F.col("response_latency"), 0)["latency"].alias("lat"))
+    first = c.select("chat_id", F.get(F.col("lat"), 0).alias("first_latency"),
+                     F.get(F.col("lat"), 5).alias("sixth_latency"))
+    return first
+
+
+@register
+def q_epoch_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Seconds + nanos / 1e9 as one ordering value, next to the (seconds, nanos) pair."""
+    m = D.mortgage_history(spark, sf)
+    return m.select("id", "document_number", "created_seconds", "created_nanos",
+                    (F.col("created_seconds") + F.col("created_nanos") / 1e9).alias("created_epoch"))
