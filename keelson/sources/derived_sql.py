@@ -34,13 +34,11 @@ def rhu(expr: str, digits: int) -> str:
 
 
 def _offer(term: int, bump: float, kind: str) -> str:
-    return ("{" f"'term': CAST({term} AS INTEGER), "
-            f"'rate': {rhu(f'l_discount + CAST({bump} AS DOUBLE)', 4)}, "
-            "'fee': l_tax, "
-            f"'kind': '{kind}', "
-            f"'margin': {rhu('l_discount / 2 + CAST(0.01 AS DOUBLE)', 4)}, "
-            f"'index_rate': {rhu(f'l_discount / 2 + CAST({bump} AS DOUBLE) - CAST(0.01 AS DOUBLE)', 4)}, "
-            f"'apr': {rhu(f'l_discount + CAST({bump} AS DOUBLE) + l_tax / 10', 4)}" "}")
+    b = f"CAST({bump} AS DOUBLE)"
+    return ("{" f"'term': CAST({term} AS INTEGER), 'rate': l_discount + {b}, 'fee': l_tax, 'kind': '{kind}', "
+            "'margin': l_discount / 2 + CAST(0.01 AS DOUBLE), "
+            f"'index_rate': l_discount / 2 + {b} - CAST(0.01 AS DOUBLE), "
+            f"'apr': l_discount + {b} + l_tax / 10" "}")
 
 
 def _lien_category() -> str:
