@@ -239,9 +239,10 @@ def _property_case() -> str:
 
 LIEN_CASE = """CASE
   WHEN coalesce(lien_exists, false) AND (coalesce(lien_item_fails, false) OR coalesce(lien_no_record, false)) AND is_approved
+       AND lien_reason_flag IS FALSE
     THEN 'Involuntary_Lien_Knockout_Failure' || CASE WHEN lien_no_record IS TRUE THEN '(DT no returns)' ELSE '(DT returns)' END || '1'
   WHEN (NOT coalesce(lien_exists, false) OR NOT (coalesce(lien_item_fails, false) OR coalesce(lien_no_record, false)))
-       AND is_declined AND decline_code = 'INV_TAXLIEN'
+       AND is_declined AND lien_reason_flag IS TRUE
     THEN 'Involuntary_Lien_Knockout_Failure' || CASE WHEN lien_no_record IS TRUE THEN '(DT no returns)' ELSE '(DT returns)' END || '2'
   ELSE 'PASS' END"""
 
@@ -268,9 +269,9 @@ def heloc_ctes(as_of: str = "2024-02-01") -> str:
     a12 = _f(P.ASSET_RATE / 12)
     base = _f(1 + P.ASSET_RATE / 12)
     extra = [LATEST_DECISION, BUREAU_NORM, LD] + _lien_ctes(as_of) + [
-        ("reason_ids", "SELECT id FROM (SELECT id, unnest(decline_reasons) AS r FROM decisions) WHERE r.code = 'CLTV'"),
+        ("reason_ids", "SELECT id FROM (SELECT id, unnest(decline_reasons) AS r FROM decisions) WHERE r.code = 'INV_TAXLIEN'"),
         ("inputs", f"""SELECT a.*, b.* EXCLUDE (person), p.* EXCLUDE (id), ld.* EXCLUDE (id), ls.* EXCLUDE (person),
-               a.id IN (SELECT id FROM reason_ids) AS cltv_reason_flag,
+               a.id IN (SELECT id FROM reason_ids) AS lien_reason_flag,
                coalesce(a.hard_score, a.soft_score) AS fico,
                CASE WHEN a.flag = 'Y' AND a.respond_by >= a.app_date THEN a.mail_date ELSE a.app_date END AS eff_date,
                CASE WHEN a.state IN ({strict}) THEN 'strict' ELSE 'standard' END AS state_group,
@@ -350,7 +351,7 @@ sql("q_policy_lookup", _H + f"""SELECT id, fico, regime, cltv_limit, dti_limit,
 sql("q_cascade_credit", _H + "SELECT id, fico, credit_check FROM chk1")
 sql("q_property_rules", _H + "SELECT id, land_use, acres, property_check FROM chk1")
 sql("q_lien_exceptions", _H + "SELECT * FROM lien_summary")
-sql("q_lien_decline", _H + "SELECT id, lien_exists, lien_item_fails, lien_no_record, cltv_reason_flag, lien_check FROM chk1")
+sql("q_lien_decline", _H + "SELECT id, lien_exists, lien_item_fails, lien_no_record, lien_reason_flag, lien_check FROM chk1")
 sql("q_debt_parts", _H + f"SELECT id, {rhu(_z(), 4)} AS z, t_revolving_debt, t_installment_debt, t_mortgage_debt FROM chk1")
 sql("q_total_debt", _H + f"""SELECT id,
     {rhu('CASE WHEN BCC5830 > BCX5830 THEN ALX5830 - ILN5824 ELSE coalesce(t_revolving_debt, 0.0) + coalesce(t_installment_debt, 0.0) + coalesce(t_mortgage_debt, 0.0) END', 4)} AS debt_zero_filled,

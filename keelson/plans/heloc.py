@@ -123,7 +123,8 @@ def heloc_inputs(spark: SparkSession, sf: str, as_of: str = D.AS_OF,
             .join(ld, "id", "left"))
     if with_liens_and_reasons:
         df = df.join(lien_summary(spark, sf, F.lit(as_of).cast("date")), "person", "left")
-        df = member_flag(df, "id", reasons.where(c("r_code") == "CLTV"), "id", "cltv_reason_flag")
+        # B39: "declined for an involuntary lien" as SQL three-valued IN (subquery).
+        df = member_flag(df, "id", reasons.where(c("r_code") == "INV_TAXLIEN"), "id", "lien_reason_flag")
     return df.withColumns({
         "fico": FN.resolve_score(c("hard_score"), c("soft_score")),
         "eff_date": effective_date(c("app_date"), c("mail_date"), c("respond_by"), c("flag")),
@@ -191,8 +192,10 @@ def with_liens(df: DataFrame) -> DataFrame:
     fails = exists & (is_true(c("lien_item_fails")) | is_true(c("lien_no_record")))
     clears = ~exists | ~(is_true(c("lien_item_fails")) | is_true(c("lien_no_record")))
     dt_returns = F.when(is_true(c("lien_no_record")), "(DT no returns)").otherwise("(DT returns)")
-    check = (F.when(fails & c("is_approved"), F.concat(F.lit("Involuntary_Lien_Knockout_Failure"), dt_returns, F.lit("1")))
-              .when(clears & c("is_declined") & (c("decline_code") == "INV_TAXLIEN"),
+    flag = c("lien_reason_flag")
+    check = (F.when(fails & c("is_approved") & flag.eqNullSafe(F.lit(False)),
+                    F.concat(F.lit("Involuntary_Lien_Knockout_Failure"), dt_returns, F.lit("1")))
+              .when(clears & c("is_declined") & flag.eqNullSafe(F.lit(True)),
                     F.concat(F.lit("Involuntary_Lien_Knockout_Failure"), dt_returns, F.lit("2")))
               .otherwise("PASS"))
     return df.withColumn("lien_check", check)

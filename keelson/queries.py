@@ -368,7 +368,7 @@ def q_lien_exceptions(spark: SparkSession, sf: str) -> DataFrame:
 def q_lien_decline(spark: SparkSession, sf: str) -> DataFrame:
     """Lien decline check (DT returns / no returns, both directions)."""
     df = H.with_liens(H.heloc_inputs(spark, sf))
-    return df.select("id", "lien_exists", "lien_item_fails", "lien_no_record", "cltv_reason_flag", "lien_check")
+    return df.select("id", "lien_exists", "lien_item_fails", "lien_no_record", "lien_reason_flag", "lien_check")
 
 
 @register

@@ -203,7 +203,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = lambda code, text: F.struct(F.lit(code).alias("code"), F.lit(text).alias("reason"))
     reasons = (F.when(F.col("l_returnflag") == "R", F.array(reason("CLTV", "Combined LTV too high"),
                                                             reason("DTI", "Debt to income too high")))
-                .when(F.col("l_returnflag") == "A", F.array(reason("LANDUSE", "Land use not eligible")))
+                .when(F.col("l_returnflag") == "A", F.array(reason("LANDUSE", "Land use not eligible"),
+                                                            reason("INV_TAXLIEN", "Other: Involuntary lien")))
                 .otherwise(F.slice(F.array(reason("X", "x")), 1, 0)))
     return li.select(
         F.col("l_orderkey").alias("id"),
@@ -365,6 +366,14 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def staff_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staff identities only ('S' ids): the actor columns of tasks, contacts, complaints and
+    calls only ever hold staff ids, so joining them to this subset equals joining the full profile."""
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("identity"),
+                    F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit("@staff.example")).alias("email"))
+
+
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity profiles: borrowers (customers, 'C' ids) and staff (suppliers, 'S' ids)."""
     c = table(spark, sf_dir, "customer")

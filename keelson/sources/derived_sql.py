@@ -118,7 +118,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                                      lambda o: o.term <= (l_linenumber - 1) * 5) END AS offers,
                CASE WHEN l_returnflag = 'R' THEN [{{'code': 'CLTV', 'reason': 'Combined LTV too high'}},
                                                   {{'code': 'DTI', 'reason': 'Debt to income too high'}}]
-                    WHEN l_returnflag = 'A' THEN [{{'code': 'LANDUSE', 'reason': 'Land use not eligible'}}]
+                    WHEN l_returnflag = 'A' THEN [{{'code': 'LANDUSE', 'reason': 'Land use not eligible'}},
+                                                  {{'code': 'INV_TAXLIEN', 'reason': 'Other: Involuntary lien'}}]
                     ELSE list_filter([{{'code': 'X', 'reason': 'x'}}], lambda r: false) END AS decline_reasons
         FROM lineitem"""),
     "liens": ((), f"""
