@@ -36,16 +36,19 @@ from ..operators.rules import cascade, first_label, two_way
 from ..sources import derived as D
 from ..sources import policies as P
 from ..sources.bureau_codes import BUREAU_CODES
+from ..sources.tables import frame, small_frame
 
 c = F.col
 
 
+@frame
 def latest_decision(spark: SparkSession, sf: str) -> DataFrame:
     d = D.decisions(spark, sf)
     return latest(d, ["id"], [c("event_ts").desc()],
                   [c("seq").desc(), c("part").desc(), c("supp").desc(), c("price").desc()])
 
 
+@frame
 def bureau(spark: SparkSession, sf: str) -> DataFrame:
     """B3 — normalised bureau attributes, one row per person (hard pull preferred)."""
     return FN.bureau_normalise(D.bureau_raw(spark, sf), BUREAU_CODES)
@@ -77,8 +80,9 @@ def lien_summary(spark: SparkSession, sf: str, as_of: Column) -> DataFrame:
     document date.  An item fails when any exception is missing.
     """
     lz = D.liens(spark, sf)
-    groups = spark.createDataFrame(P.state_group(), "state string, state_group string")
-    limits = spark.createDataFrame(P.LIEN_AGE_LIMITS, "category string, state_group string, max_months int")
+    groups = small_frame(spark, "state_group", P.state_group(), "state string, state_group string")
+    limits = small_frame(spark, "lien_age_limits", P.LIEN_AGE_LIMITS,
+                         "category string, state_group string, max_months int")
     a = D.app(spark, sf)
     person_state = latest(a.select("person", "state", "app_date", "id", "hard_score", "soft_score"),
                           ["person"], [c("app_date").desc(), c("id").desc()])
@@ -221,8 +225,8 @@ def with_ratios(spark: SparkSession, df: DataFrame) -> DataFrame:
         "t_adj_cltv": FN.cltv(c("owed"), c("t_adj_collateral")),
         "regime": regime_col(c("eff_date")),
     })
-    limits = spark.createDataFrame([(r, lo, hi, v) for r, lo, hi, v in P.CLTV_LIMITS],
-                                   "l_regime string, l_lo int, l_hi int, cltv_limit double")
+    limits = small_frame(spark, "cltv_limits", list(P.CLTV_LIMITS),
+                         "l_regime string, l_lo int, l_hi int, cltv_limit double")
     df = band_join(df, limits, len(P.CLTV_LIMITS), equi=[(c("regime"), "l_regime")],
                    ranges=[(c("fico"), "l_lo", "l_hi", True, False)]).drop("l_regime", "l_lo", "l_hi")
     owed, cl, adj, lim = c("owed"), c("t_cltv"), c("t_adj_cltv"), c("cltv_limit")

@@ -22,10 +22,12 @@ from ..operators.policy import broadcast_bounded
 from ..operators.reconcile import reconcile
 from ..sources import derived as D
 from ..sources import policies as P
+from ..sources.tables import frame, small_frame
 
 c = F.col
 
 
+@frame
 def offers(spark: SparkSession, sf: str) -> DataFrame:
     """Every offer of every decision event (CROSS JOIN UNNEST)."""
     d = D.decisions(spark, sf).select("id", "seq", "part", "supp", "event_ts", "offers")
@@ -44,7 +46,8 @@ def grid_check(spark: SparkSession, sf: str) -> DataFrame:
         "cltv": round_half_up(safe_div(c("owed"), c("avm")), 4),
     })
     rows = P.rate_grid_rows()
-    grid = broadcast_bounded(spark.createDataFrame(
+    grid = broadcast_bounded(small_frame(
+        spark, "rate_grid",
         [(t, fl, lo, hi, lo == P.CLTV_BANDS[0][0], slo, shi, r) for (t, fl, lo, hi, slo, shi, r) in rows],
         "g_term int, g_first boolean, g_lo double, g_hi double, g_lo_closed boolean, g_slo int, g_shi int, "
         "expected_rate double"), len(rows))
@@ -77,7 +80,7 @@ def fee_buydown(spark: SparkSession, sf: str) -> DataFrame:
     base = latest(o.where(c("o_fee") == 0), ["id", "o_term"], [c("event_ts").desc()],
                   [c("seq").desc(), c("part").desc(), c("supp").desc()]) \
         .select("id", "o_term", c("o_rate").alias("base_rate"), c("o_apr").alias("base_apr"))
-    div = broadcast_bounded(spark.createDataFrame(P.BUYDOWN_DIVISORS, "d_term int, rate_div double, apr_div double"),
+    div = broadcast_bounded(small_frame(spark, "buydown", P.BUYDOWN_DIVISORS, "d_term int, rate_div double, apr_div double"),
                             len(P.BUYDOWN_DIVISORS))
     paid = o.where(c("o_fee") > 0).join(base, ["id", "o_term"])
     paid = paid.join(div, paid.o_term == div.d_term, "left")

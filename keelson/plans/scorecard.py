@@ -28,6 +28,7 @@ from ..operators.nested import flatten
 from ..operators.policy import broadcast_bounded
 from ..sources import derived as D
 from ..sources import policies as P
+from ..sources.tables import small_frame
 
 c = F.col
 # Reporting window (inclusive at both ends, Q20) — parameters of the job.
@@ -115,7 +116,8 @@ def task_scores(spark: SparkSession, sf: str) -> DataFrame:
     """B50 — cancelled / completed counts and weighted score per agent."""
     ff = normalised_tasks(spark, sf)
     f = identity_union(spark, sf).select("application_id")
-    w = broadcast_bounded(spark.createDataFrame(P.TASK_WEIGHTS, "w_label string, weight int"), len(P.TASK_WEIGHTS))
+    w = broadcast_bounded(small_frame(spark, "task_weights", P.TASK_WEIGHTS, "w_label string, weight int"),
+                          len(P.TASK_WEIGHTS))
     j = (ff.join(f, ff.application == f.application_id, "right")
            .where(c("task_id").isNotNull() & ~c("completed_by").isin(*P.NON_AGENTS)
                   & ~c("proficiencies").isin("[SYSTEM]", "[]", "[COMPLIANCE]")

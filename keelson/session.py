@@ -20,6 +20,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         SparkSession.builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Python call-site capture per Column call is a debugging aid; it costs a JVM
+        # round trip per call when building wide plans on the driver.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
 from .bureau_codes import BUREAU_CODES
-from .tables import table
+from .tables import frame, table
 
 # Date the lien ages are measured from when no application date applies.
 AS_OF = "2024-02-01"
@@ -52,14 +52,16 @@ def bureau_test_ranges() -> dict[str, tuple[int, int]]:
     return {c: special[c] for c in BUREAU_CODES}
 
 
-def bureau_attr_sql(code: str, idx: int, soft: bool) -> str:
+def bureau_attr_sql(code: str, idx: int, soft: bool | str) -> str:
     """SQL text (valid in Spark SQL and DuckDB) of one synthetic bureau attribute as STRING.
 
-    Injects the three kinds of bad input the normaliser must handle: a
-    sentinel code, an unparsable string and NULL.
+    ``soft`` is a bool or the name of a 0/1 column (soft pull = 1).  Injects the
+    three kinds of bad input the normaliser must handle: a sentinel code, an
+    unparsable string and NULL.
     """
     m, s = bureau_test_ranges()[code]
-    a, b = 7 + 2 * idx + (1 if soft else 0), 3 + idx
+    soft_term = (" + 1" if soft else "") if isinstance(soft, bool) else f" + {soft}"
+    a, b = f"({7 + 2 * idx}{soft_term})", 3 + idx
     key = f"(p_qty + {idx})"
     val = f"greatest(((p_qty * {a} + p_lines * {b}) % {m}) - {s}, 0)"
     return (f"CASE WHEN {key} % 23 = 0 THEN '999999998' "
@@ -72,6 +74,7 @@ def bureau_attr_sql(code: str, idx: int, soft: bool) -> str:
 # order-level line aggregates (shared by property, bureau)
 # ---------------------------------------------------------------------------
 
+@frame
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: line aggregates (partial + final hash aggregate)."""
     li = table(spark, sf_dir, "lineitem")
@@ -93,6 +96,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # application mart
 # ---------------------------------------------------------------------------
 
+@frame
 def app(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loan applications: orders joined to customer and nation."""
     o = table(spark, sf_dir, "orders")
@@ -128,6 +132,7 @@ def app(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@frame
 def prop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Property record per application (valuation, land use, acreage, sale date, owed)."""
     ol = order_lines(spark, sf_dir)
@@ -146,12 +151,15 @@ def prop(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@frame
 def bureau_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bureau attributes per (person, credit type), coded as strings.
 
     Person-level aggregates come from the order-line aggregate joined to orders
     (pre-aggregated per order before the join, then per person).  Every person
-    has a soft pull; three in four also have a hard pull.
+    has a soft pull; three in four also have a hard pull.  Both pulls are
+    generated from ONE aggregate pass (explode of the credit types), not a
+    union of two aggregates.
     """
     ol = order_lines(spark, sf_dir).select("id", "n_lines", "qty")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -159,19 +167,18 @@ def bureau_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
              .groupBy(F.col("o_custkey").alias("person"))
              .agg(F.sum("qty").cast("bigint").alias("p_qty"),
                   F.sum("n_lines").cast("bigint").alias("p_lines")))
-    frames = []
-    for kind, soft in (("Hard Credit", False), ("Soft Credit", True)):
-        src = per.where(F.col("person") % 4 != 0) if not soft else per
-        frames.append(src.select(
-            "person", F.lit(kind).alias("credit_type"),
-            *[F.expr(bureau_attr_sql(c, i, soft)).alias(c) for i, c in enumerate(BUREAU_CODES)]))
-    return frames[0].unionByName(frames[1])
+    pulls = per.select("*", F.explode(F.array(F.lit("Hard Credit"), F.lit("Soft Credit"))).alias("credit_type")) \
+               .where((F.col("credit_type") == "Soft Credit") | (F.col("person") % 4 != 0)) \
+               .withColumn("is_soft", (F.col("credit_type") == "Soft Credit").cast("int"))
+    return pulls.select("person", "credit_type",
+                        *[F.expr(bureau_attr_sql(c, i, "is_soft")).alias(c) for i, c in enumerate(BUREAU_CODES)])
 
 
 # ---------------------------------------------------------------------------
 # decision events with nested packet, offers and decline reasons
 # ---------------------------------------------------------------------------
 
+@frame
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decision events (application x event) with nested ``uw_packet``, ``offers``, ``decline_reasons``.
 
@@ -231,6 +238,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # liens, tasks, chat, staff profile
 # ---------------------------------------------------------------------------
 
+@frame
 def liens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Involuntary-lien items per person, with summary flags."""
     ev = table(spark, sf_dir, "events")
@@ -273,6 +281,7 @@ TASK_TYPE_BY_EVENT = [("click", "PROPERTY_OWNERSHIP_FRAUD_REVIEW"), ("view", "FR
                       ("purchase", "CREDIT_FRAUD_REVIEW"), ("signup", "DOCUMENT_REVIEW")]
 
 
+@frame
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operations tasks (task x sub-task): one per event, completed by one of the agents."""
     ev = table(spark, sf_dir, "events")
@@ -300,6 +309,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@frame
 def contact_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Do-not-contact records: created by one agent, maybe updated by another."""
     o = table(spark, sf_dir, "orders")
@@ -311,6 +321,7 @@ def contact_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.concat(F.lit("S"), (F.col("o_custkey") % N_AGENTS).cast("string"))).alias("updated_by"))
 
 
+@frame
 def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complaint records: creator, optional approver, product, approval flag."""
     o = table(spark, sf_dir, "orders")
@@ -326,6 +337,7 @@ def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", F.lit(None)).otherwise(F.col("o_orderstatus") == "F").alias("is_approved"))
 
 
+@frame
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notary call statistics (call x participant)."""
     ev = table(spark, sf_dir, "events")
@@ -340,6 +352,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_add("MINUTE", -(eid % 3), ended).alias("disconnected"))
 
 
+@frame
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat records (one per conversation turn) with nested events / latencies / id maps."""
     cv = table(spark, sf_dir, "conversations")
@@ -366,6 +379,7 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@frame
 def staff_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staff identities only ('S' ids): the actor columns of tasks, contacts, complaints and
     calls only ever hold staff ids, so joining them to this subset equals joining the full profile."""
@@ -374,6 +388,7 @@ def staff_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit("@staff.example")).alias("email"))
 
 
+@frame
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity profiles: borrowers (customers, 'C' ids) and staff (suppliers, 'S' ids)."""
     c = table(spark, sf_dir, "customer")
@@ -392,6 +407,7 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cust.unionByName(staff)
 
 
+@frame
 def mortgage_history(spark: SparkSession, sf: str) -> DataFrame:
     """Mortgage / title records (application x mortgage) with a nested transaction array.
 
@@ -427,6 +443,7 @@ def mortgage_history(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@frame
 def property_sale_dates(spark: SparkSession, sf: str) -> DataFrame:
     """Three sale-date sources per application, as strings ('' or NULL when missing)."""
     a = app(spark, sf).select("id", "app_date")
@@ -440,6 +457,7 @@ def property_sale_dates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@frame
 def tradelines(spark: SparkSession, sf: str) -> DataFrame:
     """Credit tradelines (application x tradeline)."""
     li = table(spark, sf, "lineitem")
