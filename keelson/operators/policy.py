@@ -23,6 +23,11 @@ def effective_date(app_date: Column, mail_date: Column, respond_by: Column, flag
     return F.when(valid, mail_date).otherwise(app_date)
 
 
+def repair_date(date: Column, bad_date, fallback: Column) -> Column:
+    """B5 (bad-date repair) — a known-bad recorded date is replaced by a fallback date column."""
+    return F.when(date == F.lit(bad_date), fallback).otherwise(date)
+
+
 def regime(date: Column, boundaries: Sequence[tuple[str, object]], first: str = "r0") -> Column:
     """Name of the half-open regime ``[from, next_from)`` holding ``date``.
 

@@ -201,7 +201,7 @@ def _max_loan() -> str:
     return f"CASE {arms} END"
 
 
-def _credit_case() -> str:
+def _credit_rules_sql() -> list[tuple[str, str]]:
     bk = f"CASE WHEN eff_date >= {_d(P.BANKRUPTCY_CUTOFF)} THEN {P.BANKRUPTCY_MONTHS[1]} ELSE {P.BANKRUPTCY_MONTHS[0]} END"
     msg = r"TRY_CAST(regexp_extract(alert_message, 'subcode (\d+)', 1) AS INTEGER)"
     rules = [
@@ -217,7 +217,11 @@ def _credit_case() -> str:
         ("Alert_Subcode_Knockout_Failure1", f"alert_subcode IN ({_in(P.ALERT_SUBCODES)})"),
         ("Fraud_Shield_Knockout_Failure1", f"{msg} IN ({_in(P.FRAUD_SHIELD_SUBCODES)})"),
     ]
-    arms = " ".join(f"WHEN ({cond}) AND is_approved THEN '{label}'" for label, cond in rules)
+    return [(label, f"({cond}) AND is_approved") for label, cond in rules]
+
+
+def _credit_case() -> str:
+    arms = " ".join(f"WHEN {cond} THEN '{label}'" for label, cond in _credit_rules_sql())
     return f"CASE {arms} ELSE 'PASS' END"
 
 
@@ -775,3 +779,25 @@ FROM (SELECT chat_id, response_latency[1].latency AS lat FROM chat)""")
 sql("q_epoch_order", W("mortgage_history") + """
 SELECT id, document_number, created_seconds, created_nanos, created_seconds + created_nanos / 1e9 AS created_epoch
 FROM mortgage_history""")
+
+
+# =============================================================================
+# credit-only audit, knockout flags, bad-date repair
+# =============================================================================
+sql("q_credit_audit", _H + "SELECT id, app_date, status, decision, fico, credit_check FROM chk1 WHERE credit_check != 'PASS'")
+
+
+def _knockout_flags_sql() -> str:
+    cols = [(label.replace("_Knockout_Failure1", "").lower(), cond) for label, cond in _credit_rules_sql()]
+    sel = ", ".join(f"CASE WHEN ({c}) IS TRUE THEN 'YES' ELSE 'NO' END AS {n}" for n, c in cols)
+    anyf = " OR ".join(f"(({c}) IS TRUE)" for _, c in cols)
+    return _H + f"SELECT id, {sel}, CASE WHEN {anyf} THEN 'FAIL' ELSE 'PASS' END AS knockout_result FROM inputs"
+
+
+sql("q_knockout_flags", _knockout_flags_sql())
+sql("q_date_repair", W("app", "decisions", extra=[LATEST_DECISION]) + f"""
+SELECT id, app_date, repaired_date,
+       CASE WHEN flag = 'Y' AND respond_by >= repaired_date THEN mail_date ELSE repaired_date END AS eff_date
+FROM (SELECT a.id, a.app_date, a.mail_date, a.respond_by, a.flag,
+             CASE WHEN a.app_date = {_d(P.BAD_APP_DATE)} THEN CAST(l.event_ts AS DATE) ELSE a.app_date END AS repaired_date
+      FROM app a LEFT JOIN latest_decision l ON a.id = l.id)""")

@@ -753,3 +753,44 @@ def q_epoch_order(spark: SparkSession, sf: str) -> DataFrame:
     m = D.mortgage_history(spark, sf)
     return m.select("id", "document_number", "created_seconds", "created_nanos",
                     (F.col("created_seconds") + F.col("created_nanos") / 1e9).alias("created_epoch"))
+
+
+# ---------------------------------------------------------------------------
+# credit-only audit, knockout flags, bad-date repair
+# ---------------------------------------------------------------------------
+from .operators.policy import repair_date  # noqa: E402
+from .operators.rules import battery as _battery  # noqa: E402
+from .sources import policies as _P  # noqa: E402
+
+
+@register
+def q_credit_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Credit knockout audit — applications failing a credit knockout."""
+    df = H.with_credit(H.heloc_inputs(spark, sf, with_liens_and_reasons=False))
+    return df.where(F.col("credit_check") != "PASS").select("id", "app_date", "status", "decision", "fico",
+                                                          "credit_check")
+
+
+@register
+def q_knockout_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """B8 (YES/NO style): one flag per knockout rule plus an overall result."""
+    df = H.heloc_inputs(spark, sf, with_liens_and_reasons=False)
+    rules = [(label.replace("_Knockout_Failure1", "").lower(), cond)
+             for label, cond in H.credit_rules(df)]
+    out = _battery(df, rules, style="yesno")
+    names = [n for n, _ in rules]
+    anyf = F.lit(False)
+    for n in names:
+        anyf = anyf | (F.col(n) == "YES")
+    return out.select("id", *names, F.when(anyf, "FAIL").otherwise("PASS").alias("knockout_result"))
+
+
+@register
+def q_date_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """B5 (bad-date repair): a bulk-overwritten application date replaced by the decision date."""
+    a = D.app(spark, sf).select("id", "app_date", "mail_date", "respond_by", "flag")
+    ld = H.latest_decision(spark, sf).select("id", F.to_date("event_ts").alias("decision_date"))
+    j = a.join(ld, "id", "left")
+    fixed = repair_date(F.col("app_date"), _P.BAD_APP_DATE, F.col("decision_date"))
+    return j.select("id", "app_date", fixed.alias("repaired_date"),
+                    effective_date(fixed, F.col("mail_date"), F.col("respond_by"), F.col("flag")).alias("eff_date"))

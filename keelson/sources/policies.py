@@ -25,6 +25,9 @@ BANKRUPTCY_CUTOFF = dt.date(1997, 4, 2)
 REFI_HOUSING_CUTOFF = dt.date(1997, 1, 17)
 REFI_BUREAU_CUTOFF = dt.date(1997, 1, 24)
 MIN_DATE, MAX_DATE = dt.date(1900, 1, 1), dt.date(9999, 12, 31)
+# A day on which application dates were overwritten in bulk (test binding); repaired
+# from the decision event date.
+BAD_APP_DATE = dt.date(1998, 3, 26)
 
 # FIXED VALUES: loan size limits by score band (min amount; max per band)
 LOAN_MIN = 15000.0
