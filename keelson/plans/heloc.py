@@ -43,9 +43,17 @@ c = F.col
 
 @frame
 def latest_decision(spark: SparkSession, sf: str) -> DataFrame:
-    d = D.decisions(spark, sf)
-    return latest(d, ["id"], [c("event_ts").desc()],
-                  [c("seq").desc(), c("part").desc(), c("supp").desc(), c("price").desc()])
+    """Latest decision event per application.
+
+    Ranked on the narrow key columns of the raw events first; the wide nested
+    record is built only for the surviving row of each application.
+    """
+    from ..sources.tables import table
+    li = table(spark, sf, "lineitem")
+    top = latest(li, ["l_orderkey"], [c("l_shipdate").desc()],
+                 [c("l_linenumber").desc(), c("l_partkey").desc(), c("l_suppkey").desc(),
+                  c("l_extendedprice").desc()])
+    return D.decision_record(top)
 
 
 @frame

@@ -218,9 +218,8 @@ def q_flatten_cross(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _latest_decision(spark: SparkSession, sf: str) -> DataFrame:
-    d = D.decisions(spark, sf)
-    return latest(d, ["id"], [F.col("event_ts").desc()],
-                  [F.col("seq").desc(), F.col("part").desc(), F.col("supp").desc(), F.col("price").desc()])
+    from .plans.heloc import latest_decision
+    return latest_decision(spark, sf)
 
 
 @register

@@ -180,12 +180,17 @@ def bureau_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision events (application x event) with nested ``uw_packet``, ``offers``, ``decline_reasons``.
+    """Decision events (application x event) with nested ``uw_packet``, ``offers``, ``decline_reasons``."""
+    return decision_record(table(spark, sf_dir, "lineitem"))
+
+
+def decision_record(li: DataFrame) -> DataFrame:
+    """Nested decision record of each line-item-shaped row.
 
     The offers array holds up to five offers built from the line's own values;
-    it is empty for some events and NULL for others.
+    it is empty for some events and NULL for others.  Row-wise, so it can be
+    applied after ranking (build the wide record only for surviving rows).
     """
-    li = table(spark, sf_dir, "lineitem")
     ln = F.col("l_linenumber")
     disc, tax = F.col("l_discount"), F.col("l_tax")
 
