@@ -31,7 +31,7 @@ from ..operators.audit import approved, declined, verdict
 from ..operators.latest import latest
 from ..operators.membership import member_flag
 from ..operators.nested import flatten
-from ..operators.policy import band_join, effective_date
+from ..operators.policy import band_join, broadcast_bounded, effective_date
 from ..operators.rules import cascade, first_label, two_way
 from ..sources import derived as D
 from ..sources import policies as P
@@ -95,8 +95,8 @@ def lien_summary(spark: SparkSession, sf: str, as_of: Column) -> DataFrame:
     person_state = latest(a.select("person", "state", "app_date", "id", "hard_score", "soft_score"),
                           ["person"], [c("app_date").desc(), c("id").desc()])
     items = (lz.join(person_state, "person", "left")
-               .join(F.broadcast(groups), "state", "left"))
-    lim = F.broadcast(limits)
+               .join(broadcast_bounded(groups, len(P.state_group())), "state", "left"))
+    lim = broadcast_bounded(limits, len(P.LIEN_AGE_LIMITS))
     items = items.join(lim, (items.category == lim.category)
                        & ((lim.state_group == "any") | (items.state_group == lim.state_group)), "left") \
                  .select(items["*"], lim.max_months)

@@ -27,6 +27,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Split a hot join key's partition even when that costs an extra shuffle.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         # Small post-shuffle partitions are only coalesced down to this size, so CPU-heavy
         # stages keep every core busy on small inputs; irrelevant once partitions are large.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
