@@ -41,3 +41,21 @@ def test_column_pruning_reaches_scan(spark):
 def test_filter_pushed_to_scan(spark):
     p = plan(QUERIES["q_semi_cohort"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(quality), EqualTo(quality,1)" in p
+
+
+def test_latest_and_aggregate_on_hot_key(spark):
+    """One key holds a third of all rows: results stay whole and the plan limits / combines map-side."""
+    from pyspark.sql import functions as F
+
+    from keelson.operators.latest import latest
+    df = spark.range(0, 90000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"),
+        F.col("id").alias("t"))
+    top = latest(df, ["k"], [F.col("t").desc()])
+    p = plan(top)
+    assert p.count("WindowGroupLimit") >= 2  # partial (before the exchange) + final
+    got = {r.k: r.t for r in top.collect()}
+    assert len(got) == 60001 and got[-1] == 89997
+    agg = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert "partial_count" in plan(agg)
+    assert agg.where("k = -1").first().n == 30000
