@@ -45,15 +45,24 @@ def grid_check(spark: SparkSession, sf: str) -> DataFrame:
         "first_lien": c("n_liens") <= 2,
         "cltv": round_half_up(safe_div(c("owed"), c("avm")), 4),
     })
-    rows = P.rate_grid_rows()
+    # Band indexes from the policy's band edges: CLTV bands are [0, .5] then (lo, hi];
+    # score bands are inclusive.  The grid is then an equi-join on the full cell key
+    # (one candidate per offer) instead of a range residual over every band.
+    cltv_band = None
+    for i, (lo, hi) in enumerate(P.CLTV_BANDS):
+        cond = ((c("cltv") >= lo) if i == 0 else (c("cltv") > lo)) & (c("cltv") <= hi)
+        cltv_band = F.when(cond, i) if cltv_band is None else cltv_band.when(cond, i)
+    score_band = None
+    for i, (lo, hi) in enumerate(P.SCORE_BANDS):
+        cond = (c("score") >= lo) & (c("score") <= hi)
+        score_band = F.when(cond, i) if score_band is None else score_band.when(cond, i)
+    o = o.withColumns({"cltv_band": cltv_band, "score_band": score_band})
+    rows = P.rate_grid_cells()
     grid = broadcast_bounded(small_frame(
-        spark, "rate_grid",
-        [(t, fl, lo, hi, lo == P.CLTV_BANDS[0][0], slo, shi, r) for (t, fl, lo, hi, slo, shi, r) in rows],
-        "g_term int, g_first boolean, g_lo double, g_hi double, g_lo_closed boolean, g_slo int, g_shi int, "
-        "expected_rate double"), len(rows))
+        spark, "rate_grid_cells", rows,
+        "g_term int, g_first boolean, g_cltv_band int, g_score_band int, expected_rate double"), len(rows))
     cond = ((c("o_term") == grid.g_term) & (c("first_lien") == grid.g_first)
-            & ((c("cltv") > grid.g_lo) | (grid.g_lo_closed & (c("cltv") == grid.g_lo))) & (c("cltv") <= grid.g_hi)
-            & (c("score") >= grid.g_slo) & (c("score") <= grid.g_shi))
+            & (c("cltv_band") == grid.g_cltv_band) & (c("score_band") == grid.g_score_band))
     j = o.join(grid, cond, "left")
     check = (F.when(c("expected_rate").isNull(), "NO_GRID_CELL")
               .when(round_half_up(c("o_rate"), 4) == round_half_up(c("expected_rate"), 4), "OK")

@@ -36,6 +36,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.shuffle.partitions",
                 str(shuffle_partitions or int(cpus)))
     )
+    if os.environ.get("KEELSON_EVENT_LOG_DIR"):  # profiling: stage / task times without the UI
+        builder = (builder.config("spark.eventLog.enabled", "true")
+                   .config("spark.eventLog.dir", os.environ["KEELSON_EVENT_LOG_DIR"])
+                   .config("spark.eventLog.compress", "false"))
     if master or not os.environ.get("SPARK_MASTER"):
         builder = builder.master(master or f"local[{cpus}]")
         builder = builder.config("spark.driver.memory", "16g")

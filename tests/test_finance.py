@@ -94,3 +94,10 @@ def test_band_join_single_match(spark):
                     ranges=[(F.col("fico"), "l_lo", "l_hi", True, False)])
     got = sorted((r.regime, r.v) for r in out.collect())
     assert got == [("r0", 0.8), ("r2", 0.85), ("r3", None)]
+
+
+def test_rate_grid_cells_match_band_rows():
+    rows = P.rate_grid_rows()
+    cells = P.rate_grid_cells()
+    assert len(rows) == len(cells) == len(P.GRID_BASE) * len(P.CLTV_BANDS) * len(P.SCORE_BANDS)
+    assert sorted(r[6] for r in rows) == sorted(c[4] for c in cells)
