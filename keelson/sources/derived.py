@@ -422,6 +422,8 @@ def mortgage_history(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     ship = F.to_date("l_shipdate")
     pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    # Epoch seconds of the (time-zone-less) ship timestamp, independent of the session zone.
+    epoch_s = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("l_shipdate"))
     tx = lambda kind, off, pos: F.struct(
         F.lit(kind).alias("type_description"),
         F.date_sub(ship, (pk % off).cast("int")).alias("tx_date"),
@@ -439,9 +441,9 @@ def mortgage_history(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_quantity") > 48, F.lit(None)).otherwise(F.col("l_extendedprice")).alias("amount"),
         F.concat(F.lit("D"), (ln % 3).cast("string")).alias("document_number"),
         F.concat(F.lit("Lender "), F.repeat(F.lit("x"), (sk % 5).cast("int"))).alias("lender"),
-        F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("created_seconds"),
+        epoch_s.alias("created_seconds"),
         (pk % 1000).alias("created_nanos"),
-        (F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + sk).alias("updated_seconds"),
+        (epoch_s + sk).alias("updated_seconds"),
         (ln * 1000).alias("updated_nanos"),
         F.when(pk % 4 == 0, F.array(tx("DEED", 3, 2)))
          .otherwise(F.array(tx("FINANCE", 15, 1), tx("DEED", 3, 2), tx("FINANCE", 7, 3))).alias("transactions"),
