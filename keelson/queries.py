@@ -9,11 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.numeric import is_false, is_true, round_half_up
+from .functions import finance as FN
+from .functions.dates import day_diff, minute_diff, month_diff, year_diff
+from .functions.numeric import is_false, is_true, round_half_up, safe_div, sentinel_to_zero
 from .operators.latest import latest
 from .operators.membership import cohort, member_flag, not_in
 from .operators.nested import flatten
+from .operators.policy import effective_date, repair_date
+from .operators.reconcile import mismatches
+from .operators.rules import battery
+from .plans import heloc as H
+from .plans import liens as LZ
+from .plans import pricing as PR
+from .plans import refi as R
+from .plans import scorecard as SC
 from .sources import derived as D
+from .sources import policies as P
 from .sources.tables import table
 
 QUERIES: dict = {}
@@ -294,10 +305,6 @@ def q_sort_final(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # home-equity decision audit (flagship) and its stages
 # ---------------------------------------------------------------------------
-from .functions import finance as FN  # noqa: E402
-from .operators.policy import effective_date  # noqa: E402
-from .operators.reconcile import mismatches  # noqa: E402
-from .plans import heloc as H  # noqa: E402
 
 
 @register
@@ -451,7 +458,6 @@ def q_two_way(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # refinance audit and its stages
 # ---------------------------------------------------------------------------
-from .plans import refi as R  # noqa: E402
 
 
 @register
@@ -461,7 +467,7 @@ def q_refi_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register
-def q_battery(spark: SparkSession, sf: str) -> DataFrame:
+def qbattery(spark: SparkSession, sf: str) -> DataFrame:
     """Rejection battery (one boolean per rule), any-true flag and first-failure label."""
     df = R.refi_knockouts(spark, sf, keep_rules=True)
     return df.select("id", *[n for n, _ in R.refi_rules()], "hard_knock", "hard_knock_failure")
@@ -491,7 +497,7 @@ def q_payment(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def q_blended(spark: SparkSession, sf: str) -> DataFrame:
     """Blended payment after a full or partial refinance."""
-    return R.refi_checks(spark, sf).select("id", "amount", "STU5020", "post_payment")  # noqa: E501
+    return R.refi_checks(spark, sf).select("id", "amount", "STU5020", "post_payment")
 
 
 @register
@@ -509,7 +515,6 @@ def q_fcf_check(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # pricing (B40-B43)
 # ---------------------------------------------------------------------------
-from .plans import pricing as PR  # noqa: E402
 
 
 @register
@@ -539,7 +544,6 @@ def q_fee_buydown(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # liens (B15, B16, B44-B46)
 # ---------------------------------------------------------------------------
-from .plans import liens as LZ  # noqa: E402
 
 
 @register
@@ -575,7 +579,6 @@ def q_tradeline_class(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # operations scorecard
 # ---------------------------------------------------------------------------
-from .plans import scorecard as SC  # noqa: E402
 
 
 @register
@@ -665,8 +668,6 @@ def q_scorecard(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # scalar functions
 # ---------------------------------------------------------------------------
-from .functions.dates import day_diff, minute_diff, month_diff, year_diff  # noqa: E402
-from .functions.numeric import safe_div, sentinel_to_zero  # noqa: E402
 
 AS_OF_DATE = "2002-01-01"
 
@@ -757,9 +758,6 @@ def q_epoch_order(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # credit-only audit, knockout flags, bad-date repair
 # ---------------------------------------------------------------------------
-from .operators.policy import repair_date  # noqa: E402
-from .operators.rules import battery as _battery  # noqa: E402
-from .sources import policies as _P  # noqa: E402
 
 
 @register
@@ -776,7 +774,7 @@ def q_knockout_flags(spark: SparkSession, sf: str) -> DataFrame:
     df = H.heloc_inputs(spark, sf, with_liens_and_reasons=False)
     rules = [(label.replace("_Knockout_Failure1", "").lower(), cond)
              for label, cond in H.credit_rules(df)]
-    out = _battery(df, rules, style="yesno")
+    out = battery(df, rules, style="yesno")
     names = [n for n, _ in rules]
     anyf = F.lit(False)
     for n in names:
@@ -790,6 +788,6 @@ def q_date_repair(spark: SparkSession, sf: str) -> DataFrame:
     a = D.app(spark, sf).select("id", "app_date", "mail_date", "respond_by", "flag")
     ld = H.latest_decision(spark, sf).select("id", F.to_date("event_ts").alias("decision_date"))
     j = a.join(ld, "id", "left")
-    fixed = repair_date(F.col("app_date"), _P.BAD_APP_DATE, F.col("decision_date"))
+    fixed = repair_date(F.col("app_date"), P.BAD_APP_DATE, F.col("decision_date"))
     return j.select("id", "app_date", fixed.alias("repaired_date"),
                     effective_date(fixed, F.col("mail_date"), F.col("respond_by"), F.col("flag")).alias("eff_date"))

@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
-
 # Regime boundaries for the test binding (half-open [from, to)).
 REGIME_DATES = {
     "r1": dt.date(1996, 7, 1),   # first tightening
@@ -214,13 +212,3 @@ def rate_grid_cells() -> list[tuple]:
             for si in range(len(SCORE_BANDS)):
                 out.append((term, first, bi, si, round(base + 0.0025 * bi + 0.0030 * (len(SCORE_BANDS) - 1 - si), 4)))
     return out
-
-
-def rate_grid(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        rate_grid_rows(),
-        "term int, first_lien boolean, cltv_lo double, cltv_hi double, score_lo int, score_hi int, rate double")
-
-
-def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)

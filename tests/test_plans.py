@@ -59,3 +59,19 @@ def test_latest_and_aggregate_on_hot_key(spark):
     agg = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     assert "partial_count" in plan(agg)
     assert agg.where("k = -1").first().n == 30000
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    """Timestamps are zone-less: derived seconds and windows must not move with the session zone."""
+    import os
+    q = QUERIES["q_epoch_order"]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    os.environ["KEELSON_NO_MEMO"] = "1"  # rebuild (and re-analyse) the derived frames per zone
+    try:
+        utc = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        la = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+        os.environ.pop("KEELSON_NO_MEMO", None)
+    assert utc == la
