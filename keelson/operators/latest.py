@@ -27,9 +27,3 @@ def latest(df: DataFrame, keys: Sequence, order: Sequence[Column],
         df = df.where(where)
     w = Window.partitionBy(*[_col(k) for k in keys]).orderBy(*order, *tiebreak)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-
-
-def rank_rows(df: DataFrame, keys: Sequence, order: Sequence[Column], name: str = "r") -> DataFrame:
-    """Attach the per-key rank (the reference's ``R`` column) without filtering."""
-    w = Window.partitionBy(*[_col(k) for k in keys]).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))

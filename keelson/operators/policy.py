@@ -43,16 +43,6 @@ def regime(date: Column, boundaries: Sequence[tuple[str, object]], first: str =
     return expr.otherwise(F.lit(bs[-1][0]))
 
 
-def value_by_interval(x: Column, rows: Sequence[tuple[float, float, float]], lo_closed=True,
-                      hi_closed=False) -> Column:
-    """Value of the first interval (lo, hi, value) containing ``x``; NULL if none."""
-    expr = None
-    for lo, hi, v in rows:
-        cond = (x >= lo if lo_closed else x > lo) & (x <= hi if hi_closed else x < hi)
-        expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
-    return expr
-
-
 def broadcast_bounded(df: DataFrame, n_rows: int) -> DataFrame:
     """Broadcast a policy table whose row count is known on the driver."""
     if n_rows > MAX_BROADCAST_ROWS:

@@ -31,7 +31,7 @@ from ..operators.audit import approved, declined, verdict
 from ..operators.latest import latest
 from ..operators.membership import member_flag
 from ..operators.nested import flatten
-from ..operators.policy import band_join, broadcast_bounded, effective_date
+from ..operators.policy import band_join, broadcast_bounded, effective_date, regime
 from ..operators.rules import cascade, first_label, two_way
 from ..sources import derived as D
 from ..sources import policies as P
@@ -256,9 +256,8 @@ def with_ratios(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def regime_col(eff: Column) -> Column:
-    r = P.REGIME_DATES
-    return (F.when(eff < F.lit(r["r1"]), "r0").when(eff < F.lit(r["r2"]), "r1")
-             .when(eff < F.lit(r["r3"]), "r2").when(eff.isNotNull(), "r3"))
+    """Regime of the effective date: half-open periods between the policy's regime dates."""
+    return regime(eff, sorted(P.REGIME_DATES.items(), key=lambda kv: kv[1]), first="r0")
 
 
 def ratio_checks(spark: SparkSession, sf: str) -> DataFrame:
