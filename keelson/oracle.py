@@ -801,3 +801,10 @@ SELECT id, app_date, repaired_date,
 FROM (SELECT a.id, a.app_date, a.mail_date, a.respond_by, a.flag,
              CASE WHEN a.app_date = {_d(P.BAD_APP_DATE)} THEN CAST(l.event_ts AS DATE) ELSE a.app_date END AS repaired_date
       FROM app a LEFT JOIN latest_decision l ON a.id = l.id)""")
+sql("q_property_flags", W("app", "prop") + f"""
+SELECT a.id,
+       CASE WHEN (coalesce(prequal_avm, 0.0) = 0 AND coalesce(avm, 0.0) = 0) IS TRUE THEN 'YES' ELSE 'NO' END AS avm_knockout,
+       CASE WHEN (land_use NOT IN ({_in(P.LAND_USE_BEFORE)})) IS TRUE THEN 'YES' ELSE 'NO' END AS land_use_code_knockout,
+       CASE WHEN (acres > {_f(P.MAX_ACRES)}) IS TRUE THEN 'YES' ELSE 'NO' END AS acres_knockout,
+       CASE WHEN (date_diff('day', last_sale, app_date) <= {P.RECENT_SALE_DAYS}) IS TRUE THEN 'YES' ELSE 'NO' END AS last_sale_date_knockout
+FROM app a LEFT JOIN prop p ON a.id = p.id""")

@@ -791,3 +791,17 @@ def q_date_repair(spark: SparkSession, sf: str) -> DataFrame:
     fixed = repair_date(F.col("app_date"), P.BAD_APP_DATE, F.col("decision_date"))
     return j.select("id", "app_date", fixed.alias("repaired_date"),
                     effective_date(fixed, F.col("mail_date"), F.col("respond_by"), F.col("flag")).alias("eff_date"))
+
+
+@register
+def q_property_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """B8, B14, F12, F13 (YES/NO style): property knockout flags against an as-of date (the application date)."""
+    df = D.app(spark, sf).select("id", "app_date").join(D.prop(spark, sf), "id", "left")
+    rules = [
+        ("avm_knockout", (F.coalesce(F.col("prequal_avm"), F.lit(0.0)) == 0) & (F.coalesce(F.col("avm"), F.lit(0.0)) == 0)),
+        ("land_use_code_knockout", ~F.col("land_use").isin(*P.LAND_USE_BEFORE)),
+        ("acres_knockout", F.col("acres") > P.MAX_ACRES),
+        ("last_sale_date_knockout", day_diff(F.col("app_date"), F.col("last_sale")) <= P.RECENT_SALE_DAYS),
+    ]
+    out = battery(df, rules, style="yesno")
+    return out.select("id", *[n for n, _ in rules])
