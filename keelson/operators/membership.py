@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 
 def _stats(sub: DataFrame, sub_col: str) -> tuple[Column, Column]:
+    """(row count, holds a NULL) of the subquery as ONE scalar subquery (one pass, reused)."""
     s = sub.select(F.col(sub_col).alias("_k"))
-    n = s.select(F.count(F.lit(1))).scalar()
-    has_null = s.select(F.coalesce(F.max(F.col("_k").isNull()), F.lit(False))).scalar()
-    return n, has_null
+    stats = s.select(F.struct(F.count(F.lit(1)).alias("n"),
+                              F.coalesce(F.max(F.col("_k").isNull()), F.lit(False)).alias("has_null"))).scalar()
+    return stats["n"], stats["has_null"]
 
 
 def semi(df: DataFrame, keys: DataFrame, on: str, key_col: str | None = None) -> DataFrame:
