@@ -428,6 +428,9 @@ def refi_ctes() -> str:
              ("rld", f"""SELECT id, TRY_CAST(uw_packet.credit_score AS DOUBLE) AS packet_score,
                   uw_packet.revolving_debt.amount AS rec_revolving, uw_packet.installment_debt.amount AS rec_installment,
                   uw_packet.monthly_income.amount AS verified_income, {rhu('uw_packet.home_amount / 400', 2)} AS rec_housing,
+                  uw_packet.transportation_expense.amount AS rec_transport, uw_packet.bureau_debt.amount AS rec_bureau_debt,
+                  uw_packet.current_student_payment.amount AS rec_student_payment,
+                  uw_packet.pre_loan_cashflow.amount AS rec_pre_fcf, uw_packet.post_loan_cashflow.amount AS rec_post_fcf,
                   offers FROM latest_decision"""),
              ("roffers", "SELECT id, o.term AS term_years, o.rate AS offer_rate FROM (SELECT id, unnest(offers) AS o FROM rld)"),
              ("hard", f"SELECT person, credit_type, {norm} FROM bureau_raw WHERE credit_type = 'Hard Credit'"),
@@ -477,7 +480,13 @@ def refi_ctes() -> str:
                        WHEN post_fcf IS NULL THEN 'Unavailable' ELSE 'Pass' END AS fcf_failure,
                   CASE WHEN {rhu('rec_revolving', 0)} = {rhu('z', 0)} THEN 'Match' WHEN {rhu('rec_revolving', 0)} != {rhu('z', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS card_debt_match,
                   CASE WHEN {rhu('rec_housing', 0)} = {rhu('t_housing', 0)} THEN 'Match' WHEN {rhu('rec_housing', 0)} != {rhu('t_housing', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS housing_match,
-                  CASE WHEN {rhu('rec_dti', 2)} = {rhu('t_dti', 2)} THEN 'Match' WHEN {rhu('rec_dti', 2)} != {rhu('t_dti', 2)} THEN 'Unmatch' ELSE 'Unavailable' END AS dti_match
+                  CASE WHEN {rhu('rec_dti', 2)} = {rhu('t_dti', 2)} THEN 'Match' WHEN {rhu('rec_dti', 2)} != {rhu('t_dti', 2)} THEN 'Unmatch' ELSE 'Unavailable' END AS dti_match,
+                  CASE WHEN {rhu('rec_installment', 0)} = {rhu('t_installment_debt', 0)} THEN 'Match' WHEN {rhu('rec_installment', 0)} != {rhu('t_installment_debt', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS installment_match,
+                  CASE WHEN {rhu('rec_transport', 0)} = {rhu('t_transport', 0)} THEN 'Match' WHEN {rhu('rec_transport', 0)} != {rhu('t_transport', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS transport_match,
+                  CASE WHEN {rhu('rec_bureau_debt', 0)} = {rhu('t_other_debt', 0)} THEN 'Match' WHEN {rhu('rec_bureau_debt', 0)} != {rhu('t_other_debt', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS bureau_debt_match,
+                  CASE WHEN {rhu('rec_student_payment', 0)} = {rhu('pre_payment', 0)} THEN 'Match' WHEN {rhu('rec_student_payment', 0)} != {rhu('pre_payment', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS student_payment_match,
+                  CASE WHEN {rhu('rec_pre_fcf', 0)} = {rhu('pre_fcf', 0)} THEN 'Match' WHEN {rhu('rec_pre_fcf', 0)} != {rhu('pre_fcf', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS pre_fcf_match,
+                  CASE WHEN {rhu('rec_post_fcf', 0)} = {rhu('post_fcf', 0)} THEN 'Match' WHEN {rhu('rec_post_fcf', 0)} != {rhu('post_fcf', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS post_fcf_match
                 FROM re"""),
              ("refi", """SELECT *,
                   CASE WHEN (coalesce(ends_with(hard_knock_failure, 'Failure'), false) OR coalesce(ends_with(dti_failure, 'Failure'), false)
@@ -493,8 +502,10 @@ def refi_ctes() -> str:
 
 
 _R = refi_ctes()
+REFI_MATCHES = ("card_debt_match, housing_match, dti_match, installment_match, transport_match, bureau_debt_match, "
+                "student_payment_match, pre_fcf_match, post_fcf_match")
 REFI_COLS = ("id, app_date, status, decision, packet_score, hard_knock, hard_knock_failure, dti_failure, fcf_failure, "
-             "t_monthly_debt, pre_fcf, post_fcf, card_debt_match, housing_match, dti_match, verdict")
+             f"t_monthly_debt, pre_fcf, post_fcf, {REFI_MATCHES}, verdict")
 sql("q_refi_audit", _R + f"SELECT {REFI_COLS} FROM refi WHERE verdict != 'Pass'")
 sql("q_battery", _R + "SELECT id, " + ", ".join(n for n, _ in REFI_RULES_SQL) + ", hard_knock, hard_knock_failure FROM rc")
 sql("q_expenses", _R + f"SELECT id, {rhu('t_housing', 2)} AS t_housing, t_transport, t_other_debt FROM rc")
@@ -808,3 +819,4 @@ SELECT a.id,
        CASE WHEN (acres > {_f(P.MAX_ACRES)}) IS TRUE THEN 'YES' ELSE 'NO' END AS acres_knockout,
        CASE WHEN (date_diff('day', last_sale, app_date) <= {P.RECENT_SALE_DAYS}) IS TRUE THEN 'YES' ELSE 'NO' END AS last_sale_date_knockout
 FROM app a LEFT JOIN prop p ON a.id = p.id""")
+sql("q_refi_reconcile", _R + f"SELECT id, {REFI_MATCHES} FROM refi")

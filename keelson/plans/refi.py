@@ -64,6 +64,11 @@ def refi_inputs(spark: SparkSession, sf: str) -> DataFrame:
         c("uw_packet.installment_debt.amount").alias("rec_installment"),
         c("uw_packet.monthly_income.amount").alias("verified_income"),
         round_half_up(c("uw_packet.home_amount") / 400, 2).alias("rec_housing"),
+        c("uw_packet.transportation_expense.amount").alias("rec_transport"),
+        c("uw_packet.bureau_debt.amount").alias("rec_bureau_debt"),
+        c("uw_packet.current_student_payment.amount").alias("rec_student_payment"),
+        c("uw_packet.pre_loan_cashflow.amount").alias("rec_pre_fcf"),
+        c("uw_packet.post_loan_cashflow.amount").alias("rec_post_fcf"),
         "offers",
     )
     hard = FN.bureau_normalise(D.bureau_raw(spark, sf), BUREAU_CODES, only_type="Hard Credit")
@@ -90,6 +95,7 @@ FINANCE_CODES = ["BCC5830", "BCC5838", "BCX5830", "BAX5030", "BCX5030", "RTR5030
                  "MTJ0416", "AUT5820", "ALL5830", "MTA5830"]
 BASE_COLUMNS = ["id", "app_date", "status", "decision", "amount", "income", "term_years", "citizenship",
                 "packet_score", "rec_revolving", "rec_installment", "verified_income", "rec_housing", "rec_dti",
+                "rec_transport", "rec_bureau_debt", "rec_student_payment", "rec_pre_fcf", "rec_post_fcf",
                 "offer_rate", "is_approved"]
 
 
@@ -152,15 +158,22 @@ def refi_checks(spark: SparkSession, sf: str) -> DataFrame:
         "card_debt_match": reconcile(c("rec_revolving"), c("z"), 0),
         "housing_match": reconcile(c("rec_housing"), c("t_housing"), 0),
         "dti_match": reconcile(c("rec_dti"), c("t_dti"), 2),
+        "installment_match": reconcile(c("rec_installment"), c("t_installment_debt"), 0),
+        "transport_match": reconcile(c("rec_transport"), c("t_transport"), 0),
+        "bureau_debt_match": reconcile(c("rec_bureau_debt"), c("t_other_debt"), 0),
+        "student_payment_match": reconcile(c("rec_student_payment"), c("pre_payment"), 0),
+        "pre_fcf_match": reconcile(c("rec_pre_fcf"), c("pre_fcf"), 0),
+        "post_fcf_match": reconcile(c("rec_post_fcf"), c("post_fcf"), 0),
     })
     return df.withColumn("verdict", failure_verdict(
         [c("hard_knock_failure"), c("dti_failure"), c("fcf_failure")],
         c("hard_knock") != "True", c("status"), c("decision")))
 
 
+MATCH_COLUMNS = ["card_debt_match", "housing_match", "dti_match", "installment_match", "transport_match",
+                 "bureau_debt_match", "student_payment_match", "pre_fcf_match", "post_fcf_match"]
 AUDIT_COLUMNS = ["id", "app_date", "status", "decision", "packet_score", "hard_knock", "hard_knock_failure",
-                 "dti_failure", "fcf_failure", "t_monthly_debt", "pre_fcf", "post_fcf", "card_debt_match",
-                 "housing_match", "dti_match", "verdict"]
+                 "dti_failure", "fcf_failure", "t_monthly_debt", "pre_fcf", "post_fcf", *MATCH_COLUMNS, "verdict"]
 
 
 def refi_audit(spark: SparkSession, sf: str) -> DataFrame:

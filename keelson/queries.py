@@ -805,3 +805,9 @@ def q_property_flags(spark: SparkSession, sf: str) -> DataFrame:
     ]
     out = battery(df, rules, style="yesno")
     return out.select("id", *[n for n, _ in rules])
+
+
+@register
+def q_refi_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine recomputed-vs-recorded refinance figures at whole-dollar / 2-digit tolerance."""
+    return R.refi_checks(spark, sf).select("id", *R.MATCH_COLUMNS)

@@ -233,6 +233,12 @@ def decision_record(li: DataFrame) -> DataFrame:
             F.struct(round_half_up(F.col("l_extendedprice") * disc, 2).alias("amount")).alias("revolving_debt"),
             F.struct((F.col("l_quantity") * 40).alias("amount")).alias("installment_debt"),
             F.struct((F.col("l_quantity") * 100 + 1000).alias("amount")).alias("monthly_income"),
+            F.struct(F.when(F.col("l_partkey") % 3 == 0, F.lit(350.0))
+                     .otherwise(F.col("l_quantity") * 20 + 200).alias("amount")).alias("transportation_expense"),
+            F.struct((F.col("l_extendedprice") / 50).alias("amount")).alias("bureau_debt"),
+            F.struct((F.col("l_quantity") * 15).alias("amount")).alias("current_student_payment"),
+            F.struct((F.col("l_extendedprice") / 20).alias("amount")).alias("pre_loan_cashflow"),
+            F.struct((F.col("l_extendedprice") / 25).alias("amount")).alias("post_loan_cashflow"),
         ).alias("uw_packet"),
         offers.alias("offers"),
         reasons.alias("decline_reasons"),

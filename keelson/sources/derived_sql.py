@@ -110,7 +110,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                  'fsd': l_tax * 200,
                  'revolving_debt': {{'amount': {rhu('l_extendedprice * l_discount', 2)}}},
                  'installment_debt': {{'amount': l_quantity * 40}},
-                 'monthly_income': {{'amount': l_quantity * 100 + 1000}}}} AS uw_packet,
+                 'monthly_income': {{'amount': l_quantity * 100 + 1000}},
+                 'transportation_expense': {{'amount': CASE WHEN l_partkey % 3 = 0 THEN 350.0 ELSE l_quantity * 20 + 200 END}},
+                 'bureau_debt': {{'amount': l_extendedprice / 50}},
+                 'current_student_payment': {{'amount': l_quantity * 15}},
+                 'pre_loan_cashflow': {{'amount': l_extendedprice / 20}},
+                 'post_loan_cashflow': {{'amount': l_extendedprice / 25}}}} AS uw_packet,
                CASE WHEN l_linenumber = 7 AND l_returnflag = 'N' THEN NULL
                     ELSE list_filter([{_offer(5, 0.030, 'FIXED')}, {_offer(10, 0.035, 'VARIABLE')},
                                       {_offer(15, 0.040, 'FIXED')}, {_offer(20, 0.045, 'VARIABLE')},
