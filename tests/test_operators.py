@@ -120,3 +120,15 @@ def test_first_known_date(spark):
     df = spark.createDataFrame([("", "bad", "2020-01-02"), (None, "2020-03-04", None)], "a string, b string, c string")
     out = [r.d for r in df.select(first_known_date("a", "b", "c").alias("d")).collect()]
     assert out == [dt.date(2020, 1, 2), dt.date(2020, 3, 4)]
+
+
+def test_sinks_write_and_materialize(spark, tmp_path):
+    from keelson.sources.sinks import materialize, write_result
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, g string")
+    out = str(tmp_path / "result")
+    write_result(df, out, partition_by=["g"])
+    back = spark.read.parquet(out)
+    assert sorted((r.id, r.g) for r in back.collect()) == [(1, "a"), (2, "b"), (3, "a")]
+    m = materialize(df.where("id > 1"), "probe")
+    assert "checkpoint" not in m.columns and sorted(r.id for r in m.collect()) == [2, 3]
+    assert spark.conf.get("spark.checkpoint.dir") in m.inputFiles()[0]
