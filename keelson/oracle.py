@@ -646,14 +646,21 @@ def _outcome_case() -> str:
 
 _WEIGHTS = ", ".join(f"({_lit_s}, {w})" for _lit_s, w in ((f"'{l}'", w) for l, w in P.TASK_WEIGHTS))
 SC_CTES = [
-    ("a1", "SELECT 'C' || CAST(person AS VARCHAR) AS a_identity, 'O' || CAST(id AS VARCHAR) AS a_app, state AS a_state, app_date, id FROM app"),
+    ("a1", "SELECT 'C' || CAST(person AS VARCHAR) AS a_identity, 'O' || CAST(id AS VARCHAR) AS a_app, state AS a_state, app_date, id, term_years, status FROM app"),
     ("a_last", "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY a_identity ORDER BY app_date DESC, id DESC) AS r FROM a1) WHERE r = 1"),
+    ("a_decl", "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY a_identity ORDER BY app_date DESC, id DESC) AS r FROM a1 WHERE status = 'DECLINED') WHERE r = 1"),
     ("identity_u", """SELECT a_app AS application_id, email, coalesce(a_identity, identity) AS identity_id,
                        coalesce(a_state, state) AS state, first_name || ' ' || last_name AS borrower_name
                      FROM profile lp LEFT JOIN a1 ON lp.identity = a1.a_identity
                      UNION ALL
                      SELECT a_identity, email, coalesce(a_identity, identity), coalesce(a_state, state), first_name || ' ' || last_name
-                     FROM profile lp LEFT JOIN a_last ON lp.identity = a_last.a_identity"""),
+                     FROM profile lp LEFT JOIN a_last ON lp.identity = a_last.a_identity
+                     UNION ALL
+                     SELECT 'R' || CAST(id AS VARCHAR), email, coalesce(a_identity, identity), coalesce(a_state, state), first_name || ' ' || last_name
+                     FROM profile lp LEFT JOIN (SELECT * FROM a1 WHERE term_years >= 15) a3 ON lp.identity = a3.a_identity
+                     UNION ALL
+                     SELECT a_identity, email, coalesce(a_identity, identity), coalesce(a_state, state), first_name || ' ' || last_name
+                     FROM profile lp LEFT JOIN a_decl ON lp.identity = a_decl.a_identity"""),
     ("cs", """SELECT application AS cs_application, max(message) AS cs_message FROM tasks
               WHERE last_status IN ('FAILED', 'CANCELLED') AND proficiencies = '[SUPERVISOR]' GROUP BY application"""),
     ("ntasks", f"""SELECT task_id, application, task_type,
@@ -672,7 +679,7 @@ SC_CTES = [
                      CAST(sum(CASE WHEN subtask_outcome = 'MANUAL_CANCEL' THEN 1 ELSE 0 END) AS BIGINT) AS tasks_cancelled,
                      CAST(sum(CASE WHEN subtask_outcome != 'MANUAL_CANCEL' THEN 1 ELSE 0 END) AS BIGINT) AS tasks_completed,
                      {rhu('count(subtask_type) * avg(coalesce(weight, 0))', 6)} AS score_obtained
-                   FROM ntasks RIGHT JOIN (SELECT application_id FROM identity_u) f ON ntasks.application = f.application_id
+                   FROM ntasks RIGHT JOIN (SELECT DISTINCT application_id FROM identity_u) f ON ntasks.application = f.application_id
                    LEFT JOIN weights ON subtask_type = w_label
                    WHERE task_id IS NOT NULL AND completed_by NOT IN ({_in(P.NON_AGENTS)})
                      AND proficiencies NOT IN ('[SYSTEM]', '[]', '[COMPLIANCE]') AND completed_date {_WIN}

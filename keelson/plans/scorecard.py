@@ -47,26 +47,32 @@ def _in_window(col, start: str = WINDOW_START, end: str = WINDOW_END):
 # ---------------------------------------------------------------------------
 
 def identity_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Profiles x product applications, one branch per product (UNION ALL by name).
+    """Profiles x product applications, one branch per product, UNION ALL by position
+    (column names come from the first branch, as in SQL).
 
-    Branch 1: home-equity applications ('O' ids).  Branch 2: the person's latest
-    application, keyed by the identity id itself (Q16: explicit key argument).
+    1. home-equity applications ('O' ids);
+    2. the person's latest application, keyed by the identity id itself (Q16);
+    3. long-term (refinance-style) applications, term >= 15 years ('R' ids);
+    4. the person's latest declined application, keyed by the identity id (Q16).
     """
     lp = D.profile(spark, sf)
     a = D.app(spark, sf).select(F.concat(F.lit("C"), c("person").cast("string")).alias("a_identity"),
                                  F.concat(F.lit("O"), c("id").cast("string")).alias("a_app"),
-                                 c("state").alias("a_state"), "app_date", "id")
+                                 c("state").alias("a_state"), "app_date", "id", "term_years", "status")
     name = F.concat(c("first_name"), F.lit(" "), c("last_name"))
-    b1 = lp.join(a, lp.identity == a.a_identity, "left").select(
-        c("a_app").alias("application_id"), "email",
-        F.coalesce(c("a_identity"), c("identity")).alias("identity_id"),
-        F.coalesce(c("a_state"), c("state")).alias("state"), name.alias("borrower_name"))
-    last = latest(a, ["a_identity"], [c("app_date").desc(), c("id").desc()])
-    b2 = lp.join(last, lp.identity == last.a_identity, "left").select(
-        c("a_identity").alias("application_id"), "email",
-        F.coalesce(c("a_identity"), c("identity")).alias("identity_id"),
-        F.coalesce(c("a_state"), c("state")).alias("state"), name.alias("borrower_name"))
-    return b1.unionByName(b2)
+
+    def branch(products: DataFrame, app_id) -> DataFrame:
+        return lp.join(products, lp.identity == products.a_identity, "left").select(
+            app_id.alias("application_id"), "email",
+            F.coalesce(c("a_identity"), c("identity")).alias("identity_id"),
+            F.coalesce(c("a_state"), c("state")).alias("state"), name.alias("borrower_name"))
+
+    newest = [c("app_date").desc(), c("id").desc()]
+    b1 = branch(a, c("a_app"))
+    b2 = branch(latest(a, ["a_identity"], newest), c("a_identity"))
+    b3 = branch(a.where(c("term_years") >= 15), F.concat(F.lit("R"), c("id").cast("string")))
+    b4 = branch(latest(a.where(c("status") == "DECLINED"), ["a_identity"], newest), c("a_identity"))
+    return b1.union(b2).union(b3).union(b4)
 
 
 # ---------------------------------------------------------------------------
@@ -115,7 +121,8 @@ def normalised_tasks(spark: SparkSession, sf: str) -> DataFrame:
 def task_scores(spark: SparkSession, sf: str) -> DataFrame:
     """B50 — cancelled / completed counts and weighted score per agent."""
     ff = normalised_tasks(spark, sf)
-    f = identity_union(spark, sf).select("application_id")
+    # Known application ids (DISTINCT: two identity-keyed branches must not double-count tasks).
+    f = identity_union(spark, sf).select("application_id").distinct()
     w = broadcast_bounded(small_frame(spark, "task_weights", P.TASK_WEIGHTS, "w_label string, weight int"),
                           len(P.TASK_WEIGHTS))
     j = (ff.join(f, ff.application == f.application_id, "right")
