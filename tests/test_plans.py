@@ -2,11 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as E
+from keelson import queries as _queries
 
 SF_SMALL = "/root/testdata/sf0.001"
 
-QUERIES = E.queries()
+QUERIES = _queries.QUERIES
 
 
 def plan(df) -> str:
