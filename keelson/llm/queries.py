@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat_format, exact_dedup, mixing, url_filter
+from keelson.llm import bpe, chat_format, exact_dedup, mixing, quality, url_filter
 
 QUERIES = {
     "op1_preference_format": chat_format.op1_preference_format,
+    "op3_quality": quality.op3_quality,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
