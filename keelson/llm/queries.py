@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from keelson.llm import bpe, chat_format, exact_dedup, mixing, quality, simhash, url_filter
+from keelson.llm import bpe, chat_format, exact_dedup, mixing, quality, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_preference_format": chat_format.op1_preference_format,
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op3_quality": quality.op3_quality,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
