@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.llm import bpe, chat_format, exact_dedup, mixing, quality, simhash, substring_dedup, url_filter
+from keelson.llm import bpe, chat_format, exact_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_preference_format": chat_format.op1_preference_format,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
