@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.llm import bpe, chat_format, exact_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, url_filter
+from keelson.llm import bpe, chat_format, exact_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_preference_format": chat_format.op1_preference_format,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_exact_topk": topk.op10_exact_topk,
 }
 
 ORACLE = {
@@ -21,4 +22,5 @@ ORACLE = {
     "op7_mix_sources": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op10_exact_topk": topk.ORACLE,
 }
