@@ -49,6 +49,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def boxed(docs: DataFrame, **extra) -> DataFrame:
+    """Whole rows as one struct ``row`` beside derived columns, so that no name of the table can
+    clash with one of an operator; ``select("row.*")`` opens them again."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       *[col.alias(name) for name, col in extra.items()])
+
+
 def lower_ascii(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import lower_ascii, partitions, read, save
+from keelson.llm.common import boxed, lower_ascii, partitions, read, save
 
 FAN_IN = 8
 DIGEST = ["_sha", "_bytes", "_check"]
@@ -86,15 +86,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gone = save(groups.where(~F.col("_id").eqNullSafe(F.col("_keep"))).select("_id", "_sha").distinct(), "dropped")
     again = save(leaves.groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha"), "repeated")
     norm = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumn("_key_sha", F.unhex(F.sha2(norm, 256)))
+    keyed = boxed(docs, key=F.col(id_col), sha=F.unhex(F.sha2(norm, 256)))
 
     def same(side):
-        return keyed[id_col].eqNullSafe(side["_id"]) & (keyed["_key_sha"] == side["_sha"])
+        return keyed["key"].eqNullSafe(side["_id"]) & (keyed["sha"] == side["_sha"])
     left = keyed.join(gone, same(gone), "left_anti")
-    if again.isEmpty():
-        return left.drop("_key_sha")
-    w = Window.partitionBy(id_col, "_key_sha").orderBy(F.lit(1))
-    return left.withColumn("_copy", F.row_number().over(w)).where("_copy = 1").drop("_copy", "_key_sha")
+    if not again.isEmpty():
+        w = Window.partitionBy("key", "sha").orderBy(F.lit(1))
+        left = left.withColumn("copy", F.row_number().over(w)).where("copy = 1")
+    return left.select("row.*")
 
 
 def op8_exact_dedup(spark, sf_dir):

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import WORD_PATTERN, read, save
+from keelson.llm.common import WORD_PATTERN, boxed, read, save
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -87,13 +87,12 @@ def op7_mix_sources(spark, sf_dir):
 def draw(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mixture itself: each document as often as it was drawn, with its columns as they are.
 
-    Identifiers are expected to be unique here, as they are after exact dedup; of rows that
-    share one, each gets the copies of the first."""
+    Rows that share an identifier all get the most copies that one of them was drawn."""
     drawn = (mix(docs, id_col).where("copies > 0").groupBy("_id").agg(F.max("copies").alias("_copies")))
     drawn = save(drawn, "drawn")
-    return (docs.join(drawn, docs[id_col].eqNullSafe(drawn["_id"]))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-            .select(*docs.columns))
+    rows = boxed(docs, key=F.col(id_col))
+    return (rows.join(drawn, rows["key"].eqNullSafe(drawn["_id"]))
+            .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*"))
 
 
 ORACLE = r"""

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import buffers, mix64, pieces, read, save
+from keelson.llm.common import boxed, buffers, mix64, pieces, read, save
 
 SAMPLE = 12_000
 TREES, DEPTH, SEED = 24, 4, 7
@@ -58,9 +58,9 @@ MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """(m ** i, m ** -i) mod 2 ** 64 for i < n."""
-    inverse = pow(MULTIPLIER, -1, 1 << 64)
-    return tuple(np.multiply.accumulate(np.concatenate([[1], np.full(n - 1, m, np.uint64)]).astype(np.uint64))
-                 for m in (MULTIPLIER, inverse))
+    out = np.ones((2, n), np.uint64)
+    out[0, 1:], out[1, 1:] = MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)
+    return tuple(np.multiply.accumulate(out, axis=1))
 
 
 def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -209,18 +209,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
 
 def scored(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_score``."""
-    return with_statistics(docs, text_col).select(*docs.columns, score_column(model).alias("_score"))
+    """(row, score): whole rows boxed beside their score."""
+    return with_statistics(boxed(docs, text=F.col(text_col)), "text").select("row", score_column(model).alias("score"))
 
 
 def op3_quality(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, read(spark, sf_dir, "labels"))
     return scored(docs, model).select(
-        "doc_id", held_out().alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+        "row.doc_id", held_out("row.doc_id").alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, with their columns as they are."""
-    return scored(docs, train(docs, labels)).where(F.col("_score") >= threshold).drop("_score")
+    return scored(docs, train(docs, labels)).where(F.col("score") >= threshold).select("row.*")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import partitions, read, save
+from keelson.llm.common import boxed, partitions, read, save
 from keelson.llm.components import stars
 
 SHINGLE = 4
@@ -59,16 +59,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(_id, _fp)."""
+    """(_id, _hash, _fp); the hash of the text tells rows apart that share an identifier."""
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"),
+                        text_hash(text_col).alias("_hash"))
 
     def run(batches):
         for batch in batches:
             column = batch.column(1)
             fp = np.fromiter((fingerprint(column[i].as_py(), shingle) for i in range(len(column))), np.int64, len(column))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["_id", "_fp"])
-    return texts.mapInArrow(run, f"_id {kind}, _fp bigint")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], ["_id", "_hash", "_fp"])
+    return texts.mapInArrow(run, f"_id {kind}, _hash bigint, _fp bigint")
+
+
+def text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def covering_triples() -> list[tuple[int, int, int]]:
@@ -192,7 +197,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document: id, _fp, component_id."""
+    """One row per document: id, _hash, _fp, component_id."""
     prints = save(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     fps = save(prints.groupBy("_fp").agg(F.min("_id").alias("_rep")), "distinct-fingerprints")
     star = stars(links(fps.select("_fp"), max_bits))
@@ -200,7 +205,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "_fp", "_rep", F.coalesce("least", "_fp").alias("_least"))
     named = of.groupBy("_least").agg(F.min("_rep").alias("component_id"))
     groups = save(of.select("_fp", "_least").join(named, "_least").select("_fp", "component_id"), "fingerprint-groups")
-    return prints.join(groups, "_fp").select(F.col("_id").alias(id_col), "_fp", "component_id")
+    return prints.join(groups, "_fp").select(F.col("_id").alias(id_col), "_hash", "_fp", "component_id")
 
 
 def op2_simhash_dedup(spark, sf_dir):
@@ -211,5 +216,7 @@ def op2_simhash_dedup(spark, sf_dir):
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each component, with its columns as they are."""
     gone = save(simhash_components(docs, id_col, text_col)
-                .where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")), "near-copies")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+                .where(~F.col(id_col).eqNullSafe(F.col("component_id")))
+                .select(F.col(id_col).alias("_gone"), "_hash").distinct(), "near-copies")
+    rows = boxed(docs, key=F.col(id_col), hash=text_hash(text_col))
+    return rows.join(gone, rows["key"].eqNullSafe(gone["_gone"]) & (rows["hash"] == gone["_hash"]), "left_anti").select("row.*")
