@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.latest import latest
 from ..sources import policies as P
+from ..sources.bureau_codes import SENTINEL_CODES, SENTINELS
 from .numeric import _c, round_half_up, safe_div
 
 # ---------------------------------------------------------------------------
@@ -22,9 +23,12 @@ from .numeric import _c, round_half_up, safe_div
 
 
 def bureau_normalise(df: DataFrame, cols: Sequence[str], key: str = "person",
-                     prefer_col: str = "credit_type", sentinels=(999999998, 999999996),
+                     prefer_col: str = "credit_type", sentinels=SENTINELS, sentinel_cols=SENTINEL_CODES,
                      only_type: str | None = None) -> DataFrame:
-    """Coded string attributes -> DOUBLE (unparsable -> NULL, sentinel -> 0), one row per key.
+    """Coded string attributes -> DOUBLE (unparsable -> NULL), one row per key.
+
+    A "not available" sentinel counts as 0 only for ``sentinel_cols``; elsewhere it stays the
+    large number it is, so "months since" rules read it as long ago, never as just now.
 
     With ``only_type`` the rows are filtered to that credit type; otherwise the
     alphabetically first credit type per key is kept ('Hard Credit' before
@@ -33,7 +37,7 @@ def bureau_normalise(df: DataFrame, cols: Sequence[str], key: str = "person",
     conv = {}
     for c in cols:
         v = F.col(c).try_cast("double")
-        conv[c] = F.when(v.isin(*[float(s) for s in sentinels]), F.lit(0.0)).otherwise(v)
+        conv[c] = F.when(v.isin(*[float(s) for s in sentinels]), F.lit(0.0)).otherwise(v) if c in sentinel_cols else v
     out = df.withColumns(conv)
     if only_type is not None:
         return out.where(F.col(prefer_col) == only_type)

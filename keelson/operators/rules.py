@@ -43,15 +43,17 @@ def any_true(conds: Sequence[Column]) -> Column:
     return out
 
 
-def two_way(label: str, fires: Column, clears: Column, approved: Column, declined_for: Column) -> Column:
+def two_way(label: str, fires: Column, clears: Column, approved: Column, declined: Column,
+            declined_for: Column) -> Column:
     """Two-directional rule.
 
-    ``<label>1`` — the rule fires but the application was not declined (missed decline);
-    ``<label>2`` — the rule is clear but the application was declined for this reason
-    (wrong decline); NULL otherwise, to be chained in a cascade.
+    ``<label>1`` — the rule fires but the application went through (missed decline);
+    ``<label>2`` — the rule is clear but the application ended declined and this reason is among
+    its decline reasons (wrong decline); NULL otherwise, to be chained in a cascade. An application
+    that neither went through nor ended declined gets no label.
     """
     return (F.when(fires & approved, F.lit(f"{label}1"))
-             .when(clears & ~approved & declined_for, F.lit(f"{label}2")))
+             .when(clears & declined & declined_for, F.lit(f"{label}2")))
 
 
 def first_label(*labels: Column, default: str = "PASS") -> Column:

@@ -117,13 +117,13 @@ SELECT completed_by, task_type, count(*) AS n, count(value) AS n_value,
 FROM tasks GROUP BY completed_by, task_type""")
 sql("q_cond_count", W("tasks") + """
 SELECT completed_by,
-       CAST(sum(CASE WHEN task_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks,
-       CAST(sum(CASE WHEN task_type != 'click' THEN 1 ELSE 0 END) AS BIGINT) AS non_clicks,
+       CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks,
+       CAST(sum(CASE WHEN event_type != 'click' THEN 1 ELSE 0 END) AS BIGINT) AS non_clicks,
        CAST(count_if(value > 100) AS BIGINT) AS big_values
 FROM tasks GROUP BY completed_by""")
 sql("q_ratio_of_sums", W("tasks") + f"""
 SELECT completed_by,
-       {rhu("sum(CASE WHEN task_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) END) / nullif(sum(CAST(value AS DECIMAL(18,2))), 0)", 6)} AS purchase_share,
+       {rhu("sum(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) END) / nullif(sum(CAST(value AS DECIMAL(18,2))), 0)", 6)} AS purchase_share,
        {rhu('count(task_type) * avg(CAST(value AS DECIMAL(18,2)))', 2)} AS score_obtained,
        {rhu("avg(date_sub('minute', TIMESTAMP '2024-01-01 00:00:00', ts))", 3)} AS avg_minutes
 FROM tasks GROUP BY completed_by""")
@@ -150,19 +150,24 @@ def _in(vals) -> str:
 
 
 BUREAU_NORM = ("bureau", "SELECT * EXCLUDE (rn) FROM (SELECT person, credit_type, " + ", ".join(
-    f"CASE WHEN TRY_CAST({c} AS DOUBLE) IN (999999998.0, 999999996.0) THEN 0.0 ELSE TRY_CAST({c} AS DOUBLE) END AS {c}"
-    for c in BUREAU_CODES) + ", row_number() OVER (PARTITION BY person ORDER BY credit_type ASC) AS rn "
+    (f"CASE WHEN TRY_CAST({c} AS DOUBLE) IN (999999998.0, 999999996.0) THEN 0.0 ELSE TRY_CAST({c} AS DOUBLE) END AS {c}"
+     if c == "MTA5830" else f"TRY_CAST({c} AS DOUBLE) AS {c}") for c in BUREAU_CODES) + ", row_number() OVER (PARTITION BY person ORDER BY credit_type ASC) AS rn "
     "FROM bureau_raw) WHERE rn = 1")
 
 LD = ("ld", """
     SELECT id, uw_packet.home_amount AS stated_value,
            uw_packet.installment_debt.amount AS rec_installment,
            uw_packet.revolving_debt.amount AS rec_revolving,
-           supp % 40 AS alert_subcode,
-           'subcode ' || CAST(part % 30 AS VARCHAR) AS alert_message,
-           struct_extract(decline_reasons[1], 'code') AS decline_code
+           list_transform(decline_reasons, lambda r: r.code) AS decline_codes
     FROM latest_decision""")
 
+ALERTS = ("alert_summary", f"""
+    SELECT id, max(CASE WHEN type = 'FACTA_HIT' THEN CAST(subcode AS INT) IN ({_in(P.ALERT_SUBCODES)}) END) AS facta_hit,
+           max(CASE WHEN type = 'FRAUD_HIT' THEN CAST(subcode AS INT) IN ({_in(P.FRAUD_SHIELD_SUBCODES)}) END) AS fraud_hit
+    FROM (SELECT *, row_number() OVER (PARTITION BY id, subcode ORDER BY alert_ts DESC, seq DESC, part DESC) AS r
+          FROM alerts WHERE type IN ('FACTA_HIT', 'FRAUD_HIT') AND subcode IS NOT NULL)
+    WHERE r = 1 GROUP BY id""")
+
 
 def _lien_ctes(as_of: str) -> list[tuple[str, str]]:
     groups = ", ".join(f"('{s}', '{g}')" for s, g in P.state_group())
@@ -201,44 +206,59 @@ def _max_loan() -> str:
     return f"CASE {arms} END"
 
 
-def _credit_rules_sql() -> list[tuple[str, str]]:
-    bk = f"CASE WHEN eff_date >= {_d(P.BANKRUPTCY_CUTOFF)} THEN {P.BANKRUPTCY_MONTHS[1]} ELSE {P.BANKRUPTCY_MONTHS[0]} END"
-    msg = r"TRY_CAST(regexp_extract(alert_message, 'subcode (\d+)', 1) AS INTEGER)"
-    rules = [
-        ("FICO_Knockout_Failure1", f"(fico < {_score_floor()} OR fico > {P.SCORE_MAX} OR fico IN ({', '.join(f'{x}.0' for x in P.SCORE_CODES)}))"),
-        ("Loan_Size_Knockout_Failure1", f"(amount < {_f(P.LOAN_MIN)} OR amount > {_max_loan()})"),
-        ("Delinquent_30mdy_6mo_Knockout_Failure1", f"MTA2126 > {P.DELINQUENCY_MAX}"),
-        ("Non_Medical_Collections_Knockout_Failure1", f"COL3211 > {P.COLLECTIONS_MAX}"),
-        ("Worst_Trade_Status_12mo_Knockout_Failure1", f"ALM6270 >= {P.WORST_TRADE_MIN}"),
-        ("Inquiries_Num_6mo_Knockout_Failure1", f"IQT9425 - (IQM9415 + IQA9415) >= {P.INQUIRIES_MIN}"),
-        ("Finance_Inquiries_Knockout_Failure1", f"IQF9415 > {P.FINANCE_INQUIRIES_MAX}"),
-        ("Bankruptcy_Knockout_Failure1", f"ALL9220 <= {bk}"),
-        ("Foreclosure_Knockout_Failure1", f"MTF8169 <= {P.FORECLOSURE_MONTHS}"),
-        ("Alert_Subcode_Knockout_Failure1", f"alert_subcode IN ({_in(P.ALERT_SUBCODES)})"),
-        ("Fraud_Shield_Knockout_Failure1", f"{msg} IN ({_in(P.FRAUD_SHIELD_SUBCODES)})"),
+def _two_way_case(rules: list[tuple[str, str, str, str]]) -> str:
+    """CASE over (label, fires, clear and reason test, reason code), each direction in turn."""
+    arms = [f"WHEN ({fires}) AND decision != 'DECLINE' AND status NOT IN ('DECLINED', 'CANCELLED') THEN '{label}1' "
+            f"WHEN ({clear}) AND decision = 'DECLINE' AND status IN ('DECLINED', 'CANCELLED') "
+            f"AND list_contains(decline_codes, '{code}') THEN '{label}2'" for label, fires, clear, code in rules]
+    return f"CASE {' '.join(arms)} ELSE 'PASS' END"
+
+
+def _credit_rules_sql() -> list[tuple[str, str, str, str]]:
+    cut = _d(P.BANKRUPTCY_CUTOFF)
+    few = "(IQT9425 - (IQM9415 + IQA9415) < 6 AND IQF9415 <= 2)"
+    return [
+        ("Loan_Size_Knockout_Failure", f"amount < 15000 OR amount > {_max_loan()}",
+         f"""((fico >= 620 AND fico < 680 AND amount BETWEEN 15000 AND 50000)
+              OR (fico >= 680 AND fico < 760 AND amount BETWEEN 50000 AND 100000)
+              OR (fico >= 760 AND fico < 100000 AND amount BETWEEN 100000 AND 150000))
+             AND {rhu('(rec_installment + rec_revolving) / nullif(income, 0)', 4)} < 0.43""", "DTI"),
+        ("FICO_Knockout_Failure", f"fico < {_score_floor()} OR fico > 850 OR fico IN (9000, 9001, 9002, 9003)",
+         f"fico >= {_score_floor()} AND fico <= 850 AND fico NOT IN (9000, 9001, 9002, 9003)", "CREDITSCORE"),
+        ("Delinquent_30mdy_6mo_Knockout_Failure", "MTA2126 > 0", "MTA2126 <= 0", "MORT_TRADES_DELQ"),
+        ("Non_Medical_Collections_Knockout_Failure", "COL3211 > 0", "COL3211 <= 0", "COLLECTION"),
+        ("Worst_Trade_Status_12mo_Knockout_Failure", "ALM6270 >= 60", "ALM6270 < 60", "DELQ60_12"),
+        ("Inquiries_Num_6mo_Knockout_Failure", "IQT9425 - (IQM9415 + IQA9415) >= 6", few, "INQ3MONTHS"),
+        ("Finance_Inquiries_Knockout_Failure", "IQF9415 > 2", few, "INQ3MONTHS"),
+        ("Bankruptcy_Knockout_Failure", f"(ALL9220 <= 60 AND eff_date >= {cut}) OR (ALL9220 <= 24 AND eff_date < {cut})",
+         f"""(ALL9220 > 60 AND (ALL9120 < 1 OR ALL9120 <= ALL9121 + ALL9122) AND eff_date >= {cut})
+             OR (ALL9220 > 24 AND eff_date < {cut})""", "BANKRUPTCY"),
+        ("Undischarged_Bankruptcy_Knockout_Failure", f"ALL9120 >= 1 AND ALL9120 > ALL9121 + ALL9122 AND eff_date >= {cut}",
+         f"ALL9120 < 1 OR (ALL9120 <= ALL9121 + ALL9122 AND ALL9220 > 60 AND eff_date >= {cut})", "BANKRUPTCY"),
+        ("Foreclosure_Knockout_Failure", "MTF8169 <= 60", "MTF8169 > 60", "FORECLOSURE"),
+        ("Alert_Subcode_Knockout_Failure", "facta_hit IS TRUE", "facta_hit IS FALSE", "FACTA_HIT"),
+        ("Fraud_Shield_Knockout_Failure", "fraud_hit IS TRUE", "fraud_hit IS FALSE", "FRAUD"),
     ]
-    return [(label, f"({cond}) AND is_approved") for label, cond in rules]
 
 
 def _credit_case() -> str:
-    arms = " ".join(f"WHEN {cond} THEN '{label}'" for label, cond in _credit_rules_sql())
-    return f"CASE {arms} ELSE 'PASS' END"
+    return _two_way_case(_credit_rules_sql())
 
 
 def _property_case() -> str:
-    elig = (f"CASE WHEN eff_date < {_d(P.LAND_USE_CUTOFF)} THEN land_use IN ({_in(P.LAND_USE_BEFORE)}) "
-            f"ELSE land_use IN ({_in(P.LAND_USE_FROM)}) END")
-    rules = [
-        ("AVM_Knockout_Failure", "(coalesce(prequal_avm, 0.0) = 0 AND coalesce(avm, 0.0) = 0)", "NOAVMRETURNED"),
-        ("Land_Use_Code_Knockout_Failure", f"(NOT ({elig}))", "LANDUSE"),
-        ("Acres_Knockout_Failure", f"(acres > {_f(P.MAX_ACRES)})", "PROPERTY_ACRES"),
-        ("Lien_Position_Knockout_Failure", f"(n_liens > {P.MAX_LIEN_POSITION})", "LIEN_POSITION"),
-        ("Last_Sale_Date_Knockout_Failure", f"(date_diff('day', last_sale, app_date) <= {P.RECENT_SALE_DAYS})",
-         "LAST_SALE_DATE"),
-    ]
-    labels = [f"CASE WHEN {f} AND is_approved THEN '{l}1' WHEN (NOT {f}) AND NOT is_approved "
-              f"AND decline_code = '{code}' THEN '{l}2' END" for l, f, code in rules]
-    return f"coalesce({', '.join(labels)}, 'PASS')"
+    cut = _d(P.LAND_USE_CUTOFF)
+    before, since = _in(P.LAND_USE_BEFORE), _in(P.LAND_USE_FROM)
+    return _two_way_case([
+        ("AVM_Knockout_Failure", "coalesce(prequal_avm, 0.0) = 0 AND coalesce(avm, 0.0) = 0",
+         "coalesce(prequal_avm, 0.0) != 0 AND coalesce(avm, 0.0) != 0", "NOAVMRETURNED"),
+        ("Land_Use_Code_Knockout_Failure",
+         f"(land_use NOT IN ({before}) AND eff_date < {cut}) OR (land_use NOT IN ({since}) AND eff_date >= {cut})",
+         f"(land_use IN ({before}) AND eff_date < {cut}) OR (land_use IN ({since}) AND eff_date >= {cut})", "LANDUSE"),
+        ("Acres_Knockout_Failure", "acres > 20", "acres <= 20", "PROPERTY_ACRES"),
+        ("Lien_Position_Knockout_Failure", f"n_liens > {P.MAX_LIEN_POSITION}", f"n_liens <= {P.MAX_LIEN_POSITION}", "LIEN_POSITION"),
+        ("Last_Sale_Date_Knockout_Failure", "date_diff('day', last_sale, app_date) <= 90",
+         "date_diff('day', last_sale, app_date) > 90", "LAST_SALE_DATE"),
+    ])
 
 
 LIEN_CASE = """CASE
@@ -272,9 +292,9 @@ def heloc_ctes(as_of: str = "2024-02-01") -> str:
     strict = _in(P.STRICT_STATES)
     a12 = _f(P.ASSET_RATE / 12)
     base = _f(1 + P.ASSET_RATE / 12)
-    extra = [LATEST_DECISION, BUREAU_NORM, LD] + _lien_ctes(as_of) + [
+    extra = [LATEST_DECISION, BUREAU_NORM, LD, ALERTS] + _lien_ctes(as_of) + [
         ("reason_ids", "SELECT id FROM (SELECT id, unnest(decline_reasons) AS r FROM decisions) WHERE r.code = 'INV_TAXLIEN'"),
-        ("inputs", f"""SELECT a.*, b.* EXCLUDE (person), p.* EXCLUDE (id), ld.* EXCLUDE (id), ls.* EXCLUDE (person),
+        ("inputs", f"""SELECT a.*, b.* EXCLUDE (person), p.* EXCLUDE (id), ld.* EXCLUDE (id), al.* EXCLUDE (id), ls.* EXCLUDE (person),
                a.id IN (SELECT id FROM reason_ids) AS lien_reason_flag,
                coalesce(a.hard_score, a.soft_score) AS fico,
                CASE WHEN a.flag = 'Y' AND a.respond_by >= a.app_date THEN a.mail_date ELSE a.app_date END AS eff_date,
@@ -282,7 +302,7 @@ def heloc_ctes(as_of: str = "2024-02-01") -> str:
                (a.decision != 'DECLINE' AND a.status NOT IN ('DECLINED', 'CANCELLED')) AS is_approved,
                (a.decision = 'DECLINE' AND a.status IN ('DECLINED', 'CANCELLED')) AS is_declined
              FROM app a LEFT JOIN bureau b ON a.person = b.person LEFT JOIN prop p ON a.id = p.id
-             LEFT JOIN ld ON a.id = ld.id LEFT JOIN lien_summary ls ON a.person = ls.person"""),
+             LEFT JOIN ld ON a.id = ld.id LEFT JOIN alert_summary al ON a.id = al.id LEFT JOIN lien_summary ls ON a.person = ls.person"""),
         ("chk1", f"""SELECT *, {_credit_case()} AS credit_check, {_property_case()} AS property_check,
                {LIEN_CASE} AS lien_check, {debt_parts_sql('fico', 620, 740)} FROM inputs"""),
         ("chk2", f"""SELECT *,
@@ -319,9 +339,9 @@ def heloc_ctes(as_of: str = "2024-02-01") -> str:
                                  THEN 'CLTV_Decline_Failure1'
                              WHEN (((owed = 0) AND t_cltv <= {P.CLTV_ZERO_OWED} AND t_adj_cltv <= {P.CLTV_ZERO_OWED})
                                    OR ((owed > 0) AND t_cltv <= cltv_limit AND t_adj_cltv <= cltv_limit))
-                                  AND NOT is_approved AND decline_code = 'CLTV' THEN 'CLTV_Decline_Failure2' END, 'PASS') AS cltv_check,
+                                  AND is_declined AND list_contains(decline_codes, 'CLTV') THEN 'CLTV_Decline_Failure2' END, 'PASS') AS cltv_check,
                coalesce(CASE WHEN t_dti > dti_limit AND is_approved THEN 'DTI_Decline_Failure1'
-                             WHEN t_dti <= dti_limit AND NOT is_approved AND decline_code = 'DTI' THEN 'DTI_Decline_Failure2' END,
+                             WHEN t_dti <= dti_limit AND is_declined AND list_contains(decline_codes, 'DTI') THEN 'DTI_Decline_Failure2' END,
                         'PASS') AS dti_check,
                {rhu('owed / nullif(stated_value, 0)', 4)} AS rec_cltv,
                {rhu('(rec_installment + rec_revolving) / nullif(income, 0)', 4)} AS rec_dti
@@ -338,7 +358,7 @@ def heloc_ctes(as_of: str = "2024-02-01") -> str:
                     ELSE 'correct' END AS verdict
              FROM checks"""),
     ]
-    return W("app", "prop", "bureau_raw", "decisions", "liens", extra=extra)
+    return W("app", "prop", "bureau_raw", "decisions", "liens", "alerts", extra=extra)
 
 
 AUDIT_COLS = ("id, app_date, status, decision, fico, credit_check, property_check, lien_check, cltv_check, "
@@ -369,7 +389,7 @@ sql("q_dti_check", _H + "SELECT id, dti_limit, dti_check FROM checks")
 sql("q_reconcile", _H + "SELECT id, cltv_match, dti_match FROM audit")
 sql("q_mismatches", _H + "SELECT id, cltv_match, dti_match FROM audit WHERE cltv_match = 'Unmatch' OR dti_match = 'Unmatch'")
 sql("q_verdict", _H + "SELECT id, verdict FROM audit")
-sql("q_two_way", _H + "SELECT id, is_approved, decline_code, cltv_check, dti_check FROM checks")
+sql("q_two_way", _H + "SELECT id, is_approved, is_declined, array_to_string(decline_codes, ',') AS decline_codes, cltv_check, dti_check FROM checks")
 
 
 # =============================================================================
@@ -422,7 +442,7 @@ REFI_ORDER = ["LOAN_SIZE_Rejection", "CITIZENSHIP_Rejection", "CREDIT_SCORE_Reje
 def refi_ctes() -> str:
     norm = ", ".join(
         f"CASE WHEN TRY_CAST({c} AS DOUBLE) IN (999999998.0, 999999996.0) THEN 0.0 ELSE TRY_CAST({c} AS DOUBLE) END AS {c}"
-        for c in BUREAU_CODES)
+        if c == "MTA5830" else f"TRY_CAST({c} AS DOUBLE) AS {c}" for c in BUREAU_CODES)
     hc, bc = _d(P.REFI_HOUSING_CUTOFF), _d(P.REFI_BUREAU_CUTOFF)
     extra = [LATEST_DECISION,
              ("rld", f"""SELECT id, TRY_CAST(uw_packet.credit_score AS DOUBLE) AS packet_score,
@@ -661,7 +681,7 @@ SC_CTES = [
                      UNION ALL
                      SELECT a_identity, email, coalesce(a_identity, identity), coalesce(a_state, state), first_name || ' ' || last_name
                      FROM profile lp LEFT JOIN a_decl ON lp.identity = a_decl.a_identity"""),
-    ("cs", """SELECT application AS cs_application, max(message) AS cs_message FROM tasks
+    ("cs", """SELECT application AS cs_application, string_agg(DISTINCT message, ' | ' ORDER BY message) AS cs_message FROM tasks
               WHERE last_status IN ('FAILED', 'CANCELLED') AND proficiencies = '[SUPERVISOR]' GROUP BY application"""),
     ("ntasks", f"""SELECT task_id, application, task_type,
                      CASE WHEN task_type = 'PROPERTY_OWNERSHIP_FRAUD_REVIEW' OR (task_type = 'FRAUD_REVIEW' AND message LIKE '%IDENTITY_FRAUD%')
@@ -672,7 +692,7 @@ SC_CTES = [
                      subtask_desc, {_subtype_case()} AS subtask_type,
                      CASE WHEN subtask_desc = 'Compliance Fraud Review' THEN cs_message ELSE message END AS message,
                      coalesce(comments, 'none') AS comments, last_status, {_outcome_case()} AS subtask_outcome,
-                     completed_by, ts AS completed_date, proficiencies
+                     completed_by, CASE WHEN subtask_desc = 'Compliance Fraud Review' THEN created_date ELSE ts END AS completed_date, proficiencies
                    FROM tasks t LEFT JOIN cs ON t.application = cs.cs_application"""),
     ("weights", f"SELECT * FROM (VALUES {_WEIGHTS}) t(w_label, weight)"),
     ("scores", f"""SELECT completed_by AS csa_name,
@@ -730,7 +750,7 @@ SC_CTES = [
 _S = W("app", "profile", "tasks", "chat", "contact_preferences", "complaints", "calls", extra=SC_CTES)
 sql("q_union_identity", _S + "SELECT * FROM identity_u")
 sql("q_normalise", _S + "SELECT task_id, covt_task_type, subtask_type, subtask_outcome FROM ntasks")
-sql("q_backfill", _S + "SELECT task_id, application, message, comments FROM ntasks")
+sql("q_backfill", _S + "SELECT task_id, application, message, comments, completed_date FROM ntasks")
 sql("q_task_score", _S + "SELECT * FROM scores")
 sql("q_chat_replies", _S + "SELECT * FROM replies")
 sql("q_first_response", _S + "SELECT * FROM firsts")
@@ -806,7 +826,8 @@ sql("q_credit_audit", _H + "SELECT id, app_date, status, decision, fico, credit_
 
 
 def _knockout_flags_sql() -> str:
-    cols = [(label.replace("_Knockout_Failure1", "").lower(), cond) for label, cond in _credit_rules_sql()]
+    cols = [(label.replace("_Knockout_Failure", "").lower(), f"({fires}) AND is_approved")
+            for label, fires, _, _ in _credit_rules_sql()]
     sel = ", ".join(f"CASE WHEN ({c}) IS TRUE THEN 'YES' ELSE 'NO' END AS {n}" for n, c in cols)
     anyf = " OR ".join(f"(({c}) IS TRUE)" for _, c in cols)
     return _H + f"SELECT id, {sel}, CASE WHEN {anyf} THEN 'FAIL' ELSE 'PASS' END AS knockout_result FROM inputs"

@@ -124,15 +124,14 @@ def heloc_inputs(spark: SparkSession, sf: str, as_of: str = D.AS_OF,
         c("uw_packet.home_amount").alias("stated_value"),
         c("uw_packet.installment_debt.amount").alias("rec_installment"),
         c("uw_packet.revolving_debt.amount").alias("rec_revolving"),
-        (c("supp") % 40).alias("alert_subcode"),
-        F.concat(F.lit("subcode "), (c("part") % 30).cast("string")).alias("alert_message"),
-        F.get(c("decline_reasons"), 0)["code"].alias("decline_code"),
+        c("decline_reasons.code").alias("decline_codes"),
     )
     reasons = flatten(D.decisions(spark, sf).select("id", "decline_reasons"), "decline_reasons", "r",
                       outer=False, prefix="r_")
     df = (a.join(bureau(spark, sf), "person", "left")
             .join(D.prop(spark, sf), "id", "left")
-            .join(ld, "id", "left"))
+            .join(ld, "id", "left")
+            .join(alert_summary(spark, sf), "id", "left"))
     if with_liens_and_reasons:
         df = df.join(lien_summary(spark, sf, F.lit(as_of).cast("date")), "person", "left")
         # B39: "declined for an involuntary lien" as SQL three-valued IN (subquery).
@@ -150,52 +149,99 @@ def heloc_inputs(spark: SparkSession, sf: str, as_of: str = D.AS_OF,
 # checks
 # ---------------------------------------------------------------------------
 
-def credit_rules(df: DataFrame) -> list[tuple[str, Column]]:
-    """B9-B12 as (label, condition) — each guarded by 'application not declined'."""
-    ok = c("is_approved")
-    fico, eff = c("fico"), c("eff_date")
-    bk_limit = F.when(eff >= F.lit(P.BANKRUPTCY_CUTOFF), P.BANKRUPTCY_MONTHS[1]).otherwise(P.BANKRUPTCY_MONTHS[0])
-    msg_code = F.regexp_extract(c("alert_message"), r"subcode (\d+)", 1).try_cast("int")
-    rules = [
-        ("FICO_Knockout_Failure1", (fico < score_floor(c("state_group"), eff)) | (fico > P.SCORE_MAX)
-         | fico.isin(*[float(x) for x in P.SCORE_CODES])),
-        ("Loan_Size_Knockout_Failure1", (c("amount") < P.LOAN_MIN) | (c("amount") > max_loan(fico))),
-        ("Delinquent_30mdy_6mo_Knockout_Failure1", c("MTA2126") > P.DELINQUENCY_MAX),
-        ("Non_Medical_Collections_Knockout_Failure1", c("COL3211") > P.COLLECTIONS_MAX),
-        ("Worst_Trade_Status_12mo_Knockout_Failure1", c("ALM6270") >= P.WORST_TRADE_MIN),
-        ("Inquiries_Num_6mo_Knockout_Failure1", c("IQT9425") - (c("IQM9415") + c("IQA9415")) >= P.INQUIRIES_MIN),
-        ("Finance_Inquiries_Knockout_Failure1", c("IQF9415") > P.FINANCE_INQUIRIES_MAX),
-        ("Bankruptcy_Knockout_Failure1", c("ALL9220") <= bk_limit),
-        ("Foreclosure_Knockout_Failure1", c("MTF8169") <= P.FORECLOSURE_MONTHS),
-        ("Alert_Subcode_Knockout_Failure1", c("alert_subcode").isin(*P.ALERT_SUBCODES)),
-        ("Fraud_Shield_Knockout_Failure1", msg_code.isin(*P.FRAUD_SHIELD_SUBCODES)),
+def has_reason(code: str) -> Column:
+    """Whether ``code`` is any of the application's decline reasons."""
+    return F.array_contains(c("decline_codes"), code)
+
+
+def two_ways(label: str, fires: Column, clears: Column, code: str, extra: Column | None = None) -> tuple[str, Column, Column]:
+    """(label, missed decline, wrong decline) of one rule."""
+    wrong = clears & c("is_declined") & has_reason(code)
+    return label, fires & c("is_approved"), wrong if extra is None else wrong & extra
+
+
+def credit_rules() -> list[tuple[str, Column, Column]]:
+    """B9-B12 as (label, missed decline, wrong decline), in the order of the audit."""
+    fico, eff, amount = c("fico"), c("eff_date"), c("amount")
+    new = eff >= F.lit(P.BANKRUPTCY_CUTOFF)
+    old_limit, new_limit = P.BANKRUPTCY_MONTHS
+    months, filed, settled = c("ALL9220"), c("ALL9120"), c("ALL9121") + c("ALL9122")
+    inquiries = c("IQT9425") - (c("IQM9415") + c("IQA9415"))
+    few = (inquiries < P.INQUIRIES_MIN) & (c("IQF9415") <= P.FINANCE_INQUIRIES_MAX)
+    codes = fico.isin(*[float(x) for x in P.SCORE_CODES])
+    floor = score_floor(c("state_group"), eff)
+    in_band, low = F.lit(False), P.LOAN_MIN
+    for lo, hi, high in P.LOAN_MAX_BY_SCORE:
+        in_band = in_band | ((fico >= lo) & (fico < hi) & amount.between(low, high))
+        low = high
+    settled_or_none = (filed < 1) | (filed <= settled)
+    return [
+        two_ways("Loan_Size_Knockout_Failure", (amount < P.LOAN_MIN) | (amount > max_loan(fico)), in_band, "DTI",
+                 recorded_dti() < P.LOAN_SIZE_DTI),
+        two_ways("FICO_Knockout_Failure", (fico < floor) | (fico > P.SCORE_MAX) | codes,
+                 (fico >= floor) & (fico <= P.SCORE_MAX) & ~codes, "CREDITSCORE"),
+        two_ways("Delinquent_30mdy_6mo_Knockout_Failure", c("MTA2126") > P.DELINQUENCY_MAX,
+                 c("MTA2126") <= P.DELINQUENCY_MAX, "MORT_TRADES_DELQ"),
+        two_ways("Non_Medical_Collections_Knockout_Failure", c("COL3211") > P.COLLECTIONS_MAX,
+                 c("COL3211") <= P.COLLECTIONS_MAX, "COLLECTION"),
+        two_ways("Worst_Trade_Status_12mo_Knockout_Failure", c("ALM6270") >= P.WORST_TRADE_MIN,
+                 c("ALM6270") < P.WORST_TRADE_MIN, "DELQ60_12"),
+        two_ways("Inquiries_Num_6mo_Knockout_Failure", inquiries >= P.INQUIRIES_MIN, few, "INQ3MONTHS"),
+        two_ways("Finance_Inquiries_Knockout_Failure", c("IQF9415") > P.FINANCE_INQUIRIES_MAX, few, "INQ3MONTHS"),
+        two_ways("Bankruptcy_Knockout_Failure", (new & (months <= new_limit)) | (~new & (months <= old_limit)),
+                 (new & (months > new_limit) & settled_or_none) | (~new & (months > old_limit)), "BANKRUPTCY"),
+        two_ways("Undischarged_Bankruptcy_Knockout_Failure", new & (filed >= 1) & (filed > settled),
+                 (filed < 1) | ((filed <= settled) & (months > new_limit) & new), "BANKRUPTCY"),
+        two_ways("Foreclosure_Knockout_Failure", c("MTF8169") <= P.FORECLOSURE_MONTHS, c("MTF8169") > P.FORECLOSURE_MONTHS,
+                 "FORECLOSURE"),
+        two_ways("Alert_Subcode_Knockout_Failure", is_true(c("facta_hit")), c("facta_hit") == F.lit(False), "FACTA_HIT"),
+        two_ways("Fraud_Shield_Knockout_Failure", is_true(c("fraud_hit")), c("fraud_hit") == F.lit(False), "FRAUD"),
     ]
-    return [(label, cond & ok) for label, cond in rules]
+
+
+def recorded_dti() -> Column:
+    return round_half_up(safe_div(c("rec_installment") + c("rec_revolving"), c("income")), 4)
+
+
+def two_way_cascade(rules: list[tuple[str, Column, Column]]) -> Column:
+    """First label of the rules, each tried as a missed decline, then as a wrong one."""
+    return cascade([x for label, missed, wrong in rules for x in ((f"{label}1", missed), (f"{label}2", wrong))], "PASS")
 
 
 def with_credit(df: DataFrame) -> DataFrame:
-    return df.withColumn("credit_check", cascade(credit_rules(df), "PASS"))
+    return df.withColumn("credit_check", two_way_cascade(credit_rules()))
+
+
+def alert_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """B12 — per application: does the latest alert of any sub-code, by alert type, name a listed sub-code.
+
+    NULL where an application has no alert of the type, False where none of them is listed."""
+    top = latest(D.alerts(spark, sf).where(c("type").isin("FACTA_HIT", "FRAUD_HIT") & c("subcode").isNotNull()),
+                 ["id", "subcode"], [c("alert_ts").desc()], [c("seq").desc(), c("part").desc()])
+    code = c("subcode").try_cast("int")
+    return top.groupBy("id").agg(
+        F.max(F.when(c("type") == "FACTA_HIT", code.isin(*P.ALERT_SUBCODES))).alias("facta_hit"),
+        F.max(F.when(c("type") == "FRAUD_HIT", code.isin(*P.FRAUD_SHIELD_SUBCODES))).alias("fraud_hit"))
 
 
-def property_rules() -> list[tuple[str, Column, str]]:
-    """B14 — (label, fires, decline reason code)."""
+def property_rules() -> list[tuple[str, Column, Column]]:
+    """B14 — (label, missed decline, wrong decline)."""
     eligible = F.when(c("eff_date") < F.lit(P.LAND_USE_CUTOFF), c("land_use").isin(*P.LAND_USE_BEFORE)) \
                 .otherwise(c("land_use").isin(*P.LAND_USE_FROM))
+    prequal, avm = (F.coalesce(c(x), F.lit(0.0)) for x in ("prequal_avm", "avm"))
+    days = day_diff(c("app_date"), c("last_sale"))
     return [
-        ("AVM_Knockout_Failure", (F.coalesce(c("prequal_avm"), F.lit(0.0)) == 0)
-         & (F.coalesce(c("avm"), F.lit(0.0)) == 0), "NOAVMRETURNED"),
-        ("Land_Use_Code_Knockout_Failure", ~eligible, "LANDUSE"),
-        ("Acres_Knockout_Failure", c("acres") > P.MAX_ACRES, "PROPERTY_ACRES"),
-        ("Lien_Position_Knockout_Failure", c("n_liens") > P.MAX_LIEN_POSITION, "LIEN_POSITION"),
-        ("Last_Sale_Date_Knockout_Failure", day_diff(c("app_date"), c("last_sale")) <= P.RECENT_SALE_DAYS,
-         "LAST_SALE_DATE"),
+        two_ways("AVM_Knockout_Failure", (prequal == 0) & (avm == 0), (prequal != 0) & (avm != 0), "NOAVMRETURNED"),
+        two_ways("Land_Use_Code_Knockout_Failure", ~eligible, eligible, "LANDUSE"),
+        two_ways("Acres_Knockout_Failure", c("acres") > P.MAX_ACRES, c("acres") <= P.MAX_ACRES, "PROPERTY_ACRES"),
+        two_ways("Lien_Position_Knockout_Failure", c("n_liens") > P.MAX_LIEN_POSITION, c("n_liens") <= P.MAX_LIEN_POSITION,
+                 "LIEN_POSITION"),
+        two_ways("Last_Sale_Date_Knockout_Failure", days <= P.RECENT_SALE_DAYS, days > P.RECENT_SALE_DAYS, "LAST_SALE_DATE"),
     ]
 
 
 def with_property(df: DataFrame) -> DataFrame:
-    labels = [two_way(label, fires, ~fires, c("is_approved"), c("decline_code") == code)
-              for label, fires, code in property_rules()]
-    return df.withColumn("property_check", first_label(*labels))
+    return df.withColumn("property_check", two_way_cascade(property_rules()))
 
 
 def with_liens(df: DataFrame) -> DataFrame:
@@ -248,10 +294,10 @@ def with_ratios(spark: SparkSession, df: DataFrame) -> DataFrame:
     dfires, dclears = c("t_dti") > dti_limit, c("t_dti") <= dti_limit
     return df.withColumns({
         "dti_limit": dti_limit,
-        "cltv_check": first_label(two_way("CLTV_Decline_Failure", fires, clears, c("is_approved"),
-                                          c("decline_code") == "CLTV")),
-        "dti_check": first_label(two_way("DTI_Decline_Failure", dfires, dclears, c("is_approved"),
-                                         c("decline_code") == "DTI")),
+        "cltv_check": first_label(two_way("CLTV_Decline_Failure", fires, clears, c("is_approved"), c("is_declined"),
+                                          has_reason("CLTV"))),
+        "dti_check": first_label(two_way("DTI_Decline_Failure", dfires, dclears, c("is_approved"), c("is_declined"),
+                                         has_reason("DTI"))),
     })
 
 
@@ -270,7 +316,7 @@ def heloc_checks(spark: SparkSession, sf: str) -> DataFrame:
     df = with_ratios(spark, with_liens(with_property(with_credit(df))))
     from ..operators.reconcile import reconcile
     rec_cltv = round_half_up(safe_div(c("owed"), c("stated_value")), 4)
-    rec_dti = round_half_up(safe_div(c("rec_installment") + c("rec_revolving"), c("income")), 4)
+    rec_dti = recorded_dti()
     return df.withColumns({
         "cltv_match": reconcile(rec_cltv, c("t_cltv"), 3),
         "dti_match": reconcile(rec_dti, c("t_dti"), 3),

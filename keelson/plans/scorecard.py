@@ -103,18 +103,19 @@ def normalised_tasks(spark: SparkSession, sf: str) -> DataFrame:
         else:
             outcome = outcome.when(oc.isin(*raws), label)
     outcome = outcome.otherwise(oc)
-    # Supervisor compliance message of failed / cancelled tasks of the same application,
-    # reduced to one message per application before the join (no fan-out).
+    # Every distinct supervisor compliance message of failed / cancelled tasks of the same
+    # application, joined in order into one text per application before the join (no fan-out).
     cs = (t.where(st.isin("FAILED", "CANCELLED") & (c("proficiencies") == "[SUPERVISOR]"))
            .groupBy(c("application").alias("cs_application"))
-           .agg(F.max("message").alias("cs_message")))
+           .agg(F.array_join(F.sort_array(F.collect_set("message")), " | ").alias("cs_message")))
     j = t.join(cs, t.application == cs.cs_application, "left")
     return j.select(
         "task_id", "application", "task_type", covt.alias("covt_task_type"), "subtask_desc",
         subtype.alias("subtask_type"),
         F.when(sub == "Compliance Fraud Review", c("cs_message")).otherwise(msg).alias("message"),
         F.coalesce(c("comments"), F.lit("none")).alias("comments"),
-        "last_status", outcome.alias("subtask_outcome"), "completed_by", c("ts").alias("completed_date"),
+        "last_status", outcome.alias("subtask_outcome"), "completed_by",
+        F.when(sub == "Compliance Fraud Review", c("created_date")).otherwise(c("ts")).alias("completed_date"),
         "proficiencies")
 
 
@@ -138,13 +139,8 @@ def task_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def csp_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    """Agent e-mail with task counts.
-
-    The reference takes DISTINCT (e-mail, identity) over the identity union; for
-    staff identities every union branch yields exactly the staff profile row, so
-    the staff profile is used directly (no scan of the borrower tables).
-    """
-    f = D.staff_profile(spark, sf).select("email", c("identity").alias("identity_id"))
+    """Agent e-mail with task counts: DISTINCT (e-mail, identity) of the identity union meets the scores."""
+    f = identity_union(spark, sf).select("email", "identity_id").distinct()
     s = task_scores(spark, sf)
     return (f.join(s, f.identity_id == s.csa_name)
              .select(c("email").alias("csa_email"), "tasks_cancelled", "tasks_completed",
@@ -221,18 +217,20 @@ def chat_mart(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _two_role_counts(df: DataFrame, first: str, second: str, profile: DataFrame, out: str) -> DataFrame:
-    """Count records per (actor, e-mail) for two actor columns: aggregate, UNION ALL, re-aggregate."""
-    parts = []
-    for role in (first, second):
-        parts.append(df.join(profile, df[role] == profile.identity)
-                       .groupBy(c(role).alias("csas"), "email").agg(F.count(F.lit(1)).alias(out)))
-    return parts[0].unionByName(parts[1]).groupBy("csas", "email").agg(F.sum(out).alias(out))
+    """Count records per (actor, e-mail) for two actor columns.
+
+    One pass: each record is one row per role, rows are counted per actor (partial sums first, so a
+    hot actor costs one row per map task) and only the counts meet the profile."""
+    per = (df.select(F.explode(F.array(first, second)).alias("csas"))
+             .groupBy("csas").agg(F.count(F.lit(1)).alias("n")))
+    return (per.join(profile, per.csas == profile.identity)
+               .groupBy("csas", "email").agg(F.sum("n").alias(out)))
 
 
 def dnc_counts(spark: SparkSession, sf: str) -> DataFrame:
     d = D.contact_preferences(spark, sf).where(_in_window(c("created_ts"), *DNC_WINDOW))
     d = d.withColumn("updated_by", F.coalesce(c("updated_by"), F.lit("Not Updated")))
-    lp = D.staff_profile(spark, sf)
+    lp = D.profile(spark, sf).select("identity", "email")
     return _two_role_counts(d, "created_by", "updated_by", lp, "dnc_num")
 
 
@@ -244,14 +242,14 @@ def complaint_counts(spark: SparkSession, sf: str) -> DataFrame:
                          .when(c("product").isin("--", " "), "Not Specified").otherwise("Home Equity Line"),
         "approved": F.when(c("is_approved") == F.lit(False), "No").when(c("is_approved") == F.lit(True), "Yes"),
     })
-    lp = D.staff_profile(spark, sf)
+    lp = D.profile(spark, sf).select("identity", "email")
     return _two_role_counts(cp, "creator", "approver", lp, "complaint_num")
 
 
 def call_stats(spark: SparkSession, sf: str) -> DataFrame:
     """B58 — notary calls per agent: count, average duration / handle time / speed to answer (minutes)."""
     cl = D.calls(spark, sf)
-    lp = D.staff_profile(spark, sf)
+    lp = D.profile(spark, sf).select("identity", "email")
     j = cl.join(lp, cl.participant == lp.identity, "left").where(
         c("email").like(STAFF_DOMAIN) & _in_window(c("call_started")))
     mins = lambda a, b: F.timestamp_diff("MINUTE", c(a), c(b))

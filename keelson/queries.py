@@ -276,8 +276,8 @@ def q_cond_count(spark: SparkSession, sf: str) -> DataFrame:
     """Conditional counts as SUM(CASE 1/0) and COUNT_IF."""
     t = D.tasks(spark, sf)
     return t.groupBy("completed_by").agg(
-        F.sum(F.when(F.col("task_type") == "click", 1).otherwise(0)).cast("bigint").alias("clicks"),
-        F.sum(F.when(F.col("task_type") != "click", 1).otherwise(0)).cast("bigint").alias("non_clicks"),
+        F.sum(F.when(F.col("event_type") == "click", 1).otherwise(0)).cast("bigint").alias("clicks"),
+        F.sum(F.when(F.col("event_type") != "click", 1).otherwise(0)).cast("bigint").alias("non_clicks"),
         F.count_if(F.col("value") > 100).alias("big_values"),
     )
 
@@ -289,7 +289,7 @@ def q_ratio_of_sums(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("value").cast("decimal(18,2)")
     mins = F.timestamp_diff("MINUTE", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     return t.groupBy("completed_by").agg(
-        round_half_up(F.try_divide(F.sum(F.when(F.col("task_type") == "purchase", v)), F.sum(v)), 6).alias("purchase_share"),
+        round_half_up(F.try_divide(F.sum(F.when(F.col("event_type") == "purchase", v)), F.sum(v)), 6).alias("purchase_share"),
         round_half_up(F.count("task_type") * F.avg(v), 2).alias("score_obtained"),
         round_half_up(F.avg(mins), 3).alias("avg_minutes"),
     )
@@ -452,7 +452,8 @@ def q_verdict(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def q_two_way(spark: SparkSession, sf: str) -> DataFrame:
     """Two-directional rules (missed decline '1' / wrong decline '2')."""
-    return H.ratio_checks(spark, sf).select("id", "is_approved", "decline_code", "cltv_check", "dti_check")
+    return H.ratio_checks(spark, sf).select("id", "is_approved", "is_declined", F.array_join("decline_codes", ",").alias("decline_codes"),
+                                            "cltv_check", "dti_check")
 
 
 # ---------------------------------------------------------------------------
@@ -596,7 +597,8 @@ def q_normalise(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def q_backfill(spark: SparkSession, sf: str) -> DataFrame:
     """Compliance-message backfill from failed / cancelled supervisor tasks."""
-    return SC.normalised_tasks(spark, sf).select("task_id", "application", "message", "comments")
+    return SC.normalised_tasks(spark, sf).select("task_id", "application", "message", "comments",
+                                                   "completed_date")
 
 
 @register
@@ -772,8 +774,7 @@ def q_credit_audit(spark: SparkSession, sf: str) -> DataFrame:
 def q_knockout_flags(spark: SparkSession, sf: str) -> DataFrame:
     """B8 (YES/NO style): one flag per knockout rule plus an overall result."""
     df = H.heloc_inputs(spark, sf, with_liens_and_reasons=False)
-    rules = [(label.replace("_Knockout_Failure1", "").lower(), cond)
-             for label, cond in H.credit_rules(df)]
+    rules = [(label.replace("_Knockout_Failure", "").lower(), missed) for label, missed, _ in H.credit_rules()]
     out = battery(df, rules, style="yesno")
     names = [n for n, _ in rules]
     anyf = F.lit(False)

@@ -61,3 +61,5 @@ BUREAU_CODES = [
 
 # FIXED VALUES: bureau "not available" sentinels
 SENTINELS = (999999998, 999999996)
+# FIXED VALUES: codes whose sentinel counts as 0
+SENTINEL_CODES = ("MTA5830",)

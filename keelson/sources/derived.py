@@ -184,6 +184,22 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_record(table(spark, sf_dir, "lineitem"))
 
 
+#: Third decline reason of a test event, by part key.
+OTHER_REASONS = ("NOAVMRETURNED", "PROPERTY_ACRES", "LIEN_POSITION", "LAST_SALE_DATE", "FORECLOSURE", "CREDITSCORE",
+                 "MORT_TRADES_DELQ", "COLLECTION", "DELQ60_12", "INQ3MONTHS", "BANKRUPTCY", "FACTA_HIT", "FRAUD")
+
+
+@frame
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Soft-eligibility alerts (application x sub-code x event): type, sub-code as text, time."""
+    part = F.col("l_partkey")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"),
+        F.when(part % 3 == 0, "FACTA_HIT").when(part % 3 == 1, "FRAUD_HIT").otherwise("OTHER_HIT").alias("type"),
+        F.when(F.col("l_suppkey") % 13 == 0, F.lit(None)).otherwise((F.col("l_suppkey") % 40).cast("string")).alias("subcode"),
+        F.col("l_shipdate").alias("alert_ts"), F.col("l_linenumber").alias("seq"), part.alias("part"))
+
+
 def decision_record(li: DataFrame) -> DataFrame:
     """Nested decision record of each line-item-shaped row.
 
@@ -213,10 +229,12 @@ def decision_record(li: DataFrame) -> DataFrame:
                              offer(30, 0.050, "FIXED")), 1, n_offers)
     offers = F.when((ln == 7) & (F.col("l_returnflag") == "N"), F.lit(None)).otherwise(offers)
     reason = lambda code, text: F.struct(F.lit(code).alias("code"), F.lit(text).alias("reason"))
+    third = F.element_at(F.array(*[reason(code, code.lower()) for code in OTHER_REASONS]),
+                         (F.col("l_partkey") % len(OTHER_REASONS) + 1).cast("int"))
     reasons = (F.when(F.col("l_returnflag") == "R", F.array(reason("CLTV", "Combined LTV too high"),
-                                                            reason("DTI", "Debt to income too high")))
+                                                            reason("DTI", "Debt to income too high"), third))
                 .when(F.col("l_returnflag") == "A", F.array(reason("LANDUSE", "Land use not eligible"),
-                                                            reason("INV_TAXLIEN", "Other: Involuntary lien")))
+                                                            reason("INV_TAXLIEN", "Other: Involuntary lien"), third))
                 .otherwise(F.slice(F.array(reason("X", "x")), 1, 0)))
     return li.select(
         F.col("l_orderkey").alias("id"),
@@ -309,6 +327,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         ttype.alias("task_type"),
         F.col("value"),
         F.col("ts"),
+        F.timestamp_add("HOUR", -(eid % 48), F.col("ts")).alias("created_date"),
         F.concat(F.lit("S"), (eid % N_AGENTS).cast("string")).alias("completed_by"),
         pick(subs, eid).alias("subtask_desc"),
         F.when(eid % 3 == 0, "IDENTITY_FRAUD detected").when(eid % 3 == 1, "CREDIT_FRAUD alert")
@@ -390,15 +409,6 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@frame
-def staff_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staff identities only ('S' ids): the actor columns of tasks, contacts, complaints and
-    calls only ever hold staff ids, so joining them to this subset equals joining the full profile."""
-    s = table(spark, sf_dir, "supplier")
-    return s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("identity"),
-                    F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit("@staff.example")).alias("email"))
-
-
 @frame
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity profiles: borrowers (customers, 'C' ids) and staff (suppliers, 'S' ids)."""

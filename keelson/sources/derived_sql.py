@@ -8,7 +8,7 @@ the requested frames and their dependencies in order.  The expressions mirror
 from __future__ import annotations
 
 from .bureau_codes import BUREAU_CODES
-from .derived import (CATEGORY_BY_EVENT, N_AGENTS, RAW_OUTCOMES, TASK_STATUSES, TASK_TYPE_BY_EVENT,
+from .derived import (CATEGORY_BY_EVENT, N_AGENTS, OTHER_REASONS, RAW_OUTCOMES, TASK_STATUSES, TASK_TYPE_BY_EVENT,
                       bureau_attr_sql, raw_subtasks)
 
 
@@ -33,6 +33,11 @@ def rhu(expr: str, digits: int) -> str:
     return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
 
 
+def _third_reason() -> str:
+    codes = ", ".join(f"{{'code': '{x}', 'reason': '{x.lower()}'}}" for x in OTHER_REASONS)
+    return f"([{codes}])[CAST(l_partkey % {len(OTHER_REASONS)} + 1 AS INT)]"
+
+
 def _offer(term: int, bump: float, kind: str) -> str:
     b = f"CAST({bump} AS DOUBLE)"
     return ("{" f"'term': CAST({term} AS INTEGER), 'rate': l_discount + {b}, 'fee': l_tax, 'kind': '{kind}', "
@@ -122,11 +127,16 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                                       {_offer(30, 0.050, 'FIXED')}],
                                      lambda o: o.term <= (l_linenumber - 1) * 5) END AS offers,
                CASE WHEN l_returnflag = 'R' THEN [{{'code': 'CLTV', 'reason': 'Combined LTV too high'}},
-                                                  {{'code': 'DTI', 'reason': 'Debt to income too high'}}]
+                                                  {{'code': 'DTI', 'reason': 'Debt to income too high'}}, {_third_reason()}]
                     WHEN l_returnflag = 'A' THEN [{{'code': 'LANDUSE', 'reason': 'Land use not eligible'}},
-                                                  {{'code': 'INV_TAXLIEN', 'reason': 'Other: Involuntary lien'}}]
+                                                  {{'code': 'INV_TAXLIEN', 'reason': 'Other: Involuntary lien'}}, {_third_reason()}]
                     ELSE list_filter([{{'code': 'X', 'reason': 'x'}}], lambda r: false) END AS decline_reasons
         FROM lineitem"""),
+    "alerts": ((), """
+        SELECT l_orderkey AS id, CASE l_partkey % 3 WHEN 0 THEN 'FACTA_HIT' WHEN 1 THEN 'FRAUD_HIT' ELSE 'OTHER_HIT' END AS type,
+               CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE CAST(l_suppkey % 40 AS VARCHAR) END AS subcode,
+               l_shipdate AS alert_ts, l_linenumber AS seq, l_partkey AS part
+        FROM lineitem"""),
     "liens": ((), f"""
         SELECT event_id AS lien_id, user_id AS person,
                CASE WHEN event_id % 17 = 0 THEN NULL ELSE {_lien_category()} END AS category,
@@ -140,7 +150,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM events"""),
     "tasks": ((), f"""
         SELECT event_id AS task_id, 'C' || CAST(user_id AS VARCHAR) AS application,
-               event_type, {_task_type()} AS task_type, value, ts,
+               event_type, {_task_type()} AS task_type, value, ts, ts - to_hours(event_id % 48) AS created_date,
                'S' || CAST(event_id % {N_AGENTS} AS VARCHAR) AS completed_by,
                {_pick(raw_subtasks(), 'event_id')} AS subtask_desc,
                CASE WHEN event_id % 3 = 0 THEN 'IDENTITY_FRAUD detected' WHEN event_id % 3 = 1 THEN 'CREDIT_FRAUD alert'

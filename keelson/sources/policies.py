@@ -62,7 +62,8 @@ COLLECTIONS_MAX = 0          # COL3211 > 0 fails
 WORST_TRADE_MIN = 60         # ALM6270 >= 60 fails
 INQUIRIES_MIN = 6            # IQT9425 - (IQM9415 + IQA9415) >= 6 fails
 FINANCE_INQUIRIES_MAX = 2    # IQF9415 > 2 fails
-BANKRUPTCY_MONTHS = (24, 60)  # ALL9220 <= 24 before the cut-off, <= 60 from it
+BANKRUPTCY_MONTHS = (24, 60)  # months since the last one: ALL9220 <= 24 before the cut-off, <= 60 from it
+LOAN_SIZE_DTI = 0.43         # a DTI decline below this recorded ratio is wrong for the loan size rule
 FORECLOSURE_MONTHS = 60      # MTF8169 <= 60 fails
 # FIXED VALUES: alert sub-codes (numeric set) and fraud-shield message sub-codes
 ALERT_SUBCODES = (16, 23, 26, 28, 31, 33)
@@ -159,6 +160,19 @@ SUBTASK_ALIASES = [
     ("Call applicant -- Notary", ("Call applicant -- Notary", "Call applicant 1 -- Notary",
                                   "Call applicant 2 -- Notary", "Call applicant 3 -- Notary",
                                   "Call applicant 4 -- Notary")),
+    ("Call applicant -- Bank Account", ("Call applicant -- Bank Account", "Call applicant 1 -- Bank Account",
+                                        "Call applicant 2 -- Bank Account", "Call applicant 3 -- Bank Account",
+                                        "Call applicant 4 -- Bank Account")),
+    ("Call applicant -- Sign promissory Note", ("Call applicant -- Sign promissory Note",
+                                                "Call applicant 1 -- Sign promissory Note",
+                                                "Call applicant 2 -- Sign promissory Note",
+                                                "Call applicant 3 -- Sign promissory Note",
+                                                "Call applicant 4 -- Sign promissory Note")),
+    ("Call applicant -- Additional Signer", ("Call applicant -- Additional Signer",
+                                             "Call applicant 1 -- Additional Signer",
+                                             "Call applicant 2 -- Additional Signer",
+                                             "Call applicant 3 -- Additional Signer",
+                                             "Call applicant 4 -- Additional Signer")),
     ("Review Fraud Alert", ("Review Property Ownership", "Review Fraud Alert", "Review Fraud Ownership",
                             "Review Bank Account Ownership")),
     ("Call applicant -- 1st attempt", ("Call applicant -- 1st attempt", "Call Borrower")),

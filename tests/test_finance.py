@@ -39,10 +39,10 @@ def test_collateral_and_haircut(spark):
 
 
 def test_bureau_normalise_sentinel_unparsable_prefer_hard(spark):
-    df = spark.createDataFrame([(1, "Soft Credit", "5"), (1, "Hard Credit", "999999998"), (2, "Soft Credit", "N/A")],
-                               "person int, credit_type string, X string")
-    out = {r.person: (r.credit_type, r.X) for r in FN.bureau_normalise(df, ["X"]).collect()}
-    assert out == {1: ("Hard Credit", 0.0), 2: ("Soft Credit", None)}
+    df = spark.createDataFrame([(1, "Soft Credit", "5", "5"), (1, "Hard Credit", "999999998", "999999998"),
+                                (2, "Soft Credit", "N/A", "999999996")], "person int, credit_type string, X string, MTA5830 string")
+    out = {r.person: (r.credit_type, r.X, r.MTA5830) for r in FN.bureau_normalise(df, ["X", "MTA5830"]).collect()}
+    assert out == {1: ("Hard Credit", 999999998.0, 0.0), 2: ("Soft Credit", None, 0.0)}
 
 
 def test_effective_date_and_regime(spark):

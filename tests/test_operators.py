@@ -83,11 +83,14 @@ def test_battery_yesno_and_any_true(spark):
 
 
 def test_two_way_and_verdict(spark):
-    df = spark.createDataFrame([(True, True, False), (False, False, True), (True, False, False)],
-                               "fires boolean, approved boolean, reason boolean")
-    lab = first_label(two_way("X", F.col("fires"), ~F.col("fires"), F.col("approved"), F.col("reason")))
+    # fires, went through, ended declined, reason named: neither through nor declined gives no label
+    df = spark.createDataFrame([(True, True, False, False), (False, False, True, True), (True, False, True, True),
+                                (False, False, False, True), (False, False, True, False)],
+                               "fires boolean, approved boolean, declined boolean, reason boolean").coalesce(1)
+    lab = first_label(two_way("X", F.col("fires"), ~F.col("fires"), F.col("approved"), F.col("declined"), F.col("reason")))
     rows = [r.l for r in df.select(lab.alias("l")).collect()]
-    assert rows == ["X1", "X2", "PASS"]
+    assert rows == ["X1", "X2", "PASS", "PASS", "PASS"]
+    df = df.limit(3)
     v = df.select(verdict([lab, F.lit("PASS")]).alias("v")).collect()
     assert [r.v for r in v] == ["should have been declined", "should not have been declined", "correct"]
 
