@@ -169,30 +169,20 @@ ALERTS = ("alert_summary", f"""
     WHERE r = 1 GROUP BY id""")
 
 
-def _lien_ctes(as_of: str) -> list[tuple[str, str]]:
-    groups = ", ".join(f"('{s}', '{g}')" for s, g in P.state_group())
-    limits = ", ".join(f"('{c}', '{g}', {m})" for c, g, m in P.LIEN_AGE_LIMITS)
-    return [
-        ("person_state", """SELECT * EXCLUDE (r) FROM (SELECT person, state, app_date, id, hard_score, soft_score,
-             row_number() OVER (PARTITION BY person ORDER BY app_date DESC, id DESC) AS r FROM app) WHERE r = 1"""),
-        ("groups", f"SELECT * FROM (VALUES {groups}) t(state, state_group)"),
-        ("limits", f"SELECT * FROM (VALUES {limits}) t(category, state_group, max_months)"),
-        ("items", """SELECT l.*, ps.state, ps.hard_score, ps.soft_score, g.state_group, lim.max_months
-             FROM liens l LEFT JOIN person_state ps ON l.person = ps.person
-             LEFT JOIN groups g ON ps.state = g.state
-             LEFT JOIN limits lim ON l.category = lim.category
-                  AND (lim.state_group = 'any' OR g.state_group = lim.state_group)"""),
-        ("lien_summary", f"""SELECT person, max(involuntary_on_property OR hoa_on_property) AS lien_exists,
-               max(fails AND category IS NOT NULL) AS lien_item_fails,
+def _lien_ctes() -> list[tuple[str, str]]:
+    age = "date_diff('month', document_date, app_date)"
+    clauses = [f"(category IN ({_in(cats)}) AND {age} > {months}" + (f" AND state_code IN ({_in(states)})" if states else "")
+               + ") IS TRUE" for cats, states, months in P.LIEN_AGE_LIMITS]
+    return [("lien_summary", f"""SELECT id, max(involuntary_on_property OR hoa_on_property) AS lien_exists,
+               max(category IS NOT NULL AND (NOT exc1 OR NOT exc2 OR NOT dated)) AS lien_fails_any,
+               max(category IS NOT NULL AND document_date IS NOT NULL AND NOT exc1 AND NOT exc2) AS lien_fails_all,
                max(category IS NULL) AS lien_no_record, count(*) AS lien_items
-             FROM (SELECT *, NOT (exc1 OR (exc2 AND exc3)) AS fails FROM (
-               SELECT *,
-                 ((coalesce(hard_score, soft_score) >= {P.LIEN_EXCEPTION_SCORE} AND category = 'NOTICE'
-                   AND description = 'NOTICE' AND is_pace = false) IS TRUE) AS exc1,
-                 ((date_diff('month', document_date, DATE '{as_of}') > max_months) IS TRUE) AS exc2,
-                 (category IN ({_in(P.LIEN_CATEGORIES)}) AND document_date IS NOT NULL) AS exc3
-               FROM items)) GROUP BY person"""),
-    ]
+             FROM (SELECT a.id, l.*,
+                 ((coalesce(a.hard_score, a.soft_score) >= 680 AND category = 'NOTICE' AND description = 'NOTICE'
+                   AND is_pace = false) IS TRUE) AS exc1,
+                 ({' OR '.join(clauses)}) AS exc2,
+                 ((category IN ({_in(P.LIEN_CATEGORIES)}) AND document_date IS NOT NULL) IS TRUE) AS dated
+               FROM app a JOIN liens l ON a.person = l.person) GROUP BY id""")]
 
 
 def _score_floor() -> str:
@@ -261,14 +251,14 @@ def _property_case() -> str:
     ])
 
 
-LIEN_CASE = """CASE
-  WHEN coalesce(lien_exists, false) AND (coalesce(lien_item_fails, false) OR coalesce(lien_no_record, false)) AND is_approved
-       AND lien_reason_flag IS FALSE
-    THEN 'Involuntary_Lien_Knockout_Failure' || CASE WHEN lien_no_record IS TRUE THEN '(DT no returns)' ELSE '(DT returns)' END || '1'
-  WHEN (NOT coalesce(lien_exists, false) OR NOT (coalesce(lien_item_fails, false) OR coalesce(lien_no_record, false)))
-       AND is_declined AND lien_reason_flag IS TRUE
-    THEN 'Involuntary_Lien_Knockout_Failure' || CASE WHEN lien_no_record IS TRUE THEN '(DT no returns)' ELSE '(DT returns)' END || '2'
-  ELSE 'PASS' END"""
+def _lien_case(fails: str) -> str:
+    label = "Involuntary_Lien_Knockout_Failure"
+    live = "decision != 'DECLINE' AND status NOT IN ('DECLINED', 'CANCELLED') AND lien_reason_flag IS FALSE"
+    gone = "decision = 'DECLINE' AND status IN ('DECLINED', 'CANCELLED') AND lien_reason_flag IS TRUE"
+    return f"""CASE WHEN lien_exists AND {fails} AND {live} THEN '{label}(DT returns)1'
+        WHEN lien_exists AND lien_no_record AND {live} THEN '{label}(DT no returns)1'
+        WHEN (lien_exists IS NOT TRUE OR ({fails} IS NOT TRUE AND lien_no_record IS NOT TRUE)) AND {gone} THEN '{label}(DT returns)2'
+        ELSE 'PASS' END"""
 
 
 def _z() -> str:
@@ -286,15 +276,15 @@ def debt_parts_sql(score: str, lo: int, split: int) -> str:
     return f"{rev} AS t_revolving_debt, {inst} AS t_installment_debt, {mort} AS t_mortgage_debt"
 
 
-def heloc_ctes(as_of: str = "2024-02-01") -> str:
+def heloc_ctes() -> str:
     r = P.REGIME_DATES
     limits = ", ".join(f"('{g}', {lo}, {hi}, {_f(v)})" for g, lo, hi, v in P.CLTV_LIMITS)
     strict = _in(P.STRICT_STATES)
     a12 = _f(P.ASSET_RATE / 12)
     base = _f(1 + P.ASSET_RATE / 12)
-    extra = [LATEST_DECISION, BUREAU_NORM, LD, ALERTS] + _lien_ctes(as_of) + [
+    extra = [LATEST_DECISION, BUREAU_NORM, LD, ALERTS] + _lien_ctes() + [
         ("reason_ids", "SELECT id FROM (SELECT id, unnest(decline_reasons) AS r FROM decisions) WHERE r.code = 'INV_TAXLIEN'"),
-        ("inputs", f"""SELECT a.*, b.* EXCLUDE (person), p.* EXCLUDE (id), ld.* EXCLUDE (id), al.* EXCLUDE (id), ls.* EXCLUDE (person),
+        ("inputs", f"""SELECT a.*, b.* EXCLUDE (person), p.* EXCLUDE (id), ld.* EXCLUDE (id), al.* EXCLUDE (id), ls.* EXCLUDE (id),
                a.id IN (SELECT id FROM reason_ids) AS lien_reason_flag,
                coalesce(a.hard_score, a.soft_score) AS fico,
                CASE WHEN a.flag = 'Y' AND a.respond_by >= a.app_date THEN a.mail_date ELSE a.app_date END AS eff_date,
@@ -302,9 +292,9 @@ def heloc_ctes(as_of: str = "2024-02-01") -> str:
                (a.decision != 'DECLINE' AND a.status NOT IN ('DECLINED', 'CANCELLED')) AS is_approved,
                (a.decision = 'DECLINE' AND a.status IN ('DECLINED', 'CANCELLED')) AS is_declined
              FROM app a LEFT JOIN bureau b ON a.person = b.person LEFT JOIN prop p ON a.id = p.id
-             LEFT JOIN ld ON a.id = ld.id LEFT JOIN alert_summary al ON a.id = al.id LEFT JOIN lien_summary ls ON a.person = ls.person"""),
+             LEFT JOIN ld ON a.id = ld.id LEFT JOIN alert_summary al ON a.id = al.id LEFT JOIN lien_summary ls ON a.id = ls.id"""),
         ("chk1", f"""SELECT *, {_credit_case()} AS credit_check, {_property_case()} AS property_check,
-               {LIEN_CASE} AS lien_check, {debt_parts_sql('fico', 620, 740)} FROM inputs"""),
+               {_lien_case('lien_fails_all')} AS lien_check, {_lien_case('lien_fails_any')} AS lien_check_any, {debt_parts_sql('fico', 620, 740)} FROM inputs"""),
         ("chk2", f"""SELECT *,
                CASE WHEN BCC5830 > BCX5830 THEN ALX5830 - ILN5824
                     ELSE coalesce(t_revolving_debt, 0.0) + coalesce(t_installment_debt, 0.0) + coalesce(t_mortgage_debt, 0.0) END AS t_monthly_debt,
@@ -375,7 +365,7 @@ sql("q_policy_lookup", _H + f"""SELECT id, fico, regime, cltv_limit, dti_limit,
 sql("q_cascade_credit", _H + "SELECT id, fico, credit_check FROM chk1")
 sql("q_property_rules", _H + "SELECT id, land_use, acres, property_check FROM chk1")
 sql("q_lien_exceptions", _H + "SELECT * FROM lien_summary")
-sql("q_lien_decline", _H + "SELECT id, lien_exists, lien_item_fails, lien_no_record, lien_reason_flag, lien_check FROM chk1")
+sql("q_lien_decline", _H + "SELECT id, lien_exists, lien_fails_any, lien_fails_all, lien_no_record, lien_reason_flag, lien_check_any, lien_check FROM chk1")
 sql("q_debt_parts", _H + f"SELECT id, {rhu(_z(), 4)} AS z, t_revolving_debt, t_installment_debt, t_mortgage_debt FROM chk1")
 sql("q_total_debt", _H + f"""SELECT id,
     {rhu('CASE WHEN BCC5830 > BCX5830 THEN ALX5830 - ILN5824 ELSE coalesce(t_revolving_debt, 0.0) + coalesce(t_installment_debt, 0.0) + coalesce(t_mortgage_debt, 0.0) END', 4)} AS debt_zero_filled,

@@ -3,8 +3,8 @@
 Stages (each a function so single checks can run on their own):
 
 ``heloc_inputs``  one row per application: application mart, preferred bureau
-                  pull, property record, latest decision event, lien summary
-                  per person and a decline-reason membership flag.
+                  pull, property record, latest decision event, alert and lien
+                  summaries per application and a decline-reason membership flag.
 ``with_credit``   B7/B9-B12 first-match credit knockout cascade.
 ``with_property`` B14 two-directional property eligibility rules.
 ``with_liens``    B17/B18 involuntary-lien exceptions and decline check.
@@ -13,7 +13,7 @@ Stages (each a function so single checks can run on their own):
 
 Plan notes: every input is reduced to one row per join key *before* it is
 joined (latest decision per application, preferred bureau pull per person,
-lien summary per person), so each join is 1:1 or many:1 and no join key can
+lien and alert summaries per application), so each join is 1:1 or many:1 and no join key can
 fan out.  Policy tables are broadcast (fixed row counts); everything else is
 left to AQE (broadcast when small at runtime, shuffle join otherwise, skew
 split for hot persons).
@@ -31,7 +31,7 @@ from ..operators.audit import approved, declined, verdict
 from ..operators.latest import latest
 from ..operators.membership import member_flag
 from ..operators.nested import flatten
-from ..operators.policy import band_join, broadcast_bounded, effective_date, regime
+from ..operators.policy import band_join, effective_date, regime
 from ..operators.rules import cascade, first_label, two_way
 from ..sources import derived as D
 from ..sources import policies as P
@@ -80,43 +80,43 @@ def max_loan(score: Column) -> Column:
     return expr
 
 
-def lien_summary(spark: SparkSession, sf: str, as_of: Column) -> DataFrame:
-    """B17 — per person: lien exists, any item failing its exceptions, any item without a record.
+def lien_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """B17 — per application: lien exists, item failures under both versions, items without a record.
 
-    Item exceptions: (1) a notice with score >= 680 and no PACE lien; (2) the
-    item is older than its (category, state group) age limit; (3) the item has a
-    document date.  An item fails when any exception is missing.
+    Exceptions of an item: (1) a notice with score >= 680 and no PACE lien; (2) older than the age
+    limit of its category and state at the application date; (3) about its date. Version ``any``
+    (later scripts): an item fails when (1), (2) or its date is missing. Version ``all`` (earlier
+    scripts): a dated item fails when neither (1) nor (2) holds. Items are first reduced to one row
+    per person, category, state and month, the facts these rules read, so a person with many liens
+    meets their applications by few rows.
     """
-    lz = D.liens(spark, sf)
-    groups = small_frame(spark, "state_group", P.state_group(), "state string, state_group string")
-    limits = small_frame(spark, "lien_age_limits", P.LIEN_AGE_LIMITS,
-                         "category string, state_group string, max_months int")
-    a = D.app(spark, sf)
-    person_state = latest(a.select("person", "state", "app_date", "id", "hard_score", "soft_score"),
-                          ["person"], [c("app_date").desc(), c("id").desc()])
-    items = (lz.join(person_state, "person", "left")
-               .join(broadcast_bounded(groups, len(P.state_group())), "state", "left"))
-    lim = broadcast_bounded(limits, len(P.LIEN_AGE_LIMITS))
-    items = items.join(lim, (items.category == lim.category)
-                       & ((lim.state_group == "any") | (items.state_group == lim.state_group)), "left") \
-                 .select(items["*"], lim.max_months)
+    month = F.trunc("document_date", "month")
+    kinds = (D.liens(spark, sf)
+             .groupBy("person", "category", "state_code", "is_pace", month.alias("month"),
+                      (c("category").eqNullSafe("NOTICE") & c("description").eqNullSafe("NOTICE")).alias("notice"))
+             .agg(F.max(c("involuntary_on_property") | c("hoa_on_property")).alias("on_property"),
+                  F.count(F.lit(1)).alias("items")))
+    items = D.app(spark, sf).select("id", "person", "app_date", "hard_score", "soft_score").join(kinds, "person")
     score = FN.resolve_score(c("hard_score"), c("soft_score"))
-    age = month_diff(as_of, c("document_date"))
-    exc1 = is_true((score >= P.LIEN_EXCEPTION_SCORE) & (c("category") == "NOTICE")
-                   & (c("description") == "NOTICE") & (c("is_pace") == F.lit(False)))
-    exc2 = is_true(age > c("max_months"))
-    exc3 = c("category").isin(*P.LIEN_CATEGORIES) & c("document_date").isNotNull()
-    fails = ~(exc1 | (exc2 & exc3))
-    return items.groupBy("person").agg(
-        F.max(c("involuntary_on_property") | c("hoa_on_property")).alias("lien_exists"),
-        F.max(fails & c("category").isNotNull()).alias("lien_item_fails"),
-        F.max(c("category").isNull()).alias("lien_no_record"),
-        F.count(F.lit(1)).alias("lien_items"),
+    age = month_diff(c("app_date"), c("month"))
+    exc1 = is_true((score >= P.LIEN_EXCEPTION_SCORE) & c("notice") & (c("is_pace") == F.lit(False)))
+    exc2 = F.lit(False)
+    for categories, states, months in P.LIEN_AGE_LIMITS:
+        old = c("category").isin(*categories) & (age > months)
+        exc2 = exc2 | is_true(old if states is None else old & c("state_code").isin(*states))
+    listed = c("category").isin(*P.LIEN_CATEGORIES)
+    known = c("category").isNotNull()
+    dated = is_true(listed & c("month").isNotNull())
+    return items.groupBy("id").agg(
+        F.max("on_property").alias("lien_exists"),
+        F.max(known & ~(exc1 & exc2 & dated)).alias("lien_fails_any"),
+        F.max(known & c("month").isNotNull() & ~exc1 & ~exc2).alias("lien_fails_all"),
+        F.max(~known).alias("lien_no_record"),
+        F.sum("items").alias("lien_items"),
     )
 
 
-def heloc_inputs(spark: SparkSession, sf: str, as_of: str = D.AS_OF,
-                 with_liens_and_reasons: bool = True) -> DataFrame:
+def heloc_inputs(spark: SparkSession, sf: str, with_liens_and_reasons: bool = True) -> DataFrame:
     """One row per application with every input of the checks (left joins, 1:1 / many:1)."""
     a = D.app(spark, sf)
     ld = latest_decision(spark, sf).select(
@@ -133,7 +133,7 @@ def heloc_inputs(spark: SparkSession, sf: str, as_of: str = D.AS_OF,
             .join(ld, "id", "left")
             .join(alert_summary(spark, sf), "id", "left"))
     if with_liens_and_reasons:
-        df = df.join(lien_summary(spark, sf, F.lit(as_of).cast("date")), "person", "left")
+        df = df.join(lien_summary(spark, sf), "id", "left")
         # B39: "declined for an involuntary lien" as SQL three-valued IN (subquery).
         df = member_flag(df, "id", reasons.where(c("r_code") == "INV_TAXLIEN"), "id", "lien_reason_flag")
     return df.withColumns({
@@ -244,19 +244,18 @@ def with_property(df: DataFrame) -> DataFrame:
     return df.withColumn("property_check", two_way_cascade(property_rules()))
 
 
-def with_liens(df: DataFrame) -> DataFrame:
-    """B18 — lien decline check, two-directional."""
+def with_liens(df: DataFrame, version: str = "all") -> DataFrame:
+    """B18 — lien decline check, two-directional, under one version of the item rule."""
     exists = is_true(c("lien_exists"))
-    fails = exists & (is_true(c("lien_item_fails")) | is_true(c("lien_no_record")))
-    clears = ~exists | ~(is_true(c("lien_item_fails")) | is_true(c("lien_no_record")))
-    dt_returns = F.when(is_true(c("lien_no_record")), "(DT no returns)").otherwise("(DT returns)")
-    flag = c("lien_reason_flag")
-    check = (F.when(fails & c("is_approved") & flag.eqNullSafe(F.lit(False)),
-                    F.concat(F.lit("Involuntary_Lien_Knockout_Failure"), dt_returns, F.lit("1")))
-              .when(clears & c("is_declined") & flag.eqNullSafe(F.lit(True)),
-                    F.concat(F.lit("Involuntary_Lien_Knockout_Failure"), dt_returns, F.lit("2")))
-              .otherwise("PASS"))
-    return df.withColumn("lien_check", check)
+    with_record = exists & is_true(c(f"lien_fails_{version}"))
+    without = exists & is_true(c("lien_no_record"))
+    clears = ~with_record & ~without
+    named, unnamed = (c("lien_reason_flag").eqNullSafe(F.lit(x)) for x in (True, False))
+    label = "Involuntary_Lien_Knockout_Failure"
+    return df.withColumn("lien_check", cascade([
+        (f"{label}(DT returns)1", with_record & c("is_approved") & unnamed),
+        (f"{label}(DT no returns)1", without & c("is_approved") & unnamed),
+        (f"{label}(DT returns)2", clears & c("is_declined") & named)], "PASS"))
 
 
 def with_ratios(spark: SparkSession, df: DataFrame) -> DataFrame:

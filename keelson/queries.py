@@ -366,15 +366,16 @@ def q_property_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def q_lien_exceptions(spark: SparkSession, sf: str) -> DataFrame:
-    """Involuntary-lien exceptions summarised per person."""
-    return H.lien_summary(spark, sf, F.lit(D.AS_OF).cast("date"))
+    """Involuntary-lien exceptions summarised per application, both versions of the item rule."""
+    return H.lien_summary(spark, sf)
 
 
 @register
 def q_lien_decline(spark: SparkSession, sf: str) -> DataFrame:
-    """Lien decline check (DT returns / no returns, both directions)."""
-    df = H.with_liens(H.heloc_inputs(spark, sf))
-    return df.select("id", "lien_exists", "lien_item_fails", "lien_no_record", "lien_reason_flag", "lien_check")
+    """Lien decline check (DT returns / no returns, both directions), both versions of the item rule."""
+    df = H.with_liens(H.heloc_inputs(spark, sf), "any").withColumnRenamed("lien_check", "lien_check_any")
+    return H.with_liens(df, "all").select("id", "lien_exists", "lien_fails_any", "lien_fails_all", "lien_no_record",
+                                          "lien_reason_flag", "lien_check_any", "lien_check")
 
 
 @register

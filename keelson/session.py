@@ -33,9 +33,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         # stages keep every core busy on small inputs; irrelevant once partitions are large.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.shuffle.partitions",
-                str(shuffle_partitions or int(cpus)))
     )
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if os.environ.get("KEELSON_EVENT_LOG_DIR"):  # profiling: stage / task times without the UI
         builder = (builder.config("spark.eventLog.enabled", "true")
                    .config("spark.eventLog.dir", os.environ["KEELSON_EVENT_LOG_DIR"])
@@ -43,6 +43,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master or not os.environ.get("SPARK_MASTER"):
         builder = builder.master(master or f"local[{cpus}]")
         builder = builder.config("spark.driver.memory", "16g")
+        if not shuffle_partitions:  # on a cluster the submit configuration decides
+            builder = builder.config("spark.sql.shuffle.partitions", cpus)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -53,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset (local runs)."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="keelson-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

@@ -24,6 +24,11 @@ AS_OF = "2024-02-01"
 # Agents (operations staff) are suppliers; work is spread over this many ids.
 N_AGENTS = 37
 
+# Days that test lien documents precede their events, so that they precede the applications too.
+LIEN_SHIFT = 9700
+# States of test liens: some of each age group, one of none.
+LIEN_STATES = ("CA", "MD", "AL", "SD", "TX", "WY", "NY", "MI", "NJ", "GA")
+
 CATEGORY_BY_EVENT = [("click", "FEDERAL TAX LIEN"), ("view", "MECHANICS LIEN"),
                      ("purchase", "STATE TAX LIEN"), ("signup", "JUDGMENT")]
 
@@ -269,7 +274,7 @@ def decision_record(li: DataFrame) -> DataFrame:
 
 @frame
 def liens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Involuntary-lien items per person, with summary flags."""
+    """Involuntary-lien items per person with their state, and summary flags."""
     ev = table(spark, sf_dir, "events")
     et = F.col("event_type")
     cat = F.lit("NOTICE")
@@ -284,7 +289,10 @@ def liens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(missing, F.lit(None))
          .when((et == "error") & (F.col("event_id") % 2 == 1), "RELEASE")
          .otherwise(cat).alias("description"),
-        F.date_sub(F.to_date("ts"), F.floor(F.col("value") * 10).cast("int")).alias("document_date"),
+        F.when(F.col("event_id") % 19 != 0, F.date_sub(F.to_date("ts"), F.floor(F.col("value") * 10).cast("int") + LIEN_SHIFT))
+         .alias("document_date"),
+        F.element_at(F.array(*[F.lit(x) for x in LIEN_STATES]), (F.col("event_id") % len(LIEN_STATES) + 1).cast("int"))
+         .alias("state_code"),
         (uid % 3 != 0).alias("involuntary_on_property"),
         (uid % 5 == 0).alias("hoa_on_property"),
         F.when(uid % 7 == 0, F.lit(None)).otherwise(uid % 2 == 0).alias("is_pace"),

@@ -8,7 +8,8 @@ the requested frames and their dependencies in order.  The expressions mirror
 from __future__ import annotations
 
 from .bureau_codes import BUREAU_CODES
-from .derived import (CATEGORY_BY_EVENT, N_AGENTS, OTHER_REASONS, RAW_OUTCOMES, TASK_STATUSES, TASK_TYPE_BY_EVENT,
+from .derived import (CATEGORY_BY_EVENT, LIEN_SHIFT, LIEN_STATES, N_AGENTS, OTHER_REASONS, RAW_OUTCOMES, TASK_STATUSES,
+                      TASK_TYPE_BY_EVENT,
                       bureau_attr_sql, raw_subtasks)
 
 
@@ -143,7 +144,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN event_id % 17 = 0 THEN NULL
                     WHEN event_type = 'error' AND event_id % 2 = 1 THEN 'RELEASE'
                     ELSE {_lien_category()} END AS description,
-               CAST(ts AS DATE) - CAST(floor(value * 10) AS INTEGER) AS document_date,
+               CASE WHEN event_id % 19 != 0 THEN CAST(ts AS DATE) - CAST(floor(value * 10) + {LIEN_SHIFT} AS INTEGER) END AS document_date,
+               ([{', '.join(repr(x) for x in LIEN_STATES)}])[CAST(event_id % {len(LIEN_STATES)} + 1 AS INT)] AS state_code,
                user_id % 3 != 0 AS involuntary_on_property,
                user_id % 5 = 0 AS hoa_on_property,
                CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id % 2 = 0 END AS is_pace

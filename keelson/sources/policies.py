@@ -77,29 +77,23 @@ RECENT_SALE_DAYS = 90
 MAX_LIEN_POSITION = 3
 MAX_MORTGAGE_COUNT = 2
 
-# FIXED VALUES: involuntary-lien age limits in months by category and state group
-LIEN_AGE_LIMITS = [  # (category, state_group, max_months)
-    ("FEDERAL TAX LIEN", "any", 120),
-    ("MECHANICS LIEN", "any", 24),
-    ("STATE TAX LIEN", "g1", 240),
-    ("STATE TAX LIEN", "g2", 120),
-    ("STATE TAX LIEN", "g3", 84),
-    ("JUDGMENT", "g1", 240),
-    ("JUDGMENT", "g2", 120),
-    ("JUDGMENT", "g3", 84),
-    ("LIEN", "g1", 240),
-    ("LIEN", "g2", 120),
-    ("LIEN", "g3", 84),
+# FIXED VALUES: a lien older than this many months is excepted (categories, states or any, months)
+LIEN_AGE_LIMITS = [
+    (("FEDERAL TAX LIEN",), None, 120),
+    (("MECHANICS LIEN",), None, 24),
+    (("STATE TAX LIEN",), ("NH", "IL", "CA", "NJ", "VA", "WI", "FL", "HI", "CT", "OH", "VT", "IA", "KY", "LA", "MD"), 240),
+    (("STATE TAX LIEN",), ("AL", "AZ", "AR", "DE", "IN", "ME", "MA", "MN", "NM", "TN", "WA", "WY", "WV", "KS", "SC", "GA",
+                           "OK", "NE"), 120),
+    (("STATE TAX LIEN",), ("SD", "UT", "ID", "CO", "MI", "MS"), 84),
+    (("JUDGMENT", "LIEN"), ("MD", "DC", "NM", "KY", "ME", "MA", "CT", "NJ", "RI"), 240),
+    (("JUDGMENT", "LIEN"), ("AR", "AL", "IA", "DE", "IN", "MN", "TN", "WA", "WV", "SC", "CA", "FL", "VA", "WI", "SD", "LA",
+                            "TX", "MT", "NC", "OR", "MO", "AZ", "UT", "VT", "AK"), 120),
+    (("JUDGMENT", "LIEN"), ("WY", "KS", "OK", "OH", "ID", "MI", "PA", "NE", "NH", "CO", "NV", "GA", "IL"), 84),
 ]
 LIEN_EXCEPTION_SCORE = 680
 LIEN_CATEGORIES = ("FEDERAL TAX LIEN", "MECHANICS LIEN", "STATE TAX LIEN", "JUDGMENT", "LIEN")
 
 
-def state_group(n_states: int = 25) -> list[tuple[str, str]]:
-    """Test binding: nation k belongs to state group g(k mod 3 + 1)."""
-    return [(f"NATION_{k}", f"g{k % 3 + 1}") for k in range(n_states)]
-
-
 # FIXED VALUES: CLTV limit when nothing is owed
 CLTV_ZERO_OWED = 0.5
 # CLTV limits by score band and regime (limits are policy values; regimes bound to test dates)

@@ -23,6 +23,21 @@ def _session_key(spark: SparkSession) -> tuple:
     return id(spark), spark.sparkContext.applicationId
 
 
+def forget() -> None:
+    """Drop every memoised DataFrame (after tables of a data folder were rewritten in a store this
+    process cannot look into)."""
+    _FRAMES.clear()
+
+
+def _stamp(path: str) -> tuple:
+    """Modification times of a local folder and its tables, so that a rewritten table is read anew."""
+    try:
+        with os.scandir(path) as entries:
+            return tuple(sorted((e.name, e.stat().st_mtime_ns) for e in entries))
+    except OSError:  # a path only Spark can open
+        return ()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table as a DataFrame (one DataFrame object per session and path).
 
@@ -32,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    key = (_session_key(spark), os.path.abspath(sf_dir), name)
+    key = (_session_key(spark), sf_dir, _stamp(sf_dir), name)
     df = _FRAMES.get(key)
     if df is None:
         df = _FRAMES[key] = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -45,7 +60,7 @@ def frame(fn):
     def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
         if os.environ.get("KEELSON_NO_MEMO"):
             return fn(spark, sf_dir)
-        key = (_session_key(spark), os.path.abspath(sf_dir), fn.__module__, fn.__qualname__)
+        key = (_session_key(spark), sf_dir, _stamp(sf_dir), fn.__module__, fn.__qualname__)
         df = _FRAMES.get(key)
         if df is None:
             df = _FRAMES[key] = fn(spark, sf_dir)
