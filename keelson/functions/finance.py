@@ -227,11 +227,12 @@ def free_cash_flow(base: Column, transport: Column, student_payment: Column, app
 
 
 def usury_cap(margin: Column, index_rate: Column, fee: Column) -> Column:
-    """B43 — all-in percentage margin + index + fee."""
-    return margin + index_rate + fee
+    """B43 — all-in percentage margin + index (none counts as 0) + fee."""
+    return margin + F.coalesce(index_rate, F.lit(0.0)) + fee
 
 
-def offer_rate(kind: Column, quoted: Column, margin: Column, index_rate: Column, autopay: Column) -> Column:
-    """B41 — expected offer rate: quoted for fixed; margin + index (- autopay discount) for variable."""
-    floating = margin + index_rate - F.when(autopay, F.lit(P.AUTOPAY_DISCOUNT)).otherwise(F.lit(0.0))
-    return F.when(kind == "FIXED", quoted).otherwise(floating)
+def offer_rate(kind: Column, rate: Column, margin: Column, index_rate: Column, discount: Column | float) -> Column:
+    """B41 — expected rate: a fixed offer's own, a floating one's margin + index - discount (no index
+    counts as 0). An offer without a kind has no expected rate."""
+    floating = margin + F.coalesce(index_rate, F.lit(0.0)) - discount
+    return F.when(kind == "FIXED", rate).when(kind == "VARIABLE", floating)

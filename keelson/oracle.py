@@ -442,7 +442,7 @@ def refi_ctes() -> str:
                   uw_packet.current_student_payment.amount AS rec_student_payment,
                   uw_packet.pre_loan_cashflow.amount AS rec_pre_fcf, uw_packet.post_loan_cashflow.amount AS rec_post_fcf,
                   offers FROM latest_decision"""),
-             ("roffers", "SELECT id, o.term AS term_years, o.rate AS offer_rate FROM (SELECT id, unnest(offers) AS o FROM rld)"),
+             ("roffers", "SELECT id, o.term AS term_years, min_by(o.rate, o.fee) AS offer_rate FROM (SELECT id, unnest(offers) AS o FROM rld) GROUP BY id, o.term"),
              ("hard", f"SELECT person, credit_type, {norm} FROM bureau_raw WHERE credit_type = 'Hard Credit'"),
              ("rin", f"""SELECT a.*, h.* EXCLUDE (person), r.* EXCLUDE (id, offers), o.offer_rate,
                   CASE WHEN a.segment = 'AUTOMOBILE' THEN 'NON_RESIDENT' WHEN a.segment = 'MACHINERY' THEN 'PERMANENT_RESIDENT'
@@ -535,44 +535,51 @@ def _grid_values() -> str:
 
 
 OFFERS = ("offers_flat", """SELECT id, seq, part, supp, event_ts, o.term AS o_term, o.rate AS o_rate, o.fee AS o_fee,
-    o.kind AS o_kind, o.margin AS o_margin, o.index_rate AS o_index_rate, o.apr AS o_apr
-  FROM (SELECT id, seq, part, supp, event_ts, unnest(offers) AS o FROM decisions)""")
+    o.kind AS o_kind, o.margin AS o_margin, o.index_rate AS o_index_rate, o.apr AS o_apr,
+    o.non_autopay_rate AS o_non_autopay_rate FROM (SELECT id, seq, part, supp, event_ts, unnest(offers) AS o FROM decisions)""")
+LATEST_OFFERS = ("offers_latest", OFFERS[1].replace("FROM decisions", "FROM latest_decision"))
 
-sql("q_grid_check", W("app", "prop", "decisions", extra=[LATEST_DECISION,
+sql("q_grid_check", W("app", "prop", "decisions", extra=[OFFERS,
     ("grid", f"SELECT * FROM (VALUES {_grid_values()}) t(g_term, g_first, g_lo, g_hi, g_lo_closed, g_slo, g_shi, expected_rate)"),
-    ("go", f"""SELECT l.id, o.term AS o_term, o.rate AS o_rate, a.score, p.n_liens <= 2 AS first_lien,
+    ("go", f"""SELECT l.id, seq, part, o_term, o_rate, a.score, p.n_liens <= 2 AS first_lien,
+                  CASE WHEN p.land_use = 112 THEN 'CONDO' ELSE 'HOME' END AS property_type,
                   {rhu('p.owed / nullif(p.avm, 0)', 4)} AS cltv
-               FROM (SELECT id, unnest(offers) AS o FROM latest_decision) l JOIN app a ON l.id = a.id
+               FROM offers_flat l JOIN app a ON l.id = a.id
                LEFT JOIN prop p ON l.id = p.id""")]) + f"""
-SELECT id, o_term AS term, first_lien, cltv, score, o_rate AS rate, expected_rate,
+SELECT id, seq, part, o_term AS term, first_lien, property_type, cltv, score, o_rate AS rate, expected_rate,
        CASE WHEN expected_rate IS NULL THEN 'NO_GRID_CELL'
             WHEN {rhu('o_rate', 4)} = {rhu('expected_rate', 4)} THEN 'OK' ELSE 'RATE_MISMATCH' END AS grid_check
-FROM go LEFT JOIN grid ON o_term = g_term AND first_lien = g_first
+FROM go LEFT JOIN grid ON o_term = g_term AND first_lien = g_first AND property_type = 'HOME'
      AND (cltv > g_lo OR (g_lo_closed AND cltv = g_lo)) AND cltv <= g_hi AND score >= g_slo AND score <= g_shi""")
 
-_EXP = f"CASE WHEN o_kind = 'FIXED' THEN o_rate ELSE o_margin + o_index_rate - CASE WHEN autopay THEN {_f(P.AUTOPAY_DISCOUNT)} ELSE 0.0 END END"
-_OFFER_CHECKS = W("decisions", extra=[OFFERS, ("oc", f"""SELECT *, seq % 2 = 0 AS autopay FROM offers_flat""")])
-sql("q_offer_rate", _OFFER_CHECKS + f"""
-SELECT id, seq, part, o_term AS term, o_kind AS kind, autopay, o_rate AS rate, {rhu(_EXP, 4)} AS expected_rate,
-       CASE WHEN {rhu('o_rate', 4)} = {rhu(_EXP, 4)} THEN 'Match' WHEN {rhu('o_rate', 4)} != {rhu(_EXP, 4)} THEN 'Unmatch'
-            ELSE 'Unavailable' END AS rate_match
-FROM oc""")
-sql("q_usury_cap", _OFFER_CHECKS + f"SELECT id, seq, part, o_term AS term, {rhu('o_margin + o_index_rate + o_fee', 4)} AS usury_pct FROM oc")
+def _match(a: str, b: str) -> str:
+    return (f"CASE WHEN {rhu(a, 4)} = {rhu(b, 4)} THEN 'Match' WHEN {rhu(a, 4)} != {rhu(b, 4)} THEN 'Unmatch' "
+            "ELSE 'Unavailable' END")
+
+
+_AUTO = ("CASE o_kind WHEN 'FIXED' THEN o_rate WHEN 'VARIABLE' THEN o_margin + coalesce(o_index_rate, 0.0::DOUBLE) "
+         "- 0.0025::DOUBLE END")
+_MANUAL = ("CASE o_kind WHEN 'FIXED' THEN o_non_autopay_rate WHEN 'VARIABLE' THEN o_margin + coalesce(o_index_rate, 0.0::DOUBLE) "
+           "- 0.0::DOUBLE END")
+_LATEST_OFFERS = W("decisions", extra=[LATEST_DECISION, LATEST_OFFERS])
+sql("q_offer_rate", _LATEST_OFFERS + f"""
+SELECT id, seq, part, o_term AS term, o_kind AS kind, o_fee AS fee, o_rate AS rate, {rhu(_AUTO, 4)} AS expected_rate,
+       {_match('o_rate', _AUTO)} AS rate_match, o_non_autopay_rate AS manual_rate, {rhu(_MANUAL, 4)} AS expected_manual_rate,
+       {_match('o_non_autopay_rate', _MANUAL)} AS manual_rate_match
+FROM offers_latest""")
+sql("q_usury_cap", _LATEST_OFFERS + f"""SELECT id, seq, part, o_term AS term, o_fee AS fee,
+    {rhu('o_margin + coalesce(o_index_rate, 0.0::DOUBLE) + o_fee', 4)} AS usury_pct FROM offers_latest""")
 
 _DIV = ", ".join(f"({t}, {_f(r)}, {_f(a)})" for t, r, a in P.BUYDOWN_DIVISORS)
 _ER = rhu("base_rate - o_fee / rate_div", 5)
-_EA = rhu("base_apr - o_fee / apr_div", 5)
-sql("q_fee_buydown", W("decisions", extra=[OFFERS,
-    ("base", """SELECT id, o_term, o_rate AS base_rate, o_apr AS base_apr FROM (
-        SELECT *, row_number() OVER (PARTITION BY id, o_term ORDER BY event_ts DESC, seq DESC, part DESC, supp DESC) AS r
-        FROM offers_flat WHERE o_fee = 0) WHERE r = 1"""),
+_EA = rhu("base_rate - o_fee / apr_div", 5)
+sql("q_fee_buydown", W("decisions", extra=[LATEST_DECISION, LATEST_OFFERS,
+    ("base", "SELECT id AS b_id, o_term AS b_term, o_rate AS base_rate FROM offers_latest WHERE o_fee = 0 AND o_kind = 'FIXED'"),
     ("div", f"SELECT * FROM (VALUES {_DIV}) t(d_term, rate_div, apr_div)")]) + f"""
-SELECT o.id, seq, part, o.o_term AS term, o_fee AS fee, o_rate AS rate, {_ER} AS expected_rate,
-       CASE WHEN {rhu('o_rate', 4)} = {rhu(_ER, 4)} THEN 'Match' WHEN {rhu('o_rate', 4)} != {rhu(_ER, 4)} THEN 'Unmatch' ELSE 'Unavailable' END AS rate_match,
-       o_apr AS apr, {_EA} AS expected_apr,
-       CASE WHEN {rhu('o_apr', 4)} = {rhu(_EA, 4)} THEN 'Match' WHEN {rhu('o_apr', 4)} != {rhu(_EA, 4)} THEN 'Unmatch' ELSE 'Unavailable' END AS apr_match
-FROM offers_flat o JOIN base b ON o.id = b.id AND o.o_term = b.o_term LEFT JOIN div ON o.o_term = d_term
-WHERE o_fee > 0""")
+SELECT id, seq, part, o_term AS term, o_fee AS fee, base_rate, o_rate AS rate, {_ER} AS expected_rate,
+       {_match('o_rate', _ER)} AS rate_match, o_apr AS apr, {_EA} AS expected_apr, {_match('o_apr', _EA)} AS apr_match
+FROM offers_latest LEFT JOIN (SELECT DISTINCT * FROM base) ON id = b_id AND o_term = b_term LEFT JOIN div ON o_term = d_term
+WHERE o_kind = 'FIXED'""")
 
 
 # =============================================================================

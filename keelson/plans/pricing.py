@@ -34,15 +34,25 @@ def offers(spark: SparkSession, sf: str) -> DataFrame:
     return flatten(d, "offers", "o", outer=False, prefix="o_")
 
 
-def grid_check(spark: SparkSession, sf: str) -> DataFrame:
-    """B40 — expected grid rate per offer of the latest decision; unmatched cells are reported (Q3)."""
+@frame
+def latest_offers(spark: SparkSession, sf: str) -> DataFrame:
+    """Offers of the latest decision of each application (ranked before they are flattened)."""
     from .heloc import latest_decision
-    ld = latest_decision(spark, sf).select("id", "offers")
-    prop = D.prop(spark, sf).select("id", "owed", "avm", "n_liens")
+    return flatten(latest_decision(spark, sf).select("id", "seq", "part", "offers"), "offers", "o", outer=False, prefix="o_")
+
+
+def grid_check(spark: SparkSession, sf: str, cells: list[tuple] | None = None) -> DataFrame:
+    """B40 — expected grid rate of every offer of every decision; unmatched cells are reported (Q3).
+
+    ``cells`` is the rate grid, a parameter of the audit: (term, first lien, property type, CLTV band,
+    score band, rate), where a band is its number in the policy's band lists.
+    """
+    prop = D.prop(spark, sf).select("id", "owed", "avm", "n_liens", "land_use")
     app = D.app(spark, sf).select("id", "score")
-    o = flatten(ld, "offers", "o", outer=False, prefix="o_").join(app, "id").join(prop, "id", "left")
+    o = offers(spark, sf).join(app, "id").join(prop, "id", "left")
     o = o.withColumns({
         "first_lien": c("n_liens") <= 2,
+        "property_type": F.when(c("land_use") == 112, "CONDO").otherwise("HOME"),
         "cltv": round_half_up(safe_div(c("owed"), c("avm")), 4),
     })
     # Band indexes from the policy's band edges: CLTV bands are [0, .5] then (lo, hi];
@@ -57,46 +67,51 @@ def grid_check(spark: SparkSession, sf: str) -> DataFrame:
         cond = (c("score") >= lo) & (c("score") <= hi)
         score_band = F.when(cond, i) if score_band is None else score_band.when(cond, i)
     o = o.withColumns({"cltv_band": cltv_band, "score_band": score_band})
-    rows = P.rate_grid_cells()
+    rows = cells or P.rate_grid_cells()
     grid = broadcast_bounded(small_frame(
         spark, "rate_grid_cells", rows,
-        "g_term int, g_first boolean, g_cltv_band int, g_score_band int, expected_rate double"), len(rows))
+        "g_term int, g_first boolean, g_type string, g_cltv_band int, g_score_band int, expected_rate double"), len(rows))
     cond = ((c("o_term") == grid.g_term) & (c("first_lien") == grid.g_first)
-            & (c("cltv_band") == grid.g_cltv_band) & (c("score_band") == grid.g_score_band))
+            & (c("property_type") == grid.g_type) & (c("cltv_band") == grid.g_cltv_band) & (c("score_band") == grid.g_score_band))
     j = o.join(grid, cond, "left")
     check = (F.when(c("expected_rate").isNull(), "NO_GRID_CELL")
               .when(round_half_up(c("o_rate"), 4) == round_half_up(c("expected_rate"), 4), "OK")
               .otherwise("RATE_MISMATCH"))
-    return j.select("id", c("o_term").alias("term"), "first_lien", "cltv", "score",
+    return j.select("id", "seq", "part", c("o_term").alias("term"), "first_lien", "property_type", "cltv", "score",
                     c("o_rate").alias("rate"), "expected_rate", check.alias("grid_check"))
 
 
 def offer_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """B41, B43 — expected offer rate (fixed / floating with autopay) and usury percentage."""
-    o = offers(spark, sf).withColumn("autopay", c("seq") % 2 == 0)
-    expected = FN.offer_rate(c("o_kind"), c("o_rate"), c("o_margin"), c("o_index_rate"), c("autopay"))
+    """B41, B43 — expected autopay and non-autopay rates and usury percentage, latest decision only."""
+    o = latest_offers(spark, sf)
+    auto = FN.offer_rate(c("o_kind"), c("o_rate"), c("o_margin"), c("o_index_rate"), F.lit(P.AUTOPAY_DISCOUNT))
+    manual = FN.offer_rate(c("o_kind"), c("o_non_autopay_rate"), c("o_margin"), c("o_index_rate"), F.lit(0.0))
     return o.select(
-        "id", "seq", "part", c("o_term").alias("term"), c("o_kind").alias("kind"), "autopay",
-        c("o_rate").alias("rate"), round_half_up(expected, 4).alias("expected_rate"),
-        reconcile(c("o_rate"), expected, 4).alias("rate_match"),
+        "id", "seq", "part", c("o_term").alias("term"), c("o_kind").alias("kind"), c("o_fee").alias("fee"),
+        c("o_rate").alias("rate"), round_half_up(auto, 4).alias("expected_rate"),
+        reconcile(c("o_rate"), auto, 4).alias("rate_match"),
+        c("o_non_autopay_rate").alias("manual_rate"), round_half_up(manual, 4).alias("expected_manual_rate"),
+        reconcile(c("o_non_autopay_rate"), manual, 4).alias("manual_rate_match"),
         round_half_up(FN.usury_cap(c("o_margin"), c("o_index_rate"), c("o_fee")), 4).alias("usury_pct"),
     )
 
 
 def fee_buydown(spark: SparkSession, sf: str) -> DataFrame:
-    """B42 — rate and APR implied by the fee against the no-fee base offer of the same (id, term)."""
-    o = offers(spark, sf)
-    base = latest(o.where(c("o_fee") == 0), ["id", "o_term"], [c("event_ts").desc()],
-                  [c("seq").desc(), c("part").desc(), c("supp").desc()]) \
-        .select("id", "o_term", c("o_rate").alias("base_rate"), c("o_apr").alias("base_apr"))
+    """B42 — rate and APR that the fee buys down from the no-fee fixed rate of the same term, fixed
+    offers of the latest decision. Base and offers lie in one event, so the base comes from the
+    event's own array: no join of offers with offers."""
+    from .heloc import latest_decision
+    d = latest_decision(spark, sf).select("id", "seq", "part", "offers", c("offers").alias("all_offers"))
+    o = flatten(d, "offers", "o", outer=False, prefix="o_").where(c("o_kind") == "FIXED")
+    base = F.get(F.filter("all_offers", lambda x: (x["term"] == c("o_term")) & (x["kind"] == "FIXED") & (x["fee"] == 0)), 0)["rate"]
     div = broadcast_bounded(small_frame(spark, "buydown", P.BUYDOWN_DIVISORS, "d_term int, rate_div double, apr_div double"),
                             len(P.BUYDOWN_DIVISORS))
-    paid = o.where(c("o_fee") > 0).join(base, ["id", "o_term"])
-    paid = paid.join(div, paid.o_term == div.d_term, "left")
+    o = o.withColumn("base_rate", base)
+    o = o.join(div, o.o_term == div.d_term, "left")
     exp_rate = round_half_up(c("base_rate") - c("o_fee") / c("rate_div"), 5)
-    exp_apr = round_half_up(c("base_apr") - c("o_fee") / c("apr_div"), 5)
-    return paid.select(
-        "id", "seq", "part", c("o_term").alias("term"), c("o_fee").alias("fee"),
+    exp_apr = round_half_up(c("base_rate") - c("o_fee") / c("apr_div"), 5)
+    return o.select(
+        "id", "seq", "part", c("o_term").alias("term"), c("o_fee").alias("fee"), "base_rate",
         c("o_rate").alias("rate"), exp_rate.alias("expected_rate"), reconcile(c("o_rate"), exp_rate, 4).alias("rate_match"),
         c("o_apr").alias("apr"), exp_apr.alias("expected_apr"), reconcile(c("o_apr"), exp_apr, 4).alias("apr_match"),
     )

@@ -73,9 +73,10 @@ def refi_inputs(spark: SparkSession, sf: str) -> DataFrame:
     )
     hard = FN.bureau_normalise(D.bureau_raw(spark, sf), BUREAU_CODES, only_type="Hard Credit")
     df = a.join(hard, "person").join(ld, "id", "left")
-    # The offer whose term matches the application: an (id, term) lookup done with a
-    # higher-order filter on the row's own array — no second pass over the events.
-    chosen = F.get(F.filter(c("offers"), lambda o: o["term"] == c("term_years")), 0)
+    # The offer whose term matches the application; of several, the one with the lowest fee: an
+    # (id, term) lookup on the row's own array — no second pass over the events.
+    own = F.filter(c("offers"), lambda o: o["term"] == c("term_years"))
+    chosen = F.array_min(F.transform(own, lambda o: F.struct(o["fee"].alias("fee"), o["rate"].alias("rate"))))
     df = df.withColumn("offer_rate", chosen["rate"]).drop("offers")
     return df.withColumns({
         "citizenship": F.when(c("segment") == "AUTOMOBILE", "NON_RESIDENT")

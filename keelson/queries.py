@@ -527,14 +527,14 @@ def q_grid_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def q_offer_rate(spark: SparkSession, sf: str) -> DataFrame:
-    """fixed = quoted; floating = margin + index - autopay discount."""
+    """fixed = quoted; floating = margin + index - autopay discount; autopay and manual rates."""
     return PR.offer_checks(spark, sf).drop("usury_pct")
 
 
 @register
 def q_usury_cap(spark: SparkSession, sf: str) -> DataFrame:
     """Margin + index + fee per offer."""
-    return PR.offer_checks(spark, sf).select("id", "seq", "part", "term", "usury_pct")
+    return PR.offer_checks(spark, sf).select("id", "seq", "part", "term", "fee", "usury_pct")
 
 
 @register

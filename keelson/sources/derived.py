@@ -215,23 +215,31 @@ def decision_record(li: DataFrame) -> DataFrame:
     ln = F.col("l_linenumber")
     disc, tax = F.col("l_discount"), F.col("l_tax")
 
-    def offer(term, bump, kind):
+    part = F.col("l_partkey")
+
+    def offer(term, bump, kind, paid):
+        base = disc + F.lit(bump)
+        # A paid fee buys the rate down; some test offers are priced by the right divisor, some not.
+        rate = base - F.when(part % 2 == 0, tax / 1.75).otherwise(F.lit(0.0)) if paid and kind == "FIXED" else base
+        apr = F.when(part % 3 == 0, base - tax / 2.4).otherwise(base + tax / 10)
         return F.struct(
             F.lit(term).cast("int").alias("term"),
-            (disc + F.lit(bump)).alias("rate"),
-            tax.alias("fee"),
-            F.lit(kind).alias("kind"),
+            rate.alias("rate"),
+            (tax if paid else tax * 0).alias("fee"),
+            F.when(part % 29 == 0, F.lit(None)).otherwise(F.lit(kind)).alias("kind"),
             (disc / 2 + 0.01).alias("margin"),
-            (disc / 2 + F.lit(bump) - 0.01).alias("index_rate"),
-            (disc + F.lit(bump) + tax / 10).alias("apr"),
+            F.when(part % 7 != 0, disc / 2 + F.lit(bump) - 0.01).alias("index_rate"),
+            apr.alias("apr"),
+            (rate + F.when(part % 5 != 0, 0.0025).otherwise(0.005)).alias("non_autopay_rate"),
         )
 
     # Offers with term <= (line number - 1) * 5 (terms ascend, so a prefix slice —
     # code-generated, unlike a lambda filter).
-    n_offers = F.when(ln >= 7, 5).when(ln >= 5, 4).otherwise(ln - 1)
-    offers = F.slice(F.array(offer(5, 0.030, "FIXED"), offer(10, 0.035, "VARIABLE"),
-                             offer(15, 0.040, "FIXED"), offer(20, 0.045, "VARIABLE"),
-                             offer(30, 0.050, "FIXED")), 1, n_offers)
+    n_offers = F.when(ln >= 7, 7).when(ln >= 5, 6).when(ln == 4, 5).when(ln == 3, 3).when(ln == 2, 2).otherwise(0)
+    offers = F.slice(F.array(offer(5, 0.030, "FIXED", False), offer(5, 0.030, "FIXED", True),
+                             offer(10, 0.035, "VARIABLE", True),
+                             offer(15, 0.040, "FIXED", False), offer(15, 0.040, "FIXED", True),
+                             offer(20, 0.045, "VARIABLE", True), offer(30, 0.050, "FIXED", True)), 1, n_offers)
     offers = F.when((ln == 7) & (F.col("l_returnflag") == "N"), F.lit(None)).otherwise(offers)
     reason = lambda code, text: F.struct(F.lit(code).alias("code"), F.lit(text).alias("reason"))
     third = F.element_at(F.array(*[reason(code, code.lower()) for code in OTHER_REASONS]),

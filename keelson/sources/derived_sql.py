@@ -39,12 +39,14 @@ def _third_reason() -> str:
     return f"([{codes}])[CAST(l_partkey % {len(OTHER_REASONS)} + 1 AS INT)]"
 
 
-def _offer(term: int, bump: float, kind: str) -> str:
-    b = f"CAST({bump} AS DOUBLE)"
-    return ("{" f"'term': CAST({term} AS INTEGER), 'rate': l_discount + {b}, 'fee': l_tax, 'kind': '{kind}', "
-            "'margin': l_discount / 2 + CAST(0.01 AS DOUBLE), "
-            f"'index_rate': l_discount / 2 + {b} - CAST(0.01 AS DOUBLE), "
-            f"'apr': l_discount + {b} + l_tax / 10" "}")
+def _offer(term: int, bump: float, kind: str, paid: bool) -> str:
+    b = f"(l_discount + CAST({bump} AS DOUBLE))"
+    rate = f"({b} - CASE WHEN l_partkey % 2 = 0 THEN l_tax / 1.75::DOUBLE ELSE 0.0::DOUBLE END)" if paid and kind == "FIXED" else b
+    return ("{" f"'term': CAST({term} AS INTEGER), 'rate': {rate}, 'fee': {'l_tax' if paid else 'l_tax * 0::DOUBLE'}, "
+            f"'kind': CASE WHEN l_partkey % 29 != 0 THEN '{kind}' END, 'margin': l_discount / 2 + CAST(0.01 AS DOUBLE), "
+            f"'index_rate': CASE WHEN l_partkey % 7 != 0 THEN l_discount / 2 + CAST({bump} AS DOUBLE) - CAST(0.01 AS DOUBLE) END, "
+            f"'apr': CASE WHEN l_partkey % 3 = 0 THEN {b} - l_tax / 2.4::DOUBLE ELSE {b} + l_tax / 10 END, "
+            f"'non_autopay_rate': {rate} + CASE WHEN l_partkey % 5 != 0 THEN 0.0025::DOUBLE ELSE 0.005::DOUBLE END" "}")
 
 
 def _lien_category() -> str:
@@ -123,9 +125,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                  'pre_loan_cashflow': {{'amount': l_extendedprice / 20}},
                  'post_loan_cashflow': {{'amount': l_extendedprice / 25}}}} AS uw_packet,
                CASE WHEN l_linenumber = 7 AND l_returnflag = 'N' THEN NULL
-                    ELSE list_filter([{_offer(5, 0.030, 'FIXED')}, {_offer(10, 0.035, 'VARIABLE')},
-                                      {_offer(15, 0.040, 'FIXED')}, {_offer(20, 0.045, 'VARIABLE')},
-                                      {_offer(30, 0.050, 'FIXED')}],
+                    ELSE list_filter([{_offer(5, 0.030, 'FIXED', False)}, {_offer(5, 0.030, 'FIXED', True)},
+                                      {_offer(10, 0.035, 'VARIABLE', True)},
+                                      {_offer(15, 0.040, 'FIXED', False)}, {_offer(15, 0.040, 'FIXED', True)},
+                                      {_offer(20, 0.045, 'VARIABLE', True)}, {_offer(30, 0.050, 'FIXED', True)}],
                                      lambda o: o.term <= (l_linenumber - 1) * 5) END AS offers,
                CASE WHEN l_returnflag = 'R' THEN [{{'code': 'CLTV', 'reason': 'Combined LTV too high'}},
                                                   {{'code': 'DTI', 'reason': 'Debt to income too high'}}, {_third_reason()}]

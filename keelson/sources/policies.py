@@ -213,10 +213,10 @@ def rate_grid_rows() -> list[tuple]:
 
 
 def rate_grid_cells() -> list[tuple]:
-    """(term, first_lien, cltv_band_index, score_band_index, rate) — same cells as ``rate_grid_rows``."""
+    """(term, first_lien, property type, cltv_band_index, score_band_index, rate) — same cells as ``rate_grid_rows``."""
     out = []
     for (term, first), base in GRID_BASE.items():
         for bi in range(len(CLTV_BANDS)):
             for si in range(len(SCORE_BANDS)):
-                out.append((term, first, bi, si, round(base + 0.0025 * bi + 0.0030 * (len(SCORE_BANDS) - 1 - si), 4)))
+                out.append((term, first, "HOME", bi, si, round(base + 0.0025 * bi + 0.0030 * (len(SCORE_BANDS) - 1 - si), 4)))
     return out
