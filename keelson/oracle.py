@@ -440,11 +440,15 @@ def refi_ctes() -> str:
                   uw_packet.monthly_income.amount AS verified_income, {rhu('uw_packet.home_amount / 400', 2)} AS rec_housing,
                   uw_packet.transportation_expense.amount AS rec_transport, uw_packet.bureau_debt.amount AS rec_bureau_debt,
                   uw_packet.current_student_payment.amount AS rec_student_payment,
-                  uw_packet.pre_loan_cashflow.amount AS rec_pre_fcf, uw_packet.post_loan_cashflow.amount AS rec_post_fcf,
+                  uw_packet.pre_loan_cashflow.amount AS rec_pre_fcf, uw_packet.post_loan_cashflow.amount AS rec_post_fcf, CAST(event_ts AS DATE) AS decision_date,
                   offers FROM latest_decision"""),
              ("roffers", "SELECT id, o.term AS term_years, min_by(o.rate, o.fee) AS offer_rate FROM (SELECT id, unnest(offers) AS o FROM rld) GROUP BY id, o.term"),
              ("hard", f"SELECT person, credit_type, {norm} FROM bureau_raw WHERE credit_type = 'Hard Credit'"),
-             ("rin", f"""SELECT a.*, h.* EXCLUDE (person), r.* EXCLUDE (id, offers), o.offer_rate,
+             ("rin", f"""SELECT a.* REPLACE (CASE WHEN a.app_date = {_d(P.BAD_APP_DATE)} THEN r.decision_date ELSE a.app_date END AS app_date),
+                  h.* EXCLUDE (person), r.* EXCLUDE (id, offers), o.offer_rate,
+                  {rhu('r.rec_revolving + r.rec_installment / 10', 2)} AS rec_total_revolving,
+                  {rhu('r.rec_housing / 2', 2)} AS rec_mortgage,
+                  r.rec_revolving + r.rec_installment + r.rec_housing AS rec_monthly_debt,
                   CASE WHEN a.segment = 'AUTOMOBILE' THEN 'NON_RESIDENT' WHEN a.segment = 'MACHINERY' THEN 'PERMANENT_RESIDENT'
                        ELSE 'CITIZEN' END AS citizenship,
                   {rhu('r.rec_installment / nullif(r.verified_income, 0)', 4)} AS rec_dti,
@@ -477,9 +481,13 @@ def refi_ctes() -> str:
                   {_student_assumed('greatest(amount, STU5020)')} AS pre_payment,
                   {_blended('amount', 'STU5020', 'offer_factor')} AS post_payment
                 FROM rc2"""),
-             ("re", f"""SELECT *, {_fcf('pre_payment')} AS pre_fcf, {_fcf('post_payment')} AS post_fcf,
-                  {rhu('t_monthly_debt / nullif(calc_income, 0)', 4)} AS t_dti
+             ("rd2", f"""SELECT *, {_student_assumed('amount')} AS requested_payment,
+                  CASE WHEN app_date < {bc} THEN {_student_assumed('amount')} ELSE pre_payment END AS pre_flow,
+                  CASE WHEN app_date < {bc} THEN {rhu('amount * offer_factor', 3)} ELSE post_payment END AS post_flow
                 FROM rd"""),
+             ("re", f"""SELECT *, {_fcf('pre_flow')} AS pre_fcf, {_fcf('post_flow')} AS post_fcf,
+                  {rhu('t_monthly_debt / nullif(calc_income, 0)', 4)} AS t_dti
+                FROM rd2"""),
              ("rf", f"""SELECT *,
                   CASE WHEN hard_knock != 'True' AND t_monthly_debt / nullif(income, 0) > {P.REFI_MAX_DTI} AND is_approved
                          THEN 'Pre_Loan_DTI_Decline_Failure'
@@ -494,9 +502,12 @@ def refi_ctes() -> str:
                   CASE WHEN {rhu('rec_installment', 0)} = {rhu('t_installment_debt', 0)} THEN 'Match' WHEN {rhu('rec_installment', 0)} != {rhu('t_installment_debt', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS installment_match,
                   CASE WHEN {rhu('rec_transport', 0)} = {rhu('t_transport', 0)} THEN 'Match' WHEN {rhu('rec_transport', 0)} != {rhu('t_transport', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS transport_match,
                   CASE WHEN {rhu('rec_bureau_debt', 0)} = {rhu('t_other_debt', 0)} THEN 'Match' WHEN {rhu('rec_bureau_debt', 0)} != {rhu('t_other_debt', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS bureau_debt_match,
-                  CASE WHEN {rhu('rec_student_payment', 0)} = {rhu('pre_payment', 0)} THEN 'Match' WHEN {rhu('rec_student_payment', 0)} != {rhu('pre_payment', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS student_payment_match,
+                  CASE WHEN {rhu('rec_student_payment', 0)} = {rhu('requested_payment', 0)} THEN 'Match' WHEN {rhu('rec_student_payment', 0)} != {rhu('requested_payment', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS student_payment_match,
                   CASE WHEN {rhu('rec_pre_fcf', 0)} = {rhu('pre_fcf', 0)} THEN 'Match' WHEN {rhu('rec_pre_fcf', 0)} != {rhu('pre_fcf', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS pre_fcf_match,
-                  CASE WHEN {rhu('rec_post_fcf', 0)} = {rhu('post_fcf', 0)} THEN 'Match' WHEN {rhu('rec_post_fcf', 0)} != {rhu('post_fcf', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS post_fcf_match
+                  CASE WHEN {rhu('rec_post_fcf', 0)} = {rhu('post_fcf', 0)} THEN 'Match' WHEN {rhu('rec_post_fcf', 0)} != {rhu('post_fcf', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS post_fcf_match,
+                  CASE WHEN {rhu('rec_total_revolving', 0)} = {rhu('t_revolving_debt', 0)} THEN 'Match' WHEN {rhu('rec_total_revolving', 0)} != {rhu('t_revolving_debt', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS total_revolving_match,
+                  CASE WHEN {rhu('rec_mortgage', 0)} = {rhu('t_mortgage_debt', 0)} THEN 'Match' WHEN {rhu('rec_mortgage', 0)} != {rhu('t_mortgage_debt', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS mortgage_match,
+                  CASE WHEN {rhu('rec_monthly_debt', 0)} = {rhu('t_monthly_debt', 0)} THEN 'Match' WHEN {rhu('rec_monthly_debt', 0)} != {rhu('t_monthly_debt', 0)} THEN 'Unmatch' ELSE 'Unavailable' END AS monthly_debt_match
                 FROM re"""),
              ("refi", """SELECT *,
                   CASE WHEN (coalesce(ends_with(hard_knock_failure, 'Failure'), false) OR coalesce(ends_with(dti_failure, 'Failure'), false)
@@ -513,7 +524,7 @@ def refi_ctes() -> str:
 
 _R = refi_ctes()
 REFI_MATCHES = ("card_debt_match, housing_match, dti_match, installment_match, transport_match, bureau_debt_match, "
-                "student_payment_match, pre_fcf_match, post_fcf_match")
+                "student_payment_match, pre_fcf_match, post_fcf_match, total_revolving_match, mortgage_match, monthly_debt_match")
 REFI_COLS = ("id, app_date, status, decision, packet_score, hard_knock, hard_knock_failure, dti_failure, fcf_failure, "
              f"t_monthly_debt, pre_fcf, post_fcf, {REFI_MATCHES}, verdict")
 sql("q_refi_audit", _R + f"SELECT {REFI_COLS} FROM refi WHERE verdict != 'Pass'")

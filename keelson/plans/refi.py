@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import finance as FN
 from ..functions.numeric import round_half_up, safe_div
 from ..operators.audit import approved, failure_verdict
+from ..operators.policy import repair_date
 from ..operators.reconcile import reconcile
 from ..operators.rules import any_true, battery, cascade
 from ..sources import derived as D
@@ -69,6 +70,7 @@ def refi_inputs(spark: SparkSession, sf: str) -> DataFrame:
         c("uw_packet.current_student_payment.amount").alias("rec_student_payment"),
         c("uw_packet.pre_loan_cashflow.amount").alias("rec_pre_fcf"),
         c("uw_packet.post_loan_cashflow.amount").alias("rec_post_fcf"),
+        F.to_date("event_ts").alias("decision_date"),
         "offers",
     )
     hard = FN.bureau_normalise(D.bureau_raw(spark, sf), BUREAU_CODES, only_type="Hard Credit")
@@ -79,6 +81,12 @@ def refi_inputs(spark: SparkSession, sf: str) -> DataFrame:
     chosen = F.array_min(F.transform(own, lambda o: F.struct(o["fee"].alias("fee"), o["rate"].alias("rate"))))
     df = df.withColumn("offer_rate", chosen["rate"]).drop("offers")
     return df.withColumns({
+        # Every regime test reads the repaired date: one bulk-overwritten day takes the decision's date.
+        "app_date": repair_date(c("app_date"), P.BAD_APP_DATE, c("decision_date")),
+        # Recorded totals of the packet (test binding).
+        "rec_total_revolving": round_half_up(c("rec_revolving") + c("rec_installment") / 10, 2),
+        "rec_mortgage": round_half_up(c("rec_housing") / 2, 2),
+        "rec_monthly_debt": c("rec_revolving") + c("rec_installment") + c("rec_housing"),
         "citizenship": F.when(c("segment") == "AUTOMOBILE", "NON_RESIDENT")
                         .when(c("segment") == "MACHINERY", "PERMANENT_RESIDENT").otherwise("CITIZEN"),
         "rec_dti": round_half_up(safe_div(c("rec_installment"), c("verified_income")), 4),
@@ -97,7 +105,7 @@ FINANCE_CODES = ["BCC5830", "BCC5838", "BCX5830", "BAX5030", "BCX5030", "RTR5030
 BASE_COLUMNS = ["id", "app_date", "status", "decision", "amount", "income", "term_years", "citizenship",
                 "packet_score", "rec_revolving", "rec_installment", "verified_income", "rec_housing", "rec_dti",
                 "rec_transport", "rec_bureau_debt", "rec_student_payment", "rec_pre_fcf", "rec_post_fcf",
-                "offer_rate", "is_approved"]
+                "rec_total_revolving", "rec_mortgage", "rec_monthly_debt", "offer_rate", "is_approved"]
 
 
 def refi_knockouts(spark: SparkSession, sf: str, keep_rules: bool = False) -> DataFrame:
@@ -140,10 +148,15 @@ def refi_checks(spark: SparkSession, sf: str) -> DataFrame:
     df = df.withColumns({
         "pre_payment": FN.student_payment_assumed(F.greatest(c("amount"), c("STU5020"))),
         "post_payment": FN.blended_payment(c("amount"), c("STU5020"), c("offer_factor")),
+        "requested_payment": FN.student_payment_assumed(c("amount")),
     })
+    # Before the cut-off both cash flows take the payment on the refinanced amount alone.
+    old = c("app_date") < F.lit(P.REFI_BUREAU_CUTOFF)
+    pre = F.when(old, c("requested_payment")).otherwise(c("pre_payment"))
+    post = F.when(old, round_half_up(c("amount") * c("offer_factor"), 3)).otherwise(c("post_payment"))
     df = df.withColumns({
-        "pre_fcf": FN.free_cash_flow(c("cash_base"), c("t_transport"), c("pre_payment"), c("app_date")),
-        "post_fcf": FN.free_cash_flow(c("cash_base"), c("t_transport"), c("post_payment"), c("app_date")),
+        "pre_fcf": FN.free_cash_flow(c("cash_base"), c("t_transport"), pre, c("app_date")),
+        "post_fcf": FN.free_cash_flow(c("cash_base"), c("t_transport"), post, c("app_date")),
         "t_dti": round_half_up(safe_div(c("t_monthly_debt"), c("calc_income")), 4),
     })
     stated_ratio = safe_div(c("t_monthly_debt"), c("income"))
@@ -162,7 +175,10 @@ def refi_checks(spark: SparkSession, sf: str) -> DataFrame:
         "installment_match": reconcile(c("rec_installment"), c("t_installment_debt"), 0),
         "transport_match": reconcile(c("rec_transport"), c("t_transport"), 0),
         "bureau_debt_match": reconcile(c("rec_bureau_debt"), c("t_other_debt"), 0),
-        "student_payment_match": reconcile(c("rec_student_payment"), c("pre_payment"), 0),
+        "student_payment_match": reconcile(c("rec_student_payment"), c("requested_payment"), 0),
+        "total_revolving_match": reconcile(c("rec_total_revolving"), c("t_revolving_debt"), 0),
+        "mortgage_match": reconcile(c("rec_mortgage"), c("t_mortgage_debt"), 0),
+        "monthly_debt_match": reconcile(c("rec_monthly_debt"), c("t_monthly_debt"), 0),
         "pre_fcf_match": reconcile(c("rec_pre_fcf"), c("pre_fcf"), 0),
         "post_fcf_match": reconcile(c("rec_post_fcf"), c("post_fcf"), 0),
     })
@@ -172,7 +188,8 @@ def refi_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MATCH_COLUMNS = ["card_debt_match", "housing_match", "dti_match", "installment_match", "transport_match",
-                 "bureau_debt_match", "student_payment_match", "pre_fcf_match", "post_fcf_match"]
+                 "bureau_debt_match", "student_payment_match", "pre_fcf_match", "post_fcf_match", "total_revolving_match",
+                 "mortgage_match", "monthly_debt_match"]
 AUDIT_COLUMNS = ["id", "app_date", "status", "decision", "packet_score", "hard_knock", "hard_knock_failure",
                  "dti_failure", "fcf_failure", "t_monthly_debt", "pre_fcf", "post_fcf", *MATCH_COLUMNS, "verdict"]
 
