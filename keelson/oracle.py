@@ -652,7 +652,7 @@ FROM mort m JOIN (SELECT id, app_date FROM app) a ON m.id = a.id LEFT JOIN near
 from .plans import scorecard as _SC  # noqa: E402
 
 _TS = lambda x: f"TIMESTAMP '{x}'"
-_WIN = f"BETWEEN {_TS(_SC.WINDOW_START)} AND {_TS(_SC.WINDOW_END)}"
+_WIN = f"BETWEEN {_TS(_SC.WINDOW[0])} AND {_TS(_SC.WINDOW[1])}"
 _DWIN = f"BETWEEN {_TS(_SC.DNC_WINDOW[0])} AND {_TS(_SC.DNC_WINDOW[1])}"
 
 

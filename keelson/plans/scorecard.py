@@ -31,14 +31,14 @@ from ..sources import policies as P
 from ..sources.tables import small_frame
 
 c = F.col
-# Reporting window (inclusive at both ends, Q20) — parameters of the job.
-WINDOW_START = "2024-01-01 00:00:00"
-WINDOW_END = "2024-01-20 00:00:00"
+# Defaults of the job's reporting windows (inclusive at both ends, Q20), bound to the test data.
+WINDOW = ("2024-01-01 00:00:00", "2024-01-20 00:00:00")
 STAFF_DOMAIN = "%@staff.example%"
 DNC_WINDOW = ("1996-01-01 00:00:00", "1999-12-31 00:00:00")
 
 
-def _in_window(col, start: str = WINDOW_START, end: str = WINDOW_END):
+def _in_window(col, window: tuple[str, str]):
+    start, end = window
     return col.between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
 
 
@@ -119,7 +119,7 @@ def normalised_tasks(spark: SparkSession, sf: str) -> DataFrame:
         "proficiencies")
 
 
-def task_scores(spark: SparkSession, sf: str) -> DataFrame:
+def task_scores(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
     """B50 — cancelled / completed counts and weighted score per agent."""
     ff = normalised_tasks(spark, sf)
     # Known application ids (DISTINCT: two identity-keyed branches must not double-count tasks).
@@ -129,7 +129,7 @@ def task_scores(spark: SparkSession, sf: str) -> DataFrame:
     j = (ff.join(f, ff.application == f.application_id, "right")
            .where(c("task_id").isNotNull() & ~c("completed_by").isin(*P.NON_AGENTS)
                   & ~c("proficiencies").isin("[SYSTEM]", "[]", "[COMPLIANCE]")
-                  & _in_window(c("completed_date")))
+                  & _in_window(c("completed_date"), window))
            .join(w, c("subtask_type") == w.w_label, "left"))
     score = F.coalesce(c("weight"), F.lit(0))
     return j.groupBy(c("completed_by").alias("csa_name")).agg(
@@ -138,10 +138,10 @@ def task_scores(spark: SparkSession, sf: str) -> DataFrame:
         round_half_up(F.count("subtask_type") * F.avg(score), 6).alias("score_obtained"))
 
 
-def csp_tasks(spark: SparkSession, sf: str) -> DataFrame:
+def csp_tasks(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
     """Agent e-mail with task counts: DISTINCT (e-mail, identity) of the identity union meets the scores."""
     f = identity_union(spark, sf).select("email", "identity_id").distinct()
-    s = task_scores(spark, sf)
+    s = task_scores(spark, sf, window)
     return (f.join(s, f.identity_id == s.csa_name)
              .select(c("email").alias("csa_email"), "tasks_cancelled", "tasks_completed",
                      round_half_up(c("score_obtained"), 0).alias("score_obtained"))
@@ -152,35 +152,35 @@ def csp_tasks(spark: SparkSession, sf: str) -> DataFrame:
 # B52-B56 chat
 # ---------------------------------------------------------------------------
 
-def _chat(spark: SparkSession, sf: str) -> DataFrame:
-    return D.chat(spark, sf).where(_in_window(c("created_at")))
+def _chat(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
+    return D.chat(spark, sf).where(_in_window(c("created_at"), window))
 
 
-def chat_replies(spark: SparkSession, sf: str) -> DataFrame:
+def chat_replies(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
     """B52 — outgoing replies per (conversation, responder)."""
-    e = flatten(_chat(spark, sf).select("chat_id", "events"), "events", "e", outer=False, prefix="e_")
+    e = flatten(_chat(spark, sf, window).select("chat_id", "events"), "events", "e", outer=False, prefix="e_")
     return (e.where(c("e_type") == "msg_out").groupBy("chat_id", c("e_responder_id").alias("responder_id"))
              .agg(F.count("e_text").alias("replies")))
 
 
-def ratings(spark: SparkSession, sf: str) -> DataFrame:
+def ratings(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
     """B55 — conversation rating by the final responder."""
-    return _chat(spark, sf).where(c("rating").isNotNull()).select(
+    return _chat(spark, sf, window).where(c("rating").isNotNull()).select(
         "chat_id", c("final_responder").alias("responder_id"), "rating")
 
 
-def first_responses(spark: SparkSession, sf: str) -> DataFrame:
+def first_responses(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
     """B53 — first latency of the initial responder, below the cap."""
-    r = flatten(_chat(spark, sf).select("chat_id", "initial_responder", "response_latency"),
+    r = flatten(_chat(spark, sf, window).select("chat_id", "initial_responder", "response_latency"),
                 "response_latency", "rl", outer=False, prefix="rl_")
     first = F.get(c("rl_latency"), 0)
     return (r.where((c("rl_responder_id") == c("initial_responder")) & (first < P.LATENCY_CAP))
              .select("chat_id", "initial_responder", first.alias("initial_response")))
 
 
-def latency_sums(spark: SparkSession, sf: str) -> DataFrame:
+def latency_sums(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
     """B54 — count and sum of capped latencies per (conversation, responder)."""
-    r = flatten(_chat(spark, sf).select("chat_id", "response_latency"), "response_latency", "rl",
+    r = flatten(_chat(spark, sf, window).select("chat_id", "response_latency"), "response_latency", "rl",
                 outer=False, prefix="rl_")
     r = flatten(r, "rl_latency", "latency", outer=False)
     return (r.where(c("latency") < P.LATENCY_CAP).groupBy("chat_id", c("rl_responder_id").alias("responder_id"))
@@ -188,20 +188,20 @@ def latency_sums(spark: SparkSession, sf: str) -> DataFrame:
                   F.sum(c("latency").cast("decimal(18,2)")).cast("double").alias("sum_latency")))
 
 
-def responder_emails(spark: SparkSession, sf: str) -> DataFrame:
+def responder_emails(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
     """B55 — DISTINCT responder id -> e-mail map from the nested id mappings."""
-    m = flatten(_chat(spark, sf).select("id_mappings"), "id_mappings", "m", outer=False, prefix="m_")
+    m = flatten(_chat(spark, sf, window).select("id_mappings"), "id_mappings", "m", outer=False, prefix="m_")
     return m.select(c("m_id").alias("responder_id"), c("m_id_map").alias("email")).distinct()
 
 
-def chat_mart(spark: SparkSession, sf: str) -> DataFrame:
+def chat_mart(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
     """B56 — per agent e-mail: replies, conversations, rating, first-response and response times."""
-    head = _chat(spark, sf).select("chat_id")
-    rt = ratings(spark, sf).select("chat_id", "rating")
-    it = chat_replies(spark, sf)
-    em = responder_emails(spark, sf)
-    ir = first_responses(spark, sf).select("chat_id", "initial_response")
-    lt = latency_sums(spark, sf)
+    head = _chat(spark, sf, window).select("chat_id")
+    rt = ratings(spark, sf, window).select("chat_id", "rating")
+    it = chat_replies(spark, sf, window)
+    em = responder_emails(spark, sf, window)
+    ir = first_responses(spark, sf, window).select("chat_id", "initial_response")
+    lt = latency_sums(spark, sf, window)
     j = (head.join(rt, "chat_id", "left").join(it, "chat_id").join(em, "responder_id")
              .join(ir, "chat_id").join(lt, ["chat_id", "responder_id"], "left"))
     return j.groupBy(c("email").alias("csas")).agg(
@@ -227,15 +227,15 @@ def _two_role_counts(df: DataFrame, first: str, second: str, profile: DataFrame,
                .groupBy("csas", "email").agg(F.sum("n").alias(out)))
 
 
-def dnc_counts(spark: SparkSession, sf: str) -> DataFrame:
-    d = D.contact_preferences(spark, sf).where(_in_window(c("created_ts"), *DNC_WINDOW))
+def dnc_counts(spark: SparkSession, sf: str, window=DNC_WINDOW) -> DataFrame:
+    d = D.contact_preferences(spark, sf).where(_in_window(c("created_ts"), window))
     d = d.withColumn("updated_by", F.coalesce(c("updated_by"), F.lit("Not Updated")))
     lp = D.profile(spark, sf).select("identity", "email")
     return _two_role_counts(d, "created_by", "updated_by", lp, "dnc_num")
 
 
-def complaint_counts(spark: SparkSession, sf: str) -> DataFrame:
-    cp = D.complaints(spark, sf).where(_in_window(c("created_ts"), *DNC_WINDOW))
+def complaint_counts(spark: SparkSession, sf: str, window=DNC_WINDOW) -> DataFrame:
+    cp = D.complaints(spark, sf).where(_in_window(c("created_ts"), window))
     cp = cp.withColumns({
         "approver": F.coalesce(c("approver"), F.lit("Not Approved")),
         "product_type": F.when(c("product") == "Home Lease Back", "Home Lease Back")
@@ -246,12 +246,12 @@ def complaint_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _two_role_counts(cp, "creator", "approver", lp, "complaint_num")
 
 
-def call_stats(spark: SparkSession, sf: str) -> DataFrame:
+def call_stats(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
     """B58 — notary calls per agent: count, average duration / handle time / speed to answer (minutes)."""
     cl = D.calls(spark, sf)
     lp = D.profile(spark, sf).select("identity", "email")
     j = cl.join(lp, cl.participant == lp.identity, "left").where(
-        c("email").like(STAFF_DOMAIN) & _in_window(c("call_started")))
+        c("email").like(STAFF_DOMAIN) & _in_window(c("call_started"), window))
     mins = lambda a, b: F.timestamp_diff("MINUTE", c(a), c(b))
     return j.groupBy(c("participant").alias("csas"), "email").agg(
         F.count("room").alias("notary_call_num"),
@@ -264,16 +264,18 @@ def call_stats(spark: SparkSession, sf: str) -> DataFrame:
 # B59 scorecard
 # ---------------------------------------------------------------------------
 
-def scorecard(spark: SparkSession, sf: str) -> DataFrame:
-    """Per agent e-mail roll-up of every mart (each mart pre-aggregated to e-mail: no fan-out)."""
-    ct = csp_tasks(spark, sf).groupBy("csa_email").agg(
+def scorecard(spark: SparkSession, sf: str, window=WINDOW, record_window=DNC_WINDOW) -> DataFrame:
+    """Per agent e-mail roll-up of every mart (each mart pre-aggregated to e-mail: no fan-out).
+
+    ``window`` bounds tasks, chats and calls, ``record_window`` do-not-contact and complaint records."""
+    ct = csp_tasks(spark, sf, window).groupBy("csa_email").agg(
         F.sum("tasks_cancelled").alias("tasks_cancelled_num"), F.sum("tasks_completed").alias("tasks_completed_num"),
         F.sum("score_obtained").alias("total_score_obtained"))
-    ic = chat_mart(spark, sf).withColumnRenamed("csas", "csa_email")
-    dn = dnc_counts(spark, sf).groupBy(c("email").alias("csa_email")).agg(F.sum("dnc_num").alias("dnc_num"))
-    co = complaint_counts(spark, sf).groupBy(c("email").alias("csa_email")).agg(
+    ic = chat_mart(spark, sf, window).withColumnRenamed("csas", "csa_email")
+    dn = dnc_counts(spark, sf, record_window).groupBy(c("email").alias("csa_email")).agg(F.sum("dnc_num").alias("dnc_num"))
+    co = complaint_counts(spark, sf, record_window).groupBy(c("email").alias("csa_email")).agg(
         F.sum("complaint_num").alias("complaint_num"))
-    nt = call_stats(spark, sf).groupBy(c("email").alias("csa_email")).agg(
+    nt = call_stats(spark, sf, window).groupBy(c("email").alias("csa_email")).agg(
         F.sum("notary_call_num").alias("notary_call_num"),
         round_half_up(F.avg("notary_call_duration"), 3).alias("avg_notary_call_duration"),
         round_half_up(F.avg("notary_call_handle_time"), 3).alias("notary_call_handle_time"),

@@ -402,7 +402,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat records (one per conversation turn) with nested events / latencies / id maps."""
     cv = table(spark, sf_dir, "conversations")
-    cid = F.col("conv_id") * 100 + F.col("turn")
+    cid = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     agent = lambda k: F.concat(F.lit("S"), ((F.col("conv_id") + k) % N_AGENTS).cast("string"))
     lines = F.split(F.col("text"), "\n")
     lat = F.transform(lines, lambda s: (F.length(s) * 3).cast("double"))

@@ -185,7 +185,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                ts + to_seconds(CAST(floor(value * 60) AS BIGINT)) - to_minutes(CAST(event_id % 3 AS BIGINT)) AS disconnected
         FROM events"""),
     "chat": ((), f"""
-        SELECT conv_id * 100 + turn AS chat_id, conv_id,
+        SELECT concat_ws('-', conv_id, turn) AS chat_id, conv_id,
                TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id * 37 + turn * 5 AS BIGINT)) AS created_at,
                CASE WHEN length(text) % 5 = 0 THEN NULL ELSE CAST(length(text) % 5 AS DOUBLE) END AS rating,
                {_agent('0')} AS initial_responder,
