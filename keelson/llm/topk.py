@@ -2,10 +2,11 @@
 
 Components are floored to integers. A block of candidates keeps, for each dimension, its rows in
 order of the component. A query reads every list from its best end (the largest component where its
-own is positive, the smallest where it is negative), some entries of each list at a time. What it has read
+own is positive, the smallest where it is negative), to one depth at a time. What it has read
 gives each candidate a lower bound (unread lists at their worst) and an upper bound (unread lists at
-the entry just read). It stops when no candidate outside the k best lower bounds can pass them, and
-the scores of the candidates left are then resolved in full. Bests of blocks meet per query.
+the entry just read). It stops when few candidates can still reach the k best lower bounds (or the
+k best scores of blocks it met before), and their scores are then resolved in full. Bests of blocks
+meet per query.
 
 Queries are a stated set. Blocks of queries meet blocks of candidates in tasks of their own, so
 neither side is held whole; a pair of blocks gives at most k rows per query.
@@ -28,57 +29,70 @@ SCALE = 256
 QUERY_EVERY = 50
 K = 5
 BLOCK_ROWS = 4096
+#: Queries that read together; the first depth is this part of a list; few enough candidates to resolve.
+QUERIES_AT_ONCE, FIRST_DEPTH, RESOLVE = 256, 16, 32
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
     """(_id, _v): vectors that take part, as arrays of bigint."""
     wide = F.col(vector_col).cast("array<double>")
-    limit = 2.0 ** 31 / scale
     usable = F.col(id_col).isNotNull() & (F.size(wide) > 0) & F.forall(
-        wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(limit)))
+        wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return (rows.where(F.coalesce(usable, F.lit(False)))
             .select(F.col(id_col).cast("long").alias("_id"), F.transform(wide, lambda x: F.floor(x * scale)).alias("_v")))
 
 
 class Lists:
-    """Sorted lists of one block: row numbers and components, by dimension."""
+    """Sorted lists of one block: for each dimension its components in ascending order.
+
+    After ``depth`` entries of a list from the top, a candidate was read there exactly when its
+    component reaches the last entry read, the edge. A positive query component then gains at most
+    max(component, edge), and at least the component if read or else the list's last entry. From the
+    bottom, for negative query components, it is the same with the order turned round. These bounds
+    are clipped copies of the block, so the bounds of many queries at one depth are matrix products.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.rows = np.argsort(vectors, axis=0, kind="stable").T.copy()     # ascending
-        self.sorted = np.take_along_axis(vectors, self.rows.T, axis=0).T.copy()
-
-    def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the k best candidates, ties to the smaller id."""
-        n, dims = self.vectors.shape
-        use = np.flatnonzero(q)
-        alive = self.ids != own
-        if k >= n or not len(use):
-            return best(self.vectors[alive] @ q, self.ids[alive], k)
-        down = q[use] > 0
-        rows = np.where(down[:, None], self.rows[use, ::-1], self.rows[use])
-        gain = np.where(down[:, None], self.sorted[use, ::-1], self.sorted[use]) * q[use][:, None]  # falling in each list
-        worst = gain[:, -1]
-        read, step = 0, max(8, n // 64)
-        got, worst_read = np.zeros(n, np.int64), np.zeros(n, np.int64)  # sums over the lists read, per candidate
-        while True:
-            stop = min(n, read + step)
-            at = rows[:, read:stop].ravel()
-            got += np.bincount(at, gain[:, read:stop].ravel(), n).astype(np.int64)
-            worst_read += np.bincount(at, np.repeat(worst, stop - read), n).astype(np.int64)
-            edge = gain[:, stop - 1]
-            # lists a candidate was not read from lie between their worst entry and the edge
-            edge_read = np.bincount(rows[:, :stop].ravel(), np.repeat(edge, stop), n).astype(np.int64)
-            low = got + worst.sum() - worst_read
-            high = got + edge.sum() - edge_read
-            bar = np.partition(low[alive], -k)[-k] if alive.sum() >= k else np.iinfo(np.int64).min
-            left = alive & (high >= bar)  # ties may still win by id
-            count = int(left.sum())
-            if stop == n or count <= max(4 * k, 32):
-                break
-            read, step = stop, step * 2
-        pick = np.flatnonzero(left)
-        return best(self.vectors[pick] @ q, self.ids[pick], k)
+        self.sorted = np.sort(vectors, axis=0)
+
+    def bounds(self, plus: np.ndarray, minus: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(lower, upper) score of every candidate for every query after reading ``depth`` entries."""
+        v, n = self.vectors, len(self.vectors)
+        top, bottom = self.sorted[n - depth], self.sorted[depth - 1]
+        upper = product(plus, np.maximum(v, top)) + product(minus, np.minimum(v, bottom))
+        lower = (product(plus, np.where(v >= top, v, self.sorted[0]))
+                 + product(minus, np.where(v <= bottom, v, self.sorted[-1])))
+        return lower, upper
+
+    def top(self, own: np.ndarray, queries: np.ndarray, k: int, bar: np.ndarray) -> list:
+        """(scores, ids) of the k best candidates of each query, ties to the smaller id. Scores
+        below a query's ``bar``, the k-th best of blocks before, may be left out."""
+        n = len(self.vectors)
+        out: list = [None] * len(queries)
+        left, depth = np.arange(len(queries)), max(1, n // FIRST_DEPTH)
+        while len(left):
+            q = queries[left]
+            lower, upper = self.bounds(np.maximum(q, 0), np.minimum(q, 0), depth)
+            mine = self.ids[None, :] == own[left][:, None]
+            low = np.iinfo(np.int64).min
+            lower[mine], upper[mine] = low, low
+            kth = np.partition(lower, n - k, axis=1)[:, n - k] if n >= k else np.full(len(left), low)
+            open_ = (upper >= np.maximum(kth, bar[left])[:, None]) & ~mine  # ties may still win by id
+            done = (open_.sum(1) <= max(4 * k, n // RESOLVE)) | (depth == n)
+            for i in np.flatnonzero(done).tolist():
+                pick = np.flatnonzero(open_[i])
+                out[left[i]] = best(self.vectors[pick] @ queries[left[i]], self.ids[pick], k)
+            left, depth = left[~done], min(n, depth * 4)
+        return out
+
+
+def product(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Integer inner products; in floating point where every sum is exact."""
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+    if most < 2.0 ** 53:
+        return (queries.astype(float) @ vectors.T.astype(float)).astype(np.int64)
+    return queries @ vectors.T
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,16 +130,22 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     names = ["query_id", "score", "id"]
 
     def run(batches):
+        bars: dict[tuple, np.ndarray] = {}  # k-th best so far of the query blocks this task has met
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, q = unpack(row["_q_ids"], row["_q_values"], row["_dims"])
                 lists = Lists(*unpack(row["_ids"], row["_values"], row["_dims"]))
-                found = [(i, *lists.top(i, v, k)) for i, v in zip(q_ids, q)]
-                size = [len(f[1]) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate([f[1] for f in found])),
-                     pa.array(np.concatenate([f[2] for f in found]))], names)
-    near = (pairs.select("_dims", "_q_ids", "_q_values", "_ids", "_values")
+                key = (row["_dims"], row["_q_block"])
+                bar = bars.setdefault(key, np.full(len(q_ids), np.iinfo(np.int64).min))
+                for a in range(0, len(q_ids), QUERIES_AT_ONCE):
+                    part = slice(a, a + QUERIES_AT_ONCE)
+                    found = lists.top(q_ids[part], q[part], k, bar[part])
+                    bar[part] = [max(b, f[0][k - 1]) if len(f[0]) == k else b for b, f in zip(bar[part].tolist(), found)]
+                    size = [len(f[1]) for f in found]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(q_ids[part], size)), pa.array(np.concatenate([f[0] for f in found])),
+                         pa.array(np.concatenate([f[1] for f in found]))], names)
+    near = (pairs.select("_dims", "_q_block", "_q_ids", "_q_values", "_ids", "_values")
             .mapInArrow(run, "query_id bigint, score bigint, id bigint"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(

@@ -123,12 +123,16 @@ def test_topk_stops_early_and_stays_exact():
     rng = np.random.default_rng(0)
     v = np.floor(rng.normal(0, 30, (500, 16))).astype(np.int64)
     v[7] = v[3]
-    lists = topk.Lists(np.arange(500), v)
-    for i in range(0, 500, 25):
-        scores, ids = lists.top(i, v[i], 5)
-        full = v @ v[i]
-        order = [j for j in np.lexsort((np.arange(500), -full)).tolist() if j != i][:5]
-        assert ids.tolist() == order and scores.tolist() == full[order].tolist()
+    v[:, 5] *= 1 << 12  # with the larger scale beyond exact floating point
+    for scale in (1, 1 << 8):
+        w = v * scale
+        lists, own = topk.Lists(np.arange(500), w), np.arange(0, 500, 25)
+        for bar in (np.iinfo(np.int64).min, None):
+            bars = np.full(len(own), bar) if bar else np.sort(w @ w[own].T, axis=0)[-6]  # the 6th best, own row included
+            for i, (scores, ids) in zip(own.tolist(), lists.top(own, w[own], 5, bars)):
+                full = w @ w[i]
+                order = [j for j in np.lexsort((np.arange(500), -full)).tolist() if j != i][:5]
+                assert ids.tolist() == order and scores.tolist() == full[order].tolist()
 
 
 def test_url_terms_need_boundaries():
