@@ -32,7 +32,7 @@ SAMPLE = 12_000
 TREES, DEPTH, SEED = 24, 4, 7
 LASSO = 0.001
 THRESHOLD = 0.7
-TEXT_LIMIT = 1 << 22
+TEXT_LIMIT = 1 << 20
 
 (LOWER, UPPER, DIGIT, SPACE, LINE, PUNCT, BANG, SYMBOL, WIDE, OTHER) = range(10)
 STATS = ["log_bytes", "log_words", "word_length", "upper", "digits", "punct", "bangs", "symbols", "wide", "lines",
@@ -171,10 +171,23 @@ def rule_column(rule: tuple) -> Column:
     return F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
+def rule_values(sample: DataFrame, rules: list[tuple]) -> DataFrame:
+    """(_label, _values): the 0/1 values of all rules, one array per sampled row."""
+    def run(batches):
+        for batch in batches:
+            stats = np.stack([batch.column(i + 1).to_numpy() for i in range(len(STATS))], 1)
+            hits = [np.all([(stats[:, i] > at) == above for i, above, at in rule], axis=0) for rule in rules]
+            flat = np.stack(hits, 1).astype(float).ravel()
+            offsets = np.arange(0, len(flat) + 1, len(rules), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], ["_label", "_values"])
+    return sample.select("_label", *[PREFIX + s for s in STATS]).mapInArrow(run, "_label double, _values array<double>")
+
+
 def fit(sample: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> dict:
     """{"bias": b, "rules": [(rule, weight)]} from a sample of statistics and ``_label``."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
 
     counts = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
     ones, all_rows = counts.get(1.0, 0), sum(counts.values())
@@ -188,8 +201,7 @@ def fit(sample: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float
     if not rules:
         p = (ones + 1) / (all_rows + 2)
         return {"bias": math.log(p / (1 - p)), "rules": []}
-    values = sample.select("_label", *[rule_column(r).alias(f"r{i}") for i, r in enumerate(rules)])
-    values = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="_rules").transform(values)
+    values = rule_values(sample, rules).select("_label", array_to_vector("_values").alias("_rules"))
     lr = LogisticRegression(labelCol="_label", featuresCol="_rules", elasticNetParam=1.0, regParam=lasso,
                             standardization=False, maxIter=60)
     model = lr.fit(values.select("_rules", "_label"))
