@@ -82,10 +82,10 @@ def chunk_windows(data: np.ndarray, off: np.ndarray, hashes: WordHashes, window:
     return counts, at, one, two
 
 
-def packed_windows(batches, buckets: int, window: int):
+def packed_windows(batches, buckets: int, window: int, chunk_bytes: int):
     hashes = WordHashes()
     names = [c.split()[0] for c in PACKED.split(", ")]
-    for keys, dups, data, off in chunks_of(batches, CHUNK_BYTES):
+    for keys, dups, data, off in chunks_of(batches, chunk_bytes):
         counts, at, one, two = chunk_windows(data, off, hashes, window)
         order = np.argsort(one, kind="stable")
         s1, s2 = one[order], two[order]
@@ -188,11 +188,12 @@ def merge_chunk(table: pa.Table, window: int) -> pa.Table:
     return span_table(span_rows(keys, dups, counts, np.cumsum(turn[:-1]) > 0))
 
 
-def removal_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+def removal_spans(rows: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES,
+                  bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(_key, _dup, _spans) of numbered documents that lose words."""
     spark = rows.sparkSession
-    buckets = max(partitions(spark), text_bytes(rows, "_text") // BUCKET_BYTES)
-    packed = rows.mapInArrow(lambda batches: packed_windows(batches, buckets, window), PACKED)
+    buckets = max(partitions(spark), text_bytes(rows, "_text") // bucket_bytes)
+    packed = rows.mapInArrow(lambda batches: packed_windows(batches, buckets, window, chunk_bytes), PACKED)
     replies = packed.groupBy("_bucket").applyInArrow(count_bucket, REPLY)
     return replies.groupBy("_chunk_key", "_chunk_dup").applyInArrow(lambda t: merge_chunk(t, window), SPANS)
 
@@ -205,10 +206,11 @@ def kept(words: list[bytes], spans: np.ndarray) -> tuple[list[bytes], int]:
     return out + words[at:], removed
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+          chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: id, n_words, n_removed, spans (packed word intervals), kept (bytes)."""
     rows = numbered(docs, id_col, text_col)
-    spans = save(removal_spans(rows, window), "word-spans")
+    spans = save(removal_spans(rows, window, chunk_bytes, bucket_bytes), "word-spans")
     joined = rows.join(spans, ["_key", "_dup"], "left").select("_key", "_text", "_spans")
 
     def run(batches):
@@ -231,5 +233,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
 
 def op4_substring_dedup(spark, sf_dir):
-    return dedup(read(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return digest(dedup(read(spark, sf_dir, "documents")))
+
+
+def digest(out: DataFrame) -> DataFrame:
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -9,6 +9,9 @@ anchor, so only anchors' suffixes, about one in 185, have to be ordered.
    over 200 bytes; core hashes are counted over the corpus in packed buckets.
 2. Halves whose core occurs again send their bytes (the union of their strings) to a bucket by core.
    Equal byte runs are one entry with a count.
+   A core that more than ``HOT_CHUNKS`` chunks hold would gather its differing runs in one bucket:
+   its strings travel one by one as digests instead, each to the bucket of its own digest, where equal
+   ones meet (once per task and bucket). Both ways are exact.
 3. A bucket orders the suffixes that start at its anchors, and the reversed prefixes that end there,
    by deep-shallow sorting. Strings at distance d are equal exactly when their suffixes share 400 - d
    bytes and their prefixes d bytes, which both orders tell from neighbours' common prefixes.
@@ -35,6 +38,8 @@ GRAM = 32
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 PLACE_BITS = 24
+HOT_CHUNKS = 64
+DIGEST = 16
 HALF = (LENGTH - GRAM) // 2  # distances 0..HALF share the bytes after the anchor, the others those before
 
 
@@ -86,7 +91,7 @@ def core_hash(codes, at, size, pick):
 
 
 PACKED = "_bucket int, _chunk_key bigint, _chunk_dup int, _info binary, _hashes binary, _at binary"
-REPLY = "_chunk_key bigint, _chunk_dup int, _info binary, _again binary"
+REPLY = "_chunk_key bigint, _chunk_dup int, _info binary, _again binary, _hot binary"
 PARTS = "_key bigint, _dup int, _parts binary"
 
 
@@ -104,10 +109,10 @@ def groups_of(values: np.ndarray):
     return order, np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]]) if len(s) else np.zeros(1, int)
 
 
-def packed_cores(batches, buckets: int):
+def packed_cores(batches, buckets: int, chunk_bytes: int):
     import zstandard
 
-    for keys, dups, data, off in chunks_of(batches, CHUNK_BYTES):
+    for keys, dups, data, off in chunks_of(batches, chunk_bytes):
         doc, p, near, far, core = halves(data, off)
         if not len(doc):
             continue
@@ -122,7 +127,7 @@ def packed_cores(batches, buckets: int):
         known[order[local]] = 1
         table = np.concatenate([table, twin[None], known[None]])
         info = zstandard.ZstdCompressor(1).compress(table.tobytes())
-        rows = [(int(np.uint64(hash((int(keys[0]), int(dups[0]))) & (1 << 62)) % np.uint64(buckets)),
+        rows = [(hash((int(keys[0]), int(dups[0]))) % buckets,
                  int(keys[0]), int(dups[0]), info, b"", pack(np.zeros(0, np.int64)))]
         first = np.sort(first)
         bucket = (core[first] % np.uint64(buckets)).astype(np.int64)
@@ -133,40 +138,45 @@ def packed_cores(batches, buckets: int):
         yield batch_of(PACKED, rows)
 
 
-def count_cores(table: pa.Table) -> pa.Table:
-    """Cores of a bucket that several chunks hold, packed by chunk; descriptions pass through."""
+def count_cores(table: pa.Table, hot_chunks: int) -> pa.Table:
+    """Cores of a bucket that several, and that many, chunks hold, packed by chunk; descriptions pass
+    through."""
     rows = list(zip(*[table.column(i).to_pylist() for i in range(1, 6)]))
-    out = [(k, d, info, None) for k, d, info, _, _ in rows if info is not None]
+    out = [(k, d, info, None, None) for k, d, info, _, _ in rows if info is not None]
     rows = [r for r in rows if r[2] is None]
     h = np.frombuffer(b"".join(r[3] for r in rows), np.uint64)
     order, cut = groups_of(h)
-    again = np.zeros(len(h), bool)
-    again[order] = np.repeat(np.diff(cut) > 1, np.diff(cut))
+    chunks = np.zeros(len(h), np.int64)
+    chunks[order] = np.repeat(np.diff(cut), np.diff(cut))
     at = 0
     for k, d, _, hashes, place in rows:
-        own = again[at:at + len(hashes) // 8]
+        own = chunks[at:at + len(hashes) // 8]
         at += len(own)
-        if own.any():
-            out.append((k, d, None, pack(unpack(place)[own])))
+        if (own > 1).any():
+            place = unpack(place)
+            out.append((k, d, None, pack(place[own > 1]), pack(place[own > hot_chunks])))
     return pa.Table.from_batches([batch_of(REPLY, out)])
 
 
 def candidate_parts(table: pa.Table) -> pa.Table:
-    """Halves of one chunk whose core occurs again, by document: packed (anchor, nearest, farthest)."""
+    """Halves of one chunk whose core occurs again, by document: packed (anchor, nearest, farthest,
+    whether the core is hot)."""
     import zstandard
 
     raw = next(x for x in table.column(2).to_pylist() if x is not None)
     key, dup, p, near, far, twin, known = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.int64).reshape(7, -1)
     again = known.astype(bool)
-    found = [unpack(x) for x in table.column(3).to_pylist() if x is not None]
-    mark = np.zeros(len(key), bool)
-    mark[np.concatenate(found) if found else []] = True
+    mark, hot = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    for flags, column in ((mark, 3), (hot, 4)):
+        for x in table.column(column).to_pylist():
+            if x is not None:
+                flags[unpack(x)] = True
     pick = np.flatnonzero(again | mark[twin])
     out = []
     if len(pick):
         change = (key[pick][1:] != key[pick][:-1]) | (dup[pick][1:] != dup[pick][:-1])
         cut = np.flatnonzero(np.append(True, change))
-        parts = np.stack([p, near, far], 1)[pick]
+        parts = np.stack([p, near, far, hot[twin].astype(np.int64)], 1)[pick]
         for a, b in zip(cut, [*cut[1:], len(pick)]):
             out.append((int(key[pick[a]]), int(dup[pick[a]]), np.ascontiguousarray(parts[a:b], np.int64).tobytes()))
     return pa.Table.from_batches([batch_of(PARTS, out)])
@@ -176,7 +186,10 @@ RUNS = "_bucket int, _bytes binary, _sizes binary, _hits binary"
 
 
 def packed_runs(batches, buckets: int):
-    """Bytes of candidate halves by bucket of their core; equal runs of a batch travel once."""
+    """Bytes of candidate halves by bucket of their core, digests of hot ones' strings by bucket of the
+    digest (farthest distance -1); what is equal travels once per batch."""
+    import hashlib
+
     import zstandard
     from xxhash import xxh64_intdigest
 
@@ -188,7 +201,13 @@ def packed_runs(batches, buckets: int):
             held: dict[int, tuple] = {}
             for i in range(a, b):
                 text = data[off[i]:off[i + 1]].tobytes()
-                for p, near, far in np.frombuffer(batch.column(3)[i].as_py(), np.int64).reshape(-1, 3).tolist():
+                for p, near, far, hot in np.frombuffer(batch.column(3)[i].as_py(), np.int64).reshape(-1, 4).tolist():
+                    if hot:
+                        for d in range(near, far + 1):
+                            digest = hashlib.blake2b(text[p - d:p - d + LENGTH], digest_size=DIGEST).digest()
+                            runs, hits = held.setdefault(int.from_bytes(digest[:8], "little") % buckets, ({}, []))
+                            hits.append((runs.setdefault((digest, d, -1), len(runs)), keys[i], dups[i], p))
+                        continue
                     core = text[p - HALF - 1:p + GRAM] if far > HALF else text[p:p + LENGTH - HALF]
                     bucket = xxh64_intdigest(core, int(far > HALF)) % buckets
                     runs, hits = held.setdefault(bucket, ({}, []))
@@ -248,17 +267,20 @@ def order_bucket(table: pa.Table) -> pa.Table:
     data = np.frombuffer(b"".join(texts), np.uint8)
     near, far = np.concatenate(ranges).T
     hits = np.concatenate(hits, 1)
-    size = LENGTH + far - near
+    size = np.where(far < 0, DIGEST, LENGTH + far - near)
     start = np.cumsum(size) - size
     # Equal runs become one entry with a count.
     seen: dict[tuple, int] = {}
-    entry = np.array([seen.setdefault((data[s:s + k].tobytes(), x), len(seen))
-                      for s, k, x in zip(start.tolist(), size.tolist(), near.tolist())], np.int64)
+    entry = np.array([seen.setdefault((data[s:s + k].tobytes(), x, y), len(seen))
+                      for s, k, x, y in zip(start.tolist(), size.tolist(), near.tolist(), far.tolist())], np.int64)
     pick = np.unique(entry, return_index=True)[1]
     start, near, far = start[pick], near[pick], far[pick]
     owner = entry[hits[0]]
     many = np.bincount(owner, minlength=len(pick)) > 1
-    flags = repeated_strings(data, start, near, far)
+    runs = np.flatnonzero(far >= 0)
+    flags = np.zeros((len(pick), LENGTH - GRAM + 1), bool)
+    flags[runs] = repeated_strings(data, start[runs], near[runs], far[runs])
+    far = np.maximum(far, near)  # a digest stands for its one distance
     place = np.arange(flags.shape[1])
     flags[many] |= (place >= near[many][:, None]) & (place <= far[many][:, None])
     edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -277,11 +299,11 @@ def order_bucket(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch_of(COVER, out)])
 
 
-def covered_spans(rows: DataFrame) -> DataFrame:
+def covered_spans(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """(_key, _dup, _spans list) of numbered documents that lose bytes."""
     buckets = max(partitions(rows.sparkSession), text_bytes(rows, "_text") // BUCKET_BYTES)
-    cores = rows.mapInArrow(lambda batches: packed_cores(batches, buckets), PACKED)
-    replies = cores.groupBy("_bucket").applyInArrow(count_cores, REPLY)
+    cores = rows.mapInArrow(lambda batches: packed_cores(batches, buckets, chunk_bytes), PACKED)
+    replies = cores.groupBy("_bucket").applyInArrow(lambda t: count_cores(t, hot_chunks), REPLY)
     parts = save(replies.groupBy("_chunk_key", "_chunk_dup").applyInArrow(candidate_parts, PARTS), "candidates")
     runs = (rows.join(parts, ["_key", "_dup"]).select("_key", "_dup", "_text", "_parts")
             .mapInArrow(lambda batches: packed_runs(batches, buckets), RUNS))
@@ -305,10 +327,11 @@ def cut_text(text: bytes, found: list[bytes] | None) -> tuple[bytes, np.ndarray]
     return b"".join([*out, text[at:]]), merged
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
+          hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, spans (packed intervals), kept (bytes)."""
     rows = numbered(docs, id_col, text_col)
-    joined = rows.join(covered_spans(rows), ["_key", "_dup"], "left").select("_key", "_text", "_spans")
+    joined = rows.join(covered_spans(rows, chunk_bytes, hot_chunks), ["_key", "_dup"], "left").select("_key", "_text", "_spans")
 
     def run(batches):
         for batch in batches:
@@ -326,5 +349,8 @@ KEPT = "_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans bin
 
 
 def op6_suffix_dedup(spark, sf_dir):
-    return dedup(read(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return digest(dedup(read(spark, sf_dir, "documents")))
+
+
+def digest(out: DataFrame) -> DataFrame:
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -97,12 +97,9 @@ def test_substring_dedup(spark, docs, tmp_path):
     same(out, brute.substring(plain(docs)), "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-def test_substring_dedup_over_many_chunks(spark, edge, tmp_path, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 500)
-    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1000)
-    batches = edge.select("doc_id", "text").repartition(9)
-    same(substring_dedup.op4_substring_dedup(spark, folder(tmp_path, batches)), brute.substring(plain(edge)),
-         "doc_id", "n_words", "n_removed", "kept_sha256")
+def test_substring_dedup_over_many_chunks(spark, edge):
+    out = substring_dedup.dedup(edge.repartition(9), chunk_bytes=500, bucket_bytes=1000)
+    same(substring_dedup.digest(out), brute.substring(plain(edge)), "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def test_suffix_dedup(spark, docs, tmp_path):
@@ -110,6 +107,12 @@ def test_suffix_dedup(spark, docs, tmp_path):
     same(out, brute.suffix([(i, t) for i, t in plain(docs)]), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_suffix_dedup_with_hot_cores_over_many_chunks(spark, edge, hot):
+    out = suffix_dedup.dedup(edge.repartition(6), chunk_bytes=3000, hot_chunks=hot)
+    same(suffix_dedup.digest(out), brute.suffix(plain(edge)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def test_deep_shallow_sorts_and_gives_common_prefixes():
     import os
     import random
