@@ -69,7 +69,7 @@ def grid_check(spark: SparkSession, sf: str, cells: list[tuple] | None = None) -
     o = o.withColumns({"cltv_band": cltv_band, "score_band": score_band})
     rows = cells or P.rate_grid_cells()
     grid = broadcast_bounded(small_frame(
-        spark, "rate_grid_cells", rows,
+        spark, f"rate_grid_cells-{hash(tuple(rows))}", rows,
         "g_term int, g_first boolean, g_type string, g_cltv_band int, g_score_band int, expected_rate double"), len(rows))
     cond = ((c("o_term") == grid.g_term) & (c("first_lien") == grid.g_first)
             & (c("property_type") == grid.g_type) & (c("cltv_band") == grid.g_cltv_band) & (c("score_band") == grid.g_score_band))

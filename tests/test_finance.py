@@ -100,4 +100,4 @@ def test_rate_grid_cells_match_band_rows():
     rows = P.rate_grid_rows()
     cells = P.rate_grid_cells()
     assert len(rows) == len(cells) == len(P.GRID_BASE) * len(P.CLTV_BANDS) * len(P.SCORE_BANDS)
-    assert sorted(r[6] for r in rows) == sorted(c[4] for c in cells)
+    assert sorted(r[6] for r in rows) == sorted(c[5] for c in cells)
