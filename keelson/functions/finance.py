@@ -142,12 +142,19 @@ def collateral_value(avm: Column, stated: Column) -> Column:
     return F.when(avm.isNull() | (avm >= stated), round_half_up(stated, 4)).otherwise(round_half_up(avm, 4))
 
 
-def collateral_haircut(value: Column, fsd: Column, land_use: Column) -> Column:
-    """B25 — haircut collateral by value, forecast standard deviation and land use."""
+def collateral_haircut(value: Column, fsd: Column, land_use: Column, eff: Column) -> Column:
+    """B25 — value after the haircut for its forecast deviation, by regime of the effective date.
+
+    Below the low-value limit half counts. Before the land-use cut-off and from the relaxed regime on, a
+    deviation above the full-value limit takes half of it off; in between, a wide deviation or the
+    listed land use takes all of it off."""
+    strict = (eff >= F.lit(P.LAND_USE_CUTOFF)) & (eff < F.lit(P.REGIME_DATES["r3"]))
+    whole = (land_use == P.HAIRCUT_LAND_USE) | (fsd > P.HAIRCUT_FSD_HALF)
     return (F.when(value < P.HAIRCUT_LOW_VALUE, value * P.HAIRCUT_LOW_FACTOR)
-             .when((land_use == P.HAIRCUT_LAND_USE) | (fsd > P.HAIRCUT_FSD_HALF), value * (1 - fsd / 100))
-             .when(fsd <= P.HAIRCUT_FSD_FULL, value)
-             .when(fsd <= P.HAIRCUT_FSD_HALF, value * (1 - fsd / 200)))
+             .when(strict & land_use.isNull(), F.lit(None))
+             .when(strict & whole, value * (1 - fsd / 100))
+             .when(eff.isNotNull() & (fsd <= P.HAIRCUT_FSD_FULL), value)
+             .when(eff.isNotNull() & (fsd > P.HAIRCUT_FSD_FULL), value * (1 - fsd / 200)))
 
 
 def asset_total(age: Column, retirement: Column, investment: Column, savings: Column) -> Column:

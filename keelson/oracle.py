@@ -304,9 +304,12 @@ def heloc_ctes() -> str:
              FROM chk1"""),
         ("chk3", f"""SELECT *,
                CASE WHEN t_collateral < {_f(P.HAIRCUT_LOW_VALUE)} THEN t_collateral * {P.HAIRCUT_LOW_FACTOR}
-                    WHEN land_use = {P.HAIRCUT_LAND_USE} OR fsd > {_f(P.HAIRCUT_FSD_HALF)} THEN t_collateral * (1 - fsd / 100)
-                    WHEN fsd <= {_f(P.HAIRCUT_FSD_FULL)} THEN t_collateral
-                    WHEN fsd <= {_f(P.HAIRCUT_FSD_HALF)} THEN t_collateral * (1 - fsd / 200) END AS t_adj_collateral,
+                    WHEN eff_date >= {_d(P.LAND_USE_CUTOFF)} AND eff_date < {_d(r['r3'])} AND land_use != 112 AND fsd <= 13 THEN t_collateral
+                    WHEN eff_date >= {_d(P.LAND_USE_CUTOFF)} AND eff_date < {_d(r['r3'])} AND land_use != 112 AND fsd <= 20 THEN t_collateral * (1 - fsd / 200)
+                    WHEN eff_date >= {_d(P.LAND_USE_CUTOFF)} AND eff_date < {_d(r['r3'])} AND land_use IS NOT NULL THEN t_collateral * (1 - fsd / 100)
+                    WHEN eff_date >= {_d(P.LAND_USE_CUTOFF)} AND eff_date < {_d(r['r3'])} THEN NULL
+                    WHEN eff_date IS NOT NULL AND fsd <= 13 THEN t_collateral
+                    WHEN eff_date IS NOT NULL THEN t_collateral * (1 - fsd / 200) END AS t_adj_collateral,
                CASE WHEN coalesce(income, 0.0) != 0 AND coalesce(term_years, 0) != 0
                       THEN {rhu(f't_monthly_debt / nullif(income + (t_assets * {a12}) / nullif(1 - pow({base}, -term_years * 12), 0), 0)', 4)}
                     WHEN coalesce(income, 0.0) != 0 AND coalesce(term_years, 0) = 0

@@ -270,7 +270,7 @@ def with_ratios(spark: SparkSession, df: DataFrame) -> DataFrame:
                                    round_half_up(c("amount") * 0.1, 2), F.lit(5000.0)),
     })
     df = df.withColumns({
-        "t_adj_collateral": FN.collateral_haircut(c("t_collateral"), c("fsd"), c("land_use")),
+        "t_adj_collateral": FN.collateral_haircut(c("t_collateral"), c("fsd"), c("land_use"), c("eff_date")),
         "t_dti": FN.dti(c("t_monthly_debt"), c("income"), c("t_assets"), c("term_years")),
     })
     df = df.withColumns({

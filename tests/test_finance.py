@@ -31,11 +31,14 @@ def test_collateral_and_haircut(spark):
                                 (150000.0, 200000.0, 25.0, 102), (90000.0, 80000.0, 5.0, 112)],
                                "avm double, stated double, fsd double, land int")
     r = df.select(FN.collateral_value(F.col("avm"), F.col("stated")).alias("v")) \
-          .withColumn("h", FN.collateral_haircut(F.col("v"), F.lit(0.0), F.lit(102))).collect()
+          .withColumn("h", FN.collateral_haircut(F.col("v"), F.lit(0.0), F.lit(102), F.lit(P.LAND_USE_CUTOFF))).collect()
     assert [x.v for x in r] == [200000.0, 150000.0, 150000.0, 80000.0]
-    h = df.select(FN.collateral_haircut(F.lit(200000.0), F.col("fsd"), F.col("land")).alias("h")).collect()
-    assert [x.h for x in h] == [200000.0, 200000.0 * (1 - 15 / 200), 200000.0 * (1 - 25 / 100),
-                                200000.0 * (1 - 5 / 100)]
+    half = [200000.0, 200000.0 * (1 - 15 / 200), 200000.0 * (1 - 25 / 200), 200000.0]
+    strict = [200000.0, 200000.0 * (1 - 15 / 200), 200000.0 * (1 - 25 / 100), 200000.0 * (1 - 5 / 100)]
+    before = P.LAND_USE_CUTOFF.replace(year=P.LAND_USE_CUTOFF.year - 1)
+    for eff, want in ((before, half), (P.LAND_USE_CUTOFF, strict), (P.REGIME_DATES["r3"], half)):
+        h = df.select(FN.collateral_haircut(F.lit(200000.0), F.col("fsd"), F.col("land"), F.lit(eff)).alias("h")).collect()
+        assert [x.h for x in h] == want
 
 
 def test_bureau_normalise_sentinel_unparsable_prefer_hard(spark):
