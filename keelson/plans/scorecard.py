@@ -195,15 +195,29 @@ def responder_emails(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
 
 
 def chat_mart(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
-    """B56 — per agent e-mail: replies, conversations, rating, first-response and response times."""
-    head = _chat(spark, sf, window).select("chat_id")
-    rt = ratings(spark, sf, window).select("chat_id", "rating")
-    it = chat_replies(spark, sf, window)
-    em = responder_emails(spark, sf, window)
-    ir = first_responses(spark, sf, window).select("chat_id", "initial_response")
-    lt = latency_sums(spark, sf, window)
-    j = (head.join(rt, "chat_id", "left").join(it, "chat_id").join(em, "responder_id")
-             .join(ir, "chat_id").join(lt, ["chat_id", "responder_id"], "left"))
+    """B56 — per agent e-mail: replies, conversations, rating, first-response and response times.
+
+    Replies, first response and latencies of a conversation all lie in its own row, so they are taken
+    there (one scan, no join of a conversation with itself); only the e-mail map is met from outside."""
+    ch = _chat(spark, sf, window)
+    out = F.filter("events", lambda e: e["type"] == "msg_out")
+    firsts = F.transform(
+        F.filter("response_latency", lambda r: (r["responder_id"] == c("initial_responder"))
+                 & (F.get(r["latency"], 0) < P.LATENCY_CAP)), lambda r: F.get(r["latency"], 0))
+    rows = (ch.select("chat_id", "rating", "response_latency", out.alias("out"), F.explode(firsts).alias("initial_response"))
+              .select("*", F.explode(F.array_distinct(F.transform("out", lambda e: e["responder_id"]))).alias("responder_id")))
+    own = F.flatten(F.transform(F.filter("response_latency", lambda r: r["responder_id"] == c("responder_id")),
+                                lambda r: r["latency"]))
+    rows = rows.select(
+        "chat_id", "rating", "initial_response", "responder_id",
+        F.size(F.filter("out", lambda e: (e["responder_id"] == c("responder_id")) & e["text"].isNotNull()))
+         .cast("bigint").alias("replies"),
+        F.filter(own, lambda x: x < P.LATENCY_CAP).alias("own"))
+    total = F.aggregate("own", F.lit(0).cast("decimal(28,2)"),
+                        lambda acc, x: (acc + x.cast("decimal(18,2)")).cast("decimal(28,2)")).cast("double")
+    rows = rows.withColumns({"cnt_latency": F.when(F.size("own") > 0, F.size("own")),
+                             "sum_latency": F.when(F.size("own") > 0, total)})
+    j = rows.join(responder_emails(spark, sf, window), "responder_id")
     return j.groupBy(c("email").alias("csas")).agg(
         F.sum("replies").alias("total_replies"),
         F.count("chat_id").alias("total_conversations"),

@@ -75,3 +75,8 @@ def test_results_do_not_depend_on_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
         os.environ.pop("KEELSON_NO_MEMO", None)
     assert utc == la
+
+
+def test_chat_mart_scans_conversations_twice_at_most(spark):
+    p = plan(QUERIES["q_chat_mart"](spark, SF_SMALL))
+    assert sum("FileScan" in line and "conversations" in line for line in p.splitlines()) <= 2
