@@ -51,7 +51,7 @@ SYMBOLS = 8
 BLOCK = 64
 TEXT_LIMIT = 1 << 20
 SLICES = 1 << 17
-CACHE = 400_000
+CACHE = 150_000
 WIDE = 64
 NONE = 1 << 30
 
@@ -393,6 +393,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     cols.append(pa.Array.from_buffers(pa.binary(), b - a, [
                         None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(raw)]))
                 yield pa.RecordBatch.from_arrays(cols, [id_col, "ids", "offsets", "decoded"][:len(cols)])
+        coder.merge.cache.clear()  # a worker lives on and serves other stages
     return out.mapInArrow(run, schema)
 
 
