@@ -56,6 +56,12 @@ def boxed(docs: DataFrame, **extra) -> DataFrame:
                        *[col.alias(name) for name, col in extra.items()])
 
 
+def unbounded(decisions: DataFrame) -> DataFrame:
+    """A table of decisions that grows with the documents it is joined to: the join deals both sides
+    out by key at every size, so its plan at the small end is the one that runs at the large end."""
+    return decisions.hint("merge")
+
+
 def lower_ascii(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import boxed, lower_ascii, partitions, read, save
+from keelson.llm.common import boxed, lower_ascii, partitions, read, save, unbounded
 
 FAN_IN = 8
 DIGEST = ["_sha", "_bytes", "_check"]
@@ -90,7 +90,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def same(side):
         return keyed["key"].eqNullSafe(side["_id"]) & (keyed["sha"] == side["_sha"])
-    left = keyed.join(gone, same(gone), "left_anti")
+    left = keyed.join(unbounded(gone), same(gone), "left_anti")
     if not again.isEmpty():
         w = Window.partitionBy("key", "sha").orderBy(F.lit(1))
         left = left.withColumn("copy", F.row_number().over(w)).where("copy = 1")

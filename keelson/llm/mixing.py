@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import WORD_PATTERN, boxed, read, save
+from keelson.llm.common import WORD_PATTERN, boxed, read, save, unbounded
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -91,7 +91,7 @@ def draw(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     drawn = (mix(docs, id_col).where("copies > 0").groupBy("_id").agg(F.max("copies").alias("_copies")))
     drawn = save(drawn, "drawn")
     rows = boxed(docs, key=F.col(id_col))
-    return (rows.join(drawn, rows["key"].eqNullSafe(drawn["_id"]))
+    return (rows.join(unbounded(drawn), rows["key"].eqNullSafe(drawn["_id"]))
             .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*"))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import boxed, partitions, read, save
+from keelson.llm.common import boxed, partitions, read, save, unbounded
 from keelson.llm.components import stars
 
 SHINGLE = 4
@@ -219,4 +219,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 .where(~F.col(id_col).eqNullSafe(F.col("component_id")))
                 .select(F.col(id_col).alias("_gone"), "_hash").distinct(), "near-copies")
     rows = boxed(docs, key=F.col(id_col), hash=text_hash(text_col))
-    return rows.join(gone, rows["key"].eqNullSafe(gone["_gone"]) & (rows["hash"] == gone["_hash"]), "left_anti").select("row.*")
+    return rows.join(unbounded(gone), rows["key"].eqNullSafe(gone["_gone"]) & (rows["hash"] == gone["_hash"]), "left_anti").select("row.*")
