@@ -10,8 +10,8 @@ anchor, so only anchors' suffixes, about one in 185, have to be ordered.
 2. Halves whose core occurs again send their bytes (the union of their strings) to a bucket by core.
    Equal byte runs are one entry with a count.
    A core that more than ``HOT_CHUNKS`` chunks hold would gather its differing runs in one bucket:
-   its strings travel one by one as digests instead, each to the bucket of its own digest, where equal
-   ones meet (once per task and bucket). Both ways are exact.
+   its strings travel as digests instead, those of ``HOT_RANGE`` neighbouring distances to the bucket
+   of the 385 bytes they share, where equal ones meet (once per task and bucket). Both ways are exact.
 3. A bucket orders the suffixes that start at its anchors, and the reversed prefixes that end there,
    by deep-shallow sorting. Strings at distance d are equal exactly when their suffixes share 400 - d
    bytes and their prefixes d bytes, which both orders tell from neighbours' common prefixes.
@@ -39,6 +39,7 @@ CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 PLACE_BITS = 24
 HOT_CHUNKS = 64
+HOT_RANGE = 16
 DIGEST = 16
 HALF = (LENGTH - GRAM) // 2  # distances 0..HALF share the bytes after the anchor, the others those before
 
@@ -205,7 +206,9 @@ def packed_runs(batches, buckets: int):
                     if hot:
                         for d in range(near, far + 1):
                             digest = hashlib.blake2b(text[p - d:p - d + LENGTH], digest_size=DIGEST).digest()
-                            runs, hits = held.setdefault(int.from_bytes(digest[:8], "little") % buckets, ({}, []))
+                            low = d - d % HOT_RANGE
+                            shared = text[p - low:p - low - HOT_RANGE + 1 + LENGTH]
+                            runs, hits = held.setdefault(xxh64_intdigest(shared, 2 + low) % buckets, ({}, []))
                             hits.append((runs.setdefault((digest, d, -1), len(runs)), keys[i], dups[i], p))
                         continue
                     core = text[p - HALF - 1:p + GRAM] if far > HALF else text[p:p + LENGTH - HALF]
