@@ -38,6 +38,7 @@ GRAM = 32
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 PLACE_BITS = 24
+STRETCH = 4 << 20  # string starts that are looked at together: places inside fit PLACE_BITS
 HOT_CHUNKS = 64
 HOT_RANGE = 16
 DIGEST = 16
@@ -58,7 +59,17 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 def halves(data: np.ndarray, off: np.ndarray):
     """(document, anchor, nearest, farthest, core hash) of every half range of a chunk; places count
-    from the start of the chunk."""
+    from the start of the chunk. A chunk of one long text is taken in stretches that overlap by a
+    string less a byte, so each string is seen whole and once."""
+    found = []
+    for a in range(0, max(len(data), 1), STRETCH):
+        b = min(a + STRETCH + LENGTH - 1, len(data))
+        doc, p, near, far, core = stretch_halves(data[a:b], np.clip(off - a, 0, b - a))
+        found.append((doc, p + a, near, far, core))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def stretch_halves(data: np.ndarray, off: np.ndarray):
     none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     if len(data) < LENGTH:
         return none

@@ -113,6 +113,23 @@ def test_suffix_dedup_with_hot_cores_over_many_chunks(spark, edge, hot):
     same(suffix_dedup.digest(out), brute.suffix(plain(edge)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def test_suffix_dedup_of_a_text_longer_than_its_place_bits(spark):
+    import random
+
+    import numpy as np
+    rng = random.Random(9)
+    length = (1 << 24) + 600_000
+    passages = [rng.randbytes(500).hex() for _ in range(3)]
+    long, at = rng.randbytes(length // 2).hex(), [1000, (4 << 20) - 700, length - 2000]
+    for p, passage in zip(at, passages):
+        long = long[:p] + passage + long[p + len(passage):]
+    docs = [(1, long), (2, passages[0]), (3, "ab " + passages[1]), (4, passages[2] + " cd"), (5, rng.randbytes(900).hex())]
+    out = suffix_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2))
+    got = {r["doc_id"]: (r["n_bytes"], np.frombuffer(r["spans"], np.int64).reshape(-1, 2).tolist()) for r in out.collect()}
+    assert got == {1: (length, [[p, p + 1000] for p in at]), 2: (1000, [[0, 1000]]), 3: (1003, [[3, 1003]]),
+                   4: (1003, [[0, 1000]]), 5: (1800, [])}
+
+
 def test_deep_shallow_sorts_and_gives_common_prefixes():
     import os
     import random
