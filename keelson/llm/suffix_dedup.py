@@ -11,7 +11,9 @@ anchor, so only anchors' suffixes, about one in 185, have to be ordered.
    Equal byte runs are one entry with a count.
    A core that more than ``HOT_CHUNKS`` chunks hold would gather its differing runs in one bucket:
    its strings travel as digests instead, those of ``HOT_RANGE`` neighbouring distances to the bucket
-   of the 385 bytes they share, where equal ones meet (once per task and bucket). Both ways are exact.
+   of the 385 bytes they share. A piece (some ``CHUNK_BYTES`` of text in one task) sends each digest
+   once and keeps its occurrences in a table; the bucket answers which digests other pieces hold too,
+   and the piece expands these to all their occurrences. Both ways are exact.
 3. A bucket orders the suffixes that start at its anchors, and the reversed prefixes that end there,
    by deep-shallow sorting. Strings at distance d are equal exactly when their suffixes share 400 - d
    bytes and their prefixes d bytes, which both orders tell from neighbours' common prefixes.
@@ -194,14 +196,12 @@ def candidate_parts(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch_of(PARTS, out)])
 
 
-RUNS = "_bucket int, _bytes binary, _sizes binary, _hits binary"
+RUNS = "_bucket int, _piece_key bigint, _piece_dup int, _bytes binary, _sizes binary, _hits binary"
 
 
-def packed_runs(batches, buckets: int):
-    """Bytes of candidate halves by bucket of their core, digests of hot ones' strings by bucket of the
-    digest (farthest distance -1); what is equal travels once per batch."""
-    import hashlib
-
+def packed_runs(batches, buckets: int, chunk_bytes: int = CHUNK_BYTES):
+    """Bytes of candidate halves by bucket of their core; what is equal travels once per piece. Of hot
+    ones, the digests of their strings; what the piece needs to find these again is a row of its own."""
     import zstandard
     from xxhash import xxh64_intdigest
 
@@ -209,30 +209,62 @@ def packed_runs(batches, buckets: int):
     for batch in batches:
         keys, dups = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         data, off = buffers(batch.column(2))
-        for a, b in pieces(off, CHUNK_BYTES):
+        for a, b in pieces(off, chunk_bytes):
             held: dict[int, tuple] = {}
+            hot_runs: dict[tuple, int] = {}
+            hot_hits = []
             for i in range(a, b):
                 text = data[off[i]:off[i + 1]].tobytes()
                 for p, near, far, hot in np.frombuffer(batch.column(3)[i].as_py(), np.int64).reshape(-1, 4).tolist():
+                    run = (text[p - far:p - near + LENGTH], near, far)
                     if hot:
-                        for d in range(near, far + 1):
-                            digest = hashlib.blake2b(text[p - d:p - d + LENGTH], digest_size=DIGEST).digest()
-                            low = d - d % HOT_RANGE
-                            shared = text[p - low:p - low - HOT_RANGE + 1 + LENGTH]
-                            runs, hits = held.setdefault(xxh64_intdigest(shared, 2 + low) % buckets, ({}, []))
-                            hits.append((runs.setdefault((digest, d, -1), len(runs)), keys[i], dups[i], p))
+                        hot_hits.append((hot_runs.setdefault(run, len(hot_runs)), keys[i], dups[i], p))
                         continue
                     core = text[p - HALF - 1:p + GRAM] if far > HALF else text[p:p + LENGTH - HALF]
                     bucket = xxh64_intdigest(core, int(far > HALF)) % buckets
                     runs, hits = held.setdefault(bucket, ({}, []))
-                    run = (text[p - far:p - near + LENGTH], near, far)
                     hits.append((runs.setdefault(run, len(runs)), keys[i], dups[i], p))
-            rows = [(bucket, squeeze(b"".join(r[0] for r in runs)), np.array([r[1:] for r in runs], np.int64).tobytes(),
+            rows = [(bucket, None, None, squeeze(b"".join(r[0] for r in runs)),
+                     np.array([r[1:] for r in runs], np.int64).tobytes(),
                      squeeze(np.array(hits, np.int64).T.tobytes())) for bucket, (runs, hits) in held.items()]
+            piece = int(keys[a]), int(dups[a])
+            rows += [(bucket, *piece, raw, None, at) for bucket, raw, at in hot_strings(hot_runs, hot_hits, piece, buckets)]
             if rows:
                 yield batch_of(RUNS, rows)
 
 
+def hot_strings(runs: dict, hits: list, piece: tuple, buckets: int):
+    """(bucket, digests, their numbers) of the different strings of a piece's hot runs, without their
+    occurrences; and (bucket, table of runs, strings and occurrences, None), which goes back to the piece."""
+    import hashlib
+
+    import zstandard
+    from xxhash import xxh64_intdigest
+
+    if not runs:
+        return
+    seen: dict[bytes, int] = {}
+    sent: dict[int, tuple] = {}
+    number = []
+    for text, near, far in runs:
+        low = -1
+        for d in range(near, far + 1):
+            digest = hashlib.blake2b(text[far - d:far - d + LENGTH], digest_size=DIGEST).digest()
+            if d - d % HOT_RANGE != low:
+                low = d - d % HOT_RANGE
+                shared = text[far - low:far - low - HOT_RANGE + 1 + LENGTH]
+                digests, at = sent.setdefault(xxh64_intdigest(shared, 2 + low) % buckets, ([], []))
+            if digest not in seen:
+                digests.append(digest)
+                at.append(len(seen))
+            number.append(seen.setdefault(digest, len(seen)))
+    ranges = np.array([r[1:] for r in runs], np.int64).ravel()
+    table = np.concatenate([[len(runs), len(number)], ranges, number, np.array(hits, np.int64).T.ravel()])
+    yield hash(piece) % buckets, zstandard.ZstdCompressor(1).compress(table.astype(np.int64).tobytes()), None
+    for bucket, (digests, at) in sent.items():
+        yield bucket, b"".join(digests), pack(np.array(at, np.int64))
+
+
 COVER = "_key bigint, _dup int, _spans binary"
 
 
@@ -264,13 +296,50 @@ def repeated_strings(data: np.ndarray, start: np.ndarray, near: np.ndarray, far:
     return out
 
 
+FOUND = "_key bigint, _dup int, _spans binary, _table binary, _again binary"
+
+
 def order_bucket(table: pa.Table) -> pa.Table:
-    """Covered byte intervals, by document, that the runs of one bucket show."""
+    """Covered byte intervals, by document, that the runs of one bucket show; by piece, the numbers of
+    digests that other pieces hold too. Tables of pieces pass through."""
+    rows = list(zip(*[table.column(i).to_pylist() for i in range(1, 6)]))
+    out = [(k, d, None, raw, None) for k, d, raw, size, at in rows if size is None and at is None]
+    strings = [(k, d, raw, at) for k, d, raw, size, at in rows if size is None and at is not None]
+    out += [(k, d, None, None, again) for k, d, again in shared_digests(strings)]
+    runs = [(raw, size, found) for _, _, raw, size, found in rows if size is not None]
+    out += [(k, d, spans, None, None) for k, d, spans in order_runs(runs)]
+    return pa.Table.from_batches([batch_of(FOUND, out)])
+
+
+def shared_digests(rows: list) -> list:
+    """(piece, number of the row among its pieces, packed numbers) of digests that several rows hold."""
+    if len(rows) < 2:
+        return []
+    held = np.frombuffer(b"".join(r[2] for r in rows), f"V{DIGEST}")
+    words = held.view(np.uint64).reshape(-1, DIGEST // 8)
+    order = np.lexsort(words.T)
+    twin = (words[order[1:]] == words[order[:-1]]).all(1)
+    shared = np.zeros(len(held), bool)
+    shared[order[1:][twin]] = True
+    shared[order[:-1][twin]] = True
+    out, at = [], 0
+    for k, d, raw, place in rows:
+        own = shared[at:at + len(raw) // DIGEST]
+        at += len(own)
+        if own.any():
+            out.append((k, d, pack(unpack(place)[own])))
+    return out
+
+
+def order_runs(rows: list) -> list:
+    """(document, number, packed intervals) that the byte runs of a bucket cover."""
     import zstandard
 
+    if not rows:
+        return []
     open_ = zstandard.ZstdDecompressor().decompress
     texts, ranges, hits, base = [], [], [], 0
-    for raw, sizes, found in zip(*[table.column(i).to_pylist() for i in (1, 2, 3)]):
+    for raw, sizes, found in rows:
         size = np.frombuffer(sizes, np.int64).reshape(-1, 2)
         texts.append(open_(raw))
         ranges.append(size)
@@ -281,7 +350,7 @@ def order_bucket(table: pa.Table) -> pa.Table:
     data = np.frombuffer(b"".join(texts), np.uint8)
     near, far = np.concatenate(ranges).T
     hits = np.concatenate(hits, 1)
-    size = np.where(far < 0, DIGEST, LENGTH + far - near)
+    size = LENGTH + far - near
     start = np.cumsum(size) - size
     # Equal runs become one entry with a count.
     seen: dict[tuple, int] = {}
@@ -291,26 +360,50 @@ def order_bucket(table: pa.Table) -> pa.Table:
     start, near, far = start[pick], near[pick], far[pick]
     owner = entry[hits[0]]
     many = np.bincount(owner, minlength=len(pick)) > 1
-    runs = np.flatnonzero(far >= 0)
-    flags = np.zeros((len(pick), LENGTH - GRAM + 1), bool)
-    flags[runs] = repeated_strings(data, start[runs], near[runs], far[runs])
-    far = np.maximum(far, near)  # a digest stands for its one distance
+    flags = repeated_strings(data, start, near, far)
     place = np.arange(flags.shape[1])
     flags[many] |= (place >= near[many][:, None]) & (place <= far[many][:, None])
+    return covered(flags, owner, *hits[1:])
+
+
+def covered(flags: np.ndarray, owner: np.ndarray, key: np.ndarray, dup: np.ndarray, p: np.ndarray) -> list:
+    """(document, number, packed intervals) that the flagged distances of runs cover at their occurrences."""
     edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     run, low = np.nonzero(edge == 1)
     high = np.nonzero(edge == -1)[1] - 1
-    first = np.searchsorted(run, np.arange(len(pick) + 1))
+    first = np.searchsorted(run, np.arange(len(flags) + 1))
     count = np.diff(first)[owner]
     hit = np.repeat(np.arange(len(owner)), count)
     which = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + first[owner[hit]]
-    _, key, dup, p = hits[:, hit]
+    key, dup, p = key[hit], dup[hit], p[hit]
     a, b = p - high[which], p - low[which] + LENGTH
     order = np.lexsort((a, dup, key))
     key, dup, a, b = key[order], dup[order], a[order], b[order]
     cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (dup[1:] != dup[:-1]))) if len(key) else []
-    out = [(int(key[i]), int(dup[i]), pack_spans(a[i:j], b[i:j])) for i, j in zip(cut, [*cut[1:], len(key)])]
-    return pa.Table.from_batches([batch_of(COVER, out)])
+    return [(int(key[i]), int(dup[i]), pack_spans(a[i:j], b[i:j])) for i, j in zip(cut, [*cut[1:], len(key)])]
+
+
+def expand_piece(table: pa.Table) -> pa.Table:
+    """Covered intervals, by document, of the hot runs of one piece: the strings that other pieces hold
+    too or that occur in it twice, at all their occurrences."""
+    import zstandard
+
+    raw = next(x for x in table.column(3).to_pylist() if x is not None)
+    held = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.int64)
+    runs, strings = held[:2].tolist()
+    near, far = held[2:2 + 2 * runs].reshape(-1, 2).T
+    number = held[2 + 2 * runs:2 + 2 * runs + strings]
+    owner, *places = held[2 + 2 * runs + strings:].reshape(4, -1)
+    width = far - near + 1
+    run = np.repeat(np.arange(runs), width)
+    distance = np.arange(strings) - np.repeat(np.cumsum(width) - width, width) + near[run]
+    again = np.bincount(number, weights=np.bincount(owner, minlength=runs)[run]) > 1
+    for x in table.column(4).to_pylist():
+        if x is not None:
+            again[unpack(x)] = True
+    flags = np.zeros((runs, LENGTH - GRAM + 1), bool)
+    flags[run, distance] = again[number]
+    return pa.Table.from_batches([batch_of(COVER, covered(flags, owner, *places))])
 
 
 def covered_spans(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
@@ -320,9 +413,11 @@ def covered_spans(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot_chunks: i
     replies = cores.groupBy("_bucket").applyInArrow(lambda t: count_cores(t, hot_chunks), REPLY)
     parts = save(replies.groupBy("_chunk_key", "_chunk_dup").applyInArrow(candidate_parts, PARTS), "candidates")
     runs = (rows.join(parts, ["_key", "_dup"]).select("_key", "_dup", "_text", "_parts")
-            .mapInArrow(lambda batches: packed_runs(batches, buckets), RUNS))
-    found = runs.groupBy("_bucket").applyInArrow(order_bucket, COVER)
-    return save(found.groupBy("_key", "_dup").agg(F.collect_list("_spans").alias("_spans")), "covered")
+            .mapInArrow(lambda batches: packed_runs(batches, buckets, chunk_bytes), RUNS))
+    found = save(runs.groupBy("_bucket").applyInArrow(order_bucket, FOUND), "found")
+    hot = found.where("_spans is null").groupBy("_key", "_dup").applyInArrow(expand_piece, COVER)
+    spans = found.where("_spans is not null").select("_key", "_dup", "_spans").union(hot)
+    return save(spans.groupBy("_key", "_dup").agg(F.collect_list("_spans").alias("_spans")), "covered")
 
 
 def cut_text(text: bytes, found: list[bytes] | None) -> tuple[bytes, np.ndarray]:

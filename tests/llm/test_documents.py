@@ -130,6 +130,46 @@ def test_suffix_dedup_of_a_text_longer_than_its_place_bits(spark):
                    4: (1003, [[0, 1000]]), 5: (1800, [])}
 
 
+def test_suffix_dedup_sends_a_hot_string_once_a_piece():
+    import random
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+    rng = random.Random(4)
+    text, pieces, copies = rng.randbytes(1000), 30, 50
+    data = np.frombuffer(text, np.uint8)
+    _, p, near, far, _ = suffix_dedup.halves(data, np.array([0, len(data)]))
+    parts = np.stack([p, near, far, np.ones(len(p), np.int64)], 1).tobytes()
+
+    def batch(first):
+        n = copies
+        return pa.RecordBatch.from_arrays([pa.array(range(first, first + n), pa.int64()), pa.array([0] * n, pa.int32()),
+                                           pa.array([text] * n, pa.binary()), pa.array([parts] * n, pa.binary())],
+                                          ["_key", "_dup", "_text", "_parts"])
+    sent = pa.Table.from_batches(list(suffix_dedup.packed_runs((batch(i * copies) for i in range(pieces)), 1 << 24)))
+    load = Counter()
+    for row in sent.to_pylist():
+        if row["_hits"] is not None:  # others are tables that go back to their piece
+            hits = row["_hits"]
+            load[row["_bucket"]] += len(zstandard.decompress(hits) if hits[:4] == b"\x28\xb5\x2f\xfd" else hits)
+    assert load and max(load.values()) <= pieces * 2 * suffix_dedup.HOT_RANGE * 8
+
+
+@pytest.mark.parametrize("hot", [1, 64])
+def test_suffix_dedup_of_hot_copies_with_variants(spark, hot):
+    import random
+    rng = random.Random(6)
+    base, other = rng.randbytes(450).hex(), rng.randbytes(300).hex()
+    texts = [base] * 40 + [base[:k] + "-" + base[k:] for k in range(5, 800, 31)] + [other[:500]]
+    texts += [rng.randbytes(k).hex() + base[100 + k:100 + k + 520] for k in range(0, 60, 3)]
+    texts += [other + base[:399] + other, base[300:] + base[300:], base * 3, "\0" * 900, "\0" * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    out = suffix_dedup.digest(suffix_dedup.dedup(docs, chunk_bytes=3000, hot_chunks=hot))
+    same(out, brute.suffix(plain(docs)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def test_deep_shallow_sorts_and_gives_common_prefixes():
     import os
     import random
