@@ -2,7 +2,8 @@
 
 1. A task reads chunks of documents, hashes every window of ``WINDOW`` words by two rolling
    polynomials and keeps the first window of each hash in the chunk (later ones are repeats
-   already). Hashes travel packed, one row per (chunk, bucket).
+   already). Hashes travel packed, one row per (chunk, bucket), with the documents of its windows;
+   the table of all documents goes once per chunk.
 2. A bucket counts its hashes over all chunks; of each hash that occurs again, all windows but the
    first (by document, then position) go back to their chunk as positions.
 3. A chunk merges its repeated windows into maximal removal intervals per document.
@@ -95,8 +96,9 @@ def packed_windows(batches, buckets: int, window: int, chunk_bytes: int):
         fresh = np.sort(order[~again])
         at, one = at[fresh], one[fresh] & SHORT
         bucket = (two[fresh] % np.uint64(buckets)).astype(np.int32)
-        docs = pack_docs(keys, dups, counts)
-        rows = [(int(np.uint64(int(keys[0]) & (1 << 63) - 1) % np.uint64(buckets)), True, b"", pack(repeats), docs)]
+        doc = np.searchsorted(np.cumsum(counts), at, "right")
+        rows = [(int(np.uint64(int(keys[0]) & (1 << 63) - 1) % np.uint64(buckets)), True, b"", pack(repeats),
+                 pack_docs(keys, dups, counts))]
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets < len(order) else \
             np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order)) if len(order) else [0]
@@ -104,7 +106,8 @@ def packed_windows(batches, buckets: int, window: int, chunk_bytes: int):
             if b > a:
                 own = order[a:b]
                 short = np.ascontiguousarray(one[own].view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-                rows.append((int(bucket[own[0]]), False, short, pack(at[own]), docs))
+                used, n = np.unique(doc[own], return_counts=True)
+                rows.append((int(bucket[own[0]]), False, short, pack(at[own]), pack_docs(keys[used], dups[used], n)))
             if len(rows) >= 256:
                 yield packed_batch(rows, keys[0], dups[0], names)
                 rows = []
@@ -148,8 +151,8 @@ def count_bucket(table: pa.Table) -> pa.Table:
         for a, b in zip(cut, [*cut[1:], len(pick)]):
             i = rows[row[a]]
             place[a:b] = unpack(at[i])[pick[a:b] - start[row[a]]]
-            keys, dups, counts = unpack_docs(docs[i])
-            d = np.searchsorted(np.cumsum(counts), place[a:b], "right")
+            keys, dups, windows = unpack_docs(docs[i])
+            d = np.searchsorted(np.cumsum(windows), pick[a:b] - start[row[a]], "right")
             doc_key[a:b], doc_dup[a:b] = keys[d], dups[d]
         value = h[pick]
         order = np.lexsort((place, doc_dup, doc_key, value))

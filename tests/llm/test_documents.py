@@ -102,6 +102,23 @@ def test_substring_dedup_over_many_chunks(spark, edge):
     same(substring_dedup.digest(out), brute.substring(plain(edge)), "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def test_substring_dedup_document_tables_do_not_grow_with_the_buckets():
+    import random
+
+    import pyarrow as pa
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(30):x}" for _ in range(40)).encode() for _ in range(2000)]
+    ids = rng.sample(range(1 << 40), len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([0] * len(ids), pa.int32()),
+                                        pa.array(texts, pa.binary())], ["_key", "_dup", "_text"])
+    windows = 21 * len(texts)
+
+    def sent(buckets):
+        out = pa.Table.from_batches(list(substring_dedup.packed_windows([batch], buckets, 20, 8 << 20)))
+        return sum(len(x) for x in out.column("_docs").to_pylist())
+    assert sent(4000) < 12 * windows
+
+
 def test_suffix_dedup(spark, docs, tmp_path):
     out = suffix_dedup.op6_suffix_dedup(spark, folder(tmp_path, docs))
     same(out, brute.suffix([(i, t) for i, t in plain(docs)]), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
