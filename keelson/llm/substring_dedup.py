@@ -9,9 +9,9 @@
 3. A chunk merges its repeated windows into maximal removal intervals per document.
 4. Documents meet their intervals and keep the other words.
 
-A hash that every document contains sends one entry per chunk, not one per occurrence. The second
-polynomial picks the bucket and the first gives 56 bits inside it, so windows compare by 56 bits
-plus the bits of the bucket number, which grows with the corpus.
+A hash that every document contains sends one entry per chunk, not one per occurrence. Words have 128-bit
+hashes; each half has a polynomial of its own. The second one picks the bucket, and windows compare by
+all 128 bits of both.
 
 Rules: a null text has no words; a text under ``WINDOW`` words has no window and stays whole. Null ids
 sort first. Rows that share an id are taken in the order of their texts, one after another.
@@ -35,19 +35,19 @@ CHUNK_BYTES = 8 << 20
 #: Text bytes per bucket: about 2 million windows.
 BUCKET_BYTES = 12 << 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-SHORT = np.uint64((1 << 56) - 1)
+HASH = np.dtype("V16")  # both polynomials of a window
 PACKED = "_bucket int, _chunk_key bigint, _chunk_dup int, _info boolean, _hashes binary, _at binary, _docs binary"
 
 
 class WordHashes(dict):
-    """64-bit hash of a word, remembered for up to a million words."""
+    """128-bit hash of a word, remembered for up to a million words."""
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+    def __missing__(self, word: bytes) -> bytes:
+        from xxhash import xxh3_128_digest
 
         if len(self) >= 1 << 20:
             self.clear()
-        h = self[word] = xxh64_intdigest(word)
+        h = self[word] = xxh3_128_digest(word)
         return h
 
 
@@ -74,12 +74,12 @@ def chunk_windows(data: np.ndarray, off: np.ndarray, hashes: WordHashes, window:
     for d in range(len(counts)):
         words = raw[ends[d]:ends[d + 1]].split()
         counts[d] = len(words)
-        values.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-    values = np.concatenate(values) if values else np.zeros(0, np.uint64)
+        values.append(b"".join(map(hashes.__getitem__, words)))
+    values = np.frombuffer(b"".join(values), np.uint64).reshape(-1, 2)
     last = np.repeat(np.cumsum(counts), counts)  # end of each word's document
     at = np.flatnonzero(np.arange(len(values)) + window <= last)
-    one = mix64(rolling(mix64(values), BASES[0], window)[at])
-    two = mix64(rolling(mix64(values ^ np.uint64(BASES[1])), BASES[1], window)[at])
+    one = mix64(rolling(mix64(values[:, 0]), BASES[0], window)[at])
+    two = mix64(rolling(mix64(values[:, 1]), BASES[1], window)[at])
     return counts, at, one, two
 
 
@@ -88,14 +88,14 @@ def packed_windows(batches, buckets: int, window: int, chunk_bytes: int):
     names = [c.split()[0] for c in PACKED.split(", ")]
     for keys, dups, data, off in chunks_of(batches, chunk_bytes):
         counts, at, one, two = chunk_windows(data, off, hashes, window)
-        order = np.argsort(one, kind="stable")
+        order = np.lexsort((two, one))
         s1, s2 = one[order], two[order]
         again = np.zeros(len(order), bool)
         again[1:] = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
         repeats = np.sort(at[order[again]])
         fresh = np.sort(order[~again])
-        at, one = at[fresh], one[fresh] & SHORT
-        bucket = (two[fresh] % np.uint64(buckets)).astype(np.int32)
+        at, both = at[fresh], np.stack([one[fresh], two[fresh]], 1)
+        bucket = (both[:, 1] % np.uint64(buckets)).astype(np.int32)
         doc = np.searchsorted(np.cumsum(counts), at, "right")
         rows = [(int(np.uint64(int(keys[0]) & (1 << 63) - 1) % np.uint64(buckets)), True, b"", pack(repeats),
                  pack_docs(keys, dups, counts))]
@@ -105,9 +105,9 @@ def packed_windows(batches, buckets: int, window: int, chunk_bytes: int):
         for a, b in zip(cut[:-1], cut[1:]):
             if b > a:
                 own = order[a:b]
-                short = np.ascontiguousarray(one[own].view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
                 used, n = np.unique(doc[own], return_counts=True)
-                rows.append((int(bucket[own[0]]), False, short, pack(at[own]), pack_docs(keys[used], dups[used], n)))
+                rows.append((int(bucket[own[0]]), False, both[own].tobytes(), pack(at[own]),
+                             pack_docs(keys[used], dups[used], n)))
             if len(rows) >= 256:
                 yield packed_batch(rows, keys[0], dups[0], names)
                 rows = []
@@ -132,13 +132,13 @@ def count_bucket(table: pa.Table) -> pa.Table:
     info, key, dup, hashes, at, docs = (table.column(i).to_pylist() for i in (3, 1, 2, 4, 5, 6))
     out = [(key[i], dup[i], docs[i], at[i]) for i in range(len(info)) if info[i]]
     rows = [i for i in range(len(info)) if not info[i]]
-    size = np.array([len(hashes[i]) // 7 for i in rows], np.int64)
-    short = np.zeros((int(size.sum()), 8), np.uint8)
-    short[:, :7] = np.frombuffer(b"".join(hashes[i] for i in rows), np.uint8).reshape(-1, 7)
-    h = short.view(np.uint64).ravel()
-    order = np.argsort(h)
+    size = np.array([len(hashes[i]) // HASH.itemsize for i in rows], np.int64)
+    h = np.frombuffer(b"".join(hashes[i] for i in rows), np.uint64).reshape(-1, 2)
+    order = np.lexsort(h.T)
     s = h[order]
-    same = s[1:] == s[:-1]
+    same = (s[1:] == s[:-1]).all(1)
+    value = np.zeros(len(h), np.int64)  # number of each hash among those of the bucket
+    value[order] = np.cumsum(np.append(False, ~same))[:len(h)]
     many = np.zeros(len(s), bool)
     many[1:] |= same
     many[:-1] |= same
@@ -154,7 +154,7 @@ def count_bucket(table: pa.Table) -> pa.Table:
             keys, dups, windows = unpack_docs(docs[i])
             d = np.searchsorted(np.cumsum(windows), pick[a:b] - start[row[a]], "right")
             doc_key[a:b], doc_dup[a:b] = keys[d], dups[d]
-        value = h[pick]
+        value = value[pick]
         order = np.lexsort((place, doc_dup, doc_key, value))
         later = np.zeros(len(pick), bool)
         later[order[1:]] = value[order[1:]] == value[order[:-1]]

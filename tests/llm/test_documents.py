@@ -119,6 +119,25 @@ def test_substring_dedup_document_tables_do_not_grow_with_the_buckets():
     assert sent(4000) < 12 * windows
 
 
+@pytest.mark.parametrize("one, two, again", [(0, 0, 1), (1 << 60, 0, 0), (0, 33, 0), (1 << 60, 33, 0)])
+def test_substring_dedup_compares_all_bits_of_both_hashes(monkeypatch, one, two, again):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    def windows(data, off, hashes, window):
+        second = int(data[0]) - ord("a")  # 0 in the first chunk, 1 in the other
+        return (np.array([window]), np.array([0]), np.array([5 + second * one], np.uint64),
+                np.array([7 + second * two], np.uint64))
+    monkeypatch.setattr(substring_dedup, "chunk_windows", windows)
+    batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([0], pa.int32()), pa.array([t], pa.binary())],
+                                          ["_key", "_dup", "_text"]) for i, t in enumerate([b"a", b"b"])]
+    sent = pa.Table.from_batches(list(substring_dedup.packed_windows(batches, 11, 20, 1 << 20)))
+    rows = sent.filter(pa.compute.equal(sent.column("_bucket"), 7))
+    replies = substring_dedup.count_bucket(rows).to_pylist()
+    assert sum(r["_docs"] is None for r in replies) == again
+
+
 def test_suffix_dedup(spark, docs, tmp_path):
     out = suffix_dedup.op6_suffix_dedup(spark, folder(tmp_path, docs))
     same(out, brute.suffix([(i, t) for i, t in plain(docs)]), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
