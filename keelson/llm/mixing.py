@@ -52,13 +52,16 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, max_repeat: int = MAX_REPEAT, salts: int = SALTS) -> DataFrame:
-    """One row per document: _id, _source, _no_source, size, source_size, target, copies."""
+        weights=WEIGHTS, max_repeat: int = MAX_REPEAT, salts: int = SALTS, named: bool = False) -> DataFrame:
+    """One row per document: _id, _source, _no_source, size, source_size, target, copies; if ``named``
+    also _name, by which ties are ordered last."""
+    name = {"_name": row_name(id_col, text_col, source_col)} if named else {}
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = save(docs.select(
         F.col(id_col).alias("_id"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"),
         F.col(source_col).isNull().cast("int").alias("_no_source"),
-        F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size")), "sized")
+        F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
+        *[col.alias(n) for n, col in name.items()]), "sized")
     digits = F.col("size").cast("string")
     sized = (sized.withColumn("_class", F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int"))
              .withColumn("_salt", F.pmod(F.coalesce("_id", F.lit(0)), F.lit(salts))))
@@ -68,14 +71,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = (sized.groupBy(*cell).count()
              .withColumn("_base", F.coalesce(F.sum("count").over(along), F.lit(0))).drop("count"))
     plan = save(cells.join(targets(sized, weights, max_repeat), ["_source", "_no_source"]), "mix-plan")
-    rank = F.col("_base") + F.row_number().over(Window.partitionBy(*cell).orderBy(F.col("size").desc(), "_id"))
+    rank = F.col("_base") + F.row_number().over(Window.partitionBy(*cell).orderBy(F.col("size").desc(), "_id", *name))
     offset = F.conv(F.substring(F.md5("_source"), 1, 5), 16, 10).cast("double") / 1048576.0
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = (F.floor(F.col("_rank") * F.col("_each") + F.col("_offset"))
               - F.floor((F.col("_rank") - 1) * F.col("_each") + F.col("_offset")))
     return (sized.join(plan, cell)
             .withColumns({"_rank": rank, "_each": each, "_offset": offset})
-            .select("_id", "_source", "_no_source", "size", "source_size", "target",
+            .select("_id", "_source", "_no_source", "size", "source_size", "target", *name,
                     F.least(copies, F.lit(max_repeat).cast("long")).alias("copies")))
 
 
@@ -84,14 +87,25 @@ def op7_mix_sources(spark, sf_dir):
         F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def draw(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def row_name(id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
+    """Digest of identifier, source and text, nulls told from empty ones."""
+    parts = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in (id_col, source_col, text_col)]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def draw(docs: DataFrame, id_col: str = "doc_id", max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The mixture itself: each document as often as it was drawn, with its columns as they are.
 
-    Rows that share an identifier all get the most copies that one of them was drawn."""
-    drawn = (mix(docs, id_col).where("copies > 0").groupBy("_id").agg(F.max("copies").alias("_copies")))
+    Rows that share an identifier are told apart by source and text. Those that share all three are
+    numbered; their copies are kept as the number of rows drawn once at least, twice at least, and so on."""
+    times = [F.sum((F.col("copies") >= n).cast("long")).alias(f"_{n}") for n in range(1, max_repeat + 1)]
+    drawn = mix(docs, id_col, max_repeat=max_repeat, named=True).groupBy("_name").agg(*times).where("_1 > 0")
     drawn = save(drawn, "drawn")
-    rows = boxed(docs, key=F.col(id_col))
-    return (rows.join(unbounded(drawn), rows["key"].eqNullSafe(drawn["_id"]))
+    rows = boxed(docs, _name=row_name(id_col))
+    number = F.row_number().over(Window.partitionBy("_name").orderBy("_name"))
+    copies = sum(((F.col("_number") <= F.col(f"_{n}")).cast("long") for n in range(1, max_repeat + 1)), F.lit(0).cast("long"))
+    return (rows.join(unbounded(drawn), "_name").withColumn("_number", number).withColumn("_copies", copies)
+            .where("_copies > 0")
             .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*"))
 
 

@@ -118,6 +118,26 @@ def test_draw_repeats_rows_as_drawn(spark, edge):
     assert got == want
 
 
+def test_draw_counts_rows_that_share_an_identifier_by_themselves(spark):
+    from collections import Counter
+    rows = [(None if i % 2 else i % 7, "w " * (1 + i % 40) + str(i % 90), f"s{i % 3}" if i % 11 else None, i) for i in range(900)]
+    rows += [(1, "the same text", "s0", 1000 + i) for i in range(20)] + [(None, None, "s1", 2000), (None, "", "s1", 2001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(5)
+    want, target = Counter(), {}
+    for r in mixing.mix(docs).collect():
+        source = None if r["_no_source"] else r["_source"]
+        want[r["_id"], source, r["size"]] += r["copies"]
+        target[source] = r["target"]
+    got, taken, times = Counter(), Counter(), Counter()
+    for r in mixing.draw(docs).collect():
+        size = len((r["text"] or "").split())
+        got[r["doc_id"], r["source"], size] += 1
+        taken[r["source"]] += size
+        times[r["n"]] += 1
+    assert got == +want and max(times.values()) <= 3
+    assert all(abs(taken[s] - target[s]) <= 3 * 41 for s in target)
+
+
 def test_topk_stops_early_and_stays_exact():
     import numpy as np
     rng = np.random.default_rng(0)
