@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from keelson.llm import bpe, chat_format, exact_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, topk, url_filter
+from keelson.llm import (alignment, bpe, chat_format, conversation_repair, exact_dedup, minhash, mixing, quality, simhash,
+                         substring_dedup, suffix_dedup, topk, url_filter)
 
 QUERIES = {
     "op1_preference_format": chat_format.op1_preference_format,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_minhash_dedup": minhash.op13_minhash_dedup,
 }
 
 ORACLE = {
@@ -23,4 +27,5 @@ ORACLE = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
     "op10_exact_topk": topk.ORACLE,
+    "op13_minhash_dedup": minhash.ORACLE,
 }

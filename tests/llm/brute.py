@@ -109,3 +109,138 @@ def bpe(docs, encoding):
         ids = encoding.encode_ordinary(t or "")
         out.append((i, len(ids), sha(",".join(map(str, ids)).encode()), sha(raw(t))))
     return out
+
+
+def repair(rows):
+    """Conversation repair by an automaton over suffixes: rows (conv, turn, role, text)."""
+    import zlib
+
+    found = defaultdict(list)
+    for conv, turn, role, text in rows:
+        own = found[conv]
+        conv, role, text = (" " if x is None else x for x in (conv, role, text))
+        draw = zlib.crc32(f"{conv}:{' ' if turn is None else turn}".encode()) % 20
+        if draw == 1:
+            text = ""
+        if draw == 2:
+            text = re.sub("[.!?]", "", text)
+        if draw == 4:
+            role = "user"
+        own += [(turn, role, text)] * (0 if draw == 0 else 2 if draw == 3 else 1)
+    out = []
+    for conv, own in found.items():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        seen, marks = set(), []
+        for _, role, text in own:
+            shown = re.sub(r"[\x20\x09-\x0D]+", "", text)
+            marks.append("blank" if not shown else "duplicate" if (role, text) in seen else
+                         "truncated" if shown[-1] not in ".!?" else "")
+            seen.add((role, text))
+        follow = {"B": {"s": "S", "u": "A"}, "S": {"u": "A"}, "A": {"a": "U"}, "U": {"u": "A"}}
+        best = {"B": (0, "", ()), "U": (0, "", ())}
+        for i in range(len(own), -1, -1):
+            after, best = best, dict(best) if i == len(own) else {}
+            if i < len(own):
+                role, text = own[i][1:]
+                stay = marks[i] not in ("blank", "duplicate")
+                for p, q in after.items():
+                    best[p] = min(best.get(p, (1 << 40,)), (q[0] + 3, "D" + q[1], q[2]))
+                for p in "BSAU":
+                    for c, to in follow[p].items() if stay else ():
+                        if to in after and (c == role[:1] or c != "s"):
+                            kept = c == role[:1]
+                            name = role if kept else {"u": "user", "a": "assistant"}[c]
+                            cost, audit, lines = after[to]
+                            cost += (0 if kept else 2) + (marks[i] == "truncated")
+                            best[p] = min(best.get(p, (1 << 40,)), (cost, "KR"[not kept] + audit, (f"{name}:{text}", *lines)))
+            for _ in range(6):
+                for p in "BSAU":
+                    for c, to in follow[p].items():
+                        if c != "s" and to in best:
+                            cost, audit, lines = best[to]
+                            name = {"u": "user", "a": "assistant"}[c]
+                            best[p] = min(best.get(p, (1 << 40,)), (cost + 2, "I" + audit, (f"{name}:", *lines)))
+        cost, audit, lines = best["B"]
+        turns = {t for t, _, _ in own if t is not None}
+        initials = [r[:1] for _, r, _ in own]
+        out.append((conv, max(turns) - min(turns) + 1 - len(turns) if turns else 0,
+                    *(marks.count(m) for m in ("blank", "duplicate", "truncated")),
+                    sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])), cost, audit,
+                    sha("\n".join(lines).encode())))
+    return out
+
+
+def alignment(docs):
+    """Token alignment of byte_bpe_50k.json and piece_bpe_32k.model, token by token."""
+    import public_tokenizers as P
+    import sentencepiece
+    from tokenizers import Tokenizer
+    from tokenizers.decoders import ByteLevel  # noqa: F401
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    code = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    left = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    left.encode_special_tokens = True
+    right = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    made, counts = [], Counter()
+    for i, t in docs:
+        a = left.encode(" " + (t or ""), add_special_tokens=False).ids if t else []
+        b = right.encode(t) if t else []
+        bytes_a = [bytes(code[c] for c in left.id_to_token(x)) for x in a]
+        bytes_b = []
+        for x in b:
+            p = right.id_to_piece(x)
+            bytes_b.append(bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode())
+        want = b" " + raw(t)
+        if not t or b"".join(bytes_a) != want or b"".join(bytes_b) != want:
+            a, b, bytes_a, bytes_b = [], [], [], []
+        spans = []
+        for tokens in (bytes_a, bytes_b):
+            at, own = 0, []
+            for x in tokens:
+                own.append((at, at + len(x)))
+                at += len(x)
+            spans.append(own)
+        ends = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        groups = []
+        for lo, hi in zip([0, *ends], ends):
+            parts = [",".join(str(x) for x, (s, e) in zip(ids, own) if lo <= s and e <= hi) for ids, own in zip((a, b), spans)]
+            groups.append("|".join(parts))
+        links, j0 = [], 0
+        for x, (s, e) in zip(a, spans[0]):
+            while j0 < len(b) and spans[1][j0][1] <= s:
+                j0 += 1
+            j = j0
+            while j < len(b) and spans[1][j][0] < e:
+                links.append((x, b[j]))
+                j += 1
+        counts.update(links)
+        made.append((i, len(a), len(b), len(groups), links, ";".join(groups)))
+    top = Counter()
+    for (_, y), n in counts.items():
+        top[y] = max(top[y], n)
+    return [(i, na, nb, ng, len(links), sum(counts[p] == top[p[1]] for p in links), sum(counts[p] for p in links),
+             sha(g.encode()) if g else "") for i, na, nb, ng, links, g in made]
+
+
+def minhash(docs):
+    """Jaccard of 3-word shingle sets, all pairs."""
+    found = []
+    for _, t in docs:
+        w = WORD.findall(low(t))
+        found.append({b" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+    up = list(range(len(docs)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for i, a in enumerate(found):
+        for j in range(i):
+            both = len(a & found[j])
+            if both * 100 >= (len(a) + len(found[j]) - both) * 85 and a:
+                up[root(i)] = root(j)
+    members = defaultdict(list)
+    for k, (i, _) in enumerate(docs):
+        members[root(k)].append(i)
+    return [(i, len(found[k]), least(members[root(k)]), i == least(members[root(k)])) for k, (i, _) in enumerate(docs)]
