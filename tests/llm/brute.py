@@ -202,9 +202,15 @@ def alignment(docs):
                 at += len(x)
             spans.append(own)
         ends = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
-        groups = []
-        for lo, hi in zip([0, *ends], ends):
-            parts = [",".join(str(x) for x, (s, e) in zip(ids, own) if lo <= s and e <= hi) for ids, own in zip((a, b), spans)]
+        groups, at = [], [0, 0]
+        for hi in ends:
+            parts = []
+            for k, ids in enumerate((a, b)):
+                own = []
+                while at[k] < len(ids) and spans[k][at[k]][1] <= hi:
+                    own.append(str(ids[at[k]]))
+                    at[k] += 1
+                parts.append(",".join(own))
             groups.append("|".join(parts))
         links, j0 = [], 0
         for x, (s, e) in zip(a, spans[0]):
