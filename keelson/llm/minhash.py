@@ -12,8 +12,9 @@ for a pair, over the choice of the hash function.
 3. The leader of each list (the node with most shared values) meets every other member: linear in
    the list. Verified links make components.
 4. In lists that still span several components all pairs of different components meet, long lists
-   in blocks that go to tasks of their own; only pairs that the union-sketch estimate lets through
-   leave the task.
+   in blocks that go to tasks of their own, with sketches of ``LONG`` values. Only pairs that the
+   union-sketch estimate lets through leave the task; where the sketches are whole sets the estimate is
+   exact, and a forest of the links is enough.
 5. Every candidate pair is verified by the exact Jaccard of the full shingle sets, compared as
    words, not hashes.
 
@@ -42,6 +43,8 @@ SHINGLE = 3
 #: Similarity in percent.
 PERCENT = 85
 SKETCH = 64
+#: Sketch of nodes in lists that leaders left open.
+LONG = 256
 LOSS = 1e-12
 BLOCK = 2048
 #: Members that meet their leader in one task.
@@ -165,100 +168,125 @@ def overlap_estimate(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray,
     return (twice & (rank <= k)).sum(1), np.minimum(rank[:, -1], k)
 
 
-def let_through(n1, n2, shared, size, k: int, percent: int) -> np.ndarray:
-    """Whether the union-sketch estimate allows the pair to be similar: an exact test where both sketches
-    are whole sets, else the sure and the probable bound on what the union sketch shares."""
-    whole = (n1 <= k) & (n2 <= k)
+def let_through(n1, n2, shared, size, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the union-sketch estimate allows the pair to be similar, whether it says so for sure): an
+    exact test where the union sketch is the union, else the sure and the probable bound on what it shares."""
+    whole = (n1 <= k) & (n2 <= k) & (size < k)
     union = (n1 + n2) * 100 // (100 + percent)  # of similar sets, at most
     least = np.maximum(surely_shared(k, percent), k - (union * (100 - percent) // 100 + 1))
-    # both sets whole: the union may exceed k, then its k smallest still follow the bound
     exact = shared * 100 >= size * percent
-    return np.where(whole & (size < k), exact, shared >= np.minimum(least, size))
+    return np.where(whole, exact, shared >= np.minimum(least, size)), whole & exact
 
 
-def short_lists(rows, starts: np.ndarray, length: int, k: int, percent: int) -> np.ndarray:
-    """Candidate pairs of all lists (or pairs of blocks) of one short length at once."""
+def short_lists(rows, starts: np.ndarray, length: int, k: int, percent: int):
+    """(pairs, sure) of all lists (or pairs of blocks) of one short length at once."""
     i, j = np.triu_indices(length, 1)
     a, b = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
     n, comp, side, mixed, node, sketch = rows
     low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
     ok = np.flatnonzero((comp[a] != comp[b]) & (low * 100 >= high * percent) & (~mixed[a] | (side[a] != side[b])))
     a, b, found = a[ok], b[ok], []
-    for at in range(0, len(a), 4096):
-        x, y = a[at:at + 4096], b[at:at + 4096]
+    for at in range(0, len(a), 1024):
+        x, y = a[at:at + 1024], b[at:at + 1024]
         shared, size = overlap_estimate(sketch[x], sketch[y], k)
-        ok = let_through(n[x], n[y], shared, size, k, percent)
-        found.append(np.stack([node[x[ok]], node[y[ok]]], 1))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        ok, sure = let_through(n[x], n[y], shared, size, k, percent)
+        found.append(np.stack([node[x[ok]], node[y[ok]], sure[ok]], 1))
+    return found
 
 
-def long_list(rows, k: int, percent: int) -> np.ndarray:
-    """Candidate pairs of one long list (or two of its blocks): shared values are tallied member by
-    member over the values inside the list, and pairs that reach the minimum are estimated."""
+def long_list(rows, k: int, percent: int):
+    """(pairs, sure) of one long list (or two of its blocks): shared values are tallied member by member over
+    the values inside the list. Where sketches are whole sets the tally is exact, and one link to each set of
+    members linked so far is enough."""
     n, comp, side, mixed, node, sketch = rows
     real = sketch != np.iinfo(np.int64).max
     owner = np.repeat(np.arange(len(node)), real.sum(1))
     _, code = np.unique(sketch[real], return_inverse=True)
     holders, start = owner[np.argsort(code, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(code))])
     own = np.concatenate([[0], np.cumsum(real.sum(1))])
-    need = needed(n, k, percent)
-    found = [np.zeros((0, 2), np.int64)]
+    label = np.unique(comp, return_inverse=True)[1]
+    whole, found = n <= k, []
     for i in range(len(node)):
-        codes = code[own[i]:own[i + 1]].tolist()
-        shared = np.bincount(np.concatenate([holders[start[c]:start[c + 1]] for c in codes]), minlength=len(node))
-        ok = (shared >= np.maximum(need, need[i])) & (comp != comp[i])
-        ok &= np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent
+        ok = (label != label[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
         if mixed[i]:
             ok &= side != side[i]
         ok[:i + 1] = False
-        j = np.flatnonzero(ok)
-        for at in range(0, len(j), 4096):
-            part = j[at:at + 4096]
+        if not ok.any():
+            continue
+        codes = code[own[i]:own[i + 1]].tolist()
+        shared = np.bincount(np.concatenate([holders[start[c]:start[c + 1]] for c in codes]), minlength=len(node))
+        if whole[i]:
+            j = np.flatnonzero(ok & whole & (shared * 100 >= (n + n[i] - shared) * percent))
+            if len(j):
+                met, first = np.unique(label[j], return_index=True)
+                found.append(np.stack([np.full(len(met), node[i]), node[j[first]], np.ones(len(met), np.int64)], 1))
+                label[np.isin(label, met)] = label[i]
+        j = np.flatnonzero(ok & ~(whole & whole[i]) & (shared >= surely_shared(k, percent)))
+        for at in range(0, len(j), 1024):
+            part = j[at:at + 1024]
             both, size = overlap_estimate(np.broadcast_to(sketch[i], (len(part), k)), sketch[part], k)
-            part = part[let_through(n[i], n[part], both, size, k, percent)]
-            found.append(np.stack([np.full(len(part), node[i]), node[part]], 1))
-    return np.concatenate(found)
+            part = part[let_through(n[i], n[part], both, size, k, percent)[0]]
+            found.append(np.stack([np.full(len(part), node[i]), node[part], np.zeros(len(part), np.int64)], 1))
+    return found
 
 
 def list_pairs(batches, k: int, percent: int):
-    """Candidate pairs of a sorted partition; columns _value, _i, _j, _node, _n, _comp, _side, _sketch."""
+    """Candidate pairs of a sorted partition; columns _value, _i, _j, _node, _n, _comp, _side, _long."""
     def emit(keys, sketch):
         node, n, comp, side, mixed = keys[:, 3], keys[:, 4], keys[:, 5], keys[:, 6], keys[:, 1] != keys[:, 2]
         cut = np.flatnonzero(np.append(True, (keys[1:, :3] != keys[:-1, :3]).any(1)))
         size = np.diff(np.append(cut, len(keys)))
-        rows, found = (n, comp, side, mixed, node, sketch), []
+        rows, found = (n, comp, side, mixed, node, sketch), [np.zeros((0, 3), np.int64)]
         for length in np.unique(size[size > 1]).tolist():
             starts = cut[size == length]
             if length <= 32:
-                found += [short_lists(rows, starts[a:a + 4096], length, k, percent) for a in range(0, len(starts), 4096)]
+                for a in range(0, len(starts), 4096):
+                    found += short_lists(rows, starts[a:a + 4096], length, k, percent)
             else:
-                found += [long_list([x[a:a + length] for x in rows], k, percent) for a in starts.tolist()]
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                for a in starts.tolist():
+                    found += long_list([x[a:a + length] for x in rows], k, percent)
+        pairs = np.concatenate(found)
+        pairs = np.unique(np.concatenate([np.sort(pairs[:, :2], axis=1), pairs[:, 2:]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], ["a", "b", "sure"])
 
     held: list[tuple] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)], 1).astype(np.int64)
-        lists = batch.column(7)
-        size = np.diff(lists.offsets.to_numpy())
-        sketch = np.full((len(keys), k), np.iinfo(np.int64).max)
-        sketch[np.arange(k) < size[:, None]] = lists.flatten().to_numpy()
-        held.append((keys, sketch))
-        if (keys[-1, :3] == held[0][0][0, :3]).all():
-            continue  # one list so far: wait for its end
-        keys, sketch = (np.concatenate([h[c] for h in held]) for c in (0, 1))
-        end = int(np.flatnonzero((keys[:, :3] != keys[-1, :3]).any(1))[-1]) + 1
-        held = [(keys[end:], sketch[end:])]
-        yield emit(keys[:end], sketch[:end])
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            keys = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in range(7)], 1).astype(np.int64)
+            lists = part.column(7)
+            size = np.diff(lists.offsets.to_numpy())
+            sketch = np.full((len(keys), k), np.iinfo(np.int64).max)
+            sketch[np.arange(k) < size[:, None]] = lists.flatten().to_numpy()
+            held.append((keys, sketch))
+            if (keys[-1, :3] == held[0][0][0, :3]).all():
+                continue  # one list so far: wait for its end
+            keys, sketch = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+            end = int(np.flatnonzero((keys[:, :3] != keys[-1, :3]).any(1))[-1]) + 1
+            held = [(keys[end:], sketch[end:])]
+            yield emit(keys[:end], sketch[:end])
     if held:
         yield emit(*(np.concatenate([h[c] for h in held]) for c in (0, 1)))
 
 
-def remaining_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, k: int = SKETCH, percent: int = PERCENT,
-                    block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs of different components in the lists that still span several."""
+def long_sketches(texts: DataFrame, width: int, k: int, bits: int) -> DataFrame:
+    """(_node, _long): the k smallest hashes of each set, shortened to their first ``bits`` bits."""
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                low = [hashes(shingles(t.as_py(), width))[:k] >> (64 - bits) for t in part.column(1)]
+                off = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
+                values = pa.array(np.concatenate(low), pa.int64())
+                values = values.cast(pa.int32()) if bits == 32 else values
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off), values)], ["_node", "_long"])
+    return texts.select("_row", "_text").mapInArrow(run, f"_node bigint, _long array<{'int' if bits == 32 else 'bigint'}>")
+
+
+def remaining_pairs(entries: DataFrame, texts: DataFrame, comps: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
+                    block: int = BLOCK, k: int = LONG, bits: int = 32) -> DataFrame:
+    """(a, b, sure): pairs of different components in the lists that still span several. Sketches are longer
+    here, whole sets for most documents; ``sure`` pairs of whole sets are similar unless shortened hashes collide."""
     spark = entries.sparkSession
     named = entries.join(unbounded(comps), entries["_node"] == comps["node"], "left").select(
         "_value", "_node", "_n", F.coalesce("least", "_node").alias("_comp"))
@@ -267,16 +295,15 @@ def remaining_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, k: i
                                                   F.count(F.lit(1)).alias("_length"))
                       .where("_one <> _two").select("_value", F.ceil(F.col("_length") / block).alias("_blocks")), "open-lists")
     zero = F.lit(0).cast("long")
-    dealt = (named.join(unbounded(open_lists), "_value")
+    met = save(named.join(unbounded(open_lists), "_value"), "open-entries")
+    own = texts.join(unbounded(met.select(F.col("_node").alias("_row")).distinct()), "_row")
+    dealt = (met.join(unbounded(long_sketches(own, width, k, bits)), "_node")
              .withColumn("_side", F.pmod(F.xxhash64("_node"), F.col("_blocks")))
              .withColumn("_other", F.explode(F.sequence(zero, F.col("_blocks") - 1)))
              .select("_value", F.least("_side", "_other").alias("_i"), F.greatest("_side", "_other").alias("_j"),
-                     "_node", "_n", "_comp", "_side"))
-    sketches = nodes.select("_node", "_sketch")
-    dealt = dealt.join(unbounded(sketches), "_node").select("_value", "_i", "_j", "_node", "_n", "_comp", "_side", "_sketch")
+                     "_node", "_n", "_comp", "_side", "_long"))
     dealt = dealt.repartition(partitions(spark), "_value", "_i", "_j").sortWithinPartitions("_value", "_i", "_j", "_node")
-
-    return dealt.mapInArrow(lambda batches: list_pairs(batches, k, percent), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(lambda batches: list_pairs(batches, k, percent), "a bigint, b bigint, sure boolean").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, percent: int = PERCENT, party: int = PARTY) -> DataFrame:
@@ -310,7 +337,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, percent:
 
 
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
-                       percent: int = PERCENT, k: int = SKETCH, block: int = BLOCK) -> DataFrame:
+                       percent: int = PERCENT, k: int = SKETCH, block: int = BLOCK, long: int = LONG) -> DataFrame:
     """One row per document: id, n_shingles, component_id (null where every id of the component is)."""
     rows = sets(docs, id_col, text_col, width, k)
     groups = save(rows.where("_set IS NOT NULL").groupBy("_set").agg(
@@ -320,11 +347,14 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = save(rare_entries(nodes, k, percent), "rare-values")
     texts = save(rows.select("_row", "_text").join(unbounded(entries.select(F.col("_node").alias("_row")).distinct()), "_row"),
                  "listed-texts")
-    first = save(verified(save(leader_pairs(entries, percent), "leader-pairs"), texts, width, percent), "leader-links")
-    comps = stars(first)
-    rest = save(remaining_pairs(entries, nodes, comps, k, percent, block), "candidates")
-    more = verified(rest, texts, width, percent)
-    star = stars(first.unionByName(more))
+    found = save(verified(save(leader_pairs(entries, percent), "leader-pairs"), texts, width, percent), "leader-links")
+    for bits in (32, 64):
+        rest = save(remaining_pairs(entries, texts, stars(found), width, percent, block, long, bits), "candidates")
+        more = save(verified(rest.select("a", "b").distinct(), texts, width, percent), "links")
+        found = found.unionByName(more)
+        if rest.where("sure").join(unbounded(more), ["a", "b"], "left_anti").isEmpty():
+            break  # else a link stood for others and was none: shortened hashes collided, so once more with whole ones
+    star = stars(found)
     of = save(nodes.select("_node", "_rep").join(unbounded(star), nodes["_node"] == star["node"], "left")
               .select("_node", "_rep", F.coalesce("least", "_node").alias("_least")), "node-components")
     named = save(of.groupBy("_least").agg(F.min("_rep").alias("_smallest")), "smallest-ids")
