@@ -115,16 +115,53 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def settled_points() -> np.ndarray:
+    """Which code points of the basic plane have kept their class (letter, number, other) since Unicode 3.2, so
+    that every regex engine splits them alike."""
+    import unicodedata
+
+    def kind(table, c):
+        name = table.category(chr(c))
+        return name[0] if name[0] in "LN" else "-" if name != "Cn" else "?"
+    return np.array([(k := kind(unicodedata.ucd_3_2_0, c)) != "?" and k == kind(unicodedata, c) for c in range(0x10000)])
+
+
+def settled(text: str) -> bool:
+    if text.isascii():
+        return True
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return int(points.max()) < 0x10000 and bool(settled_points()[points].all())
+
+
 def byte_level_side(path: str) -> Side:
+    """A byte-level BPE vocabulary. Where merges are numbered in the order of their token ids the ids are ranks,
+    and texts go through the faster encoder by rank; texts with code points that engines may class
+    differently, and other vocabularies, go through the vocabulary's own."""
+    import json
+
+    import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     symbols = byte_symbols()
+    vocabulary = tokenizer.get_vocab()
     words = [b""] * tokenizer.get_vocab_size()
-    for word, i in tokenizer.get_vocab().items():
+    for word, i in vocabulary.items():
         words[i] = bytes(symbols[c] for c in word) if all(c in symbols for c in word) else word.encode()
-    return Side(words, lambda texts: [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)])
+    with open(path, encoding="utf-8") as f:
+        merges = json.load(f)["model"]["merges"]
+    ranked = all(vocabulary["".join(m if isinstance(m, list) else m.split(" "))] == 256 + i for i, m in enumerate(merges))
+    by_rank = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks={
+        w: i for i, w in enumerate(words[:256 + len(merges)])}) if ranked else None
+
+    def encode(texts):
+        fast = [by_rank is not None and settled(t) for t in texts]
+        own = iter(tokenizer.encode_batch_fast([" " + t for t, f in zip(texts, fast) if not f], add_special_tokens=False))
+        return [by_rank.encode_ordinary(" " + t) if f else next(own).ids for t, f in zip(texts, fast)]
+    return Side(words, encode)
 
 
 def piece_side(path: str) -> Side:

@@ -204,3 +204,16 @@ def test_links_lists_overlaps_and_shared_groups(spark):
         assert sum(r.shared_bytes > 0 for r in own) == facts[i].n_links
         assert len(own) == facts[i].n_group_links  # tokens that overlap share a group
         assert len({(r.a_token, r.b_token) for r in own}) == len(own)
+
+
+def test_both_encoders_of_a_byte_level_vocabulary_agree_on_settled_code_points():
+    from tokenizers import Tokenizer
+    path = alignment.vocabulary_files()[0]
+    side, own = alignment.byte_level_side(path), Tokenizer.from_file(path)
+    texts = [f"a{c}1{c} {c}{c} {c}" for c in map(chr, np.flatnonzero(alignment.settled_points()).tolist())
+             if not 0xD800 <= ord(c) < 0xE000]
+    texts += ["it's they'll 'S x'd  ", "  \n\n x", " \u3000\u2003 a", "<|endoftext|>"]
+    own.encode_special_tokens = True
+    want = [e.ids for e in own.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert side.encode(texts) == want
+    assert not alignment.settled("\U0001FAE8") and not alignment.settled("\u0CF3")
