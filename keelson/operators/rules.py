@@ -1,4 +1,4 @@
-"""B7, B8, B38 — rule cascades, rule batteries and two-directional rules.
+"""B7, B8, B38 — rule cascades, rule batteries, two-directional rules and versions of rule sets.
 
 Rules are ``(label, Column)`` pairs; a cascade folds them into one
 ``CASE WHEN`` (first true rule wins), a battery materialises one boolean or
@@ -7,7 +7,8 @@ YES/NO column per rule.  All of it stays inside whole-stage codegen.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,3 +60,36 @@ def two_way(label: str, fires: Column, clears: Column, approved: Column, decline
 def first_label(*labels: Column, default: str = "PASS") -> Column:
     """First non-NULL label of several two-way rules, else ``default``."""
     return F.coalesce(*labels, F.lit(default))
+
+
+@dataclass(frozen=True)
+class RuleSet:
+    """One version of an audit's rules: ``rules()`` gives (rule name, label, condition) in their order;
+    ``inputs`` are the columns they read."""
+    version: str
+    inputs: tuple[str, ...]
+    rules: Callable[[], list[tuple[str, str, Column]]]
+
+    def checked(self, df: DataFrame) -> list[tuple[str, str, Column]]:
+        missing = [c for c in self.inputs if c not in df.columns]
+        if missing:
+            raise ValueError(f"rules of {self.version} read columns that are not there: {', '.join(missing)}")
+        return self.rules()
+
+    def label(self, df: DataFrame) -> Column:
+        """First-match label of the version."""
+        return cascade([(label, cond) for _, label, cond in self.checked(df)])
+
+    def fired(self, df: DataFrame) -> Column:
+        """Names of all rules that fire, sorted, each once."""
+        names = F.array(*[F.when(is_true(cond), F.lit(name)) for name, _, cond in self.checked(df)])
+        return F.array_sort(F.array_distinct(F.array_compact(names)))
+
+
+def version_difference(df: DataFrame, keys: Sequence[str], old: RuleSet, new: RuleSet) -> DataFrame:
+    """Rows whose fired rules differ between two versions: keys, both labels, rules only one of them fires."""
+    both = df.select(*keys, old.label(df).alias("old_check"), new.label(df).alias("new_check"),
+                     old.fired(df).alias("_old"), new.fired(df).alias("_new"))
+    both = both.withColumns({"only_old": F.array_join(F.array_except("_old", "_new"), ","),
+                             "only_new": F.array_join(F.array_except("_new", "_old"), ",")})
+    return both.where((F.col("only_old") != "") | (F.col("only_new") != "")).drop("_old", "_new")

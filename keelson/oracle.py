@@ -225,7 +225,7 @@ def _credit_rules_sql() -> list[tuple[str, str, str, str]]:
              OR (ALL9220 > 24 AND eff_date < {cut})""", "BANKRUPTCY"),
         ("Undischarged_Bankruptcy_Knockout_Failure", f"ALL9120 >= 1 AND ALL9120 > ALL9121 + ALL9122 AND eff_date >= {cut}",
          f"ALL9120 < 1 OR (ALL9120 <= ALL9121 + ALL9122 AND ALL9220 > 60 AND eff_date >= {cut})", "BANKRUPTCY"),
-        ("Foreclosure_Knockout_Failure", "MTF8169 <= 60", "MTF8169 > 60", "FORECLOSURE"),
+        ("Foreclosure_Knockout_Failure", "MTF8169 <= 60", "MTF8169 > 60 AND foreclosure_settled_credit", "FORECLOSURE"),
         ("Alert_Subcode_Knockout_Failure", "facta_hit IS TRUE", "facta_hit IS FALSE", "FACTA_HIT"),
         ("Fraud_Shield_Knockout_Failure", "fraud_hit IS TRUE", "fraud_hit IS FALSE", "FRAUD"),
     ]
@@ -235,20 +235,71 @@ def _credit_case() -> str:
     return _two_way_case(_credit_rules_sql())
 
 
-def _property_case() -> str:
+def _property_rules_sql() -> list[tuple[str, str, str, str]]:
     cut = _d(P.LAND_USE_CUTOFF)
     before, since = _in(P.LAND_USE_BEFORE), _in(P.LAND_USE_FROM)
-    return _two_way_case([
+    new = f"best_balance >= 0 AND eff_date >= {_d(P.LIEN_POSITION_CUTOFF)}"
+    own = "(best_matched IS TRUE OR (best_matched IS FALSE AND best_match_type = 'AMORT'))"
+    counted = "(best_matched IS FALSE AND best_match_type != 'AMORT')"
+    return [
         ("AVM_Knockout_Failure", "coalesce(prequal_avm, 0.0) = 0 AND coalesce(avm, 0.0) = 0",
          "coalesce(prequal_avm, 0.0) != 0 AND coalesce(avm, 0.0) != 0", "NOAVMRETURNED"),
         ("Land_Use_Code_Knockout_Failure",
          f"(land_use NOT IN ({before}) AND eff_date < {cut}) OR (land_use NOT IN ({since}) AND eff_date >= {cut})",
          f"(land_use IN ({before}) AND eff_date < {cut}) OR (land_use IN ({since}) AND eff_date >= {cut})", "LANDUSE"),
         ("Acres_Knockout_Failure", "acres > 20", "acres <= 20", "PROPERTY_ACRES"),
-        ("Lien_Position_Knockout_Failure", f"n_liens > {P.MAX_LIEN_POSITION}", f"n_liens <= {P.MAX_LIEN_POSITION}", "LIEN_POSITION"),
+        ("Lien_Position_Knockout_Failure",
+         f"({own} AND {new} AND next_position > 3) OR ({counted} AND {new} AND n_liens > 2) OR best_balance < 0 OR MTA5020 < 0",
+         f"({own} AND {new} AND next_position <= 3) OR ({counted} AND {new} AND n_liens <= 2)", "LIEN_POSITION"),
         ("Last_Sale_Date_Knockout_Failure", "date_diff('day', last_sale, app_date) <= 90",
          "date_diff('day', last_sale, app_date) > 90", "LAST_SALE_DATE"),
-    ])
+        ("Foreclosure_Knockout_Failure", "foreclosure_open AND foreclosure_reason_flag IS FALSE",
+         "MTF8169 > 60 AND foreclosure_settled", "FORECLOSURE"),
+    ]
+
+
+def _property_case() -> str:
+    return _two_way_case(_property_rules_sql())
+
+
+def _history_ctes() -> list[tuple[str, str]]:
+    """Loans unnested: EXISTS is the maximum of a test, FOR ALL its minimum, unknown where no row decides."""
+    sale = "TRY_CAST(last_sale_date AS DATE)"
+    taken, recorded, paid = (f"TRY_CAST(f.{x} AS DATE)" for x in ("origination_date", "recording_date", "payoff_date"))
+    open_any = (f"(f.status IN ('F', 'U') AND {paid} IS NULL AND f.recording_date IS NOT NULL AND f.origination_date IS NOT NULL "
+                f"AND {taken} >= {sale} AND {recorded} >= {sale})")
+
+    def settled(word):
+        return (f"(f.status NOT IN ('F', 'U') OR (f.status IN ('F', 'U') AND ({paid} IS NOT NULL "
+                f"OR (f.recording_date IS NULL {word} f.origination_date IS NULL) OR {taken} < {sale} OR {recorded} < {sale} "
+                f"OR f.amount IS NULL)))")
+
+    def some(test, name):
+        return f"CASE WHEN max({test}) THEN true WHEN count(*) > count({test}) THEN NULL ELSE false END AS {name}"
+
+    def every(test, name):
+        return f"CASE WHEN NOT min({test}) THEN false WHEN count(*) > count({test}) THEN NULL ELSE true END AS {name}"
+
+    return [
+        ("loans", "SELECT id, last_sale_date, unnest(financial_history.finance_history_attributes) AS f FROM property_history"),
+        ("title", "SELECT id, " + ", ".join([
+            some(f"({open_any} AND f.amount IS NOT NULL)", "foreclosure_open"), some(open_any, "foreclosure_open_any_amount"),
+            some("(f.lien_position > 2)", "recorded_position_high"), every(settled("OR"), "foreclosure_settled"),
+            every(settled("AND"), "foreclosure_settled_credit")]) + ", true AS has_history FROM loans GROUP BY id"),
+        ("items", LIEN_ITEMS), ("top", LIEN_TOP), ("best", LIEN_BEST),
+    ]
+
+
+LIEN_ITEMS = """SELECT id, lien_position, o.kind = 'FIXED' AS matched,
+                   CASE WHEN o.fee > 0.04 THEN 'AMORT' ELSE 'REVOLVING' END AS match_type,
+                   CASE WHEN o.kind IS NULL AND o.index_rate IS NULL THEN o.rate * -100000 ELSE o.rate * 100000 END AS balance
+                 FROM (SELECT id, unnest(offers) AS o, CAST(unnest(range(1, len(offers) + 1)) AS INTEGER) AS lien_position
+                       FROM latest_decision)"""
+LIEN_TOP = """SELECT id, lien_position + 1 AS next_position FROM (
+                 SELECT *, row_number() OVER (PARTITION BY id ORDER BY lien_position DESC) AS r FROM items) WHERE r = 1"""
+LIEN_BEST = """SELECT id, matched AS best_matched, match_type AS best_match_type, balance AS best_balance FROM (
+                 SELECT *, row_number() OVER (PARTITION BY id ORDER BY matched DESC NULLS LAST, balance DESC NULLS LAST, lien_position ASC) AS r
+                 FROM items) WHERE r = 1"""
 
 
 def _lien_case(fails: str) -> str:
@@ -282,17 +333,25 @@ def heloc_ctes() -> str:
     strict = _in(P.STRICT_STATES)
     a12 = _f(P.ASSET_RATE / 12)
     base = _f(1 + P.ASSET_RATE / 12)
-    extra = [LATEST_DECISION, BUREAU_NORM, LD, ALERTS] + _lien_ctes() + [
+    extra = [LATEST_DECISION, BUREAU_NORM, LD, ALERTS] + _lien_ctes() + _history_ctes() + [
+        ("foreclosure_ids", "SELECT id FROM (SELECT id, unnest(decline_reasons) AS r FROM decisions) WHERE r.code = 'FORECLOSURE'"),
         ("reason_ids", "SELECT id FROM (SELECT id, unnest(decline_reasons) AS r FROM decisions) WHERE r.code = 'INV_TAXLIEN'"),
         ("inputs", f"""SELECT a.*, b.* EXCLUDE (person), p.* EXCLUDE (id), ld.* EXCLUDE (id), al.* EXCLUDE (id), ls.* EXCLUDE (id),
                a.id IN (SELECT id FROM reason_ids) AS lien_reason_flag,
+               a.id IN (SELECT id FROM foreclosure_ids) AS foreclosure_reason_flag, lt.* EXCLUDE (id), lb.* EXCLUDE (id),
+               CASE WHEN has_history THEN th.foreclosure_open ELSE false END AS foreclosure_open,
+               CASE WHEN has_history THEN th.foreclosure_open_any_amount ELSE false END AS foreclosure_open_any_amount,
+               CASE WHEN has_history THEN th.recorded_position_high ELSE false END AS recorded_position_high,
+               CASE WHEN has_history THEN th.foreclosure_settled ELSE true END AS foreclosure_settled,
+               CASE WHEN has_history THEN th.foreclosure_settled_credit ELSE true END AS foreclosure_settled_credit,
                coalesce(a.hard_score, a.soft_score) AS fico,
                CASE WHEN a.flag = 'Y' AND a.respond_by >= a.app_date THEN a.mail_date ELSE a.app_date END AS eff_date,
                CASE WHEN a.state IN ({strict}) THEN 'strict' ELSE 'standard' END AS state_group,
                (a.decision != 'DECLINE' AND a.status NOT IN ('DECLINED', 'CANCELLED')) AS is_approved,
                (a.decision = 'DECLINE' AND a.status IN ('DECLINED', 'CANCELLED')) AS is_declined
              FROM app a LEFT JOIN bureau b ON a.person = b.person LEFT JOIN prop p ON a.id = p.id
-             LEFT JOIN ld ON a.id = ld.id LEFT JOIN alert_summary al ON a.id = al.id LEFT JOIN lien_summary ls ON a.id = ls.id"""),
+             LEFT JOIN ld ON a.id = ld.id LEFT JOIN alert_summary al ON a.id = al.id LEFT JOIN lien_summary ls ON a.id = ls.id
+             LEFT JOIN title th ON a.id = th.id LEFT JOIN top lt ON a.id = lt.id LEFT JOIN best lb ON a.id = lb.id"""),
         ("chk1", f"""SELECT *, {_credit_case()} AS credit_check, {_property_case()} AS property_check,
                {_lien_case('lien_fails_all')} AS lien_check, {_lien_case('lien_fails_any')} AS lien_check_any, {debt_parts_sql('fico', 620, 740)} FROM inputs"""),
         ("chk2", f"""SELECT *,
@@ -351,7 +410,7 @@ def heloc_ctes() -> str:
                     ELSE 'correct' END AS verdict
              FROM checks"""),
     ]
-    return W("app", "prop", "bureau_raw", "decisions", "liens", "alerts", extra=extra)
+    return W("app", "prop", "bureau_raw", "decisions", "liens", "alerts", "property_history", extra=extra)
 
 
 AUDIT_COLS = ("id, app_date, status, decision, fico, credit_check, property_check, lien_check, cltv_check, "
@@ -367,6 +426,41 @@ sql("q_policy_lookup", _H + f"""SELECT id, fico, regime, cltv_limit, dti_limit,
     {_max_loan()} AS max_loan FROM chk5""")
 sql("q_cascade_credit", _H + "SELECT id, fico, credit_check FROM chk1")
 sql("q_property_rules", _H + "SELECT id, land_use, acres, property_check FROM chk1")
+sql("q_title_history", _H + """SELECT id, foreclosure_open, foreclosure_open_any_amount, recorded_position_high, foreclosure_settled,
+    foreclosure_settled_credit, lien_reason_flag, foreclosure_reason_flag FROM inputs""")
+
+
+def _rule_versions() -> str:
+    cut, day = _d(P.LAND_USE_CUTOFF), _d(P.AUDIT_DATE)
+    before, since = _in(P.LAND_USE_BEFORE), _in(P.LAND_USE_FROM)
+
+    def early(old):
+        return [("AVM", "prequal_avm IS NULL AND avm IS NULL"),
+                ("Land_Use_Code", f"({old} AND land_use NOT IN ({before})) OR (NOT ({old}) AND land_use NOT IN ({since}))"),
+                ("Acres", "acres > 20"),
+                ("Lien_Position", f"recorded_position_high AND app_date >= {_d(P.RECORDED_POSITION_CUTOFF)}"),
+                ("Last_Sale_Date", f"date_diff('day', last_sale, {day}) <= 90"), ("Foreclosure", "foreclosure_open_any_amount")]
+    live, gone = "decision != 'DECLINE' AND status NOT IN ('DECLINED', 'CANCELLED')", "decision = 'DECLINE' AND status IN ('DECLINED', 'CANCELLED')"
+    march = " ".join(f"WHEN {t} THEN '{n}_Knockout'" for n, t in early(f"app_date < {cut}") if n != "Lien_Position")
+    may = [(n, f"({t}) AND {live}") for n, t in early(f"app_date <= {cut}")]
+    june = [(label.removesuffix("_Knockout_Failure"), f"({fires}) AND {live}", f"({clear}) AND {gone} AND list_contains(decline_codes, '{code}')")
+            for label, fires, clear, code in _property_rules_sql()]
+
+    def names(tests):
+        return "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in tests) + "], lambda x: x IS NOT NULL)"
+    new = names([x for n, missed, wrong in june for x in ((n, missed), (f"{n} clear", wrong))])
+
+    def less(x, y):
+        return f"array_to_string(list_sort(list_filter({x}, lambda v: NOT list_contains({y}, v))), ',')"
+    return f"""SELECT id, march_check, old_check, new_check, only_old, only_new FROM (
+        SELECT id, march_check, old_check, new_check, {less('o', 'n')} AS only_old, {less('n', 'o')} AS only_new FROM (
+            SELECT id, CASE {march} ELSE 'PASS' END AS march_check,
+                   CASE {' '.join(f"WHEN {t} THEN '{n}_Knockout_Failure'" for n, t in may)} ELSE 'PASS' END AS old_check,
+                   {_property_case()} AS new_check, {names(may)} AS o, {new} AS n FROM inputs))
+        WHERE only_old != '' OR only_new != ''"""
+
+
+sql("q_rule_versions", _H + _rule_versions())
 sql("q_lien_exceptions", _H + "SELECT * FROM lien_summary")
 sql("q_lien_decline", _H + "SELECT id, lien_exists, lien_fails_any, lien_fails_all, lien_no_record, lien_reason_flag, lien_check_any, lien_check FROM chk1")
 sql("q_debt_parts", _H + f"SELECT id, {rhu(_z(), 4)} AS z, t_revolving_debt, t_installment_debt, t_mortgage_debt FROM chk1")
@@ -600,15 +694,7 @@ WHERE o_kind = 'FIXED'""")
 # liens (plans.liens)
 # =============================================================================
 sql("q_lien_position", W("decisions", extra=[LATEST_DECISION,
-    ("items", """SELECT id, lien_position, o.kind = 'FIXED' AS matched,
-                   CASE WHEN o.fee > 0.04 THEN 'AMORT' ELSE 'REVOLVING' END AS match_type, o.rate * 100000 AS balance
-                 FROM (SELECT id, unnest(offers) AS o, CAST(unnest(range(1, len(offers) + 1)) AS INTEGER) AS lien_position
-                       FROM latest_decision)"""),
-    ("top", """SELECT id, lien_position + 1 AS next_position FROM (
-                 SELECT *, row_number() OVER (PARTITION BY id ORDER BY lien_position DESC) AS r FROM items) WHERE r = 1"""),
-    ("best", """SELECT id, matched AS best_matched, match_type AS best_match_type, balance AS best_balance FROM (
-                 SELECT *, row_number() OVER (PARTITION BY id ORDER BY matched DESC, balance DESC, lien_position ASC) AS r
-                 FROM items) WHERE r = 1""")]) +
+    ("items", LIEN_ITEMS), ("top", LIEN_TOP), ("best", LIEN_BEST)]) +
     "SELECT t.id, next_position, best_matched, best_match_type, best_balance FROM top t JOIN best b ON t.id = b.id")
 
 _MS = ("ms", """SELECT m.*, s.app_date, coalesce(TRY_CAST(nullif(avm_sale_date, '') AS DATE),

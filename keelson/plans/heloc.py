@@ -29,10 +29,9 @@ from ..functions.dates import day_diff, month_diff
 from ..functions.numeric import is_true, round_half_up, safe_div
 from ..operators.audit import approved, declined, verdict
 from ..operators.latest import latest
-from ..operators.membership import member_flag
-from ..operators.nested import flatten
 from ..operators.policy import band_join, effective_date, regime
-from ..operators.rules import cascade, first_label, two_way
+from ..operators.quantifiers import all_of, any_of, quantify
+from ..operators.rules import RuleSet, cascade, first_label, two_way
 from ..sources import derived as D
 from ..sources import policies as P
 from ..sources.bureau_codes import BUREAU_CODES
@@ -116,8 +115,53 @@ def lien_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def heloc_inputs(spark: SparkSession, sf: str, with_liens_and_reasons: bool = True) -> DataFrame:
-    """One row per application with every input of the checks (left joins, 1:1 / many:1)."""
+def loan_open(loan: Column, sale: Column, amount: bool = True) -> Column:
+    """A foreclosed or unknown loan that is unpaid, dated, taken and recorded since the last sale (and has an amount)."""
+    taken, recorded = (loan[x].try_cast("date") for x in ("origination_date", "recording_date"))
+    out = (loan["status"].isin(*P.FORECLOSURE_STATUSES) & loan["payoff_date"].try_cast("date").isNull()
+           & loan["recording_date"].isNotNull() & loan["origination_date"].isNotNull() & (taken >= sale) & (recorded >= sale))
+    return out & loan["amount"].isNotNull() if amount else out
+
+
+def loan_settled(loan: Column, sale: Column, both_missing: bool) -> Column:
+    """No foreclosure, or one that is paid, undated, from before the last sale or without amount. Undated: one
+    date is missing, or (``both_missing``, the credit rule) both are."""
+    taken, recorded = (loan[x].try_cast("date") for x in ("origination_date", "recording_date"))
+    none = [loan[x].isNull() for x in ("recording_date", "origination_date")]
+    listed = loan["status"].isin(*P.FORECLOSURE_STATUSES)
+    return ~listed | (listed & (loan["payoff_date"].try_cast("date").isNotNull()
+                                | (none[0] & none[1] if both_missing else none[0] | none[1])
+                                | (taken < sale) | (recorded < sale) | loan["amount"].isNull()))
+
+
+def title_history(spark: SparkSession, sf: str) -> DataFrame:
+    """B14 — per application, over all loans of all its properties: an open foreclosure exists (also as an earlier
+    version counts it), every loan is settled (for the property and the credit rule), a recorded position above the
+    earlier limit exists. Three-valued, one aggregate, loans are not unnested."""
+    h = D.property_history(spark, sf)
+    loans, sale = c("financial_history.finance_history_attributes"), c("last_sale_date").try_cast("date")
+    return quantify(h, ["id"], any_rows={
+        "foreclosure_open": any_of(loans, lambda f: loan_open(f, sale)),
+        "foreclosure_open_any_amount": any_of(loans, lambda f: loan_open(f, sale, amount=False)),
+        "recorded_position_high": any_of(loans, lambda f: f["lien_position"] > P.MAX_RECORDED_POSITION),
+    }, all_rows={
+        "foreclosure_settled": all_of(loans, lambda f: loan_settled(f, sale, both_missing=False)),
+        "foreclosure_settled_credit": all_of(loans, lambda f: loan_settled(f, sale, both_missing=True)),
+    }).withColumn("has_history", F.lit(True))
+
+
+def reason_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """B39 — per application with decisions: is any of their decline reasons the code. One aggregate, reasons are
+    not unnested; as no decision lacks its application, SQL's IN over the reasons is TRUE or FALSE."""
+    codes = c("decline_reasons.code")
+    return D.decisions(spark, sf).groupBy("id").agg(
+        F.bool_or(F.array_contains(codes, "INV_TAXLIEN")).alias("lien_reason_flag"),
+        F.bool_or(F.array_contains(codes, "FORECLOSURE")).alias("foreclosure_reason_flag"))
+
+
+def heloc_inputs(spark: SparkSession, sf: str, with_lien_items: bool = True, with_history: bool = True) -> DataFrame:
+    """One row per application with every input of the checks (left joins, 1:1 / many:1): the debt, CLTV and DTI checks
+    need neither lien items nor title history."""
     a = D.app(spark, sf)
     ld = latest_decision(spark, sf).select(
         "id",
@@ -126,16 +170,23 @@ def heloc_inputs(spark: SparkSession, sf: str, with_liens_and_reasons: bool = Tr
         c("uw_packet.revolving_debt.amount").alias("rec_revolving"),
         c("decline_reasons.code").alias("decline_codes"),
     )
-    reasons = flatten(D.decisions(spark, sf).select("id", "decline_reasons"), "decline_reasons", "r",
-                      outer=False, prefix="r_")
     df = (a.join(bureau(spark, sf), "person", "left")
             .join(D.prop(spark, sf), "id", "left")
             .join(ld, "id", "left")
             .join(alert_summary(spark, sf), "id", "left"))
-    if with_liens_and_reasons:
+    if with_lien_items:
         df = df.join(lien_summary(spark, sf), "id", "left")
-        # B39: "declined for an involuntary lien" as SQL three-valued IN (subquery).
-        df = member_flag(df, "id", reasons.where(c("r_code") == "INV_TAXLIEN"), "id", "lien_reason_flag")
+    if with_history:
+        from .liens import lien_position
+        df = (df.join(title_history(spark, sf), "id", "left").join(reason_flags(spark, sf), "id", "left")
+                .join(lien_position(spark, sf), "id", "left"))
+        known = c("has_history").isNotNull()  # without any property nothing is open and everything settled
+        df = df.withColumns({
+            **{x: F.coalesce(x, F.lit(False)) for x in ("lien_reason_flag", "foreclosure_reason_flag")},
+            **{x: F.when(known, c(x)).otherwise(F.lit(False)) for x in ("foreclosure_open", "foreclosure_open_any_amount",
+                                                                       "recorded_position_high")},
+            **{x: F.when(known, c(x)).otherwise(F.lit(True)) for x in ("foreclosure_settled", "foreclosure_settled_credit")},
+        }).drop("has_history")
     return df.withColumns({
         "fico": FN.resolve_score(c("hard_score"), c("soft_score")),
         "eff_date": effective_date(c("app_date"), c("mail_date"), c("respond_by"), c("flag")),
@@ -192,8 +243,8 @@ def credit_rules() -> list[tuple[str, Column, Column]]:
                  (new & (months > new_limit) & settled_or_none) | (~new & (months > old_limit)), "BANKRUPTCY"),
         two_ways("Undischarged_Bankruptcy_Knockout_Failure", new & (filed >= 1) & (filed > settled),
                  (filed < 1) | ((filed <= settled) & (months > new_limit) & new), "BANKRUPTCY"),
-        two_ways("Foreclosure_Knockout_Failure", c("MTF8169") <= P.FORECLOSURE_MONTHS, c("MTF8169") > P.FORECLOSURE_MONTHS,
-                 "FORECLOSURE"),
+        two_ways("Foreclosure_Knockout_Failure", c("MTF8169") <= P.FORECLOSURE_MONTHS,
+                 (c("MTF8169") > P.FORECLOSURE_MONTHS) & c("foreclosure_settled_credit"), "FORECLOSURE"),
         two_ways("Alert_Subcode_Knockout_Failure", is_true(c("facta_hit")), c("facta_hit") == F.lit(False), "FACTA_HIT"),
         two_ways("Fraud_Shield_Knockout_Failure", is_true(c("fraud_hit")), c("fraud_hit") == F.lit(False), "FRAUD"),
     ]
@@ -234,12 +285,62 @@ def property_rules() -> list[tuple[str, Column, Column]]:
         two_ways("AVM_Knockout_Failure", (prequal == 0) & (avm == 0), (prequal != 0) & (avm != 0), "NOAVMRETURNED"),
         two_ways("Land_Use_Code_Knockout_Failure", ~eligible, eligible, "LANDUSE"),
         two_ways("Acres_Knockout_Failure", c("acres") > P.MAX_ACRES, c("acres") <= P.MAX_ACRES, "PROPERTY_ACRES"),
-        two_ways("Lien_Position_Knockout_Failure", c("n_liens") > P.MAX_LIEN_POSITION, c("n_liens") <= P.MAX_LIEN_POSITION,
-                 "LIEN_POSITION"),
+        two_ways("Lien_Position_Knockout_Failure", *lien_position_rule(), "LIEN_POSITION"),
         two_ways("Last_Sale_Date_Knockout_Failure", days <= P.RECENT_SALE_DAYS, days > P.RECENT_SALE_DAYS, "LAST_SALE_DATE"),
+        two_ways("Foreclosure_Knockout_Failure", c("foreclosure_open") & (c("foreclosure_reason_flag") == F.lit(False)),
+                 (c("MTF8169") > P.FORECLOSURE_MONTHS) & c("foreclosure_settled"), "FORECLOSURE"),
     ]
 
 
+def lien_position_rule() -> tuple[Column, Column]:
+    """(fires, is clear). From the cut-off on, the next lien position counts where the best lien was matched to a
+    tradeline or amortises, the number of mortgages where it was not; a negative balance fires at any date."""
+    new, sound = c("eff_date") >= F.lit(P.LIEN_POSITION_CUTOFF), c("best_balance") >= 0
+    unmatched = c("best_matched").eqNullSafe(F.lit(False))
+    own = is_true(c("best_matched")) | (unmatched & (c("best_match_type") == "AMORT"))
+    counted = unmatched & (c("best_match_type") != "AMORT")
+    position, count = c("next_position"), c("n_liens")
+    fires = new & sound & ((own & (position > P.MAX_LIEN_POSITION)) | (counted & (count > P.MAX_MORTGAGE_COUNT)))
+    clear = new & sound & ((own & (position <= P.MAX_LIEN_POSITION)) | (counted & (count <= P.MAX_MORTGAGE_COUNT)))
+    return fires | (c("best_balance") < 0) | (c("MTA5020") < 0), clear
+
+
+def early_rules(version: str) -> list[tuple[str, str, Column]]:
+    """Property rules as two earlier versions of the audit had them: one direction, sales measured from the day of
+    the audit. The first reports every application, the second those that went through, with a lien rule."""
+    later = version == "may"
+    on_day = c("app_date") <= F.lit(P.LAND_USE_CUTOFF) if later else c("app_date") < F.lit(P.LAND_USE_CUTOFF)
+    rules = [
+        ("AVM", c("prequal_avm").isNull() & c("avm").isNull()),
+        ("Land_Use_Code", F.when(on_day, ~c("land_use").isin(*P.LAND_USE_BEFORE)).otherwise(~c("land_use").isin(*P.LAND_USE_FROM))),
+        ("Acres", c("acres") > P.MAX_ACRES),
+        ("Lien_Position", c("recorded_position_high") & (c("app_date") >= F.lit(P.RECORDED_POSITION_CUTOFF))),
+        ("Last_Sale_Date", day_diff(F.lit(P.AUDIT_DATE), c("last_sale")) <= P.RECENT_SALE_DAYS),
+        ("Foreclosure", c("foreclosure_open_any_amount")),
+    ]
+    if later:
+        return [(name, f"{name}_Knockout_Failure", cond & c("is_approved")) for name, cond in rules]
+    return [(name, f"{name}_Knockout", cond) for name, cond in rules if name != "Lien_Position"]
+
+
+def late_rules() -> list[tuple[str, str, Column]]:
+    """The two-way rules under their names; only missed declines bear the rule's plain name."""
+    return [x for label, missed, wrong in property_rules() for name in [label.removesuffix("_Knockout_Failure")]
+            for x in ((name, f"{label}1", missed), (f"{name} clear", f"{label}2", wrong))]
+
+
+EARLY_INPUTS = ("prequal_avm", "avm", "land_use", "acres", "last_sale", "app_date", "foreclosure_open_any_amount")
+#: Versions of the property rules, by the month in which they ran.
+PROPERTY_RULES = {
+    "march": RuleSet("march", EARLY_INPUTS, lambda: early_rules("march")),
+    "may": RuleSet("may", (*EARLY_INPUTS, "recorded_position_high", "is_approved"), lambda: early_rules("may")),
+    "june": RuleSet("june", ("prequal_avm", "avm", "land_use", "acres", "last_sale", "app_date", "eff_date", "next_position",
+                             "best_matched", "best_match_type", "best_balance", "n_liens", "MTA5020", "MTF8169",
+                             "foreclosure_open", "foreclosure_settled", "foreclosure_reason_flag", "is_approved",
+                             "is_declined", "decline_codes"), late_rules),
+}
+
+
 def with_property(df: DataFrame) -> DataFrame:
     return df.withColumn("property_check", two_way_cascade(property_rules()))
 
@@ -307,7 +408,7 @@ def regime_col(eff: Column) -> Column:
 
 def ratio_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Debt, collateral, CLTV and DTI stages only (no lien summary / reason flags needed)."""
-    return with_ratios(spark, heloc_inputs(spark, sf, with_liens_and_reasons=False))
+    return with_ratios(spark, heloc_inputs(spark, sf, with_lien_items=False, with_history=False))
 
 
 def heloc_checks(spark: SparkSession, sf: str) -> DataFrame:

@@ -30,19 +30,18 @@ TRADELINE_WINDOW_DAYS = 30
 
 
 def lien_position(spark: SparkSession, sf: str) -> DataFrame:
-    """B16 — largest lien position + 1, and the best lien (matched first, then balance)."""
+    """B16 — largest lien position + 1, and the best lien (matched first, then balance, then position), both as
+    maxima of one aggregate: NULL is the least value there, as it is last in a descending order."""
     from .heloc import latest_decision
     ld = latest_decision(spark, sf).select("id", "offers")
     items = flatten(ld, "offers", "o", outer=False, prefix="o_", position="pos").select(
         "id", (c("pos") + 1).alias("lien_position"), (c("o_kind") == "FIXED").alias("matched"),
         F.when(c("o_fee") > 0.04, "AMORT").otherwise("REVOLVING").alias("match_type"),
-        (c("o_rate") * 100000).alias("balance"))
-    top = latest(items, ["id"], [c("lien_position").desc()]).select(
-        "id", (c("lien_position") + 1).alias("next_position"))
-    best = latest(items, ["id"], [c("matched").desc(), c("balance").desc(), c("lien_position").asc()]).select(
-        "id", c("matched").alias("best_matched"), c("match_type").alias("best_match_type"),
-        c("balance").alias("best_balance"))
-    return top.join(best, "id")
+        (c("o_rate") * F.when(c("o_kind").isNull() & c("o_index_rate").isNull(), -100000).otherwise(100000)).alias("balance"))
+    best = F.max(F.struct("matched", "balance", (-c("lien_position")).alias("order"), "match_type"))
+    top = items.groupBy("id").agg((F.max("lien_position") + 1).alias("next_position"), best.alias("best"))
+    return top.select("id", "next_position", c("best.matched").alias("best_matched"),
+                      c("best.match_type").alias("best_match_type"), c("best.balance").alias("best_balance"))
 
 
 def _with_sale_date(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,7 +17,7 @@ from .operators.membership import cohort, member_flag, not_in
 from .operators.nested import flatten
 from .operators.policy import effective_date, repair_date
 from .operators.reconcile import mismatches
-from .operators.rules import battery
+from .operators.rules import battery, version_difference
 from .plans import heloc as H
 from .plans import liens as LZ
 from .plans import pricing as PR
@@ -353,17 +353,33 @@ def q_policy_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def q_cascade_credit(spark: SparkSession, sf: str) -> DataFrame:
     """First-match credit knockout cascade over every application."""
-    df = H.with_credit(H.heloc_inputs(spark, sf, with_liens_and_reasons=False))
+    df = H.with_credit(H.heloc_inputs(spark, sf, with_lien_items=False))
     return df.select("id", "fico", "credit_check")
 
 
 @register
 def q_property_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Two-directional property eligibility rules."""
-    df = H.with_property(H.heloc_inputs(spark, sf, with_liens_and_reasons=False))
+    df = H.with_property(H.heloc_inputs(spark, sf, with_lien_items=False))
     return df.select("id", "land_use", "acres", "property_check")
 
 
+@register
+def q_title_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Three-valued EXISTS / FOR ALL over nested loans, and the reason flags."""
+    return H.heloc_inputs(spark, sf, with_lien_items=False).select(
+        "id", "foreclosure_open", "foreclosure_open_any_amount", "recorded_position_high", "foreclosure_settled",
+        "foreclosure_settled_credit", "lien_reason_flag", "foreclosure_reason_flag")
+
+
+@register
+def q_rule_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """B14 by version: applications whose fired property rules change from the version of May to that of June."""
+    df = H.heloc_inputs(spark, sf, with_lien_items=False)
+    return version_difference(df.withColumn("march_check", H.PROPERTY_RULES["march"].label(df)), ["id", "march_check"],
+                              H.PROPERTY_RULES["may"], H.PROPERTY_RULES["june"])
+
+
 @register
 def q_lien_exceptions(spark: SparkSession, sf: str) -> DataFrame:
     """Involuntary-lien exceptions summarised per application, both versions of the item rule."""
@@ -766,7 +782,7 @@ def q_epoch_order(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def q_credit_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Credit knockout audit — applications failing a credit knockout."""
-    df = H.with_credit(H.heloc_inputs(spark, sf, with_liens_and_reasons=False))
+    df = H.with_credit(H.heloc_inputs(spark, sf, with_lien_items=False))
     return df.where(F.col("credit_check") != "PASS").select("id", "app_date", "status", "decision", "fico",
                                                           "credit_check")
 
@@ -774,7 +790,7 @@ def q_credit_audit(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def q_knockout_flags(spark: SparkSession, sf: str) -> DataFrame:
     """B8 (YES/NO style): one flag per knockout rule plus an overall result."""
-    df = H.heloc_inputs(spark, sf, with_liens_and_reasons=False)
+    df = H.heloc_inputs(spark, sf, with_lien_items=False)
     rules = [(label.replace("_Knockout_Failure", "").lower(), missed) for label, missed, _ in H.credit_rules()]
     out = battery(df, rules, style="yesno")
     names = [n for n, _ in rules]

@@ -482,6 +482,30 @@ def mortgage_history(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@frame
+def property_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Property records (application x property): last sale date as text, and the finance history nested under a
+    struct, none to two loans built from the row's own values (NULL for some properties)."""
+    li = table(spark, sf_dir, "lineitem")
+    ship = F.to_date("l_shipdate")
+    pk, sk = F.col("l_partkey"), F.col("l_suppkey")
+
+    def loan(k):
+        taken = F.date_sub(ship, ((pk + 7 * k) % 80).cast("int"))
+        return F.struct(
+            F.when((pk + k) % 31 == 0, F.lit(None)).when((sk + k) % 6 == 0, "F").when((sk + k) % 6 == 1, "U").otherwise("O").alias("status"),
+            F.when((pk + k) % 3 != 0, ship.cast("string")).alias("payoff_date"),
+            F.when((pk + k) % 17 != 0, taken.cast("string")).alias("origination_date"),
+            F.when((sk + k) % 11 != 0, F.date_add(taken, 5).cast("string")).alias("recording_date"),
+            F.when(F.col("l_quantity") <= 45, F.col("l_extendedprice")).alias("amount"),
+            ((sk + k) % 4).cast("int").alias("lien_position"))
+
+    loans = F.slice(F.array(loan(1), loan(2)), 1, (F.col("l_linenumber") % 3).cast("int"))
+    sale = F.when(pk % 29 == 0, "unknown").when(pk % 23 != 0, F.date_sub(ship, (sk % 60).cast("int")).cast("string"))
+    return li.select(F.col("l_orderkey").alias("id"), pk.alias("property_id"), sale.alias("last_sale_date"),
+                     F.struct(F.when(pk % 37 != 0, loans).alias("finance_history_attributes")).alias("financial_history"))
+
+
 @frame
 def property_sale_dates(spark: SparkSession, sf: str) -> DataFrame:
     """Three sale-date sources per application, as strings ('' or NULL when missing)."""

@@ -58,6 +58,17 @@ def _agent(k: str) -> str:
     return f"('S' || CAST((conv_id + {k}) % {N_AGENTS} AS VARCHAR))"
 
 
+def _loan(k: int) -> str:
+    taken = f"(CAST(l_shipdate AS DATE) - CAST((l_partkey + {7 * k}) % 80 AS INTEGER))"
+    return (f"{{'status': CASE WHEN (l_partkey + {k}) % 31 = 0 THEN NULL WHEN (l_suppkey + {k}) % 6 = 0 THEN 'F' "
+            f"WHEN (l_suppkey + {k}) % 6 = 1 THEN 'U' ELSE 'O' END, "
+            f"'payoff_date': CASE WHEN (l_partkey + {k}) % 3 != 0 THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END, "
+            f"'origination_date': CASE WHEN (l_partkey + {k}) % 17 != 0 THEN CAST({taken} AS VARCHAR) END, "
+            f"'recording_date': CASE WHEN (l_suppkey + {k}) % 11 != 0 THEN CAST({taken} + 5 AS VARCHAR) END, "
+            f"'amount': CASE WHEN l_quantity <= 45 THEN l_extendedprice END, "
+            f"'lien_position': CAST((l_suppkey + {k}) % 4 AS INTEGER)}}")
+
+
 _BUREAU_COLS = lambda soft: ", ".join(
     f"{bureau_attr_sql(c, i, soft).replace(' AS STRING)', ' AS VARCHAR)')} AS {c}"
     for i, c in enumerate(BUREAU_CODES))
@@ -223,6 +234,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                    for k, off, pos in (("FINANCE", 15, 1), ("DEED", 3, 2), ("FINANCE", 7, 3))) + """],
                            lambda t: t.type_description = 'DEED' OR l_partkey % 4 != 0) AS transactions
         FROM lineitem"""),
+    "property_history": ((), f"""
+        SELECT l_orderkey AS id, l_partkey AS property_id,
+               CASE WHEN l_partkey % 29 = 0 THEN 'unknown'
+                    WHEN l_partkey % 23 != 0 THEN CAST(CAST(l_shipdate AS DATE) - CAST(l_suppkey % 60 AS INTEGER) AS VARCHAR) END AS last_sale_date,
+               {{'finance_history_attributes': CASE WHEN l_partkey % 37 != 0 THEN
+                   CASE l_linenumber % 3 WHEN 0 THEN list_filter([{_loan(1)}], lambda f: false) WHEN 1 THEN [{_loan(1)}]
+                        ELSE [{_loan(1)}, {_loan(2)}] END END}} AS financial_history
+        FROM lineitem"""),
     "property_sale_dates": (("app", "prop"), """
         SELECT a.id, a.app_date,
                CASE WHEN a.id % 5 = 0 THEN '' ELSE CAST(p.last_sale AS VARCHAR) END AS avm_sale_date,

@@ -22,6 +22,10 @@ LAND_USE_CUTOFF = dt.date(1998, 3, 21)
 BANKRUPTCY_CUTOFF = dt.date(1997, 4, 2)
 REFI_HOUSING_CUTOFF = dt.date(1997, 1, 17)
 REFI_BUREAU_CUTOFF = dt.date(1997, 1, 24)
+LIEN_POSITION_CUTOFF = dt.date(1996, 3, 1)
+RECORDED_POSITION_CUTOFF = REGIME_DATES["r2"]
+# The day on which the earlier versions of the rules ran (they measure sales from it).
+AUDIT_DATE = dt.date(1999, 6, 1)
 MIN_DATE, MAX_DATE = dt.date(1900, 1, 1), dt.date(9999, 12, 31)
 # A day on which application dates were overwritten in bulk (test binding); repaired
 # from the decision event date.
@@ -76,6 +80,9 @@ MAX_ACRES = 20.0
 RECENT_SALE_DAYS = 90
 MAX_LIEN_POSITION = 3
 MAX_MORTGAGE_COUNT = 2
+# FIXED VALUES: an earlier version of the rules took a recorded position above this one, from its own date
+MAX_RECORDED_POSITION = 2
+FORECLOSURE_STATUSES = ("F", "U")
 
 # FIXED VALUES: a lien older than this many months is excepted (categories, states or any, months)
 LIEN_AGE_LIMITS = [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson import queries as Q
 from keelson.functions import finance as FN
+from keelson.operators.rules import version_difference
 from keelson.plans import heloc as H
 from keelson.plans import pricing as PR
 from keelson.sources import policies as P
@@ -19,7 +20,8 @@ LABELS = {
         "Loan_Size", "FICO", "Delinquent_30mdy_6mo", "Non_Medical_Collections", "Worst_Trade_Status_12mo", "Inquiries_Num_6mo",
         "Bankruptcy", "Undischarged_Bankruptcy", "Foreclosure", "Alert_Subcode", "Fraud_Shield")]},
     "q_property_rules": {"property_check": [f"{label}_Knockout_Failure{side}" for side in "12" for label in (
-        "AVM", "Land_Use_Code", "Acres", "Lien_Position", "Last_Sale_Date")]},
+        "AVM", "Land_Use_Code", "Acres", "Lien_Position", "Last_Sale_Date", "Foreclosure")]},
+    "q_title_history": {x: [True, False, None] for x in ("foreclosure_open", "foreclosure_settled")},
     "q_two_way": {"cltv_check": ["CLTV_Decline_Failure1", "CLTV_Decline_Failure2", "PASS"],
                   "dti_check": ["DTI_Decline_Failure1", "DTI_Decline_Failure2", "PASS"]},
     "q_verdict": {"verdict": ["correct", "should have been declined", "should not have been declined"]},
@@ -46,11 +48,12 @@ def test_conditional_counts_are_not_vacuous(spark):
 BASE = {"fico": 700.0, "amount": 60000.0, "eff_date": dt.date(2000, 1, 1), "state_group": "standard", "MTA2126": 0.0, "COL3211": 0.0,
         "ALM6270": 0.0, "IQT9425": 0.0, "IQM9415": 0.0, "IQA9415": 0.0, "IQF9415": 0.0, "ALL9220": 999999998.0, "ALL9120": 0.0,
         "ALL9121": 0.0, "ALL9122": 0.0, "MTF8169": 999999998.0, "facta_hit": None, "fraud_hit": None, "is_approved": True,
-        "is_declined": False, "decline_codes": None, "rec_installment": 10.0, "rec_revolving": 10.0, "income": 1000.0}
+        "is_declined": False, "decline_codes": None, "rec_installment": 10.0, "rec_revolving": 10.0, "income": 1000.0,
+        "foreclosure_settled_credit": True}
 SCHEMA = ("fico double, amount double, eff_date date, state_group string, MTA2126 double, COL3211 double, ALM6270 double, "
           "IQT9425 double, IQM9415 double, IQA9415 double, IQF9415 double, ALL9220 double, ALL9120 double, ALL9121 double, "
           "ALL9122 double, MTF8169 double, facta_hit boolean, fraud_hit boolean, is_approved boolean, is_declined boolean, "
-          "decline_codes array<string>, rec_installment double, rec_revolving double, income double")
+          "decline_codes array<string>, rec_installment double, rec_revolving double, income double, foreclosure_settled_credit boolean")
 GONE = {"is_approved": False, "is_declined": True}
 CASES = [
     ({}, "PASS"),  # a "not available" sentinel is long ago, not just now
@@ -65,6 +68,8 @@ CASES = [
     ({"ALL9220": 60.0, "eff_date": dt.date(1996, 1, 1)}, "PASS"),
     ({"ALL9120": 2.0, "ALL9121": 1.0}, "Undischarged_Bankruptcy_Knockout_Failure1"),
     ({**GONE, "decline_codes": ["FORECLOSURE"]}, "Foreclosure_Knockout_Failure2"),
+    ({**GONE, "decline_codes": ["FORECLOSURE"], "foreclosure_settled_credit": False}, "PASS"),  # an open one on the title
+    ({**GONE, "decline_codes": ["FORECLOSURE"], "foreclosure_settled_credit": None}, "PASS"),
     ({"facta_hit": True}, "Alert_Subcode_Knockout_Failure1"),
     ({**GONE, "decline_codes": ["FRAUD"], "fraud_hit": False}, "Fraud_Shield_Knockout_Failure2"),
     ({**GONE, "decline_codes": ["FRAUD"]}, "PASS"),                                # no alert of the type
@@ -78,6 +83,62 @@ def test_credit_rules_on_literal_rows(spark):
     assert [r.credit_check for r in df.collect()] == [label for _, label in CASES]
 
 
+PROPERTY = {"prequal_avm": 1.0, "avm": 1.0, "land_use": 102, "acres": 1.0, "app_date": dt.date(2000, 1, 1), "last_sale": dt.date(1999, 1, 1),
+            "eff_date": dt.date(2000, 1, 1), "next_position": 2, "best_matched": True, "best_match_type": "REVOLVING", "best_balance": 5.0,
+            "n_liens": 1, "MTA5020": 0.0, "MTF8169": 100.0, "foreclosure_open": False, "foreclosure_settled": True,
+            "foreclosure_reason_flag": False, "is_approved": True, "is_declined": False, "decline_codes": None}
+PROPERTY_SCHEMA = ("prequal_avm double, avm double, land_use int, acres double, app_date date, last_sale date, eff_date date, next_position int, "
+                   "best_matched boolean, best_match_type string, best_balance double, n_liens int, MTA5020 double, MTF8169 double, "
+                   "foreclosure_open boolean, foreclosure_settled boolean, foreclosure_reason_flag boolean, is_approved boolean, "
+                   "is_declined boolean, decline_codes array<string>")
+OLD = {"eff_date": dt.date(1996, 1, 1)}
+LIEN, FORECLOSED = {**GONE, "decline_codes": ["LIEN_POSITION"]}, {**GONE, "decline_codes": ["FORECLOSURE"]}
+PROPERTY_CASES = [
+    ({}, "PASS"),
+    ({"next_position": 4}, "Lien_Position_Knockout_Failure1"),
+    ({"next_position": 4, **OLD}, "PASS"),                                    # the rule starts with its regime
+    ({"next_position": 4, "best_matched": False, "best_match_type": "AMORT"}, "Lien_Position_Knockout_Failure1"),
+    ({"next_position": 4, "best_matched": False}, "PASS"),                    # unmatched: mortgages count, not the position
+    ({"n_liens": 3, "best_matched": False}, "Lien_Position_Knockout_Failure1"),
+    ({"n_liens": 3}, "PASS"),
+    ({"n_liens": 3, "best_matched": None}, "PASS"),
+    ({"best_balance": -1.0, **OLD}, "Lien_Position_Knockout_Failure1"),       # at any date
+    ({"MTA5020": -1.0, **OLD}, "Lien_Position_Knockout_Failure1"),
+    (LIEN, "Lien_Position_Knockout_Failure2"),
+    ({**LIEN, "n_liens": 2, "best_matched": False}, "Lien_Position_Knockout_Failure2"),
+    ({**LIEN, **OLD}, "PASS"),
+    ({"foreclosure_open": True}, "Foreclosure_Knockout_Failure1"),
+    ({"foreclosure_open": None}, "PASS"),
+    ({"foreclosure_open": True, "foreclosure_reason_flag": True}, "PASS"),    # a decision named it
+    (FORECLOSED, "Foreclosure_Knockout_Failure2"),
+    ({**FORECLOSED, "MTF8169": 60.0}, "PASS"),
+    ({**FORECLOSED, "foreclosure_settled": None}, "PASS"),
+]
+
+
+def test_property_rules_on_literal_rows(spark):
+    names = [x.split()[0] for x in PROPERTY_SCHEMA.split(", ")]
+    rows = [tuple((PROPERTY | change)[n] for n in names) for change, _ in PROPERTY_CASES]
+    df = H.with_property(spark.createDataFrame(rows, PROPERTY_SCHEMA).coalesce(1))
+    assert [r.property_check for r in df.collect()] == [label for _, label in PROPERTY_CASES]
+
+
+def test_versions_of_rules_name_missing_inputs(spark):
+    df = spark.createDataFrame([(1,)], "id int")
+    with pytest.raises(ValueError, match="foreclosure_open_any_amount"):
+        H.PROPERTY_RULES["march"].label(df)
+
+
+def test_versions_of_rules_differ_where_a_rule_changed(spark):
+    names = [x.split()[0] for x in PROPERTY_SCHEMA.split(", ")]
+    rows = [tuple((PROPERTY | x)[n] for n in names) for x in ({}, {"next_position": 4}, {"prequal_avm": 0.0, "avm": 0.0})]
+    df = spark.createDataFrame(rows, PROPERTY_SCHEMA).coalesce(1).withColumns(
+        {"recorded_position_high": F.lit(True), "foreclosure_open_any_amount": F.lit(False), "id": F.monotonically_increasing_id()})
+    df = df.withColumn("last_sale", F.lit(dt.date(1990, 1, 1)))
+    out = version_difference(df, ["id"], H.PROPERTY_RULES["may"], H.PROPERTY_RULES["june"]).collect()
+    assert [(r.id, r.only_old, r.only_new) for r in out] == [(0, "Lien_Position", ""), (2, "Lien_Position", "AVM")]
+
+
 def test_offer_rate_without_index_or_kind(spark):
     df = spark.createDataFrame([("FIXED", 0.05, 0.02, None), ("VARIABLE", 0.05, 0.02, None), ("VARIABLE", 0.05, 0.02, 0.01),
                                 (None, 0.05, 0.02, 0.01)], "k string, r double, m double, i double").coalesce(1)
