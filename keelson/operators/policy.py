@@ -41,12 +41,17 @@ def regime(date: Column, boundaries: Sequence[tuple[str, object]], first: str =
     return expr.otherwise(F.lit(bs[-1][0]))
 
 
-def broadcast_bounded(df: DataFrame, n_rows: int) -> DataFrame:
-    """Broadcast a policy table: its ``n_rows`` are rows listed in code, so policy fixes its size, not data."""
-    return F.broadcast(df)
+#: Rows up to which a policy table is broadcast (some 10 MB).
+MAX_POLICY_ROWS = 100_000
 
 
-def band_join(df: DataFrame, bands: DataFrame, n_band_rows: int,
+def broadcast_bounded(df: DataFrame, max_rows: int = MAX_POLICY_ROWS) -> DataFrame:
+    """Broadcast a policy table after counting it (no further than the bound); a larger one is joined as any
+    other table."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def band_join(df: DataFrame, bands: DataFrame,
               equi: Sequence[tuple[Column, str]], ranges: Sequence[tuple[Column, str, str, bool, bool]],
               how: str = "left") -> DataFrame:
     """Join each row to the band row matching equi keys and range conditions.
@@ -54,7 +59,7 @@ def band_join(df: DataFrame, bands: DataFrame, n_band_rows: int,
     ``ranges`` = ``(value, lo_col, hi_col, lo_closed, hi_closed)``.  At most one
     band may match (bands are disjoint by construction, checked in tests).
     """
-    b = broadcast_bounded(bands, n_band_rows)
+    b = broadcast_bounded(bands)
     cond = None
     for left, right in equi:
         c = left == b[right]

@@ -637,9 +637,9 @@ sql("q_fcf_check", _R + "SELECT id, dti_failure, fcf_failure FROM rf")
 # =============================================================================
 # pricing (plans.pricing)
 # =============================================================================
-def _grid_values() -> str:
-    return ", ".join(f"({t}, {str(fl).upper()}, {_f(lo)}, {_f(hi)}, {str(lo == P.CLTV_BANDS[0][0]).upper()}, "
-                     f"{slo}, {shi}, {_f(r)})" for t, fl, lo, hi, slo, shi, r in P.rate_grid_rows())
+def _grid_values(rows) -> str:
+    return ", ".join(f"({t}, {str(fl).upper()}, '{kind}', {_f(lo)}, {_f(hi)}, {slo}, {shi}, {_f(r)}, {prio})"
+                     for t, fl, kind, lo, hi, slo, shi, r, prio in rows)
 
 
 OFFERS = ("offers_flat", """SELECT id, seq, part, supp, event_ts, o.term AS o_term, o.rate AS o_rate, o.fee AS o_fee,
@@ -647,18 +647,63 @@ OFFERS = ("offers_flat", """SELECT id, seq, part, supp, event_ts, o.term AS o_te
     o.non_autopay_rate AS o_non_autopay_rate FROM (SELECT id, seq, part, supp, event_ts, unnest(offers) AS o FROM decisions)""")
 LATEST_OFFERS = ("offers_latest", OFFERS[1].replace("FROM decisions", "FROM latest_decision"))
 
-sql("q_grid_check", W("app", "prop", "decisions", extra=[OFFERS,
-    ("grid", f"SELECT * FROM (VALUES {_grid_values()}) t(g_term, g_first, g_lo, g_hi, g_lo_closed, g_slo, g_shi, expected_rate)"),
-    ("go", f"""SELECT l.id, seq, part, o_term, o_rate, a.score, p.n_liens <= 2 AS first_lien,
+def _grid_ctes(rows) -> list[tuple[str, str]]:
+    return [OFFERS,
+            ("grid", f"SELECT * FROM (VALUES {_grid_values(rows)}) t(term, first_lien, property_type, lo, hi, slo, shi, rate, prio)"),
+            ("go", f"""SELECT l.id, seq, part, o_term, o_rate, a.score, a.person, a.app_date, p.n_liens <= 2 AS first_lien,
                   CASE WHEN p.land_use = 112 THEN 'CONDO' ELSE 'HOME' END AS property_type,
                   {rhu('p.owed / nullif(p.avm, 0)', 4)} AS cltv
                FROM offers_flat l JOIN app a ON l.id = a.id
-               LEFT JOIN prop p ON l.id = p.id""")]) + f"""
-SELECT id, seq, part, o_term AS term, first_lien, property_type, cltv, score, o_rate AS rate, expected_rate,
-       CASE WHEN expected_rate IS NULL THEN 'NO_GRID_CELL'
-            WHEN {rhu('o_rate', 4)} = {rhu('expected_rate', 4)} THEN 'OK' ELSE 'RATE_MISMATCH' END AS grid_check
-FROM go LEFT JOIN grid ON o_term = g_term AND first_lien = g_first AND property_type = 'HOME'
-     AND (cltv > g_lo OR (g_lo_closed AND cltv = g_lo)) AND cltv <= g_hi AND score >= g_slo AND score <= g_shi""")
+               LEFT JOIN prop p ON l.id = p.id""")]
+
+
+_GRID_FROM = W("app", "prop", "decisions", extra=[*_grid_ctes(P.rate_grid_rows()), ("go2", "SELECT *, row_number() OVER () AS n FROM go"),
+    ("hit", """SELECT n, arg_min(rate, prio) AS expected_rate FROM go2 JOIN grid
+               ON o_term = grid.term AND go2.first_lien = grid.first_lien AND go2.property_type = grid.property_type
+                  AND cltv BETWEEN lo AND hi AND score BETWEEN slo AND shi GROUP BY n"""),
+    ("priced", f"""SELECT go2.*, expected_rate, CASE WHEN expected_rate IS NULL THEN 'NO_GRID_CELL'
+                      WHEN {rhu('o_rate', 4)} = {rhu('expected_rate', 4)} THEN 'OK' ELSE 'RATE_MISMATCH' END AS grid_check
+                   FROM go2 LEFT JOIN hit ON hit.n = go2.n""")])
+sql("q_grid_check", _GRID_FROM + """
+SELECT id, seq, part, o_term AS term, first_lien, property_type, cltv, score, o_rate AS rate, expected_rate, grid_check FROM priced""")
+sql("q_rate_mismatches", _GRID_FROM + f"""
+SELECT id, person, app_date, seq, part, o_term AS term, o_rate AS rate, expected_rate, grid_check FROM priced
+WHERE grid_check != 'OK' AND app_date >= {_d(P.REGIME_DATES['r1'])}""")
+
+
+def _faulty_grid() -> list[tuple]:
+    out = []
+    for t, fl, kind, lo, hi, slo, shi, rate, prio in P.rate_grid_rows():
+        if (t, lo, slo) != (5, 0.5, 700):
+            out.append((t, fl, kind, lo, hi, slo, 729 if (t, lo, slo) == (15, 0.65, 680) else shi,
+                        0.2 if (t, lo, slo) == (10, 0.6, 740) else rate, prio))
+    return out
+
+
+# Every position of the grid's edges is tried by a point inside it: the edge, or the middle to the next one.
+sql("q_grid_faults", W("app", "prop", "decisions", extra=[*_grid_ctes(_faulty_grid()),
+    ("ex", "SELECT e, row_number() OVER (ORDER BY e) - 1 AS i, lead(e) OVER (ORDER BY e) AS f FROM (SELECT lo AS e FROM grid UNION SELECT hi FROM grid)"),
+    ("px", "SELECT CAST(2 * i AS INTEGER) AS x, e AS v FROM ex UNION ALL SELECT CAST(2 * i + 1 AS INTEGER), (e + f) / 2 FROM ex WHERE f IS NOT NULL"),
+    ("ey", "SELECT e AS v, CAST(row_number() OVER (ORDER BY e) - 1 AS INTEGER) AS y FROM (SELECT slo AS e FROM grid UNION SELECT shi + 1 FROM grid)"),
+    ("held", """SELECT term, first_lien, property_type, x, y, arg_min(rate, prio) AS rate, count(DISTINCT rate) AS rates
+                FROM grid JOIN px ON px.v BETWEEN lo AND hi JOIN ey ON ey.v BETWEEN slo AND shi GROUP BY ALL"""),
+    ("box", """SELECT a.term, a.first_lien, a.property_type, px.x, ey.y FROM (SELECT DISTINCT term, first_lien, property_type FROM grid) a, px, ey"""),
+    ("gap", """SELECT b.* FROM box b WHERE NOT EXISTS (SELECT 1 FROM held h WHERE (h.term, h.first_lien, h.property_type, h.x, h.y) = (b.term, b.first_lien, b.property_type, b.x, b.y))
+               AND ((EXISTS (SELECT 1 FROM held h WHERE (h.term, h.first_lien, h.property_type, h.x) = (b.term, b.first_lien, b.property_type, b.x) AND h.y < b.y)
+                     AND EXISTS (SELECT 1 FROM held h WHERE (h.term, h.first_lien, h.property_type, h.x) = (b.term, b.first_lien, b.property_type, b.x) AND h.y > b.y))
+                 OR (EXISTS (SELECT 1 FROM held h WHERE (h.term, h.first_lien, h.property_type, h.y) = (b.term, b.first_lien, b.property_type, b.y) AND h.x < b.x)
+                     AND EXISTS (SELECT 1 FROM held h WHERE (h.term, h.first_lien, h.property_type, h.y) = (b.term, b.first_lien, b.property_type, b.y) AND h.x > b.x)))"""),
+    ("fault", """SELECT term, first_lien, property_type, 'OVERLAP' AS kind, x, y FROM held WHERE x % 2 = 1 AND rates > 1
+                 UNION ALL SELECT term, first_lien, property_type, 'GAP', x, y FROM gap
+                 UNION ALL SELECT term, first_lien, property_type, 'ORDER', x, y FROM (
+                     SELECT *, lag(rate) OVER (PARTITION BY term, first_lien, property_type, x ORDER BY y) AS before FROM held) WHERE rate > before"""),
+    ("hits", """SELECT o_term, go.first_lien, go.property_type, x, y, count(*) AS offers FROM go
+                JOIN (SELECT *, lead(v) OVER (ORDER BY x) AS next FROM px) p ON CASE WHEN x % 2 = 0 THEN cltv = v
+                     ELSE cltv > (SELECT max(e) FROM ex WHERE e < v) AND cltv < (SELECT min(e) FROM ex WHERE e > v) END
+                JOIN (SELECT *, lead(v) OVER (ORDER BY v) AS next FROM ey) s ON score >= s.v AND (score < s.next OR s.next IS NULL)
+                GROUP BY ALL""")]) + """
+SELECT f.term, f.first_lien, f.property_type, kind, f.x, f.y, CAST(coalesce(offers, 0) AS BIGINT) AS offers FROM fault f
+LEFT JOIN hits h ON (h.o_term, h.first_lien, h.property_type, h.x, h.y) = (f.term, f.first_lien, f.property_type, f.x, f.y)""")
 
 def _match(a: str, b: str) -> str:
     return (f"CASE WHEN {rhu(a, 4)} = {rhu(b, 4)} THEN 'Match' WHEN {rhu(a, 4)} != {rhu(b, 4)} THEN 'Unmatch' "

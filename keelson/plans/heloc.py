@@ -381,7 +381,7 @@ def with_ratios(spark: SparkSession, df: DataFrame) -> DataFrame:
     })
     limits = small_frame(spark, "cltv_limits", list(P.CLTV_LIMITS),
                          "l_regime string, l_lo int, l_hi int, cltv_limit double")
-    df = band_join(df, limits, len(P.CLTV_LIMITS), equi=[(c("regime"), "l_regime")],
+    df = band_join(df, limits, equi=[(c("regime"), "l_regime")],
                    ranges=[(c("fico"), "l_lo", "l_hi", True, False)]).drop("l_regime", "l_lo", "l_hi")
     owed, cl, adj, lim = c("owed"), c("t_cltv"), c("t_adj_cltv"), c("cltv_limit")
     fires = ((owed == 0) & ((cl > P.CLTV_ZERO_OWED) | (adj > P.CLTV_ZERO_OWED))) | \

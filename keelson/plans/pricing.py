@@ -1,8 +1,8 @@
 """Offer pricing checks.
 
 ``grid_check``   each offer's rate against the rate grid cell for (term, lien
-                 position, CLTV band, score band): broadcast hash join on
-                 (term, first_lien) with the band conditions as residual.
+                 position, property type) that holds its CLTV and score: an equi-join
+                 on elementary positions of an index built from the table of cells.
 ``offer_checks`` fixed rate = quoted; variable = margin + index (- autopay
                  discount); usury percentage margin + index + fee.
 ``fee_buydown``  fee-paying offers against the no-fee base offer of the same
@@ -11,18 +11,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import finance as FN
 from ..functions.numeric import round_half_up, safe_div
-from ..operators.latest import latest
+from ..operators.intervals import CellIndex, position
 from ..operators.nested import flatten
 from ..operators.policy import broadcast_bounded
 from ..operators.reconcile import reconcile
 from ..sources import derived as D
 from ..sources import policies as P
-from ..sources.tables import frame, small_frame
+from ..sources.tables import frame, small_frame, table
 
 c = F.col
 
@@ -41,39 +43,34 @@ def latest_offers(spark: SparkSession, sf: str) -> DataFrame:
     return flatten(latest_decision(spark, sf).select("id", "seq", "part", "offers"), "offers", "o", outer=False, prefix="o_")
 
 
-def grid_check(spark: SparkSession, sf: str, cells: list[tuple] | None = None) -> DataFrame:
-    """B40 — expected grid rate of every offer of every decision; unmatched cells are reported (Q3).
+GRID_KEYS = ("term", "first_lien", "property_type")
 
-    ``cells`` is the rate grid, a parameter of the audit: (term, first lien, property type, CLTV band,
-    score band, rate), where a band is its number in the policy's band lists.
-    """
-    prop = D.prop(spark, sf).select("id", "owed", "avm", "n_liens", "land_use")
+
+def rate_grid(spark: SparkSession) -> DataFrame:
+    """The policy's rate grid as a table of cells."""
+    return small_frame(spark, "rate_grid", P.rate_grid_rows(), P.GRID_COLUMNS)
+
+
+def quoted_offers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every offer of every decision with what its cell is found by. Applications and properties are joined at
+    the grain of decisions; offers are unnested last, so no exchange holds them."""
+    prop = D.prop(spark, sf).select("id", round_half_up(safe_div(c("owed"), c("avm")), 4).alias("cltv"), (c("n_liens") <= 2).alias("first_lien"),
+                                    F.when(c("land_use") == 112, "CONDO").otherwise("HOME").alias("property_type"))
     app = D.app(spark, sf).select("id", "score")
-    o = offers(spark, sf).join(app, "id").join(prop, "id", "left")
-    o = o.withColumns({
-        "first_lien": c("n_liens") <= 2,
-        "property_type": F.when(c("land_use") == 112, "CONDO").otherwise("HOME"),
-        "cltv": round_half_up(safe_div(c("owed"), c("avm")), 4),
-    })
-    # Band indexes from the policy's band edges: CLTV bands are [0, .5] then (lo, hi];
-    # score bands are inclusive.  The grid is then an equi-join on the full cell key
-    # (one candidate per offer) instead of a range residual over every band.
-    cltv_band = None
-    for i, (lo, hi) in enumerate(P.CLTV_BANDS):
-        cond = ((c("cltv") >= lo) if i == 0 else (c("cltv") > lo)) & (c("cltv") <= hi)
-        cltv_band = F.when(cond, i) if cltv_band is None else cltv_band.when(cond, i)
-    score_band = None
-    for i, (lo, hi) in enumerate(P.SCORE_BANDS):
-        cond = (c("score") >= lo) & (c("score") <= hi)
-        score_band = F.when(cond, i) if score_band is None else score_band.when(cond, i)
-    o = o.withColumns({"cltv_band": cltv_band, "score_band": score_band})
-    rows = cells or P.rate_grid_cells()
-    grid = broadcast_bounded(small_frame(
-        spark, f"rate_grid_cells-{hash(tuple(rows))}", rows,
-        "g_term int, g_first boolean, g_type string, g_cltv_band int, g_score_band int, expected_rate double"), len(rows))
-    cond = ((c("o_term") == grid.g_term) & (c("first_lien") == grid.g_first)
-            & (c("property_type") == grid.g_type) & (c("cltv_band") == grid.g_cltv_band) & (c("score_band") == grid.g_score_band))
-    j = o.join(grid, cond, "left")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_discount", "l_tax")
+    rows = li.join(app, li.l_orderkey == app.id).join(prop, "id", "left")
+    return D.offer_terms(rows).select("id", c("l_linenumber").alias("seq"), c("l_partkey").alias("part"), "o_term", "o_rate", "first_lien",
+                                      "property_type", "cltv", "score")
+
+
+def grid_check(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> DataFrame:
+    """B40 — expected grid rate of every offer of every decision; unmatched offers are reported (Q3).
+
+    ``cells`` is the rate grid, a table with the columns of ``policies.GRID_COLUMNS``. Its bands are its own; an
+    empty grid prices nothing.
+    """
+    index = CellIndex(rate_grid(spark) if cells is None else cells, GRID_KEYS)
+    j = index.lookup(quoted_offers(spark, sf), [c("o_term"), c("first_lien"), c("property_type")], c("cltv"), c("score"), "expected_rate")
     check = (F.when(c("expected_rate").isNull(), "NO_GRID_CELL")
               .when(round_half_up(c("o_rate"), 4) == round_half_up(c("expected_rate"), 4), "OK")
               .otherwise("RATE_MISMATCH"))
@@ -81,6 +78,23 @@ def grid_check(spark: SparkSession, sf: str, cells: list[tuple] | None = None) -
                     c("o_rate").alias("rate"), "expected_rate", check.alias("grid_check"))
 
 
+def rate_mismatches(spark: SparkSession, sf: str, since: dt.date = P.REGIME_DATES["r1"]) -> DataFrame:
+    """B36 — offers whose rate is not their cell's (offers without a cell included), of applications from ``since`` on."""
+    app = D.app(spark, sf).select("id", "person", "app_date").where(c("app_date") >= F.lit(since))
+    return grid_check(spark, sf).where(c("grid_check") != "OK").join(app, "id").select(
+        "id", "person", "app_date", "seq", "part", "term", "rate", "expected_rate", "grid_check")
+
+
+def grid_faults(spark: SparkSession, sf: str, cells: DataFrame | None = None) -> DataFrame:
+    """Q11 — gaps, overlaps and rates that rise with the score, each with the offers that fall there."""
+    index = CellIndex(rate_grid(spark) if cells is None else cells, GRID_KEYS)
+    o = quoted_offers(spark, sf)
+    hits = o.groupBy(c("o_term").alias("term"), "first_lien", "property_type", position(c("cltv"), index.x, True).alias("x"),
+                     position(c("score"), index.y, False).alias("y")).agg(F.count(F.lit(1)).alias("offers"))
+    return (broadcast_bounded(index.faults()).join(hits, [*GRID_KEYS, "x", "y"], "left")
+            .select(*GRID_KEYS, "kind", "x", "y", F.coalesce("offers", F.lit(0)).cast("long").alias("offers")))
+
+
 def offer_checks(spark: SparkSession, sf: str) -> DataFrame:
     """B41, B43 — expected autopay and non-autopay rates and usury percentage, latest decision only."""
     o = latest_offers(spark, sf)
@@ -104,8 +118,7 @@ def fee_buydown(spark: SparkSession, sf: str) -> DataFrame:
     d = latest_decision(spark, sf).select("id", "seq", "part", "offers", c("offers").alias("all_offers"))
     o = flatten(d, "offers", "o", outer=False, prefix="o_").where(c("o_kind") == "FIXED")
     base = F.get(F.filter("all_offers", lambda x: (x["term"] == c("o_term")) & (x["kind"] == "FIXED") & (x["fee"] == 0)), 0)["rate"]
-    div = broadcast_bounded(small_frame(spark, "buydown", P.BUYDOWN_DIVISORS, "d_term int, rate_div double, apr_div double"),
-                            len(P.BUYDOWN_DIVISORS))
+    div = broadcast_bounded(small_frame(spark, "buydown", P.BUYDOWN_DIVISORS, "d_term int, rate_div double, apr_div double"))
     o = o.withColumn("base_rate", base)
     o = o.join(div, o.o_term == div.d_term, "left")
     exp_rate = round_half_up(c("base_rate") - c("o_fee") / c("rate_div"), 5)

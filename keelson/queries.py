@@ -541,6 +541,24 @@ def q_grid_check(spark: SparkSession, sf: str) -> DataFrame:
     return PR.grid_check(spark, sf)
 
 
+@register
+def q_grid_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaps, overlaps and order of a grid with the offers that fall there; the policy's grid with a hole, a band
+    that overlaps its neighbours and a rate out of order."""
+    grid = PR.rate_grid(spark)
+    hole = (F.col("term") == 5) & (F.col("lo") == 0.5) & (F.col("from") == 700)
+    wrong = (F.col("term") == 10) & (F.col("lo") == 0.6) & (F.col("from") == 740)
+    wide = (F.col("term") == 15) & (F.col("lo") == 0.65) & (F.col("from") == 680)
+    cells = grid.where(~hole).withColumns({"value": F.when(wrong, 0.2).otherwise(F.col("value")), "to": F.when(wide, 729).otherwise(F.col("to"))})
+    return PR.grid_faults(spark, sf, cells)
+
+
+@register
+def q_rate_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    """Offers whose rate is not the one of their grid cell, from a date on."""
+    return PR.rate_mismatches(spark, sf)
+
+
 @register
 def q_offer_rate(spark: SparkSession, sf: str) -> DataFrame:
     """fixed = quoted; floating = margin + index - autopay discount; autopay and manual rates."""

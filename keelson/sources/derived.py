@@ -12,7 +12,7 @@ The DuckDB oracle repeats the same derivations in ``keelson.sources.derived_sql`
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
@@ -205,6 +205,33 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("alert_ts"), F.col("l_linenumber").alias("seq"), part.alias("part"))
 
 
+#: Offers of a test event in their order: term, rate bump, kind, whether a fee is paid.
+OFFERS = ((5, 0.030, "FIXED", False), (5, 0.030, "FIXED", True), (10, 0.035, "VARIABLE", True), (15, 0.040, "FIXED", False),
+          (15, 0.040, "FIXED", True), (20, 0.045, "VARIABLE", True), (30, 0.050, "FIXED", True))
+
+
+def offer_count() -> Column:
+    """Offers of a test event: those with term <= (line number - 1) * 5 (terms ascend); none where the array is NULL."""
+    ln = F.col("l_linenumber")
+    n = F.when(ln >= 7, 7).when(ln >= 5, 6).when(ln == 4, 5).when(ln == 3, 3).when(ln == 2, 2).otherwise(0)
+    return F.when((ln == 7) & (F.col("l_returnflag") == "N"), 0).otherwise(n)
+
+
+def offer_terms(df: DataFrame) -> DataFrame:
+    """One row per offer of line-item-shaped rows, with ``o_term`` and ``o_rate`` alone: offers come from their
+    number, so no row builds the whole array to be read for two fields."""
+    n, k = offer_count(), F.col("_k")
+    rows = df.withColumn("_n", n).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    bump = term = None
+    for i, (t, b, _, _) in enumerate(OFFERS, 1):
+        term = F.when(k == i, t) if term is None else term.when(k == i, t)
+        bump = F.when(k == i, F.lit(b)) if bump is None else bump.when(k == i, F.lit(b))
+    bought = k.isin(*[i for i, (_, _, kind, paid) in enumerate(OFFERS, 1) if paid and kind == "FIXED"])
+    base = F.col("l_discount") + bump
+    rate = F.when(bought, base - F.when(F.col("l_partkey") % 2 == 0, F.col("l_tax") / 1.75).otherwise(F.lit(0.0))).otherwise(base)
+    return rows.withColumns({"o_term": term.cast("int"), "o_rate": rate}).drop("_n", "_k")
+
+
 def decision_record(li: DataFrame) -> DataFrame:
     """Nested decision record of each line-item-shaped row.
 
@@ -233,13 +260,8 @@ def decision_record(li: DataFrame) -> DataFrame:
             (rate + F.when(part % 5 != 0, 0.0025).otherwise(0.005)).alias("non_autopay_rate"),
         )
 
-    # Offers with term <= (line number - 1) * 5 (terms ascend, so a prefix slice —
-    # code-generated, unlike a lambda filter).
-    n_offers = F.when(ln >= 7, 7).when(ln >= 5, 6).when(ln == 4, 5).when(ln == 3, 3).when(ln == 2, 2).otherwise(0)
-    offers = F.slice(F.array(offer(5, 0.030, "FIXED", False), offer(5, 0.030, "FIXED", True),
-                             offer(10, 0.035, "VARIABLE", True),
-                             offer(15, 0.040, "FIXED", False), offer(15, 0.040, "FIXED", True),
-                             offer(20, 0.045, "VARIABLE", True), offer(30, 0.050, "FIXED", True)), 1, n_offers)
+    # A prefix slice: code-generated, unlike a lambda filter.
+    offers = F.slice(F.array(*[offer(*spec) for spec in OFFERS]), 1, offer_count())
     offers = F.when((ln == 7) & (F.col("l_returnflag") == "N"), F.lit(None)).otherwise(offers)
     reason = lambda code, text: F.struct(F.lit(code).alias("code"), F.lit(text).alias("reason"))
     third = F.element_at(F.array(*[reason(code, code.lower()) for code in OTHER_REASONS]),

@@ -199,31 +199,29 @@ LATENCY_CAP = 1200.0
 CLTV_BANDS = [(0.0, 0.5), (0.5, 0.6), (0.6, 0.65), (0.65, 0.75), (0.75, 0.8), (0.8, 0.85),
               (0.85, 0.9), (0.9, 0.95)]
 SCORE_BANDS = [(600, 619), (620, 639), (640, 659), (660, 679), (680, 699), (700, 719),
-               (720, 739), (740, 759), (760, 779), (780, 799), (800, 850)]
-GRID_BASE = {(5, False): 0.0600, (10, False): 0.0650, (15, False): 0.0700, (20, False): 0.0725,
+               (720, 739), (740, 759), (760, 799), (800, 850)]
+GRID_BASE = {(5, False): 0.0600, (10, False): 0.0650, (15, False): 0.0700,
              (5, True): 0.0550, (10, True): 0.0600, (15, True): 0.0650, (30, True): 0.0700}
+GRID_COLUMNS = "term int, first_lien boolean, property_type string, lo double, hi double, `from` int, `to` int, value double, priority int"
 
 
 def rate_grid_rows() -> list[tuple]:
-    """(term, first_lien, cltv_lo, cltv_hi, score_lo, score_hi, rate).
+    """Rows of ``GRID_COLUMNS``, first listed first in priority: bands are closed, so neighbours share an edge.
 
-    Rate = base(term, lien) + 0.0025 per CLTV band + 0.0030 per score band below the top.
-    The first CLTV band is closed at both ends; the others are (lo, hi].
+    Rate = base(term, lien) + 0.0025 per CLTV band + 0.0030 per score band below the top, for homes. A CLTV band
+    starts 20 points of score above the one below it. The longest term ends at 0.8 and merges two score bands
+    while CLTV is at most 0.6.
     """
     rows = []
     for (term, first), base in GRID_BASE.items():
         for bi, (lo, hi) in enumerate(CLTV_BANDS):
             for si, (slo, shi) in enumerate(SCORE_BANDS):
+                if slo < 600 + 20 * bi or (term == 30 and hi > 0.8):
+                    continue
+                if term == 30 and hi <= 0.6 and slo in (700, 720):
+                    if slo == 720:
+                        continue
+                    shi = 739
                 rate = round(base + 0.0025 * bi + 0.0030 * (len(SCORE_BANDS) - 1 - si), 4)
-                rows.append((term, first, lo, hi, slo, shi, rate))
+                rows.append((term, first, "HOME", lo, hi, slo, shi, rate, len(rows)))
     return rows
-
-
-def rate_grid_cells() -> list[tuple]:
-    """(term, first_lien, property type, cltv_band_index, score_band_index, rate) — same cells as ``rate_grid_rows``."""
-    out = []
-    for (term, first), base in GRID_BASE.items():
-        for bi in range(len(CLTV_BANDS)):
-            for si in range(len(SCORE_BANDS)):
-                out.append((term, first, "HOME", bi, si, round(base + 0.0025 * bi + 0.0030 * (len(SCORE_BANDS) - 1 - si), 4)))
-    return out

@@ -29,6 +29,7 @@ LABELS = {
                                       "Involuntary_Lien_Knockout_Failure(DT returns)2"]},
     "q_offer_rate": {"rate_match": ["Match", "Unmatch", "Unavailable"]},
     "q_fee_buydown": {"rate_match": ["Match", "Unmatch", "Unavailable"], "apr_match": ["Match", "Unmatch", "Unavailable"]},
+    "q_grid_faults": {"kind": ["OVERLAP", "GAP", "ORDER"]},
     "q_grid_check": {"grid_check": ["OK", "RATE_MISMATCH", "NO_GRID_CELL"]},
 }
 
@@ -149,10 +150,12 @@ def test_offer_rate_without_index_or_kind(spark):
 
 
 def test_grid_is_a_parameter(spark):
-    cells = [(t, f, "HOME", b, s, 0.5) for t in (5, 10, 15, 20, 30) for f in (True, False) for b in range(8) for s in range(11)]
-    out = PR.grid_check(spark, "/root/testdata/sf0.001", cells)
-    assert {r[0] for r in out.where("grid_check <> 'NO_GRID_CELL'").select("expected_rate").distinct().collect()} == {0.5}
-    assert out.where("property_type <> 'HOME' and grid_check <> 'NO_GRID_CELL'").isEmpty()
+    cells = [(t, f, "CONDO", 0.0, 5.0, 0, 900, 0.5, 0) for t in (5, 10, 15, 20, 30) for f in (True, False)]
+    out = PR.grid_check(spark, "/root/testdata/sf0.001", spark.createDataFrame(cells, P.GRID_COLUMNS))
+    priced = out.where("grid_check <> 'NO_GRID_CELL'")
+    assert {(r[0], r[1]) for r in priced.select("expected_rate", "property_type").distinct().collect()} == {(0.5, "CONDO")}
+    none = PR.grid_check(spark, "/root/testdata/sf0.001", spark.createDataFrame([], P.GRID_COLUMNS))
+    assert {r[0] for r in none.select("grid_check").distinct().collect()} == {"NO_GRID_CELL"}
 
 
 def test_every_numbered_label_is_normalised():

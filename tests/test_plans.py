@@ -54,6 +54,15 @@ def test_policy_tables_are_broadcast(spark):
     assert "BroadcastHashJoin" in plan(QUERIES["q_cltv_check"](spark, SF_SMALL))
 
 
+def test_offers_are_unnested_after_every_exchange(spark):
+    lines = plan(QUERIES["q_grid_check"](spark, SF_SMALL)).splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    at = [i for i, line in enumerate(lines) if "Generate" in line and "lineitem" not in line]
+    first = at[0]
+    above = [line for line in lines[:first] if depth(line) < depth(lines[first])]
+    assert not any("Exchange" in line for line in above)
+
+
 def test_column_pruning_reaches_scan(spark):
     p = plan(QUERIES["q_latest_single"](spark, SF_SMALL))
     scan = [line for line in p.splitlines() if "lineitem" in line and "ReadSchema" in line]
