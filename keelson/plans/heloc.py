@@ -115,38 +115,38 @@ def lien_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def loan_open(loan: Column, sale: Column, amount: bool = True) -> Column:
-    """A foreclosed or unknown loan that is unpaid, dated, taken and recorded since the last sale (and has an amount)."""
+def loan_facts(loan: Column, sale: Column) -> Column:
+    """Three-valued tests of one loan. ``open``: a foreclosed or unknown loan that is unpaid, dated, taken and
+    recorded since the last sale and has an amount (``open_any_amount``: or none). ``settled``: no foreclosure, or one
+    that is paid, undated, from before the last sale or without amount; undated means that one date is missing, for
+    the credit rule that both are. ``high``: its recorded position is above the earlier limit."""
     taken, recorded = (loan[x].try_cast("date") for x in ("origination_date", "recording_date"))
-    out = (loan["status"].isin(*P.FORECLOSURE_STATUSES) & loan["payoff_date"].try_cast("date").isNull()
-           & loan["recording_date"].isNotNull() & loan["origination_date"].isNotNull() & (taken >= sale) & (recorded >= sale))
-    return out & loan["amount"].isNotNull() if amount else out
-
-
-def loan_settled(loan: Column, sale: Column, both_missing: bool) -> Column:
-    """No foreclosure, or one that is paid, undated, from before the last sale or without amount. Undated: one
-    date is missing, or (``both_missing``, the credit rule) both are."""
-    taken, recorded = (loan[x].try_cast("date") for x in ("origination_date", "recording_date"))
-    none = [loan[x].isNull() for x in ("recording_date", "origination_date")]
+    paid = loan["payoff_date"].try_cast("date").isNotNull()
+    no_taken, no_recorded = loan["origination_date"].isNull(), loan["recording_date"].isNull()
     listed = loan["status"].isin(*P.FORECLOSURE_STATUSES)
-    return ~listed | (listed & (loan["payoff_date"].try_cast("date").isNotNull()
-                                | (none[0] & none[1] if both_missing else none[0] | none[1])
-                                | (taken < sale) | (recorded < sale) | loan["amount"].isNull()))
+    unpaid = listed & ~paid & ~no_recorded & ~no_taken & (taken >= sale) & (recorded >= sale)
+    past = (taken < sale) | (recorded < sale) | loan["amount"].isNull()
+    return F.struct((unpaid & loan["amount"].isNotNull()).alias("open"), unpaid.alias("open_any_amount"),
+                    (~listed | (listed & (paid | (no_recorded | no_taken) | past))).alias("settled"),
+                    (~listed | (listed & (paid | (no_recorded & no_taken) | past))).alias("settled_credit"),
+                    (loan["lien_position"] > P.MAX_RECORDED_POSITION).alias("high"))
 
 
 def title_history(spark: SparkSession, sf: str) -> DataFrame:
     """B14 — per application, over all loans of all its properties: an open foreclosure exists (also as an earlier
     version counts it), every loan is settled (for the property and the credit rule), a recorded position above the
     earlier limit exists. Three-valued, one aggregate, loans are not unnested."""
-    h = D.property_history(spark, sf)
-    loans, sale = c("financial_history.finance_history_attributes"), c("last_sale_date").try_cast("date")
+    sale = c("last_sale_date").try_cast("date")
+    h = D.property_history(spark, sf).select("id", F.transform(
+        "financial_history.finance_history_attributes", lambda f: loan_facts(f, sale)).alias("loans"))
+    loans = c("loans")
     return quantify(h, ["id"], any_rows={
-        "foreclosure_open": any_of(loans, lambda f: loan_open(f, sale)),
-        "foreclosure_open_any_amount": any_of(loans, lambda f: loan_open(f, sale, amount=False)),
-        "recorded_position_high": any_of(loans, lambda f: f["lien_position"] > P.MAX_RECORDED_POSITION),
+        "foreclosure_open": any_of(loans, lambda f: f["open"]),
+        "foreclosure_open_any_amount": any_of(loans, lambda f: f["open_any_amount"]),
+        "recorded_position_high": any_of(loans, lambda f: f["high"]),
     }, all_rows={
-        "foreclosure_settled": all_of(loans, lambda f: loan_settled(f, sale, both_missing=False)),
-        "foreclosure_settled_credit": all_of(loans, lambda f: loan_settled(f, sale, both_missing=True)),
+        "foreclosure_settled": all_of(loans, lambda f: f["settled"]),
+        "foreclosure_settled_credit": all_of(loans, lambda f: f["settled_credit"]),
     }).withColumn("has_history", F.lit(True))
 
 
@@ -162,6 +162,7 @@ def reason_flags(spark: SparkSession, sf: str) -> DataFrame:
 def heloc_inputs(spark: SparkSession, sf: str, with_lien_items: bool = True, with_history: bool = True) -> DataFrame:
     """One row per application with every input of the checks (left joins, 1:1 / many:1): the debt, CLTV and DTI checks
     need neither lien items nor title history."""
+    from .liens import position_columns
     a = D.app(spark, sf)
     ld = latest_decision(spark, sf).select(
         "id",
@@ -169,6 +170,7 @@ def heloc_inputs(spark: SparkSession, sf: str, with_lien_items: bool = True, wit
         c("uw_packet.installment_debt.amount").alias("rec_installment"),
         c("uw_packet.revolving_debt.amount").alias("rec_revolving"),
         c("decline_reasons.code").alias("decline_codes"),
+        *(position_columns(c("offers")) if with_history else []),
     )
     df = (a.join(bureau(spark, sf), "person", "left")
             .join(D.prop(spark, sf), "id", "left")
@@ -177,9 +179,7 @@ def heloc_inputs(spark: SparkSession, sf: str, with_lien_items: bool = True, wit
     if with_lien_items:
         df = df.join(lien_summary(spark, sf), "id", "left")
     if with_history:
-        from .liens import lien_position
-        df = (df.join(title_history(spark, sf), "id", "left").join(reason_flags(spark, sf), "id", "left")
-                .join(lien_position(spark, sf), "id", "left"))
+        df = df.join(title_history(spark, sf), "id", "left").join(reason_flags(spark, sf), "id", "left")
         known = c("has_history").isNotNull()  # without any property nothing is open and everything settled
         df = df.withColumns({
             **{x: F.coalesce(x, F.lit(False)) for x in ("lien_reason_flag", "foreclosure_reason_flag")},

@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_diff, first_known_date
@@ -29,19 +29,23 @@ MORTGAGE_TYPES = ("26", "19")
 TRADELINE_WINDOW_DAYS = 30
 
 
+def position_columns(offers: Column) -> list[Column]:
+    """B16 of one nested lien list, in place: largest position + 1 and the best lien (matched first, then balance,
+    then position) as the greatest struct: NULL is the least value there, as it is last in a descending order."""
+    def lien(o, pos):
+        sign = F.when(o["kind"].isNull() & o["index_rate"].isNull(), -100000).otherwise(100000)
+        return F.struct((o["kind"] == "FIXED").alias("matched"), (o["rate"] * sign).alias("balance"), (-pos).alias("order"),
+                        F.when(o["fee"] > 0.04, "AMORT").otherwise("REVOLVING").alias("match_type"))
+
+    best = F.array_max(F.transform(offers, lien))
+    return [F.when(F.size(offers) > 0, F.size(offers) + 1).alias("next_position"), best["matched"].alias("best_matched"),
+            best["match_type"].alias("best_match_type"), best["balance"].alias("best_balance")]
+
+
 def lien_position(spark: SparkSession, sf: str) -> DataFrame:
-    """B16 — largest lien position + 1, and the best lien (matched first, then balance, then position), both as
-    maxima of one aggregate: NULL is the least value there, as it is last in a descending order."""
+    """B16 — next lien position and best lien of each application's latest decision that lists any."""
     from .heloc import latest_decision
-    ld = latest_decision(spark, sf).select("id", "offers")
-    items = flatten(ld, "offers", "o", outer=False, prefix="o_", position="pos").select(
-        "id", (c("pos") + 1).alias("lien_position"), (c("o_kind") == "FIXED").alias("matched"),
-        F.when(c("o_fee") > 0.04, "AMORT").otherwise("REVOLVING").alias("match_type"),
-        (c("o_rate") * F.when(c("o_kind").isNull() & c("o_index_rate").isNull(), -100000).otherwise(100000)).alias("balance"))
-    best = F.max(F.struct("matched", "balance", (-c("lien_position")).alias("order"), "match_type"))
-    top = items.groupBy("id").agg((F.max("lien_position") + 1).alias("next_position"), best.alias("best"))
-    return top.select("id", "next_position", c("best.matched").alias("best_matched"),
-                      c("best.match_type").alias("best_match_type"), c("best.balance").alias("best_balance"))
+    return latest_decision(spark, sf).select("id", *position_columns(c("offers"))).where(c("next_position").isNotNull())
 
 
 def _with_sale_date(spark: SparkSession, sf: str) -> DataFrame:
