@@ -424,6 +424,11 @@ sql("q_score_resolve", W("app") + "SELECT id, hard_score, soft_score, coalesce(h
 sql("q_effective_date", _H + "SELECT id, app_date, flag, eff_date, regime FROM chk4")
 sql("q_policy_lookup", _H + f"""SELECT id, fico, regime, cltv_limit, dti_limit, {_score_floor()} AS score_floor,
     {_max_loan()} AS max_loan FROM chk5""")
+sql("q_asof_lien", W("app", "liens", extra=[
+    ("v", """SELECT person, document_date, max({'lien_id': lien_id, 'category': category}) AS x FROM liens
+             WHERE document_date IS NOT NULL GROUP BY person, document_date""")]) + """
+SELECT a.id, a.person, a.app_date, v.x.lien_id AS lien_id, v.x.category AS category
+FROM app a ASOF LEFT JOIN v ON a.person = v.person AND a.app_date >= v.document_date""")
 sql("q_cascade_credit", _H + "SELECT id, fico, credit_check FROM chk1")
 sql("q_property_rules", _H + "SELECT id, land_use, acres, property_check FROM chk1")
 sql("q_title_history", _H + """SELECT id, foreclosure_open, foreclosure_open_any_amount, recorded_position_high, foreclosure_settled,

@@ -27,15 +27,17 @@ from pyspark.sql import functions as F
 from ..functions import finance as FN
 from ..functions.dates import day_diff, month_diff
 from ..functions.numeric import is_true, round_half_up, safe_div
+from ..operators.asof import in_force
 from ..operators.audit import approved, declined, verdict
 from ..operators.latest import latest
-from ..operators.policy import band_join, effective_date, regime
+from ..operators.policy import effective_date, regime
 from ..operators.quantifiers import all_of, any_of, quantify
 from ..operators.rules import RuleSet, cascade, first_label, two_way
 from ..sources import derived as D
 from ..sources import policies as P
 from ..sources.bureau_codes import BUREAU_CODES
-from ..sources.tables import frame, small_frame
+from ..sources.policy_tables import policy
+from ..sources.tables import frame
 
 c = F.col
 
@@ -61,22 +63,14 @@ def bureau(spark: SparkSession, sf: str) -> DataFrame:
     return FN.bureau_normalise(D.bureau_raw(spark, sf), BUREAU_CODES)
 
 
-def score_floor(group: Column, eff: Column) -> Column:
-    """B10 — score floor of the regime in force on ``eff`` for the state group."""
-    expr = None
-    for grp, start, end, floor in P.SCORE_FLOOR:
-        cond = (group == grp) & (eff >= F.lit(start)) & (eff < F.lit(end))
-        expr = F.when(cond, F.lit(floor)) if expr is None else expr.when(cond, F.lit(floor))
-    return expr
-
-
-def max_loan(score: Column) -> Column:
-    """B9 — maximum loan amount for the score band (NULL below the lowest band)."""
-    expr = None
-    for lo, hi, mx in P.LOAN_MAX_BY_SCORE:
-        cond = (score >= lo) & (score < hi)
-        expr = F.when(cond, F.lit(mx)) if expr is None else expr.when(cond, F.lit(mx))
-    return expr
+def with_policies(spark: SparkSession, df: DataFrame, folder: str | None = None) -> DataFrame:
+    """B6, B9, B10, B27, B30 — limits in force on the effective date, from the dated policy tables: ``score_floor`` of
+    the state group, ``max_loan``, ``cltv_limit`` and ``dti_limit`` of the score band (NULL outside every band)."""
+    eff, fico = c("eff_date"), c("fico")
+    df = in_force(df, policy(spark, "score_floor", folder), eff, "floor", "score_floor", keys={"state_group": c("state_group")})
+    for table, value in (("loan_max", "max_loan"), ("cltv_limit", "cltv_limit"), ("dti_limit", "dti_limit")):
+        df = in_force(df, policy(spark, table, folder), eff, value, value, band=fico)
+    return df
 
 
 def lien_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,9 +153,10 @@ def reason_flags(spark: SparkSession, sf: str) -> DataFrame:
         F.bool_or(F.array_contains(codes, "FORECLOSURE")).alias("foreclosure_reason_flag"))
 
 
-def heloc_inputs(spark: SparkSession, sf: str, with_lien_items: bool = True, with_history: bool = True) -> DataFrame:
+def heloc_inputs(spark: SparkSession, sf: str, with_lien_items: bool = True, with_history: bool = True,
+                 policies: str | None = None) -> DataFrame:
     """One row per application with every input of the checks (left joins, 1:1 / many:1): the debt, CLTV and DTI checks
-    need neither lien items nor title history."""
+    need neither lien items nor title history. ``policies``: folder of the dated policy tables."""
     from .liens import position_columns
     a = D.app(spark, sf)
     ld = latest_decision(spark, sf).select(
@@ -187,13 +182,14 @@ def heloc_inputs(spark: SparkSession, sf: str, with_lien_items: bool = True, wit
                                                                        "recorded_position_high")},
             **{x: F.when(known, c(x)).otherwise(F.lit(True)) for x in ("foreclosure_settled", "foreclosure_settled_credit")},
         }).drop("has_history")
-    return df.withColumns({
+    df = df.withColumns({
         "fico": FN.resolve_score(c("hard_score"), c("soft_score")),
         "eff_date": effective_date(c("app_date"), c("mail_date"), c("respond_by"), c("flag")),
         "state_group": F.when(c("state").isin(*P.STRICT_STATES), "strict").otherwise("standard"),
         "is_approved": approved(c("status"), c("decision")),
         "is_declined": declined(c("status"), c("decision")),
     })
+    return with_policies(spark, df, policies)
 
 
 # ---------------------------------------------------------------------------
@@ -220,14 +216,14 @@ def credit_rules() -> list[tuple[str, Column, Column]]:
     inquiries = c("IQT9425") - (c("IQM9415") + c("IQA9415"))
     few = (inquiries < P.INQUIRIES_MIN) & (c("IQF9415") <= P.FINANCE_INQUIRIES_MAX)
     codes = fico.isin(*[float(x) for x in P.SCORE_CODES])
-    floor = score_floor(c("state_group"), eff)
+    floor = c("score_floor")
     in_band, low = F.lit(False), P.LOAN_MIN
     for lo, hi, high in P.LOAN_MAX_BY_SCORE:
         in_band = in_band | ((fico >= lo) & (fico < hi) & amount.between(low, high))
         low = high
     settled_or_none = (filed < 1) | (filed <= settled)
     return [
-        two_ways("Loan_Size_Knockout_Failure", (amount < P.LOAN_MIN) | (amount > max_loan(fico)), in_band, "DTI",
+        two_ways("Loan_Size_Knockout_Failure", (amount < P.LOAN_MIN) | (amount > c("max_loan")), in_band, "DTI",
                  recorded_dti() < P.LOAN_SIZE_DTI),
         two_ways("FICO_Knockout_Failure", (fico < floor) | (fico > P.SCORE_MAX) | codes,
                  (fico >= floor) & (fico <= P.SCORE_MAX) & ~codes, "CREDITSCORE"),
@@ -379,21 +375,13 @@ def with_ratios(spark: SparkSession, df: DataFrame) -> DataFrame:
         "t_adj_cltv": FN.cltv(c("owed"), c("t_adj_collateral")),
         "regime": regime_col(c("eff_date")),
     })
-    limits = small_frame(spark, "cltv_limits", list(P.CLTV_LIMITS),
-                         "l_regime string, l_lo int, l_hi int, cltv_limit double")
-    df = band_join(df, limits, equi=[(c("regime"), "l_regime")],
-                   ranges=[(c("fico"), "l_lo", "l_hi", True, False)]).drop("l_regime", "l_lo", "l_hi")
     owed, cl, adj, lim = c("owed"), c("t_cltv"), c("t_adj_cltv"), c("cltv_limit")
     fires = ((owed == 0) & ((cl > P.CLTV_ZERO_OWED) | (adj > P.CLTV_ZERO_OWED))) | \
             ((owed > 0) & ((cl > lim) | (adj > lim)))
     clears = ((owed == 0) & (cl <= P.CLTV_ZERO_OWED) & (adj <= P.CLTV_ZERO_OWED)) | \
              ((owed > 0) & (cl <= lim) & (adj <= lim))
-    dti_limit = (F.when(c("fico").between(620, 739) & (c("eff_date") < F.lit(P.REGIME_DATES["r3"])), 0.43)
-                  .when(c("fico").between(620, 739), 0.45)
-                  .when(c("fico") >= 740, 0.50))
-    dfires, dclears = c("t_dti") > dti_limit, c("t_dti") <= dti_limit
+    dfires, dclears = c("t_dti") > c("dti_limit"), c("t_dti") <= c("dti_limit")
     return df.withColumns({
-        "dti_limit": dti_limit,
         "cltv_check": first_label(two_way("CLTV_Decline_Failure", fires, clears, c("is_approved"), c("is_declined"),
                                           has_reason("CLTV"))),
         "dti_check": first_label(two_way("DTI_Decline_Failure", dfires, dclears, c("is_approved"), c("is_declined"),
@@ -406,9 +394,9 @@ def regime_col(eff: Column) -> Column:
     return regime(eff, sorted(P.REGIME_DATES.items(), key=lambda kv: kv[1]), first="r0")
 
 
-def ratio_checks(spark: SparkSession, sf: str) -> DataFrame:
+def ratio_checks(spark: SparkSession, sf: str, policies: str | None = None) -> DataFrame:
     """Debt, collateral, CLTV and DTI stages only (no lien summary / reason flags needed)."""
-    return with_ratios(spark, heloc_inputs(spark, sf, with_lien_items=False, with_history=False))
+    return with_ratios(spark, heloc_inputs(spark, sf, with_lien_items=False, with_history=False, policies=policies))
 
 
 def heloc_checks(spark: SparkSession, sf: str) -> DataFrame:

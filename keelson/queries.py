@@ -17,6 +17,7 @@ from .operators.membership import cohort, member_flag, not_in
 from .operators.nested import flatten
 from .operators.policy import effective_date, repair_date
 from .operators.reconcile import mismatches
+from .operators.asof import asof_join
 from .operators.rules import battery, version_difference
 from .plans import heloc as H
 from .plans import liens as LZ
@@ -343,11 +344,16 @@ def q_effective_date(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def q_policy_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Policy rows valid on the effective date and score band (broadcast band join)."""
+    """Policy rows in force on the effective date, by state group or score band (dated tables)."""
     df = H.ratio_checks(spark, sf)
-    return df.select("id", "fico", "regime", "cltv_limit", "dti_limit",
-                     H.score_floor(F.col("state_group"), F.col("eff_date")).alias("score_floor"),
-                     H.max_loan(F.col("fico")).alias("max_loan"))
+    return df.select("id", "fico", "regime", "cltv_limit", "dti_limit", "score_floor", "max_loan")
+
+
+@register
+def q_asof_lien(spark: SparkSession, sf: str) -> DataFrame:
+    """As-of join of two data-sized sides, the person's last lien document not after the application date."""
+    app = D.app(spark, sf).select("id", "person", "app_date")
+    return asof_join(app, D.liens(spark, sf), ["person"], "app_date", "document_date", ["lien_id", "category"])
 
 
 @register

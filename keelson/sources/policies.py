@@ -111,11 +111,10 @@ CLTV_LIMITS = [  # (regime, score_lo, score_hi exclusive, limit)
     ("r2", 720, 760, 0.90), ("r2", 760, 851, 0.95),
     ("r3", 640, 680, 0.65), ("r3", 680, 720, 0.80), ("r3", 720, 760, 0.80), ("r3", 760, 851, 0.80),
 ]
-# FIXED VALUES: DTI limits (620-739 band before / from the regime change; 740+)
-DTI_LIMITS = [  # (regime_from, score_lo, score_hi exclusive, limit)
-    ("before_r3", 620, 740, 0.43),
-    ("from_r3", 620, 740, 0.45),
-    ("any", 740, 100000, 0.50),
+# FIXED VALUES: DTI limits by score band; each date starts a version of the whole table
+DTI_LIMITS = [  # (valid_from, score_lo, score_hi exclusive, limit)
+    (MIN_DATE, 620, 740, 0.43), (MIN_DATE, 740, 100000, 0.50),
+    (REGIME_DATES["r3"], 620, 740, 0.45), (REGIME_DATES["r3"], 740, 100000, 0.50),
 ]
 # FIXED VALUES: collateral haircut parameters
 HAIRCUT_LOW_VALUE = 100000.0

@@ -50,11 +50,11 @@ BASE = {"fico": 700.0, "amount": 60000.0, "eff_date": dt.date(2000, 1, 1), "stat
         "ALM6270": 0.0, "IQT9425": 0.0, "IQM9415": 0.0, "IQA9415": 0.0, "IQF9415": 0.0, "ALL9220": 999999998.0, "ALL9120": 0.0,
         "ALL9121": 0.0, "ALL9122": 0.0, "MTF8169": 999999998.0, "facta_hit": None, "fraud_hit": None, "is_approved": True,
         "is_declined": False, "decline_codes": None, "rec_installment": 10.0, "rec_revolving": 10.0, "income": 1000.0,
-        "foreclosure_settled_credit": True}
+        "foreclosure_settled_credit": True, "score_floor": 640.0, "max_loan": 100000.0}
 SCHEMA = ("fico double, amount double, eff_date date, state_group string, MTA2126 double, COL3211 double, ALM6270 double, "
           "IQT9425 double, IQM9415 double, IQA9415 double, IQF9415 double, ALL9220 double, ALL9120 double, ALL9121 double, "
           "ALL9122 double, MTF8169 double, facta_hit boolean, fraud_hit boolean, is_approved boolean, is_declined boolean, "
-          "decline_codes array<string>, rec_installment double, rec_revolving double, income double, foreclosure_settled_credit boolean")
+          "decline_codes array<string>, rec_installment double, rec_revolving double, income double, foreclosure_settled_credit boolean, score_floor double, max_loan double")
 GONE = {"is_approved": False, "is_declined": True}
 CASES = [
     ({}, "PASS"),  # a "not available" sentinel is long ago, not just now
