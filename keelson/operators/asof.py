@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import edges_of, position
-from .policy import broadcast_bounded
+from .policy import is_small
 
 
 def asof_join(facts: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, valid_from: str, columns: Sequence[str],
@@ -47,6 +47,13 @@ def asof_join(facts: DataFrame, versions: DataFrame, keys: Sequence[str], at: st
     return out.select("_row.*", *[F.col(f"_found.{x}").alias(x) for x in columns])
 
 
+def policy_facts(policy: DataFrame) -> tuple[list, bool]:
+    """(first days of the versions, whether the table may be broadcast), asked once per DataFrame."""
+    if not hasattr(policy, "_facts"):
+        policy._facts = edges_of(policy, [F.col("valid_from")]), is_small(policy)
+    return policy._facts
+
+
 def in_force(df: DataFrame, policy: DataFrame, at: Column, value: str, name: str, keys: dict[str, Column] | None = None,
              band: Column | None = None) -> DataFrame:
     """``df`` with ``name``: the ``value`` of the policy row in force at ``at``.
@@ -54,7 +61,7 @@ def in_force(df: DataFrame, policy: DataFrame, at: Column, value: str, name: str
     ``policy`` holds whole versions: all rows with one ``valid_from`` replace the version before. ``keys`` maps its
     key columns to columns of ``df``; with ``band`` a row holds for ``lo <= band < hi``. NULL before the first
     version, and where the version has no such row."""
-    days = edges_of(policy, [F.col("valid_from")])
+    days, small = policy_facts(policy)
     keys = keys or {}
     rows = policy.select(position(F.col("valid_from"), days, False).alias("_v"), F.col(value).alias(name),
                          *[F.col(k).alias(f"_p{i}") for i, k in enumerate(keys)],
@@ -64,5 +71,5 @@ def in_force(df: DataFrame, policy: DataFrame, at: Column, value: str, name: str
         on = on & (own == F.col(f"_p{i}"))
     if band is not None:
         on = on & (band >= F.col("_lo")) & (band < F.col("_hi"))
-    out = df.withColumn("_at_v", position(at, days, False)).join(broadcast_bounded(rows), on, "left")
+    out = df.withColumn("_at_v", position(at, days, False)).join(F.broadcast(rows) if small else rows, on, "left")
     return out.drop("_at_v", "_v", "_lo", "_hi", *[f"_p{i}" for i in range(len(keys))])

@@ -45,10 +45,14 @@ def regime(date: Column, boundaries: Sequence[tuple[str, object]], first: str =
 MAX_POLICY_ROWS = 100_000
 
 
+def is_small(df: DataFrame, max_rows: int = MAX_POLICY_ROWS) -> bool:
+    """Whether a policy table may be broadcast: counted, no further than the bound."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_bounded(df: DataFrame, max_rows: int = MAX_POLICY_ROWS) -> DataFrame:
-    """Broadcast a policy table after counting it (no further than the bound); a larger one is joined as any
-    other table."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Broadcast a policy table within the bound; a larger one is joined as any other table."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def band_join(df: DataFrame, bands: DataFrame,

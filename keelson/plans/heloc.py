@@ -109,35 +109,41 @@ def lien_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def loan_facts(loan: Column, sale: Column) -> Column:
-    """Three-valued tests of one loan. ``open``: a foreclosed or unknown loan that is unpaid, dated, taken and
-    recorded since the last sale and has an amount (``open_any_amount``: or none). ``settled``: no foreclosure, or one
-    that is paid, undated, from before the last sale or without amount; undated means that one date is missing, for
-    the credit rule that both are. ``high``: its recorded position is above the earlier limit."""
-    taken, recorded = (loan[x].try_cast("date") for x in ("origination_date", "recording_date"))
-    paid = loan["payoff_date"].try_cast("date").isNotNull()
-    no_taken, no_recorded = loan["origination_date"].isNull(), loan["recording_date"].isNull()
-    listed = loan["status"].isin(*P.FORECLOSURE_STATUSES)
-    unpaid = listed & ~paid & ~no_recorded & ~no_taken & (taken >= sale) & (recorded >= sale)
-    past = (taken < sale) | (recorded < sale) | loan["amount"].isNull()
-    return F.struct((unpaid & loan["amount"].isNotNull()).alias("open"), unpaid.alias("open_any_amount"),
-                    (~listed | (listed & (paid | (no_recorded | no_taken) | past))).alias("settled"),
-                    (~listed | (listed & (paid | (no_recorded & no_taken) | past))).alias("settled_credit"),
-                    (loan["lien_position"] > P.MAX_RECORDED_POSITION).alias("high"))
+def dated(loan: Column) -> Column:
+    """A loan with its dates read once."""
+    return F.struct(loan["status"].isin(*P.FORECLOSURE_STATUSES).alias("listed"), loan["payoff_date"].try_cast("date").isNotNull().alias("paid"),
+                    loan["origination_date"].isNull().alias("no_taken"), loan["recording_date"].isNull().alias("no_recorded"),
+                    loan["origination_date"].try_cast("date").alias("taken"), loan["recording_date"].try_cast("date").alias("recorded"),
+                    loan["amount"].isNull().alias("no_amount"))
+
+
+def loan_facts(x: Column, sale: Column) -> Column:
+    """Three-valued tests of a :func:`dated` loan. ``open``: a foreclosed or unknown loan that is unpaid, dated, taken
+    and recorded since the last sale and has an amount (``open_any_amount``: or none). ``settled``: no foreclosure, or
+    one that is paid, undated, from before the last sale or without amount; undated means that one date is missing, for
+    the credit rule that both are."""
+    unpaid = x["listed"] & ~x["paid"] & ~x["no_recorded"] & ~x["no_taken"] & (x["taken"] >= sale) & (x["recorded"] >= sale)
+    past = x["paid"] | (x["taken"] < sale) | (x["recorded"] < sale) | x["no_amount"]
+    return F.struct((unpaid & ~x["no_amount"]).alias("open"), unpaid.alias("open_any_amount"),
+                    (~x["listed"] | (x["listed"] & (past | x["no_recorded"] | x["no_taken"]))).alias("settled"),
+                    (~x["listed"] | (x["listed"] & (past | (x["no_recorded"] & x["no_taken"])))).alias("settled_credit"))
 
 
 def title_history(spark: SparkSession, sf: str) -> DataFrame:
     """B14 — per application, over all loans of all its properties: an open foreclosure exists (also as an earlier
     version counts it), every loan is settled (for the property and the credit rule), a recorded position above the
     earlier limit exists. Three-valued, one aggregate, loans are not unnested."""
-    sale = c("last_sale_date").try_cast("date")
-    h = D.property_history(spark, sf).select("id", F.transform(
-        "financial_history.finance_history_attributes", lambda f: loan_facts(f, sale)).alias("loans"))
+    h = D.property_history(spark, sf).select("id", c("last_sale_date").try_cast("date").alias("sale"),
+                                             c("financial_history.finance_history_attributes").alias("loans"))
+    # a loan of another status is neither open nor unsettled: it decides no quantifier
+    judged = F.filter("loans", lambda f: f["status"].isNull() | f["status"].isin(*P.FORECLOSURE_STATUSES))
+    h = h.select("id", any_of(c("loans"), lambda f: f["lien_position"] > P.MAX_RECORDED_POSITION).alias("high"),
+                 F.transform(F.transform(judged, dated), lambda x: loan_facts(x, c("sale"))).alias("loans"))
     loans = c("loans")
     return quantify(h, ["id"], any_rows={
         "foreclosure_open": any_of(loans, lambda f: f["open"]),
         "foreclosure_open_any_amount": any_of(loans, lambda f: f["open_any_amount"]),
-        "recorded_position_high": any_of(loans, lambda f: f["high"]),
+        "recorded_position_high": c("high"),
     }, all_rows={
         "foreclosure_settled": all_of(loans, lambda f: f["settled"]),
         "foreclosure_settled_credit": all_of(loans, lambda f: f["settled_credit"]),
@@ -158,7 +164,12 @@ def heloc_inputs(spark: SparkSession, sf: str, with_lien_items: bool = True, wit
     """One row per application with every input of the checks (left joins, 1:1 / many:1): the debt, CLTV and DTI checks
     need neither lien items nor title history. ``policies``: folder of the dated policy tables."""
     from .liens import position_columns
-    a = D.app(spark, sf)
+    # limits meet the narrow application first, so that wide stages carry values, not lookups
+    a = with_policies(spark, D.app(spark, sf).withColumns({
+        "fico": FN.resolve_score(c("hard_score"), c("soft_score")),
+        "eff_date": effective_date(c("app_date"), c("mail_date"), c("respond_by"), c("flag")),
+        "state_group": F.when(c("state").isin(*P.STRICT_STATES), "strict").otherwise("standard"),
+    }), policies)
     ld = latest_decision(spark, sf).select(
         "id",
         c("uw_packet.home_amount").alias("stated_value"),
@@ -182,14 +193,10 @@ def heloc_inputs(spark: SparkSession, sf: str, with_lien_items: bool = True, wit
                                                                        "recorded_position_high")},
             **{x: F.when(known, c(x)).otherwise(F.lit(True)) for x in ("foreclosure_settled", "foreclosure_settled_credit")},
         }).drop("has_history")
-    df = df.withColumns({
-        "fico": FN.resolve_score(c("hard_score"), c("soft_score")),
-        "eff_date": effective_date(c("app_date"), c("mail_date"), c("respond_by"), c("flag")),
-        "state_group": F.when(c("state").isin(*P.STRICT_STATES), "strict").otherwise("standard"),
+    return df.withColumns({
         "is_approved": approved(c("status"), c("decision")),
         "is_declined": declined(c("status"), c("decision")),
     })
-    return with_policies(spark, df, policies)
 
 
 # ---------------------------------------------------------------------------
