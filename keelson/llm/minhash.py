@@ -12,8 +12,8 @@ for a pair, over the choice of the hash function.
 3. The leader of each list (the node with most shared values) meets every other member: linear in
    the list. Verified links make components.
 4. In lists that still span several components all pairs of different components meet, long lists
-   in blocks that go to tasks of their own, with sketches of ``LONG`` values. Only pairs that the
-   union-sketch estimate lets through leave the task; where the sketches are whole sets the estimate is
+   in blocks that go to tasks of their own, with sketches of ``LONG`` values; the first list that
+   two nodes share answers for them. Only pairs that the union-sketch estimate lets through leave the task; where the sketches are whole sets the estimate is
    exact, and a forest of the links is enough.
 5. Every candidate pair is verified by the exact Jaccard of the full shingle sets, compared as
    words, not hashes.
@@ -178,16 +178,25 @@ def let_through(n1, n2, shared, size, k: int, percent: int) -> tuple[np.ndarray,
     return np.where(whole, exact, shared >= np.minimum(least, size)), whole & exact
 
 
+def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least value that both rows of ascending lists hold (they share one), so that one list answers for a pair."""
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != np.iinfo(np.int64).max)
+    return both[np.arange(len(both)), twice.argmax(1)]
+
+
 def short_lists(rows, starts: np.ndarray, length: int, k: int, percent: int):
     """(pairs, sure) of all lists (or pairs of blocks) of one short length at once."""
     i, j = np.triu_indices(length, 1)
     a, b = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
-    n, comp, side, mixed, node, sketch = rows
+    n, comp, side, mixed, node, sketch, lists, value = rows
     low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
     ok = np.flatnonzero((comp[a] != comp[b]) & (low * 100 >= high * percent) & (~mixed[a] | (side[a] != side[b])))
     a, b, found = a[ok], b[ok], []
     for at in range(0, len(a), 1024):
         x, y = a[at:at + 1024], b[at:at + 1024]
+        ok = first_shared(lists[x], lists[y]) == value[x]
+        x, y = x[ok], y[ok]
         shared, size = overlap_estimate(sketch[x], sketch[y], k)
         ok, sure = let_through(n[x], n[y], shared, size, k, percent)
         found.append(np.stack([node[x[ok]], node[y[ok]], sure[ok]], 1))
@@ -198,7 +207,7 @@ def long_list(rows, k: int, percent: int):
     """(pairs, sure) of one long list (or two of its blocks): shared values are tallied member by member over
     the values inside the list. Where sketches are whole sets the tally is exact, and one link to each set of
     members linked so far is enough."""
-    n, comp, side, mixed, node, sketch = rows
+    n, comp, side, mixed, node, sketch, lists, value = rows
     real = sketch != np.iinfo(np.int64).max
     owner = np.repeat(np.arange(len(node)), real.sum(1))
     _, code = np.unique(sketch[real], return_inverse=True)
@@ -224,19 +233,28 @@ def long_list(rows, k: int, percent: int):
         j = np.flatnonzero(ok & ~(whole & whole[i]) & (shared >= surely_shared(k, percent)))
         for at in range(0, len(j), 1024):
             part = j[at:at + 1024]
+            part = part[first_shared(np.broadcast_to(lists[i], (len(part), lists.shape[1])), lists[part]) == value[i]]
             both, size = overlap_estimate(np.broadcast_to(sketch[i], (len(part), k)), sketch[part], k)
             part = part[let_through(n[i], n[part], both, size, k, percent)[0]]
             found.append(np.stack([np.full(len(part), node[i]), node[part], np.zeros(len(part), np.int64)], 1))
     return found
 
 
-def list_pairs(batches, k: int, percent: int):
-    """Candidate pairs of a sorted partition; columns _value, _i, _j, _node, _n, _comp, _side, _long."""
-    def emit(keys, sketch):
+def padded(lists: pa.ListArray, width: int) -> np.ndarray:
+    """Lists of numbers as rows of a matrix that end in the largest number."""
+    size = np.diff(lists.offsets.to_numpy())
+    out = np.full((len(size), width), np.iinfo(np.int64).max)
+    out[np.arange(width) < size[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def list_pairs(batches, k: int, percent: int, width: int):
+    """Candidate pairs of a sorted partition; columns _value, _i, _j, _node, _n, _comp, _side, _long, _lists."""
+    def emit(keys, sketch, lists):
         node, n, comp, side, mixed = keys[:, 3], keys[:, 4], keys[:, 5], keys[:, 6], keys[:, 1] != keys[:, 2]
         cut = np.flatnonzero(np.append(True, (keys[1:, :3] != keys[:-1, :3]).any(1)))
         size = np.diff(np.append(cut, len(keys)))
-        rows, found = (n, comp, side, mixed, node, sketch), [np.zeros((0, 3), np.int64)]
+        rows, found = (n, comp, side, mixed, node, sketch, lists, keys[:, 0]), [np.zeros((0, 3), np.int64)]
         for length in np.unique(size[size > 1]).tolist():
             starts = cut[size == length]
             if length <= 32:
@@ -254,19 +272,15 @@ def list_pairs(batches, k: int, percent: int):
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
             keys = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in range(7)], 1).astype(np.int64)
-            lists = part.column(7)
-            size = np.diff(lists.offsets.to_numpy())
-            sketch = np.full((len(keys), k), np.iinfo(np.int64).max)
-            sketch[np.arange(k) < size[:, None]] = lists.flatten().to_numpy()
-            held.append((keys, sketch))
+            held.append((keys, padded(part.column(7), k), padded(part.column(8), width)))
             if (keys[-1, :3] == held[0][0][0, :3]).all():
                 continue  # one list so far: wait for its end
-            keys, sketch = (np.concatenate([h[c] for h in held]) for c in (0, 1))
-            end = int(np.flatnonzero((keys[:, :3] != keys[-1, :3]).any(1))[-1]) + 1
-            held = [(keys[end:], sketch[end:])]
-            yield emit(keys[:end], sketch[:end])
+            whole = [np.concatenate([h[c] for h in held]) for c in range(3)]
+            end = int(np.flatnonzero((whole[0][:, :3] != keys[-1, :3]).any(1))[-1]) + 1
+            held = [tuple(x[end:] for x in whole)]
+            yield emit(*(x[:end] for x in whole))
     if held:
-        yield emit(*(np.concatenate([h[c] for h in held]) for c in (0, 1)))
+        yield emit(*(np.concatenate([h[c] for h in held]) for c in range(3)))
 
 
 def long_sketches(texts: DataFrame, width: int, k: int, bits: int) -> DataFrame:
@@ -296,14 +310,15 @@ def remaining_pairs(entries: DataFrame, texts: DataFrame, comps: DataFrame, widt
                       .where("_one <> _two").select("_value", F.ceil(F.col("_length") / block).alias("_blocks")), "open-lists")
     zero = F.lit(0).cast("long")
     met = save(named.join(unbounded(open_lists), "_value"), "open-entries")
-    own = texts.join(unbounded(met.select(F.col("_node").alias("_row")).distinct()), "_row")
-    dealt = (met.join(unbounded(long_sketches(own, width, k, bits)), "_node")
+    in_lists = met.groupBy("_node").agg(F.sort_array(F.collect_list("_value")).alias("_lists"))  # at most SKETCH
+    own = texts.join(unbounded(in_lists.select(F.col("_node").alias("_row"))), "_row")
+    dealt = (met.join(unbounded(long_sketches(own, width, k, bits)), "_node").join(unbounded(in_lists), "_node")
              .withColumn("_side", F.pmod(F.xxhash64("_node"), F.col("_blocks")))
              .withColumn("_other", F.explode(F.sequence(zero, F.col("_blocks") - 1)))
              .select("_value", F.least("_side", "_other").alias("_i"), F.greatest("_side", "_other").alias("_j"),
-                     "_node", "_n", "_comp", "_side", "_long"))
+                     "_node", "_n", "_comp", "_side", "_long", "_lists"))
     dealt = dealt.repartition(partitions(spark), "_value", "_i", "_j").sortWithinPartitions("_value", "_i", "_j", "_node")
-    return dealt.mapInArrow(lambda batches: list_pairs(batches, k, percent), "a bigint, b bigint, sure boolean").distinct()
+    return dealt.mapInArrow(lambda batches: list_pairs(batches, k, percent, SKETCH), "a bigint, b bigint, sure boolean").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, percent: int = PERCENT, party: int = PARTY) -> DataFrame:
