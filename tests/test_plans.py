@@ -20,28 +20,6 @@ def test_no_cartesian_or_nested_loop_join(spark, name):
     assert "BroadcastNestedLoopJoin" not in p
 
 
-def _jobs():
-    import __spark_entry__ as E
-    return sorted(set(E.queries()) - set(QUERIES))
-
-
-@pytest.mark.parametrize("name", _jobs())
-def test_no_cartesian_or_nested_loop_join_in_saved_tables(spark, monkeypatch, name):
-    import sys
-
-    import __spark_entry__ as E
-    from keelson.llm import common
-    plans, save = [], common.save
-
-    def noted(df, *args):
-        plans.append(plan(df))
-        return save(df, *args)
-    for module in [m for n, m in sys.modules.items() if n.startswith("keelson.llm.") and hasattr(m, "save")]:
-        monkeypatch.setattr(module, "save", noted)
-    plans.append(plan(E.queries()[name](spark, SF_SMALL)))
-    assert not any(join in p for p in plans for join in ("CartesianProduct", "BroadcastNestedLoopJoin"))
-
-
 def test_latest_uses_partial_window_group_limit(spark):
     p = plan(QUERIES["q_latest_single"](spark, SF_SMALL))
     assert "WindowGroupLimit" in p
