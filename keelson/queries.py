@@ -851,5 +851,5 @@ def q_property_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def q_refi_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    """Nine recomputed-vs-recorded refinance figures at whole-dollar / 2-digit tolerance."""
+    """Twelve recomputed-vs-recorded refinance figures at whole-dollar / 2-digit tolerance."""
     return R.refi_checks(spark, sf).select("id", *R.MATCH_COLUMNS)
