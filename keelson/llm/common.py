@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run without space, tab, line feed, vertical tab, form feed or carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Spark deletes the shuffle files of a query when it ends, not when the driver next collects its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,10 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, so a lost
-    executor costs a reread, and branches that use the table share one computation."""
+    executor costs a reread, and branches that use the table share one computation. What the write
+    shuffled leaves the executors' disks at once: nothing reads it after the table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
