@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.chunks import (chunks_of, numbered, pack, pack_docs, restored, span_rows, unpack, unpack_docs,
                                 unpack_spans)
-from keelson.llm.common import mix64, partitions, read, save, text_bytes
+from keelson.llm.common import buffers, mix64, partitions, read, save, text_bytes
 
 WINDOW = 20
 CHUNK_BYTES = 8 << 20
@@ -39,13 +39,17 @@ HASH = np.dtype("V16")  # both polynomials of a window
 PACKED = "_bucket int, _chunk_key bigint, _chunk_dup int, _info boolean, _hashes binary, _at binary, _docs binary"
 
 
+#: Words whose hashes a task remembers, and bytes of packed windows it gathers before it sends them.
+WORDS_KEPT, SEND_BYTES = 1 << 18, 2 << 20
+
+
 class WordHashes(dict):
-    """128-bit hash of a word, remembered for up to a million words."""
+    """128-bit hash of a word, remembered for up to ``WORDS_KEPT`` words."""
 
     def __missing__(self, word: bytes) -> bytes:
         from xxhash import xxh3_128_digest
 
-        if len(self) >= 1 << 20:
+        if len(self) >= WORDS_KEPT:
             self.clear()
         h = self[word] = xxh3_128_digest(word)
         return h
@@ -56,61 +60,71 @@ def rolling(values: np.ndarray, base: int, window: int) -> np.ndarray:
     n = len(values)
     if n < window:
         return np.zeros(0, np.uint64)
-    up = np.ones(n, np.uint64)
-    up[1:] = base
-    np.multiply.accumulate(up, out=up)
-    down = np.ones(n - window + 1, np.uint64)
-    down[1:] = pow(base, -1, 1 << 64)
+    powers = np.full(n, base, np.uint64)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    powers *= values
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(powers, out=sums[1:])
+    out = sums[window:] - sums[:-window]
+    down = powers[:len(out)]  # its memory serves again for the powers of the inverse
+    down[:] = pow(base, -1, 1 << 64)
+    down[0] = 1
     np.multiply.accumulate(down, out=down)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up)])
-    return (sums[window:] - sums[:-window]) * down
+    out *= down
+    return out
 
 
 def chunk_windows(data: np.ndarray, off: np.ndarray, hashes: WordHashes, window: int):
     """(words of each document, index of the first word of every window, two hashes of every window)."""
-    raw = data.tobytes()
-    values, counts = [], np.zeros(len(off) - 1, np.int64)
-    ends = off.tolist()
-    for d in range(len(counts)):
-        words = raw[ends[d]:ends[d + 1]].split()
+    raw, counts = bytearray(), np.zeros(len(off) - 1, np.int64)
+    for d, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+        words = data[a:b].tobytes().split()
         counts[d] = len(words)
-        values.append(b"".join(map(hashes.__getitem__, words)))
-    values = np.frombuffer(b"".join(values), np.uint64).reshape(-1, 2)
-    last = np.repeat(np.cumsum(counts), counts)  # end of each word's document
-    at = np.flatnonzero(np.arange(len(values)) + window <= last)
+        raw += b"".join(map(hashes.__getitem__, words))
+    values = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    inside = np.ones(len(values), bool)  # false for the last words of each document, where no window starts
+    ends = np.cumsum(counts)
+    for d in np.flatnonzero(counts).tolist():
+        inside[max(ends[d] - counts[d], ends[d] - window + 1):ends[d]] = False
+    at = np.flatnonzero(inside)
     one = mix64(rolling(mix64(values[:, 0]), BASES[0], window)[at])
     two = mix64(rolling(mix64(values[:, 1]), BASES[1], window)[at])
     return counts, at, one, two
 
 
+def first_windows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether no window before has both hashes of this one."""
+    order = np.lexsort((two, one))
+    again = one[order[1:]] == one[order[:-1]]
+    again &= two[order[1:]] == two[order[:-1]]
+    first = np.ones(len(order), bool)
+    first[order[1:][again]] = False
+    return first
+
+
 def packed_windows(batches, buckets: int, window: int, chunk_bytes: int):
     hashes = WordHashes()
     names = [c.split()[0] for c in PACKED.split(", ")]
     for keys, dups, data, off in chunks_of(batches, chunk_bytes):
         counts, at, one, two = chunk_windows(data, off, hashes, window)
-        order = np.lexsort((two, one))
-        s1, s2 = one[order], two[order]
-        again = np.zeros(len(order), bool)
-        again[1:] = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
-        repeats = np.sort(at[order[again]])
-        fresh = np.sort(order[~again])
-        at, both = at[fresh], np.stack([one[fresh], two[fresh]], 1)
-        bucket = (both[:, 1] % np.uint64(buckets)).astype(np.int32)
-        doc = np.searchsorted(np.cumsum(counts), at, "right")
-        rows = [(int(np.uint64(int(keys[0]) & (1 << 63) - 1) % np.uint64(buckets)), True, b"", pack(repeats),
+        first = first_windows(one, two)
+        rows = [(int(np.uint64(int(keys[0]) & (1 << 63) - 1) % np.uint64(buckets)), True, b"", pack(at[~first]),
                  pack_docs(keys, dups, counts))]
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets < len(order) else \
-            np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order)) if len(order) else [0]
+        at, one, two = at[first], one[first], two[first]
+        ends, size = np.cumsum(counts), 0
+        bucket = (two % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable").astype(np.int32)
+        cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
         for a, b in zip(cut[:-1], cut[1:]):
-            if b > a:
-                own = order[a:b]
-                used, n = np.unique(doc[own], return_counts=True)
-                rows.append((int(bucket[own[0]]), False, both[own].tobytes(), pack(at[own]),
-                             pack_docs(keys[used], dups[used], n)))
-            if len(rows) >= 256:
+            own = order[a:b]
+            used, n = np.unique(np.searchsorted(ends, at[own], "right"), return_counts=True)
+            rows.append((int(bucket[own[0]]), False, np.stack([one[own], two[own]], 1).tobytes(), pack(at[own]),
+                         pack_docs(keys[used], dups[used], n)))
+            size += sum(map(len, rows[-1][2:]))
+            if size >= SEND_BYTES:
                 yield packed_batch(rows, keys[0], dups[0], names)
-                rows = []
+                rows, size = [], 0
         if rows:
             yield packed_batch(rows, keys[0], dups[0], names)
 
@@ -129,17 +143,18 @@ REPLY = "_chunk_key bigint, _chunk_dup int, _docs binary, _again binary"
 def count_bucket(table: pa.Table) -> pa.Table:
     """The windows of one bucket that are not the first of their hash, packed by chunk; chunk
     descriptions pass through."""
-    info, key, dup, hashes, at, docs = (table.column(i).to_pylist() for i in (3, 1, 2, 4, 5, 6))
+    info, key, dup, at, docs = (table.column(i).to_pylist() for i in (3, 1, 2, 5, 6))
     out = [(key[i], dup[i], docs[i], at[i]) for i in range(len(info)) if info[i]]
     rows = [i for i in range(len(info)) if not info[i]]
-    size = np.array([len(hashes[i]) // HASH.itemsize for i in rows], np.int64)
-    h = np.frombuffer(b"".join(hashes[i] for i in rows), np.uint64).reshape(-1, 2)
+    data, off = buffers(table.column(4).combine_chunks())  # descriptions hold no hashes
+    size = np.diff(off)[rows] // HASH.itemsize
+    h = data.view(np.uint64).reshape(-1, 2)
     order = np.lexsort(h.T)
-    s = h[order]
-    same = (s[1:] == s[:-1]).all(1)
-    value = np.zeros(len(h), np.int64)  # number of each hash among those of the bucket
-    value[order] = np.cumsum(np.append(False, ~same))[:len(h)]
-    many = np.zeros(len(s), bool)
+    same = h[order[1:], 0] == h[order[:-1], 0]
+    same &= h[order[1:], 1] == h[order[:-1], 1]
+    value = np.zeros(len(h), np.int32)  # number of each hash among those of the bucket
+    value[order] = np.cumsum(np.append(False, ~same), dtype=np.int32)[:len(h)]
+    many = np.zeros(len(h), bool)
     many[1:] |= same
     many[:-1] |= same
     pick = np.sort(order[many])  # entries whose hash occurs again, by row

@@ -251,3 +251,23 @@ def test_registered_queries_cover_all_ten():
     names = E.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
     assert SMALL
+
+
+def test_substring_dedup_packs_a_large_batch_in_bounded_memory():
+    """What the task holds beside its 25 MB batch, the packed windows it has sent apart."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = random.Random(4)
+    words = [f"{rng.getrandbits(24):x}" for _ in range(50000)]
+    texts = [" ".join(rng.choices(words, k=380)).encode() for _ in range(9500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int32()),
+                                        pa.array(texts, pa.binary())], ["_key", "_dup", "_text"])
+    assert sum(map(len, texts)) > 23 << 20
+    del texts, words
+    tracemalloc.start()
+    sent = sum(b.num_rows for b in substring_dedup.packed_windows([batch], 42, 20, substring_dedup.CHUNK_BYTES))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent and peak < 140 << 20, peak >> 20
