@@ -2,16 +2,19 @@
 
 1. A task reads chunks of documents, hashes every window of ``WINDOW`` words by two rolling
    polynomials and keeps the first window of each hash in the chunk (later ones are repeats
-   already). Hashes travel packed, one row per (chunk, bucket), with the documents of its windows;
-   the table of all documents goes once per chunk.
-2. A bucket counts its hashes over all chunks; of each hash that occurs again, all windows but the
-   first (by document, then position) go back to their chunk as positions.
-3. A chunk merges its repeated windows into maximal removal intervals per document.
-4. Documents meet their intervals and keep the other words.
+   already). Of each it sends 32 bits of hash to a bucket, packed, one row per (chunk, bucket); the
+   table of all documents goes once per chunk.
+2. A bucket counts these tags over all chunks; windows whose tag occurs again are suspects, and
+   go back to their chunk as positions, which hands them to their documents.
+3. Documents with suspects meet their texts. Their suspect windows alone go to a bucket with both hashes
+   in full; of each hash that occurs again, all windows but the first (by document, then position)
+   go back as positions.
+4. A chunk merges its repeated windows into maximal removal intervals per document.
+5. Documents meet their intervals and keep the other words.
 
 A hash that every document contains sends one entry per chunk, not one per occurrence. Words have 128-bit
-hashes; each half has a polynomial of its own. The second one picks the bucket, and windows compare by
-all 128 bits of both.
+hashes; each half has a polynomial of its own. The second one picks the bucket. Tags only choose suspects: windows
+compare by all 128 bits of both hashes, so a tag that two hashes share costs a comparison and removes nothing.
 
 Rules: a null text has no words; a text under ``WINDOW`` words has no window and stays whole. Null ids
 sort first. Rows that share an id are taken in the order of their texts, one after another.
@@ -19,7 +22,7 @@ sort first. Rows that share an id are taken in the order of their texts, one aft
 
 from __future__ import annotations
 
-import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.chunks import (chunks_of, numbered, pack, pack_docs, restored, span_rows, unpack, unpack_docs,
                                 unpack_spans)
-from keelson.llm.common import buffers, mix64, partitions, read, save, text_bytes
+from keelson.llm.common import buffers, mix64, partitions, read, save, text_bytes, unbounded
 
 WINDOW = 20
 CHUNK_BYTES = 8 << 20
@@ -103,30 +106,119 @@ def first_windows(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return first
 
 
-def packed_windows(batches, buckets: int, window: int, chunk_bytes: int):
-    hashes = WordHashes()
+def bucketed(two: np.ndarray, buckets: int):
+    """(bucket, its entries in ascending order) of each bucket that has any."""
+    bucket = (two % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable").astype(np.int32)
+    cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def sent(rows, key, dup):
+    """Rows as Arrow batches of about ``SEND_BYTES``."""
     names = [c.split()[0] for c in PACKED.split(", ")]
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(map(len, row[2:]))
+        if size >= SEND_BYTES:
+            yield packed_batch(held, key, dup, names)
+            held, size = [], 0
+    if held:
+        yield packed_batch(held, key, dup, names)
+
+
+def described(keys, dups, counts, repeats, buckets):
+    """The row that describes a chunk: its documents, and the windows known to be repeats."""
+    bucket = int(np.uint64(int(keys[0]) & (1 << 63) - 1) % np.uint64(buckets))
+    return bucket, True, b"", pack(repeats), pack_docs(keys, dups, counts)
+
+
+def packed_tags(batches, buckets: int, window: int, chunk_bytes: int):
+    """32 bits of hash of the first window of each hash of a chunk."""
+    hashes = WordHashes()
     for keys, dups, data, off in chunks_of(batches, chunk_bytes):
         counts, at, one, two = chunk_windows(data, off, hashes, window)
         first = first_windows(one, two)
-        rows = [(int(np.uint64(int(keys[0]) & (1 << 63) - 1) % np.uint64(buckets)), True, b"", pack(at[~first]),
-                 pack_docs(keys, dups, counts))]
-        at, one, two = at[first], one[first], two[first]
-        ends, size = np.cumsum(counts), 0
-        bucket = (two % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable").astype(np.int32)
-        cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-        for a, b in zip(cut[:-1], cut[1:]):
-            own = order[a:b]
-            used, n = np.unique(np.searchsorted(ends, at[own], "right"), return_counts=True)
-            rows.append((int(bucket[own[0]]), False, np.stack([one[own], two[own]], 1).tobytes(), pack(at[own]),
-                         pack_docs(keys[used], dups[used], n)))
-            size += sum(map(len, rows[-1][2:]))
-            if size >= SEND_BYTES:
-                yield packed_batch(rows, keys[0], dups[0], names)
-                rows, size = [], 0
-        if rows:
-            yield packed_batch(rows, keys[0], dups[0], names)
+        info = described(keys, dups, counts, at[~first], buckets)
+        at, two, tags = at[first], two[first], (one[first] >> np.uint64(32)).astype(np.uint32)
+        del one, first
+        blobs = ((b, False, tags[own].tobytes(), pack(at[own]), b"") for b, own in bucketed(two, buckets))
+        yield from sent(chain([info], blobs), keys[0], dups[0])
+
+
+def count_tags(table: pa.Table) -> pa.Table:
+    """The windows of one bucket whose tag occurs again, packed by chunk; chunk descriptions pass through."""
+    info, key, dup, at, docs = (table.column(i).to_pylist() for i in (3, 1, 2, 5, 6))
+    out = [(key[i], dup[i], docs[i], at[i]) for i in range(len(info)) if info[i]]
+    data, off = buffers(table.column(4).combine_chunks())
+    tags = data.view(np.uint32)
+    order = np.argsort(tags, kind="stable")
+    same = tags[order[1:]] == tags[order[:-1]]
+    many = np.zeros(len(tags), bool)
+    many[order[1:]] = same
+    many[order[:-1]] |= same
+    for i, (a, b) in enumerate(zip(off[:-1] // 4, off[1:] // 4)):
+        if many[a:b].any():
+            out.append((key[i], dup[i], None, pack(unpack(at[i])[many[a:b]])))
+    return reply_table(out)
+
+
+SUSPECTS = "_key bigint, _dup int, _settled binary, _suspect binary"
+
+
+def chunk_suspects(table: pa.Table) -> pa.Table:
+    """Of each document of a chunk, the windows that are repeats and those that may be, by position in the document."""
+    docs, found = table.column(2).to_pylist(), table.column(3).to_pylist()
+    keys, dups, counts = unpack_docs(next(x for x in docs if x is not None))
+    start = np.concatenate([[0], np.cumsum(counts)])
+    both = []
+    for wanted in (True, False):
+        at = np.sort(np.concatenate([np.zeros(0, np.int64)] +
+                                    [unpack(x) for x, d in zip(found, docs) if (d is not None) == wanted]))
+        both.append((at, np.searchsorted(at, start)))
+    (known, k), (maybe, m) = both
+    rows = [(int(keys[d]), int(dups[d]), pack(known[k[d]:k[d + 1]] - start[d]), pack(maybe[m[d]:m[d + 1]] - start[d]))
+            for d in np.flatnonzero((np.diff(k) > 0) | (np.diff(m) > 0)).tolist()]
+    cols = list(zip(*rows)) or [[], [], [], []]
+    return pa.table({"_key": pa.array(cols[0], pa.int64()), "_dup": pa.array(cols[1], pa.int32()),
+                     "_settled": pa.array(cols[2], pa.binary()), "_suspect": pa.array(cols[3], pa.binary())})
+
+
+def named_windows(keys, dups, counts, marks: dict, column: int) -> np.ndarray:
+    """Windows that the marks of a chunk's documents name, by position in the chunk."""
+    start = np.cumsum(counts) - counts
+    return np.concatenate([np.zeros(0, np.int64)] + [
+        unpack(marks[d][column]) + a for d, a in zip(zip(keys.tolist(), dups.tolist()), start.tolist())])
+
+
+def packed_windows(batches, buckets: int, window: int, chunk_bytes: int):
+    """Both hashes of the first window of each hash of a chunk, with the documents of these windows. Where rows
+    carry marks (settled, suspect), of the suspect windows alone."""
+    hashes = WordHashes()
+    for batch in batches:
+        marks = {(k, d): m for k, d, *m in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)))} \
+            if batch.num_columns > 3 else None
+        for keys, dups, data, off in chunks_of([batch], chunk_bytes):
+            counts, at, one, two = chunk_windows(data, off, hashes, window)
+            repeats = at[:0]
+            if marks is not None:
+                repeats = named_windows(keys, dups, counts, marks, 0)
+                own = np.searchsorted(at, named_windows(keys, dups, counts, marks, 1))
+                at, one, two = at[own], one[own], two[own]
+            first = first_windows(one, two)
+            info = described(keys, dups, counts, np.sort(np.concatenate([repeats, at[~first]])), buckets)
+            yield from sent(chain([info], window_blobs(at[first], one[first], two[first], keys, dups, counts, buckets)),
+                            keys[0], dups[0])
+
+
+def window_blobs(at, one, two, keys, dups, counts, buckets: int):
+    ends = np.cumsum(counts)
+    for bucket, own in bucketed(two, buckets):
+        used, n = np.unique(np.searchsorted(ends, at[own], "right"), return_counts=True)
+        yield (bucket, False, np.stack([one[own], two[own]], 1).tobytes(), pack(at[own]),
+               pack_docs(keys[used], dups[used], n))
 
 
 def packed_batch(rows, key, dup, names):
@@ -211,7 +303,12 @@ def removal_spans(rows: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUN
     """(_key, _dup, _spans) of numbered documents that lose words."""
     spark = rows.sparkSession
     buckets = max(partitions(spark), text_bytes(rows, "_text") // bucket_bytes)
-    packed = rows.mapInArrow(lambda batches: packed_windows(batches, buckets, window, chunk_bytes), PACKED)
+    tags = rows.mapInArrow(lambda batches: packed_tags(batches, buckets, window, chunk_bytes), PACKED)
+    suspects = save(tags.groupBy("_bucket").applyInArrow(count_tags, REPLY)
+                    .groupBy("_chunk_key", "_chunk_dup").applyInArrow(chunk_suspects, SUSPECTS), "word-suspects")
+    # The merge join sorts by document, so a recomputed task cuts the same chunks.
+    marked = rows.join(unbounded(suspects), ["_key", "_dup"]).select("_key", "_dup", "_text", "_settled", "_suspect")
+    packed = marked.mapInArrow(lambda batches: packed_windows(batches, buckets, window, chunk_bytes), PACKED)
     replies = packed.groupBy("_bucket").applyInArrow(count_bucket, REPLY)
     return replies.groupBy("_chunk_key", "_chunk_dup").applyInArrow(lambda t: merge_chunk(t, window), SPANS)
 
