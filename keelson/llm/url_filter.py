@@ -3,6 +3,7 @@
 One automaton holds strict and soft terms. An occurrence counts when the characters beside it
 are not ASCII letters or digits. Each distinct term adds its weight once: a strict term weighs
 as much as the threshold, a soft term 1; a url whose weights reach the threshold is rejected.
+Empty lists of terms weigh nothing, empty terms are not terms, and a term of both lists is strict.
 
 Rules: the host runs from the first ``://`` to ``/``, ``?``, ``#`` or the end, A-Z lower-cased;
 the path from there to ``?``, ``#`` or the end. A null url or one without ``://`` has both empty
@@ -58,7 +59,7 @@ def automaton(strict: tuple, soft: tuple, threshold: int):
 
     a = ahocorasick.Automaton()
     for weight, terms in ((1, soft), (threshold, strict)):
-        for t in terms:
+        for t in filter(None, terms):
             a.add_word(t, (t, weight))
     a.make_automaton()
     return a
@@ -66,8 +67,8 @@ def automaton(strict: tuple, soft: tuple, threshold: int):
 
 def weight_of(url: str, terms) -> int:
     """Summed weight of the distinct terms of a lower-cased url that stand between boundaries."""
-    found = {}
-    for end, (term, weight) in terms.iter(url):
+    found: dict[str, int] = {}
+    for end, (term, weight) in terms.iter(url) if len(terms) else ():
         a, b = end - len(term), end + 1
         if not (a >= 0 and url[a].isascii() and url[a].isalnum()) and \
                 not (b < len(url) and url[b].isascii() and url[b].isalnum()):
@@ -89,7 +90,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One row per page: id, host, path, rule, weight, verdict."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     parts = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"),
-                         vocabulary_weight(strict, soft, threshold)(lower_ascii(url)).alias("weight"))
+                         vocabulary_weight(tuple(strict), tuple(soft), threshold)(lower_ascii(url)).alias("weight"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     by_terms = F.when(F.col("weight") >= threshold, "block").otherwise("allow")
     return parts.select(id_col, "host", "path", rule.alias("rule"),

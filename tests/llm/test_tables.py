@@ -155,6 +155,14 @@ def test_topk_stops_early_and_stays_exact():
                 assert ids.tolist() == order and scores.tolist() == full[order].tolist()
 
 
+@pytest.mark.parametrize("strict, soft, weights", [((), (), [0, 0, 0]), ([], ["win"], [0, 1, 0]), (("win",), ("win", ""), [0, 2, 0])])
+def test_url_vocabularies_may_be_empty(spark, strict, soft, weights):
+    df = spark.createDataFrame([(1, "http://a/xxx"), (2, "http://a/win"), (3, None)], "page_id bigint, url string")
+    out = url_filter.filter_urls(df, strict=strict, soft=soft).orderBy("page_id").collect()
+    assert [r.weight for r in out] == weights
+    assert [r.verdict for r in out] == ["block" if w >= 2 else "allow" for w in weights]
+
+
 def test_url_terms_need_boundaries():
     terms = url_filter.automaton(url_filter.STRICT, url_filter.SOFT, url_filter.THRESHOLD)
     assert url_filter.weight_of("http://a/free-free", terms) == 1
