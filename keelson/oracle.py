@@ -429,6 +429,9 @@ sql("q_asof_lien", W("app", "liens", extra=[
              WHERE document_date IS NOT NULL GROUP BY person, document_date""")]) + """
 SELECT a.id, a.person, a.app_date, v.x.lien_id AS lien_id, v.x.category AS category
 FROM app a ASOF LEFT JOIN v ON a.person = v.person AND a.app_date >= v.document_date""")
+sql("q_range_calls", W("tasks", "calls") + """
+SELECT room, count(task_id) AS tasks, min(task_id) AS first_task, max(ts) AS last_done_at
+FROM calls JOIN tasks ON ts BETWEEN call_started AND call_ended GROUP BY room""")
 sql("q_cascade_credit", _H + "SELECT id, fico, credit_check FROM chk1")
 sql("q_property_rules", _H + "SELECT id, land_use, acres, property_check FROM chk1")
 sql("q_title_history", _H + """SELECT id, foreclosure_open, foreclosure_open_any_amount, recorded_position_high, foreclosure_settled,
@@ -756,11 +759,21 @@ sql("q_lien_title", W("mortgage_history", "property_sale_dates", extra=[_MS,
                       OR (last_sale_date IS NULL AND payoff_date IS NOT NULL AND status_indicator != 'O')
                       OR origination_date IS NULL OR recording_date IS NULL OR amount IS NULL THEN 'Ignore' ELSE 'Show' END AS display
                   FROM ms""")]) + """
-SELECT id, document_number, recording_date, origination_date, status_indicator, amount, last_sale_date, display FROM (
-  SELECT *, row_number() OVER (PARTITION BY id, document_number, recording_date
+SELECT id, property_id, document_number, recording_date, origination_date, status_indicator, amount, last_sale_date, display FROM (
+  SELECT *, row_number() OVER (PARTITION BY property_id, id, document_number, recording_date
       ORDER BY updated_seconds DESC, updated_nanos DESC, created_seconds DESC, created_nanos DESC, length(lender) DESC,
                origination_date DESC NULLS LAST, amount DESC NULLS LAST, status_indicator DESC, payoff_date DESC) AS r
   FROM title) WHERE r = 1""")
+sql("q_lien_title_first", W("app", "bureau_raw", "mortgage_history", "property_sale_dates", "property_history", extra=[_MS, BUREAU_NORM,
+    ("nested", """SELECT id, 'D' || CAST(f.lien_position AS VARCHAR) AS original_document_number,
+                         TRY_CAST(f.origination_date AS DATE) AS first_mortgage_date
+                  FROM property_history p LEFT JOIN LATERAL (SELECT unnest(p.financial_history.finance_history_attributes) AS f) ON TRUE""")]) + f"""
+SELECT ms.id, ms.property_id, ms.amount, status_indicator, original_document_number, recording_date, origination_date, payoff_date,
+       last_sale_date, first_mortgage_date, MTA5020 AS mortgage_balance,
+       CASE WHEN date_diff('day', {_ORIG}, last_sale_date) > 7 OR date_diff('day', {_REC}, last_sale_date) > 7 OR last_sale_date IS NULL
+                 OR origination_date IS NULL OR recording_date IS NULL OR ms.amount IS NULL THEN 'Ignore' ELSE 'Show' END AS display
+FROM ms LEFT JOIN nested ON nested.id = ms.id LEFT JOIN app ON app.id = ms.id LEFT JOIN bureau ON bureau.person = app.person
+WHERE status_indicator = 'O' AND length(payoff_date) < 1""")
 sql("q_lien_open_gaps", W("mortgage_history", "property_sale_dates", extra=[_MS]) + f"""
 SELECT id, app_date, origination_date, recording_date, amount, document_number, last_sale_date FROM ms
 WHERE length(payoff_date) < 1 AND status_indicator = 'O'
@@ -816,17 +829,17 @@ SC_CTES = [
     ("a1", "SELECT 'C' || CAST(person AS VARCHAR) AS a_identity, 'O' || CAST(id AS VARCHAR) AS a_app, state AS a_state, app_date, id, term_years, status FROM app"),
     ("a_last", "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY a_identity ORDER BY app_date DESC, id DESC) AS r FROM a1) WHERE r = 1"),
     ("a_decl", "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY a_identity ORDER BY app_date DESC, id DESC) AS r FROM a1 WHERE status = 'DECLINED') WHERE r = 1"),
-    ("identity_u", """SELECT a_app AS application_id, email, coalesce(a_identity, identity) AS identity_id,
+    ("identity_u", """SELECT a_app AS application_id, email, coalesce(a_identity, identity) AS identity_id, 'H' || CAST(id AS VARCHAR) AS short_id,
                        coalesce(a_state, state) AS state, first_name || ' ' || last_name AS borrower_name
                      FROM profile lp LEFT JOIN a1 ON lp.identity = a1.a_identity
                      UNION ALL
-                     SELECT a_identity, email, coalesce(a_identity, identity), coalesce(a_state, state), first_name || ' ' || last_name
+                     SELECT a_identity, email, coalesce(a_identity, identity), 'S' || CAST(id AS VARCHAR), coalesce(a_state, state), first_name || ' ' || last_name
                      FROM profile lp LEFT JOIN a_last ON lp.identity = a_last.a_identity
                      UNION ALL
-                     SELECT 'R' || CAST(id AS VARCHAR), email, coalesce(a_identity, identity), coalesce(a_state, state), first_name || ' ' || last_name
+                     SELECT 'R' || CAST(id AS VARCHAR), email, coalesce(a_identity, identity), 'L' || CAST(id AS VARCHAR), coalesce(a_state, state), first_name || ' ' || last_name
                      FROM profile lp LEFT JOIN (SELECT * FROM a1 WHERE term_years >= 15) a3 ON lp.identity = a3.a_identity
                      UNION ALL
-                     SELECT a_identity, email, coalesce(a_identity, identity), coalesce(a_state, state), first_name || ' ' || last_name
+                     SELECT a_identity, email, coalesce(a_identity, identity), 'M' || CAST(id AS VARCHAR), coalesce(a_state, state), first_name || ' ' || last_name
                      FROM profile lp LEFT JOIN a_decl ON lp.identity = a_decl.a_identity"""),
     ("cs", """SELECT application AS cs_application, string_agg(DISTINCT message, ' | ' ORDER BY message) AS cs_message FROM tasks
               WHERE last_status IN ('FAILED', 'CANCELLED') AND proficiencies = '[SUPERVISOR]' GROUP BY application"""),

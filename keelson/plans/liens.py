@@ -2,9 +2,10 @@
 
 ``lien_position``    next lien position and best-matched lien from the nested lien list
                      of the latest decision event (flatten + two "latest" rankings).
+``title_first``      first variant of it: open records without payoff beside every nested record of their application.
 ``title_display``    open-lien display from title records: Ignore / Show, with the
                      first known sale date of three sources (B15) and the per
-                     (application, document, recording date) latest record.
+                     (property, application, document, recording date) latest record.
 ``tx_display``       open-lien display from the transaction report (nested array).
 ``tradeline_class``  tradeline exception classes; the reference's two self-joins
                      become per-application aggregates joined once (no pair fan-out).
@@ -55,23 +56,43 @@ def _with_sale_date(spark: SparkSession, sf: str) -> DataFrame:
     return j.withColumn("last_sale_date", first_known_date("avm_sale_date", "transfer_sale_date", "market_sale_date"))
 
 
-def title_display(spark: SparkSession, sf: str) -> DataFrame:
-    """B44 — per (application, document, recording date) latest title record, labelled Ignore / Show."""
-    j = _with_sale_date(spark, sf)
+def display_label(unsold: Column) -> Column:
+    """B44 — Ignore / Show of a title record; ``unsold`` says when a record without a known sale is ignored."""
     orig = F.nullif(c("origination_date"), F.lit("")).try_cast("date")
     rec = F.nullif(c("recording_date"), F.lit("")).try_cast("date")
-    ignore = ((day_diff(c("last_sale_date"), orig) > SALE_GAP_DAYS)
-              | (day_diff(c("last_sale_date"), rec) > SALE_GAP_DAYS)
-              | (c("last_sale_date").isNull() & c("payoff_date").isNotNull() & (c("status_indicator") != "O"))
-              | c("origination_date").isNull() | c("recording_date").isNull() | c("amount").isNull())
-    j = j.withColumn("display", F.when(ignore, "Ignore").otherwise("Show"))
+    ignore = ((day_diff(c("last_sale_date"), orig) > SALE_GAP_DAYS) | (day_diff(c("last_sale_date"), rec) > SALE_GAP_DAYS)
+              | unsold | c("origination_date").isNull() | c("recording_date").isNull() | c("amount").isNull())
+    return F.when(ignore, "Ignore").otherwise("Show")
+
+
+def title_first(spark: SparkSession, sf: str) -> DataFrame:
+    """B44 (first variant) — open records without payoff, beside document number and first mortgage date of every nested
+    record of the application and its mortgage balance; a record without a known sale date is ignored."""
+    from .heloc import bureau
+    shown = (_with_sale_date(spark, sf).where((c("status_indicator") == "O") & (F.length("payoff_date") < 1))
+             .select("id", "property_id", "amount", "status_indicator", "recording_date", "origination_date", "payoff_date",
+                     "last_sale_date", display_label(c("last_sale_date").isNull()).alias("display")))
+    nested = flatten(D.property_history(spark, sf).select("id", c("financial_history.finance_history_attributes").alias("loans")),
+                     "loans", "l", outer=True, prefix="l_")
+    nested = nested.select("id", F.concat(F.lit("D"), c("l_lien_position").cast("string")).alias("original_document_number"),
+                           c("l_origination_date").try_cast("date").alias("first_mortgage_date"))
+    balance = D.app(spark, sf).select("id", "person").join(bureau(spark, sf).select("person", "MTA5020"), "person", "left")
+    return (shown.join(nested, "id", "left").join(balance.select("id", c("MTA5020").alias("mortgage_balance")), "id", "left")
+            .select("id", "property_id", "amount", "status_indicator", "original_document_number", "recording_date",
+                    "origination_date", "payoff_date", "last_sale_date", "first_mortgage_date", "mortgage_balance", "display"))
+
+
+def title_display(spark: SparkSession, sf: str) -> DataFrame:
+    """B44 — per (property, application, document, recording date) latest title record, labelled Ignore / Show."""
+    unsold = c("last_sale_date").isNull() & c("payoff_date").isNotNull() & (c("status_indicator") != "O")
+    j = _with_sale_date(spark, sf).withColumn("display", display_label(unsold))
     # Q12: order by seconds, then nanos (not their sum).
-    ranked = latest(j, ["id", "document_number", "recording_date"],
+    ranked = latest(j, ["property_id", "id", "document_number", "recording_date"],
                     [c("updated_seconds").desc(), c("updated_nanos").desc(), c("created_seconds").desc(),
                      c("created_nanos").desc(), F.length("lender").desc()],
                     [c("origination_date").desc_nulls_last(), c("amount").desc_nulls_last(),
                      c("status_indicator").desc(), c("payoff_date").desc()])
-    return ranked.select("id", "document_number", "recording_date", "origination_date", "status_indicator",
+    return ranked.select("id", "property_id", "document_number", "recording_date", "origination_date", "status_indicator",
                          "amount", "last_sale_date", "display")
 
 

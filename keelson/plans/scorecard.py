@@ -54,6 +54,8 @@ def identity_union(spark: SparkSession, sf: str) -> DataFrame:
     2. the person's latest application, keyed by the identity id itself (Q16);
     3. long-term (refinance-style) applications, term >= 15 years ('R' ids);
     4. the person's latest declined application, keyed by the identity id (Q16).
+
+    Each branch has the short id of its application beside the key (NULL where a profile has none).
     """
     lp = D.profile(spark, sf)
     a = D.app(spark, sf).select(F.concat(F.lit("C"), c("person").cast("string")).alias("a_identity"),
@@ -61,17 +63,18 @@ def identity_union(spark: SparkSession, sf: str) -> DataFrame:
                                  c("state").alias("a_state"), "app_date", "id", "term_years", "status")
     name = F.concat(c("first_name"), F.lit(" "), c("last_name"))
 
-    def branch(products: DataFrame, app_id) -> DataFrame:
+    def branch(products: DataFrame, app_id, product: str) -> DataFrame:
         return lp.join(products, lp.identity == products.a_identity, "left").select(
             app_id.alias("application_id"), "email",
             F.coalesce(c("a_identity"), c("identity")).alias("identity_id"),
+            F.concat(F.lit(product), c("id").cast("string")).alias("short_id"),
             F.coalesce(c("a_state"), c("state")).alias("state"), name.alias("borrower_name"))
 
     newest = [c("app_date").desc(), c("id").desc()]
-    b1 = branch(a, c("a_app"))
-    b2 = branch(latest(a, ["a_identity"], newest), c("a_identity"))
-    b3 = branch(a.where(c("term_years") >= 15), F.concat(F.lit("R"), c("id").cast("string")))
-    b4 = branch(latest(a.where(c("status") == "DECLINED"), ["a_identity"], newest), c("a_identity"))
+    b1 = branch(a, c("a_app"), "H")
+    b2 = branch(latest(a, ["a_identity"], newest), c("a_identity"), "S")
+    b3 = branch(a.where(c("term_years") >= 15), F.concat(F.lit("R"), c("id").cast("string")), "L")
+    b4 = branch(latest(a.where(c("status") == "DECLINED"), ["a_identity"], newest), c("a_identity"), "M")
     return b1.union(b2).union(b3).union(b4)
 
 

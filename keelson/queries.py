@@ -18,6 +18,7 @@ from .operators.nested import flatten
 from .operators.policy import effective_date, repair_date
 from .operators.reconcile import mismatches
 from .operators.asof import asof_join
+from .operators.rangejoin import range_join
 from .operators.rules import battery, version_difference
 from .plans import heloc as H
 from .plans import liens as LZ
@@ -29,6 +30,8 @@ from .sources import policies as P
 from .sources.tables import table
 
 QUERIES: dict = {}
+#: Bin of the range join of calls: about the length of a call.
+CALL_BIN_SECONDS = 3600
 
 
 def register(fn):
@@ -356,6 +359,16 @@ def q_asof_lien(spark: SparkSession, sf: str) -> DataFrame:
     return asof_join(app, D.liens(spark, sf), ["person"], "app_date", "document_date", ["lien_id", "category"])
 
 
+@register
+def q_range_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Range join without an equi key of two data-sized sides, the tasks completed while each call ran."""
+    done = D.tasks(spark, sf).select("task_id", F.col("ts").alias("done_at"))
+    calls = D.calls(spark, sf).select("room", "call_started", "call_ended")
+    pairs = range_join(done, calls, ("done_at", "done_at"), ("call_started", "call_ended"), CALL_BIN_SECONDS)
+    return pairs.groupBy("room").agg(F.count("task_id").alias("tasks"), F.min("task_id").alias("first_task"),
+                                     F.max("done_at").alias("last_done_at"))
+
+
 @register
 def q_cascade_credit(spark: SparkSession, sf: str) -> DataFrame:
     """First-match credit knockout cascade over every application."""
@@ -600,6 +613,12 @@ def q_lien_title(spark: SparkSession, sf: str) -> DataFrame:
     return LZ.title_display(spark, sf)
 
 
+@register
+def q_lien_title_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Open title records beside the nested records of their application (first display variant)."""
+    return LZ.title_first(spark, sf)
+
+
 @register
 def q_lien_open_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """Open liens without payoff whose dates are > 7 days from the sale date."""

@@ -488,6 +488,7 @@ def mortgage_history(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("T"), pk.cast("string")).alias("doc_id"))
     return li.select(
         F.col("l_orderkey").alias("id"),
+        (pk % 2).alias("property_id"),
         F.col("l_linestatus").alias("status_indicator"),
         F.when(F.col("l_linestatus") == "O", F.lit("")).otherwise(ship.cast("string")).alias("payoff_date"),
         F.when(pk % 13 == 0, F.lit(None)).otherwise(F.date_sub(ship, (sk % 40).cast("int")).cast("string")).alias("origination_date"),

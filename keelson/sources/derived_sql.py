@@ -211,7 +211,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                 {{'id': {_agent('1')}, 'id_map': {_agent('1')} || '@staff.example'}}] AS id_mappings
         FROM conversations"""),
     "mortgage_history": ((), """
-        SELECT l_orderkey AS id, l_linestatus AS status_indicator,
+        SELECT l_orderkey AS id, l_partkey % 2 AS property_id, l_linestatus AS status_indicator,
                CASE WHEN l_linestatus = 'O' THEN '' ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS payoff_date,
                CASE WHEN l_partkey % 13 = 0 THEN NULL
                     ELSE CAST(CAST(l_shipdate AS DATE) - CAST(l_suppkey % 40 AS INTEGER) AS VARCHAR) END AS origination_date,

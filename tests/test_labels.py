@@ -162,3 +162,24 @@ def test_every_numbered_label_is_normalised():
     for canon in ("Bank Account", "Sign promissory Note", "Additional Signer", "Notary", "ID Upload"):
         raws = dict(P.SUBTASK_ALIASES)[f"Call applicant -- {canon}"]
         assert [f"Call applicant {i} -- {canon}" for i in range(1, 5)] == list(raws[1:])
+
+
+def test_title_display_variants_differ_where_no_sale_is_known(spark):
+    from keelson.plans.liens import display_label
+    rows = [("sale 8 days after the loan", "2020-01-09", "2020-01-01", "2020-01-09", 1.0, "O"),
+            ("sale 8 days after the record", "2020-01-09", "2020-01-05", "2020-01-01", 1.0, "O"),
+            ("7 days", "2020-01-08", "2020-01-01", "2020-01-01", 1.0, "O"),
+            ("no sale, open", None, "2020-01-01", "2020-01-01", 1.0, "O"),
+            ("no sale, closed", None, "2020-01-01", "2020-01-01", 1.0, "C"),
+            ("no amount", "2020-01-01", "2020-01-01", "2020-01-01", None, "O"),
+            ("no origination", "2020-01-01", None, "2020-01-01", 1.0, "O"),
+            ("no record", "2020-01-01", "2020-01-01", None, 1.0, "O"),
+            ("empty dates", "2020-01-01", "", "", 1.0, "O")]
+    df = spark.createDataFrame(rows, "name string, sale string, origination_date string, recording_date string, amount double, "
+                                     "status_indicator string").withColumn("last_sale_date", F.col("sale").cast("date"))
+    no_sale = F.col("last_sale_date").isNull()
+    got = {r.name: (r.first, r.second) for r in df.select(
+        "name", display_label(no_sale).alias("first"),
+        display_label(no_sale & (F.col("status_indicator") != "O")).alias("second")).collect()}
+    assert [k for k, v in got.items() if v == ("Show", "Show")] == ["7 days", "empty dates"]
+    assert [k for k, v in got.items() if v[0] != v[1]] == ["no sale, open"]
