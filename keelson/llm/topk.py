@@ -2,14 +2,16 @@
 
 Components are floored to integers. A block of candidates keeps, for each dimension, its rows in
 order of the component. A query reads every list from its best end (the largest component where its
-own is positive, the smallest where it is negative), to one depth at a time. What it has read
-gives each candidate a lower bound (unread lists at their worst) and an upper bound (unread lists at
-the entry just read). It stops when few candidates can still reach the k best lower bounds (or the
-k best scores of blocks it met before), and their scores are then resolved in full. Bests of blocks
-meet per query.
+own is positive, the smallest where it is negative; a list whose component is zero for it is not
+read), entry by entry. Each entry read raises the lower bound of its candidate (unread lists at their
+last entry); the upper bound puts the unread lists at the entry just read. Bounds are compared at
+depths that double. A query stops when few candidates can still reach the k best lower bounds (or
+the k best scores of blocks it met before), and their scores are then resolved in full.
 
-Queries are a stated set. Blocks of queries meet blocks of candidates in tasks of their own, so
-neither side is held whole; a pair of blocks gives at most k rows per query.
+Queries are a stated set. Groups of query blocks meet groups of candidate blocks in cells of their own.
+A task streams a cell: its queries first, then one candidate block after the other, carrying the k best
+so far. A candidate block is thus shipped once for each group of query blocks, and a cell gives at
+most k rows per query. Neither side is held whole.
 
 Rules: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
 without an id. Vectors of other lengths are not comparable: candidates count for queries of the same
@@ -23,14 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import read, save
+from keelson.llm.common import partitions, read, save
 
 SCALE = 256
 QUERY_EVERY = 50
 K = 5
-BLOCK_ROWS = 4096
+#: A block: at most so many rows, and about so many bytes of components where vectors are long.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 21
+#: A cell: at most so many query blocks (held by its task) and candidate blocks (streamed).
+CELL_QUERIES, CELL_CANDIDATES = 4, 32
 #: Queries that read together; the first depth is this part of a list; few enough candidates to resolve.
 QUERIES_AT_ONCE, FIRST_DEPTH, RESOLVE = 256, 16, 32
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -43,47 +49,53 @@ def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int =
 
 
 class Lists:
-    """Sorted lists of one block: for each dimension its components in ascending order.
+    """Sorted lists of one block: for each dimension its rows in ascending order of the component.
 
-    After ``depth`` entries of a list from the top, a candidate was read there exactly when its
-    component reaches the last entry read, the edge. A positive query component then gains at most
-    max(component, edge), and at least the component if read or else the list's last entry. From the
-    bottom, for negative query components, it is the same with the order turned round. These bounds
-    are clipped copies of the block, so the bounds of many queries at one depth are matrix products.
+    ``entries`` counts the list entries that queries have read.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.sorted = np.sort(vectors, axis=0)
-
-    def bounds(self, plus: np.ndarray, minus: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """(lower, upper) score of every candidate for every query after reading ``depth`` entries."""
-        v, n = self.vectors, len(self.vectors)
-        top, bottom = self.sorted[n - depth], self.sorted[depth - 1]
-        upper = product(plus, np.maximum(v, top)) + product(minus, np.minimum(v, bottom))
-        lower = (product(plus, np.where(v >= top, v, self.sorted[0]))
-                 + product(minus, np.where(v <= bottom, v, self.sorted[-1])))
-        return lower, upper
+        self.ids, self.vectors, self.entries = ids, vectors, 0
+        self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
+
+    def advance(self, order, values, part, unread, lower, start: int, stop: int) -> np.ndarray:
+        """Read entries [start, stop) of every list, best first, into the lower bounds. Returns by
+        how much a list not read yet may still raise a candidate, for each query and list."""
+        for j in range(part.shape[1]):
+            readers = np.flatnonzero(part[:, j])
+            if len(readers):
+                rows = order[start:stop, j]
+                gain = values[start:stop, j] - values[-1, j]
+                lower[np.ix_(rows, readers)] += gain[:, None] * part[readers, j]
+                unread[rows, j] = 0
+                self.entries += len(rows) * len(readers)
+        return part * (values[stop - 1] - values[-1])
 
     def top(self, own: np.ndarray, queries: np.ndarray, k: int, bar: np.ndarray) -> list:
         """(scores, ids) of the k best candidates of each query, ties to the smaller id. Scores
         below a query's ``bar``, the k-th best of blocks before, may be left out."""
-        n = len(self.vectors)
+        n, dims = self.vectors.shape
         out: list = [None] * len(queries)
-        left, depth = np.arange(len(queries)), max(1, n // FIRST_DEPTH)
+        left, depth, goal = np.arange(len(queries)), 0, max(1, n // FIRST_DEPTH)
+        low = np.iinfo(np.int64).min
+        sides = [(self.order[::-1], self.sorted[::-1], np.maximum(queries, 0)), (self.order, self.sorted, np.minimum(queries, 0))]
+        unread = [np.ones((n, dims), np.int64) for _ in sides]
+        lower = np.tile(sum(part @ values[-1] for _, values, part in sides), (n, 1))
         while len(left):
-            q = queries[left]
-            lower, upper = self.bounds(np.maximum(q, 0), np.minimum(q, 0), depth)
-            mine = self.ids[None, :] == own[left][:, None]
-            low = np.iinfo(np.int64).min
-            lower[mine], upper[mine] = low, low
-            kth = np.partition(lower, n - k, axis=1)[:, n - k] if n >= k else np.full(len(left), low)
-            open_ = (upper >= np.maximum(kth, bar[left])[:, None]) & ~mine  # ties may still win by id
-            done = (open_.sum(1) <= max(4 * k, n // RESOLVE)) | (depth == n)
+            upper = None
+            for (order, values, part), mark in zip(sides, unread):
+                still = product(mark, self.advance(order, values, part[left], mark, lower, depth, goal))
+                upper = still if upper is None else upper + still
+            upper += lower
+            mine = self.ids[:, None] == own[left][None, :]
+            kth = np.partition(np.where(mine, low, lower), n - k, axis=0)[n - k] if n >= k else np.full(len(left), low)
+            open_ = (upper >= np.maximum(kth, bar[left])) & ~mine  # ties may still win by id
+            done = (open_.sum(0) <= max(4 * k, n // RESOLVE)) | (goal == n)
             for i in np.flatnonzero(done).tolist():
-                pick = np.flatnonzero(open_[i])
+                pick = np.flatnonzero(open_[:, i])
                 out[left[i]] = best(self.vectors[pick] @ queries[left[i]], self.ids[pick], k)
-            left, depth = left[~done], min(n, depth * 4)
+            left, lower, depth, goal = left[~done], lower[:, ~done], goal, min(n, goal * 2)
         return out
 
 
@@ -101,11 +113,13 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def blocks_of(vectors: DataFrame, name: str, rows: int) -> DataFrame:
-    """(_dims, _block, _ids, _values): vectors packed into blocks of about ``rows``."""
-    each = save(vectors.withColumn("_dims", F.size("_v")), name)
-    count = each.groupBy("_dims").count().withColumn("_blocks", F.greatest(F.ceil(F.col("count") / rows), F.lit(1)))
+    """(_dims, _block, _ids, _values): vectors packed into blocks of about ``rows``, or fewer if long.
+    Rows are dealt by their place in a saved table, so rows that share an id spread as others do."""
+    each = save(vectors.withColumn("_dims", F.size("_v")).withColumn("_n", F.monotonically_increasing_id()), name)
+    held = F.greatest(F.least(F.lit(rows), F.floor(F.lit(BLOCK_BYTES) / (F.col("_dims") * 8))), F.lit(1))
+    count = each.groupBy("_dims").count().withColumn("_blocks", F.ceil(F.col("count") / held))
     dealt = (each.join(count.select("_dims", "_blocks"), "_dims")
-             .withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks"))))
+             .withColumn("_block", F.pmod(F.xxhash64("_n"), F.col("_blocks"))))
 
     def pack(table: pa.Table) -> pa.Table:
         values = table.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -116,37 +130,86 @@ def blocks_of(vectors: DataFrame, name: str, rows: int) -> DataFrame:
                 .applyInArrow(pack, "_dims int, _block bigint, _ids binary, _values binary"), name + "-blocks")
 
 
+def cells_of(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """(_dims, _q_cell, _c_cell, _side, _block, _ids, _values): the blocks of each cell, queries (side 0)
+    first. Candidate groups are smaller where there would be fewer cells than tasks to fill."""
+    tasks = 2 * partitions(wanted.sparkSession)
+    number = F.max("_block") + 1
+    sizes = (wanted.groupBy("_dims").agg(F.ceil(number / CELL_QUERIES).alias("_q_cells"))
+             .join(held.groupBy("_dims").agg(number.alias("_c_blocks")), "_dims"))
+    each = F.least(F.lit(CELL_CANDIDATES), F.ceil(F.col("_c_blocks") * F.col("_q_cells") / tasks))
+    sizes = (sizes.withColumn("_each", F.greatest(each, F.lit(1)))
+             .withColumn("_c_cells", F.ceil(F.col("_c_blocks") / F.col("_each"))))
+    cell, rest = ["_dims", "_q_cell", "_c_cell"], ["_block", "_ids", "_values"]
+    q = (wanted.join(sizes, "_dims").withColumn("_q_cell", F.floor(F.col("_block") / CELL_QUERIES))
+         .withColumn("_c_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c_cells") - 1))))
+    c = (held.join(sizes, "_dims").withColumn("_c_cell", F.floor(F.col("_block") / F.col("_each")))
+         .withColumn("_q_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_q_cells") - 1))))
+    both = q.select(*cell, F.lit(0).alias("_side"), *rest).unionByName(c.select(*cell, F.lit(1).alias("_side"), *rest))
+    return both.repartition(*cell).sortWithinPartitions(*cell, "_side", "_block")
+
+
 def unpack(ids: bytes, values: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(-1, dims)
 
 
+class Asked:
+    """Queries of a cell that read together, with the k best candidates they have met."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.bar = np.full(len(ids), np.iinfo(np.int64).min)
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+
+    def meet(self, lists: Lists) -> None:
+        for i, (scores, ids) in enumerate(lists.top(self.ids, self.vectors, self.k, self.bar)):
+            if len(ids):
+                old = self.best[i]
+                self.best[i] = best(np.concatenate([old[0], scores]), np.concatenate([old[1], ids]), self.k)
+                if len(self.best[i][0]) == self.k:
+                    self.bar[i] = self.best[i][0][-1]
+
+
+def found(asked: list[Asked]):
+    """Record batches (query_id, score, id) of what queries have found."""
+    for part in asked:
+        size = [len(ids) for _, ids in part.best]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(part.ids, size)), pa.array(np.concatenate([scores for scores, _ in part.best])),
+             pa.array(np.concatenate([ids for _, ids in part.best]))], ["query_id", "score", "id"])
+
+
 def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, id, score) of the k best rows for each query, its own row apart."""
     wanted = blocks_of(integer_vectors(queries, id_col, vector_col), "queries", block_rows)
     held = blocks_of(integer_vectors(rows, id_col, vector_col), "candidates", block_rows)
-    pairs = wanted.withColumnsRenamed({"_ids": "_q_ids", "_values": "_q_values", "_block": "_q_block"}).join(held, "_dims")
-    pairs = pairs.repartition(F.col("_dims"), F.col("_q_block"), F.col("_block"))
-    names = ["query_id", "score", "id"]
 
     def run(batches):
-        bars: dict[tuple, np.ndarray] = {}  # k-th best so far of the query blocks this task has met
+        cell, asked = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, q = unpack(row["_q_ids"], row["_q_values"], row["_dims"])
-                lists = Lists(*unpack(row["_ids"], row["_values"], row["_dims"]))
-                key = (row["_dims"], row["_q_block"])
-                bar = bars.setdefault(key, np.full(len(q_ids), np.iinfo(np.int64).min))
-                for a in range(0, len(q_ids), QUERIES_AT_ONCE):
-                    part = slice(a, a + QUERIES_AT_ONCE)
-                    found = lists.top(q_ids[part], q[part], k, bar[part])
-                    bar[part] = [max(b, f[0][k - 1]) if len(f[0]) == k else b for b, f in zip(bar[part].tolist(), found)]
-                    size = [len(f[1]) for f in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(q_ids[part], size)), pa.array(np.concatenate([f[0] for f in found])),
-                         pa.array(np.concatenate([f[1] for f in found]))], names)
-    near = (pairs.select("_dims", "_q_block", "_q_ids", "_q_values", "_ids", "_values")
-            .mapInArrow(run, "query_id bigint, score bigint, id bigint"))
+                here = (row["_dims"], row["_q_cell"], row["_c_cell"])
+                if here != cell:
+                    yield from found(asked)
+                    cell, asked = here, []
+                ids, values = unpack(row["_ids"], row["_values"], row["_dims"])
+                if row["_side"] == 0:
+                    asked += [Asked(ids[a:a + QUERIES_AT_ONCE], values[a:a + QUERIES_AT_ONCE], k)
+                              for a in range(0, len(ids), QUERIES_AT_ONCE)]
+                else:
+                    lists = Lists(ids, values)
+                    for part in asked:
+                        part.meet(lists)
+        yield from found(asked)
+
+    spark = rows.sparkSession
+    before = spark.conf.get(BATCH, "10000")
+    spark.conf.set(BATCH, "4")  # blocks, of some MB each
+    try:
+        near = save(cells_of(wanted, held).mapInArrow(run, "query_id bigint, score bigint, id bigint"), "near")
+    finally:
+        spark.conf.set(BATCH, before)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         "query_id", "rank", F.col("id").alias(id_col), "score")

@@ -155,6 +155,42 @@ def test_topk_stops_early_and_stays_exact():
                 assert ids.tolist() == order and scores.tolist() == full[order].tolist()
 
 
+def test_topk_reads_a_part_of_its_lists():
+    """A few long rows lead everywhere: once they are met, outsiders cannot qualify."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    v = np.abs(np.floor(rng.normal(0, 20, (2000, 12)))).astype(np.int64)
+    v[:40] *= 20
+    q = v[100:140] + 1
+    q[:, 3] = 0  # a list no query reads
+    lists = topk.Lists(np.arange(2000), v)
+    found = lists.top(np.arange(100, 140), q, 5, np.full(40, np.iinfo(np.int64).min))
+    for i, (scores, ids) in enumerate(found):
+        full = v @ q[i]
+        order = [j for j in np.lexsort((np.arange(2000), -full)).tolist() if j != 100 + i][:5]
+        assert ids.tolist() == order and scores.tolist() == full[order].tolist()
+    assert 0 < lists.entries <= 40 * 11 * 2000 // 4
+
+
+def test_topk_in_many_cells_equals_brute_force(spark, monkeypatch):
+    """Blocks of 7 rows, cells of one query block and two candidate blocks, an id that a third of the rows share."""
+    import numpy as np
+    monkeypatch.setattr(topk, "CELL_QUERIES", 1)
+    monkeypatch.setattr(topk, "CELL_CANDIDATES", 2)
+    rng = np.random.default_rng(2)
+    data = [(int(i if i % 3 else 1000), [float(x) for x in rng.integers(-8, 9, 4) / 4]) for i in range(120)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    out = topk.top_k(df, df.where("vec_id % 10 = 1"), k=4, block_rows=7)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in out.collect()}
+    ints = [(i, np.floor(np.array(v) * 256).astype(np.int64)) for i, v in data]
+    want = {}
+    for q, v in ints:
+        if q % 10 == 1:
+            near = sorted((-int(v @ w), i) for i, w in ints if i != q)[:4]
+            want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(near)}
+    assert got == want
+
+
 @pytest.mark.parametrize("strict, soft, weights", [((), (), [0, 0, 0]), ([], ["win"], [0, 1, 0]), (("win",), ("win", ""), [0, 2, 0])])
 def test_url_vocabularies_may_be_empty(spark, strict, soft, weights):
     df = spark.createDataFrame([(1, "http://a/xxx"), (2, "http://a/win"), (3, None)], "page_id bigint, url string")
