@@ -1,5 +1,6 @@
 """Operators with a DuckDB twin, on given, edge and empty tables; classifier and pipeline."""
 
+import hashlib
 import os
 
 import pytest
@@ -138,6 +139,22 @@ def test_draw_counts_rows_that_share_an_identifier_by_themselves(spark):
     assert all(abs(taken[s] - target[s]) <= 3 * 41 for s in target)
 
 
+def test_mix_ranks_every_row_once_in_many_cells(spark):
+    """One source, one size, null ids and hundreds of equal rows, cells of 16 rows: the copies of a
+    source are what its whole line gives, and equal rows come back one by one."""
+    rows = [(None, f"w{i} x", "hot") for i in range(300)] + [(7, "same text", "hot")] * 200
+    rows += [(i * 64, "a b c", "even") for i in range(150)] + [(1, "", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [r.asDict() for r in mixing.mix(df, cell_rows=16).collect()]
+    assert len(got) == len(rows) and sum(r["_id"] == 7 for r in got) == 200
+    for name in ("hot", "even"):
+        mine = [r for r in got if r["_source"] == name]
+        share = mine[0]["target"] / mine[0]["source_size"]
+        offset = int(hashlib.md5(name.encode()).hexdigest()[:5], 16) / 1048576
+        assert sum(r["copies"] for r in mine) == int(len(mine) * share + offset)
+    assert sorted(map(repr, got)) == sorted(repr(r.asDict()) for r in mixing.mix(df.repartition(7), cell_rows=16).collect())
+
+
 def test_topk_stops_early_and_stays_exact():
     import numpy as np
     rng = np.random.default_rng(0)
