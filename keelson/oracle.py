@@ -127,6 +127,8 @@ SELECT completed_by,
        {rhu('count(task_type) * avg(CAST(value AS DECIMAL(18,2)))', 2)} AS score_obtained,
        {rhu("avg(date_sub('minute', TIMESTAMP '2024-01-01 00:00:00', ts))", 3)} AS avg_minutes
 FROM tasks GROUP BY completed_by""")
+sql("q_sink_partitions", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 "
+    "ELSE o_totalprice END AS o_totalprice FROM orders")
 sql("q_sort_final", W("app") + "SELECT id, app_date, state, amount FROM app ORDER BY app_date DESC, state ASC, id ASC")
 
 

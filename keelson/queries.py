@@ -27,6 +27,7 @@ from .plans import refi as R
 from .plans import scorecard as SC
 from .sources import derived as D
 from .sources import policies as P
+from .sources.sinks import replace_partitions, scratch
 from .sources.tables import table
 
 QUERIES: dict = {}
@@ -299,6 +300,18 @@ def q_ratio_of_sums(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register
+def q_sink_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """S6 - a partitioned table written, one partition restated twice by the same batch, read again."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = scratch(spark, "sink-partitions")
+    replace_partitions(o, path, ["o_orderstatus"])
+    restated = o.where(F.col("o_orderstatus") == "F").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    for _ in range(2):
+        replace_partitions(restated, path, ["o_orderstatus"])
+    return spark.read.schema(o.schema).parquet(path).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 @register
 def q_sort_final(spark: SparkSession, sf: str) -> DataFrame:
     """O1: final ORDER BY several keys (DESC / ASC)."""
