@@ -78,6 +78,18 @@ def identity_union(spark: SparkSession, sf: str) -> DataFrame:
     return b1.union(b2).union(b3).union(b4)
 
 
+def application_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The application ids of :func:`identity_union` (not distinct, NULL apart) from one pass over applications
+    of people with a profile: their home-equity and long-term ids, and the identity itself, which the two
+    identity-keyed branches give for whoever has an application at all."""
+    a = D.app(spark, sf).select(F.concat(F.lit("C"), c("person").cast("string")).alias("identity"), "id", "term_years")
+    known = a.join(D.profile(spark, sf).select("identity"), "identity", "left_semi")
+    return known.select(F.explode(F.array(
+        F.concat(F.lit("O"), c("id").cast("string")), c("identity"),
+        F.when(c("term_years") >= 15, F.concat(F.lit("R"), c("id").cast("string"))))).alias("application_id")).where(
+            c("application_id").isNotNull())
+
+
 # ---------------------------------------------------------------------------
 # B49-B51 tasks
 # ---------------------------------------------------------------------------
@@ -125,15 +137,13 @@ def normalised_tasks(spark: SparkSession, sf: str) -> DataFrame:
 def task_scores(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
     """B50 — cancelled / completed counts and weighted score per agent."""
     ff = normalised_tasks(spark, sf)
-    # Known application ids (DISTINCT: two identity-keyed branches must not double-count tasks).
-    f = identity_union(spark, sf).select("application_id").distinct()
     w = broadcast_bounded(small_frame(spark, "task_weights", P.TASK_WEIGHTS, "w_label string, weight int"),
                           len(P.TASK_WEIGHTS))
-    j = (ff.join(f, ff.application == f.application_id, "right")
-           .where(c("task_id").isNotNull() & ~c("completed_by").isin(*P.NON_AGENTS)
-                  & ~c("proficiencies").isin("[SYSTEM]", "[]", "[COMPLIANCE]")
-                  & _in_window(c("completed_date"), window))
-           .join(w, c("subtask_type") == w.w_label, "left"))
+    kept = ff.where(c("task_id").isNotNull() & ~c("completed_by").isin(*P.NON_AGENTS)
+                    & ~c("proficiencies").isin("[SYSTEM]", "[]", "[COMPLIANCE]") & _in_window(c("completed_date"), window))
+    # A semi join: however often a key occurs, a task counts once.
+    known = kept.join(application_keys(spark, sf), c("application") == c("application_id"), "left_semi")
+    j = known.join(w, c("subtask_type") == w.w_label, "left")
     score = F.coalesce(c("weight"), F.lit(0))
     return j.groupBy(c("completed_by").alias("csa_name")).agg(
         F.sum(F.when(c("subtask_outcome") == "MANUAL_CANCEL", 1).otherwise(0)).cast("bigint").alias("tasks_cancelled"),
@@ -142,8 +152,9 @@ def task_scores(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
 
 
 def csp_tasks(spark: SparkSession, sf: str, window=WINDOW) -> DataFrame:
-    """Agent e-mail with task counts: DISTINCT (e-mail, identity) of the identity union meets the scores."""
-    f = identity_union(spark, sf).select("email", "identity_id").distinct()
+    """Agent e-mail with task counts: DISTINCT (e-mail, identity) of the identity union meets the scores.
+    Every branch of the union keeps all profiles under their own identity, so profiles alone give these pairs."""
+    f = D.profile(spark, sf).select("email", c("identity").alias("identity_id")).distinct()
     s = task_scores(spark, sf, window)
     return (f.join(s, f.identity_id == s.csa_name)
              .select(c("email").alias("csa_email"), "tasks_cancelled", "tasks_completed",

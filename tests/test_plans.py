@@ -89,3 +89,20 @@ def test_results_do_not_depend_on_session_time_zone(spark):
 def test_chat_mart_scans_conversations_twice_at_most(spark):
     p = plan(QUERIES["q_chat_mart"](spark, SF_SMALL))
     assert sum("FileScan" in line and "conversations" in line for line in p.splitlines()) <= 2
+
+
+def test_task_scores_build_no_identity_union(spark):
+    """The key test reads applications once, by a semi join after the tasks' own filters, and ranks nothing."""
+    p = plan(QUERIES["q_task_score"](spark, SF_SMALL))
+    assert "Window" not in p and "LeftSemi" in p
+    assert sum(line.split("- ")[-1].startswith("Union") for line in p.splitlines()) <= 1  # profiles: customers and suppliers
+
+
+def test_application_keys_are_those_of_the_identity_union(spark):
+    from keelson.plans import scorecard as SC
+    union = SC.identity_union(spark, SF_SMALL).select("application_id").where("application_id is not null").distinct()
+    keys = SC.application_keys(spark, SF_SMALL).distinct()
+    assert union.count() > 0 and union.exceptAll(keys).isEmpty() and keys.exceptAll(union).isEmpty()
+    pairs = SC.identity_union(spark, SF_SMALL).select("email", "identity_id").distinct()
+    profiles = SC.D.profile(spark, SF_SMALL).selectExpr("email", "identity AS identity_id").distinct()
+    assert pairs.exceptAll(profiles).isEmpty() and profiles.exceptAll(pairs).isEmpty()
