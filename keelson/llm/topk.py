@@ -3,9 +3,10 @@
 Components are floored to integers. A block of candidates keeps, for each dimension, its rows in
 order of the component. A query reads every list from its best end (the largest component where its
 own is positive, the smallest where it is negative; a list whose component is zero for it is not
-read), entry by entry. Each entry read raises the lower bound of its candidate (unread lists at their
-last entry); the upper bound puts the unread lists at the entry just read. Bounds are compared at
-depths that double. A query stops when few candidates can still reach the k best lower bounds (or
+read), to one depth after the other. Each entry read raises the lower bound of its candidate (unread lists
+at their last entry); the upper bound puts the unread lists at the entry just read. The entries that a
+step reads, and the marks of those still unread, are matrices by candidate and list, so the bounds of many
+queries move by matrix products; values not read yet take no part in them. A query stops when few candidates can still reach the k best lower bounds (or
 the k best scores of blocks it met before), and their scores are then resolved in full.
 
 Queries are a stated set. Groups of query blocks meet groups of candidate blocks in cells of their own.
@@ -59,43 +60,39 @@ class Lists:
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(vectors, self.order, axis=0)
 
-    def advance(self, order, values, part, unread, lower, start: int, stop: int) -> np.ndarray:
-        """Read entries [start, stop) of every list, best first, into the lower bounds. Returns by
-        how much a list not read yet may still raise a candidate, for each query and list."""
-        for j in range(part.shape[1]):
-            readers = np.flatnonzero(part[:, j])
-            if len(readers):
-                rows = order[start:stop, j]
-                gain = values[start:stop, j] - values[-1, j]
-                lower[np.ix_(rows, readers)] += gain[:, None] * part[readers, j]
-                unread[rows, j] = 0
-                self.entries += len(rows) * len(readers)
-        return part * (values[stop - 1] - values[-1])
+    def advance(self, order, values, part, unread, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Read entries [start, stop) of every list, best first: (by how much they raise the lower
+        bound, by how much lists still unread may raise it) for each query and candidate."""
+        gain = np.zeros(unread.shape, np.int64)
+        np.put_along_axis(gain, order[start:stop], values[start:stop] - values[-1], axis=0)
+        np.put_along_axis(unread, order[start:stop], 0, axis=0)
+        self.entries += (stop - start) * int(np.count_nonzero(part))
+        return product(part, gain), product(part * (values[stop - 1] - values[-1]), unread)
 
     def top(self, own: np.ndarray, queries: np.ndarray, k: int, bar: np.ndarray) -> list:
         """(scores, ids) of the k best candidates of each query, ties to the smaller id. Scores
         below a query's ``bar``, the k-th best of blocks before, may be left out."""
-        n, dims = self.vectors.shape
+        n = len(self.vectors)
         out: list = [None] * len(queries)
         left, depth, goal = np.arange(len(queries)), 0, max(1, n // FIRST_DEPTH)
         low = np.iinfo(np.int64).min
         sides = [(self.order[::-1], self.sorted[::-1], np.maximum(queries, 0)), (self.order, self.sorted, np.minimum(queries, 0))]
-        unread = [np.ones((n, dims), np.int64) for _ in sides]
-        lower = np.tile(sum(part @ values[-1] for _, values, part in sides), (n, 1))
+        unread = [np.ones(self.vectors.shape, np.int64) for _ in sides]
+        lower = np.repeat(sum(part @ values[-1] for _, values, part in sides)[:, None], n, axis=1)
         while len(left):
-            upper = None
+            above = np.zeros_like(lower)
             for (order, values, part), mark in zip(sides, unread):
-                still = product(mark, self.advance(order, values, part[left], mark, lower, depth, goal))
-                upper = still if upper is None else upper + still
-            upper += lower
-            mine = self.ids[:, None] == own[left][None, :]
-            kth = np.partition(np.where(mine, low, lower), n - k, axis=0)[n - k] if n >= k else np.full(len(left), low)
-            open_ = (upper >= np.maximum(kth, bar[left])) & ~mine  # ties may still win by id
-            done = (open_.sum(0) <= max(4 * k, n // RESOLVE)) | (goal == n)
+                raised, open_end = self.advance(order, values, part[left], mark, depth, goal)
+                lower += raised
+                above += open_end
+            mine = self.ids[None, :] == own[left][:, None]
+            kth = np.partition(np.where(mine, low, lower), n - k, axis=1)[:, n - k] if n >= k else np.full(len(left), low)
+            open_ = (lower + above >= np.maximum(kth, bar[left])[:, None]) & ~mine  # ties may still win by id
+            done = (open_.sum(1) <= max(4 * k, n // RESOLVE)) | (goal == n)
             for i in np.flatnonzero(done).tolist():
-                pick = np.flatnonzero(open_[:, i])
+                pick = np.flatnonzero(open_[i])
                 out[left[i]] = best(self.vectors[pick] @ queries[left[i]], self.ids[pick], k)
-            left, lower, depth, goal = left[~done], lower[:, ~done], goal, min(n, goal * 2)
+            left, lower, depth, goal = left[~done], lower[~done], goal, min(n, goal * 4)
         return out
 
 
