@@ -1,7 +1,9 @@
 """Plain single-process versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
+import string
 from collections import Counter, defaultdict
 
 import xxhash
@@ -250,3 +252,37 @@ def minhash(docs):
     for k, (i, _) in enumerate(docs):
         members[root(k)].append(i)
     return [(i, len(found[k]), least(members[root(k)]), i == least(members[root(k)])) for k, (i, _) in enumerate(docs)]
+
+
+def quality_statistics(text):
+    """The classifier's statistics of one text, counted word by word."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^ \t\v\f\r\n]+", data)
+    punct, symbols = b".,;:'\"-()?", b"#$%&*+/<=>@[\\]^_`{|}~"
+
+    def among(chars):
+        return sum(byte in chars for byte in data)
+
+    def share(test):
+        return sum(bool(test(w)) for w in words) / max(len(words), 1)
+
+    upper, lower = among(string.ascii_uppercase.encode()), among(string.ascii_lowercase.encode())
+    has_upper, has_lower = re.compile(rb"[A-Z]").search, re.compile(rb"[a-z]").search
+    n, w = max(len(data), 1), max(len(words), 1)
+    return {
+        "log_bytes": math.log1p(len(data)), "log_words": math.log1p(len(words)), "word_length": sum(map(len, words)) / w,
+        "upper": upper / max(upper + lower, 1), "digits": among(string.digits.encode()) / n, "punct": among(punct) / n,
+        "bangs": among(b"!") / n, "symbols": among(symbols) / n, "wide": sum(byte > 127 for byte in data) / n,
+        "lines": among(b"\n") / w, "caps_words": share(lambda x: has_upper(x) and not has_lower(x) and len(x) > 1),
+        "title_words": share(lambda x: has_upper(x[:1]) and has_lower(x)), "symbol_ends": share(lambda x: x[-1] in symbols),
+        "bang_ends": share(lambda x: x[-1] in b"!"), "stop_ends": share(lambda x: x[-1] in punct),
+        "bare_symbols": share(lambda x: len(x) == 1 and x[0] in symbols),
+        "repeats": sum(a == b for a, b in zip(words, words[1:])) / w, "distinct": len(set(words)) / w}
+
+
+def quality_score(text, model, names):
+    """The rules of a fitted model applied to one text."""
+    stats = quality_statistics(text)
+    total = model["bias"] + sum(weight for rule, weight in model["rules"]
+                                if all((stats[names[i]] > at) == above for i, above, at in rule))
+    return 1 / (1 + math.exp(-total))

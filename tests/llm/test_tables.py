@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,6 +241,25 @@ def test_quality_held_out_accuracy(spark):
     assert got.count() == 10000 and got.where("score < 0 or score > 1 or score is null").isEmpty()
 
 
+@pytest.mark.parametrize("frame", ["small", "edge"])
+def test_quality_scores_equal_the_rules_applied_in_plain_python(spark, tmp_path, request, frame):
+    docs = request.getfixturevalue(frame)
+    if frame == "small":
+        d = SMALL
+    else:
+        given = docs.where("doc_id > 0").select("doc_id").distinct().selectExpr(
+            "doc_id", "CAST(doc_id % 2 AS int) AS quality", "0 AS toxic")
+        d = table_dir(tmp_path, documents=docs, labels=given)
+    model = quality.train(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet"))
+    assert model["rules"]
+    want = sorted(((i, round(brute.quality_score(t, model, quality.STATS), 9)) for i, t in plain(docs)), key=repr)
+    got = queries.QUERIES["op3_quality"](spark, d).collect()
+    assert sorted(((r.doc_id, round(r.score, 9)) for r in got), key=repr) == want
+    for r in got:
+        assert r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_quality_statistics_match_plain_counts():
     import numpy as np
     texts = [b"", b"One two two!", "ÉÉ a\nB cc*** |".encode(), b"  "]
