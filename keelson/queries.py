@@ -377,9 +377,8 @@ def q_range_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Range join without an equi key of two data-sized sides, the tasks completed while each call ran."""
     done = D.tasks(spark, sf).select("task_id", F.col("ts").alias("done_at"))
     calls = D.calls(spark, sf).select("room", "call_started", "call_ended")
-    pairs = range_join(done, calls, ("done_at", "done_at"), ("call_started", "call_ended"), CALL_BIN_SECONDS)
-    return pairs.groupBy("room").agg(F.count("task_id").alias("tasks"), F.min("task_id").alias("first_task"),
-                                     F.max("done_at").alias("last_done_at"))
+    return range_join(done, calls, ("done_at", "done_at"), ("call_started", "call_ended"), CALL_BIN_SECONDS, per=["room"],
+                      totals={"tasks": ("count", "task_id"), "first_task": ("min", "task_id"), "last_done_at": ("max", "done_at")})
 
 
 @register

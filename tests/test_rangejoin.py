@@ -71,3 +71,61 @@ def test_a_hot_bin_is_dealt_and_no_nested_loop_is_planned(spark):
         assert out.groupBy("j").count().collect() == [(1, 4000)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+TOTALS = {"n": ("count", "task"), "least": ("min", "task"), "last": ("max", "at")}
+
+
+@pytest.mark.parametrize("points_per_cell, rows_per_salt", [(3, 10), (40, 7), (100000, 100000)])
+def test_totals_equal_those_of_the_pairs(spark, points_per_cell, rows_per_salt):
+    """Rooms and points repeat or are NULL, points crowd on one instant, ranges are empty, short, long or reversed."""
+    rng = random.Random(points_per_cell)
+    start = dt.datetime(2024, 1, 1)
+    at = lambda: start + dt.timedelta(microseconds=rng.choice((0, 5_000_000, rng.randrange(10**10))))
+    points = [(None if rng.random() < 0.1 else rng.randrange(-50, 50), None if rng.random() < 0.05 else at()) for _ in range(300)]
+    ranges = []
+    for i in range(200):
+        a = at()
+        b = a + dt.timedelta(microseconds=rng.choice((-1, 0, 1000, 10**7, 10**9, 10**10)))
+        ranges.append((None if i % 17 == 0 else i // 3, None if i % 23 == 0 else a, None if i % 29 == 0 else b))
+    left = spark.createDataFrame(points, "task long, at timestamp_ntz").repartition(3)
+    right = spark.createDataFrame(ranges, "room int, a timestamp_ntz, b timestamp_ntz").repartition(2)
+    met = {}
+    for room, a, b in ranges:
+        for p in points:
+            if None not in (a, b, p[1]) and a <= p[1] <= b:
+                met.setdefault(room, []).append(p)
+    expect = {}
+    for room, ps in met.items():
+        tasks = [t for t, _ in ps if t is not None]
+        expect[room] = (len(tasks), min(tasks, default=None), max(x for _, x in ps))
+    out = range_join(left, right, ("at", "at"), ("a", "b"), 3600, rows_per_salt, ["room"], TOTALS, points_per_cell)
+    assert [f.simpleString() for f in out.schema] == ["room:int", "n:bigint", "least:bigint", "last:timestamp_ntz"]
+    rows = out.collect()
+    assert len(rows) == len(expect) and {r.room: tuple(r)[1:] for r in rows} == expect
+    none = range_join(left.limit(0), right, ("at", "at"), ("a", "b"), 3600, per=["room"], totals=TOTALS)
+    assert none.count() == 0
+
+
+def test_totals_list_no_pairs(spark):
+    """Every range covers most points: 10 billion pairs, two searches a range."""
+    n = 100_000
+    left = spark.range(n).select(F.col("id").alias("task"), F.date_from_unix_date(F.col("id").cast("int") % 1000).alias("at"))
+    right = spark.range(n).select(F.col("id").alias("room"), F.lit(DAY - dt.timedelta(days=20000)).alias("a"), F.lit(DAY).alias("b"))
+    out = range_join(left, right, ("at", "at"), ("a", "b"), 30, per=["room"], totals=TOTALS, points_per_cell=5000)
+    assert out.groupBy("n", "least", "last").count().collect() == [(n, 0, dt.date(1972, 9, 26), n)]
+
+
+def test_totals_refuse_what_they_cannot_hold_exactly(spark):
+    left = spark.createDataFrame([(1, 0.5)], "task long, at double")
+    right = spark.createDataFrame([(1, 0.0, 1.0)], "room int, a double, b double")
+    with pytest.raises(ValueError):
+        range_join(left, right, ("at", "at"), ("a", "b"), 1, per=["room"], totals=TOTALS)
+    with pytest.raises(ValueError):
+        range_join(left, right, ("task", "at"), ("a", "b"), 1, per=["room"], totals=TOTALS)
+
+
+def test_tasks_of_calls_are_counted_without_pairs(spark):
+    from keelson.queries import QUERIES
+    plan = QUERIES["q_range_calls"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
