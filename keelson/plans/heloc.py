@@ -33,6 +33,7 @@ from ..operators.latest import latest
 from ..operators.policy import effective_date, regime
 from ..operators.quantifiers import all_of, any_of, quantify
 from ..operators.rules import RuleSet, cascade, first_label, two_way
+from ..session import keep_methods_compiled
 from ..sources import derived as D
 from ..sources import policies as P
 from ..sources.bureau_codes import BUREAU_CODES
@@ -164,6 +165,7 @@ def heloc_inputs(spark: SparkSession, sf: str, with_lien_items: bool = True, wit
     """One row per application with every input of the checks (left joins, 1:1 / many:1): the debt, CLTV and DTI checks
     need neither lien items nor title history. ``policies``: folder of the dated policy tables."""
     from .liens import position_columns
+    keep_methods_compiled(spark)
     # limits meet the narrow application first, so that wide stages carry values, not lookups
     a = with_policies(spark, D.app(spark, sf).withColumns({
         "fico": FN.resolve_score(c("hard_score"), c("soft_score")),

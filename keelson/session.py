@@ -51,6 +51,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+#: Bytecode of a method from which HotSpot never compiles it.
+HOTSPOT_METHOD_LIMIT = 8000
+
+
+def keep_methods_compiled(spark: SparkSession) -> None:
+    """Have plans whose fused method HotSpot would interpret for ever run operator by operator, in small compiled methods.
+
+    Spark fuses up to 64 KB; a wide rule stage makes one method of some 26 KB. Set where such stages are built, as the
+    session may be the caller's; a lower limit stays."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(key)) > HOTSPOT_METHOD_LIMIT:
+        spark.conf.set(key, HOTSPOT_METHOD_LIMIT)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset (local runs)."""
     current = spark.conf.get("spark.checkpoint.dir", None)

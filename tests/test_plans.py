@@ -106,3 +106,15 @@ def test_application_keys_are_those_of_the_identity_union(spark):
     pairs = SC.identity_union(spark, SF_SMALL).select("email", "identity_id").distinct()
     profiles = SC.D.profile(spark, SF_SMALL).selectExpr("email", "identity AS identity_id").distinct()
     assert pairs.exceptAll(profiles).isEmpty() and profiles.exceptAll(pairs).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["q_heloc_audit", "q_verdict"])
+def test_rule_stages_leave_no_method_that_hotspot_refuses(spark, name):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    try:
+        for before, after in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(key, before)
+            assert len(QUERIES[name](spark, SF_SMALL).columns) > 1
+            assert spark.conf.get(key) == after
+    finally:
+        spark.conf.unset(key)
